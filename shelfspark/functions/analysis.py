@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from shelfspark.functions.stemmer import stem
 
@@ -40,7 +41,7 @@ def positioned(c: Column, config: str) -> Column:
     return F.filter(numbered, lambda x: ~x["surface"].isin(STOP_WORDS))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _stem_column(surface: pa.Array) -> pa.Array:
     # Each distinct word of a batch is stemmed once.
     encoded = surface.dictionary_encode()
