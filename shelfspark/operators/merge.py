@@ -21,7 +21,7 @@ def split_blank_keys(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def compare(target: DataFrame, source: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Full join of two snapshots, both unique on `keys`, with `change_type` of every key."""
+    """Full join of two snapshots, both unique on non-NULL `keys`, with `change_type` of every key."""
     old = target.select(*keys, F.struct(*target.columns).alias("old"))
     new = source.select(*keys, F.struct(*source.columns).alias("new"))
     changed = any_distinct([(F.col(f"old.{c}"), F.col(f"new.{c}")) for c in values])
@@ -76,7 +76,8 @@ def insert_absent(target: DataFrame, source: DataFrame, keys: list[str]) -> Data
 
 def change_report(target: DataFrame, source: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Number of keys per change type; `kept` counts keys the source does not mention."""
-    return compare(target, source, keys, values).groupBy("change_type").agg(F.count("*").alias("n"))
+    used = [*keys, *values]
+    return compare(target.select(used), source.select(used), keys, values).groupBy("change_type").agg(F.count("*").alias("n"))
 
 
 def invalidate_vectors(

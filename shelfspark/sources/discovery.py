@@ -36,17 +36,17 @@ def newest_input(spark: SparkSession, folder: str):
     return complete_inputs(list_files(spark, folder)).agg(F.max("modified")).first()[0]
 
 
-def latest_release(manifest: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per source text: the greatest current display name that contains it, with its size in GiB.
-
-    The maximum is taken per name part before names meet sources, so a source that most names
-    contain costs one row per map task.
-    """
-    current = manifest.filter(~F.col("obsolete"))
-    named = current.join(F.broadcast(sources), F.col("display_name").contains(F.col("source")))
-    best = named.groupBy("source").agg(F.max(F.struct("display_name", "data_size")).alias("best"))
+def latest_release(manifest: DataFrame, sources: list[str]) -> DataFrame:
+    """Per source text: the greatest current display name that contains it, with its size in GiB."""
+    wanted = F.array(*[F.lit(s) for s in sources])
+    current = manifest.filter(~F.col("obsolete")).select(
+        "display_name", "data_size",
+        F.explode(F.filter(wanted, lambda s: F.contains(F.col("display_name"), s))).alias("source"),
+    )
+    best = current.groupBy("source").agg(F.max(F.struct("display_name", "data_size")).alias("best"))
     return best.select(
-        "source", "best.display_name", F.round(F.col("best.data_size") / 1024**3, 1).alias("size_gib")
+        "source", F.col("best.display_name").alias("display_name"),
+        F.round(F.col("best.data_size") / 1024**3, 1).alias("size_gib"),
     )
 
 
