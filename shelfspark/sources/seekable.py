@@ -56,12 +56,10 @@ def split_frames(frames: list[Frame], split_bytes: int) -> list[FrameRange]:
     for i, frame in enumerate(frames):
         held += frame.text_size
         if held >= split_bytes:
-            ranges.append(FrameRange(0))
-            ranges[-1].first, ranges[-1].last = first, i + 1
+            ranges.append(FrameRange(first, i + 1))
             first, held = i + 1, 0
     if first < len(frames):
-        ranges.append(FrameRange(0))
-        ranges[-1].first, ranges[-1].last = first, len(frames)
+        ranges.append(FrameRange(first, len(frames)))
     return ranges
 
 
