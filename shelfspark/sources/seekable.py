@@ -28,6 +28,7 @@ class Frame:
 
 @dataclass
 class FrameRange(InputPartition):
+    path: str
     first: int
     last: int
 
@@ -50,16 +51,16 @@ def read_frames(handle, size: int) -> list[Frame]:
     return frames
 
 
-def split_frames(frames: list[Frame], split_bytes: int) -> list[FrameRange]:
+def split_frames(path: str, frames: list[Frame], split_bytes: int) -> list[FrameRange]:
     """Runs of frames of about `split_bytes` of text each."""
     ranges, first, held = [], 0, 0
     for i, frame in enumerate(frames):
         held += frame.text_size
         if held >= split_bytes:
-            ranges.append(FrameRange(first, i + 1))
+            ranges.append(FrameRange(path, first, i + 1))
             first, held = i + 1, 0
     if first < len(frames):
-        ranges.append(FrameRange(first, len(frames)))
+        ranges.append(FrameRange(path, first, len(frames)))
     return ranges
 
 
@@ -96,18 +97,26 @@ class SeekableLinesReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int):
         self.path, self.split_bytes = path, split_bytes
 
-    def _open(self):
+    def _files(self) -> tuple[fs.FileSystem, list[str]]:
         filesystem, path = fs.FileSystem.from_uri(self.path)
-        return filesystem.open_input_file(path)
+        if filesystem.get_file_info(path).type != fs.FileType.Directory:
+            return filesystem, [path]
+        inside = filesystem.get_file_info(fs.FileSelector(path))
+        return filesystem, sorted(f.path for f in inside if f.path.endswith(".zst"))
 
     def partitions(self):
-        with self._open() as handle:
-            return split_frames(read_frames(handle, handle.size()), self.split_bytes)
+        filesystem, paths = self._files()
+        ranges = []
+        for path in paths:
+            with filesystem.open_input_file(path) as handle:
+                ranges += split_frames(path, read_frames(handle, handle.size()), self.split_bytes)
+        return ranges
 
     def read(self, partition: FrameRange):
         codec = pa.Codec("zstd")
         schema = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("value", pa.string())])
-        with self._open() as handle:
+        filesystem, _ = fs.FileSystem.from_uri(self.path)
+        with filesystem.open_input_file(partition.path) as handle:
             frames = read_frames(handle, handle.size())
 
             def read_text(frame: Frame) -> bytes:
@@ -117,7 +126,7 @@ class SeekableLinesReader(DataSourceReader):
             positions, values = [], []
 
             def batch():
-                files = pa.array([self.path] * len(values), pa.string())
+                files = pa.array([partition.path] * len(values), pa.string())
                 return pa.RecordBatch.from_arrays([files, pa.array(positions), pa.array(values)], schema=schema)
 
             for pos, line in lines_of_range(read_text, frames, partition.first, partition.last):
@@ -145,7 +154,10 @@ class SeekableLines(DataSource):
 
 
 def read_seekable_jsonl(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Lines of one seekable zstd file, one task per run of frames; `pos` is the line's text offset."""
+    """Lines of a seekable zstd file, or of all in a folder, one task per run of frames.
+
+    `pos` is the offset of the line in its file's text.
+    """
     spark.dataSource.register(SeekableLines)
     uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
     uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and "://" not in uri else uri

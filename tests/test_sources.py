@@ -39,7 +39,7 @@ def test_any_split_reads_the_same_lines(texts, split_bytes, checksum):
         return whole[frame.text_offset : frame.text_offset + frame.text_size]
 
     got = [
-        line for r in split_frames(frames, split_bytes)
+        line for r in split_frames("f", frames, split_bytes)
         for line in lines_of_range(read_text, frames, r.first, r.last)
     ]
     expected, at = [], 0
