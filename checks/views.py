@@ -39,9 +39,9 @@ SHELF = """
     SELECT concat('978', lpad(cast(l_partkey AS string), 10, '0')) AS isbn
     FROM {lineitem} WHERE l_returnflag = 'R' AND l_discount >= 0.07 AND l_quantity >= 30"""
 
-# Conversations as documents: a turn is a page, the even ones are embedded.
+# Conversations as documents: a turn is a page.
 DOC_PAGES = """
-    SELECT cast(conv_id AS string) AS doc_id, cast(turn + 1 AS int) AS page_number, text AS content
+    SELECT cast(conv_id AS string) AS doc_id, cast(turn + 1 AS int) AS page_number, text AS content, role
     FROM {conversations}"""
 
 CONV_ITEMS = """

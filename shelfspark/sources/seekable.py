@@ -10,7 +10,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed values of the seekable format.
 SEEKABLE_MAGIC = 0x8F92EAB1
-SKIPPABLE_MAGIC = 0x184D2A5E
 FOOTER = struct.Struct("<IBI")
 CHECKSUM_FLAG = 0x80
 
@@ -162,16 +161,3 @@ def read_seekable_jsonl(spark: SparkSession, path: str, split_bytes: int = SPLIT
     uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
     uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and "://" not in uri else uri
     return spark.read.format("seekable_lines").option("split_bytes", str(split_bytes)).load(uri)
-
-
-def pack_seekable(frames_of_text: list[bytes], checksum: bool = False) -> bytes:
-    """A small seekable zstd file in memory, one frame per given piece of text."""
-    codec = pa.Codec("zstd")
-    body, entries = b"", b""
-    for text in frames_of_text:
-        packed = codec.compress(text, asbytes=True)
-        body += packed
-        entries += struct.pack("<II", len(packed), len(text)) + (b"\0\0\0\0" if checksum else b"")
-    footer = FOOTER.pack(len(frames_of_text), CHECKSUM_FLAG if checksum else 0, SEEKABLE_MAGIC)
-    table = entries + footer
-    return body + struct.pack("<II", SKIPPABLE_MAGIC, len(table)) + table

@@ -9,7 +9,7 @@ from shelfspark.operators.parse import parse_items
 from shelfspark.plans.ingest import run_ingest
 from shelfspark.schemas import ITEM_VALUES, ITEMS, RATINGS, VECTORS
 from shelfspark.sources.meta import meta_current, meta_read
-from shelfspark.sources.seekable import pack_seekable
+from checks.feeds import pack_seekable
 from shelfspark.sources.storage import read_snapshot
 from shelfspark.streaming.ingest import stream_ingest
 

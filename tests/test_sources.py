@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from shelfspark.sources.discovery import discover_input, extract_hosts, latest_release, newest_input
 from shelfspark.sources.lines import slice_in_order, window_lines
 from shelfspark.sources.meta import meta_current, meta_delete, meta_get, meta_put, meta_read
+from checks.feeds import pack_seekable
 from shelfspark.sources.seekable import (
-    lines_of_range, pack_seekable, read_frames, read_seekable_jsonl, split_frames,
+    lines_of_range, read_frames, read_seekable_jsonl, split_frames,
 )
 from shelfspark.sources.storage import read_snapshot, snapshot_versions, write_snapshot
 
