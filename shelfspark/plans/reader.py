@@ -7,6 +7,7 @@ from shelfspark.operators.embedding import embed
 from shelfspark.operators.lookups import first_rows
 from shelfspark.operators.nearest import topk_grouped
 from shelfspark.operators.pages import nest_outline
+from shelfspark.sources.storage import stage
 
 MAX_RESULTS = 20
 
@@ -35,7 +36,10 @@ def page_search(
     """Pages of the requested document nearest to each text (request_id, doc_id, q)."""
     asked = requests.filter(present(F.col("q")))
     texts = embed(asked, "q", embedder, "request_id")
-    queries = texts.join(asked.select("request_id", "doc_id"), "request_id").withColumnRenamed("request_id", "query_id")
+    # Written once: the search counts the queries of each document before it uses them.
+    queries = stage(
+        texts.join(asked.select("request_id", "doc_id"), "request_id").withColumnRenamed("request_id", "query_id")
+    )
     vectors = pages.select("doc_id", F.col("page_number").alias("id"), "embedding")
     found = topk_grouped(vectors, queries, min(limit, MAX_RESULTS), group="doc_id")
     located = found.join(queries.select("query_id", "doc_id"), "query_id").withColumnRenamed("id", "page_number")

@@ -18,6 +18,7 @@ from shelfspark.operators.lookups import contains_pairs
 from shelfspark.operators.nearest import search_vectors
 from shelfspark.operators.paging import dedupe_formats, fetch_ranked, format_order, page
 from shelfspark.schemas import COLLECTED_COLUMNS, ITEM_COLUMNS, RATING_COLUMNS
+from shelfspark.sources.storage import stage
 
 KEY = "request_id"
 # Request parameter -> (row column, way of comparing). A search without q must give one of the
@@ -180,7 +181,8 @@ def search_ratings_vector(
 ) -> DataFrame:
     """Rating rows nearest to the text of each request; other parameters play no part."""
     asked = requests.filter(present(F.col("q")))
-    queries = embed(asked, "q", embedder, KEY).withColumnRenamed(KEY, "query_id")
+    # Written once: counting the queries and searching with them must not embed them twice.
+    queries = stage(embed(asked, "q", embedder, KEY).withColumnRenamed(KEY, "query_id"))
     found = search_vectors(ratings.select(RATING_COLUMNS), vectors, queries, limit, offset, centroids, probes)
     return found.withColumnRenamed("query_id", KEY)
 
@@ -200,9 +202,9 @@ def search_ratings(
     filters = any_given([F.col(p) for p in RATING_SUFFICIENT])
     forced = F.coalesce(F.col("search_type") == "vector", F.lit(False))
     by_vector = present(F.col("q")) & (forced | (~present(F.col("search_type")) & ~filters))
-    nearest = search_ratings_vector(
+    nearest = stage(search_ratings_vector(
         ratings, vectors, full.filter(by_vector), embedder, limit, offset, centroids, probes
-    )
+    ))
     served = nearest.select(KEY).distinct()
     rest = full.join(served, KEY, "left_anti")
     text_requests = rest.filter(~forced).select(requests.columns)

@@ -13,6 +13,7 @@ from shelfspark.operators.lookups import first_ids, with_availability
 from shelfspark.operators.nearest import topk_exact, topk_ivf
 from shelfspark.operators.paging import fetch_ranked, first_per_group, top_rows
 from shelfspark.schemas import ITEM_COLUMNS, RATING_COLUMNS
+from shelfspark.sources.storage import stage
 
 KEY = "request_id"
 TITLE_CANDIDATES = 10
@@ -79,13 +80,16 @@ def similar(
     limit: int = 10, min_rating: float = 0, min_reviews: int = 0,
     centroids: DataFrame | None = None, probes: int = 1,
 ) -> Similar:
-    """Sources found, their neighbours, and for requests without a source the best matching item."""
-    resolved = resolve_source(requests, ratings, rating_postings, config)
+    """Sources found, their neighbours, and for requests without a source the best matching item.
+
+    The resolved ids and their vectors are written once; several branches read them.
+    """
+    resolved = stage(resolve_source(requests, ratings, rating_postings, config))
     named = ratings.select(RATING_COLUMNS).join(resolved, "id")
     ids = resolved.select("id").distinct()
     texts = rating_text(ratings.join(ids, "id", "left_semi"))
     embedded = embed(texts, "text", embedder).join(resolved, "id")
-    queries = embedded.select(F.col(KEY).alias("query_id"), F.col("id").alias("source_id"), "embedding")
+    queries = stage(embedded.select(F.col(KEY).alias("query_id"), F.col("id").alias("source_id"), "embedding"))
     results = neighbours(
         queries, vectors, ratings, items, limit, min_rating, min_reviews, centroids, probes
     ).withColumnRenamed("query_id", KEY)
