@@ -50,13 +50,8 @@ def postings_doc_freq(spark, sf):
     FROM occ GROUP BY term, id""")
 def postings_positions(spark, sf):
     index = build_index(view(spark, sf, DOC_ITEMS), DOC_FIELDS, "simple")
-
-    def total(field):
-        return F.aggregate(F.transform(F.col(f"occurrences.{field}"), lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
-
-    return index.select(
-        "term", "id", F.size("occurrences").cast("long").alias("n"), total("pos").cast("long").alias("sum_pos"),
-        F.round(total("weight"), 4).alias("sum_weight"))
+    return index.groupBy("term", "id").agg(
+        F.count("*").alias("n"), F.sum("pos").alias("sum_pos"), F.round(F.sum("weight"), 4).alias("sum_weight"))
 
 
 @check()

@@ -4,6 +4,10 @@ import re
 from functools import lru_cache
 
 VOWELS = "aeiouy"
+_HAS_VOWEL = re.compile(f"[{VOWELS}]")
+_VOWEL_THEN_OTHER = re.compile(f"[{VOWELS}][^{VOWELS}]")
+_SHORT_END = re.compile(f"[^{VOWELS}][{VOWELS}][^{VOWELS}wxY]$|^[{VOWELS}][^{VOWELS}]$")
+_CONSONANT_Y = re.compile(f"^y|(?<=[{VOWELS}])y")
 
 # Fixed values of the published algorithm: irregular words, words left alone, suffix tables.
 SPECIAL = {
@@ -27,28 +31,29 @@ STEP3 = {
     "tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic",
     "ical": "ic", "ful": "", "ness": "",
 }
+STEP2_ENDS = (*STEP2, "ogi", "li")
+STEP3_ENDS = (*STEP3, "ative")
 STEP4 = (
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
     "ism", "ate", "iti", "ous", "ive", "ize",
 )
+STEP4_ENDS = (*STEP4, "ion")
 
 
-def _longest(word: str, suffixes) -> str | None:
-    hits = [s for s in suffixes if word.endswith(s)]
-    return max(hits, key=len) if hits else None
+def _longest(word: str, suffixes: tuple[str, ...]) -> str | None:
+    if not word.endswith(suffixes):
+        return None
+    return max((s for s in suffixes if word.endswith(s)), key=len)
 
 
 def _region(word: str, start: int) -> int:
     """Index after the first non-vowel that follows a vowel, searched from `start`."""
-    m = re.compile(f"[{VOWELS}][^{VOWELS}]").search(word, start)
+    m = _VOWEL_THEN_OTHER.search(word, start)
     return m.end() if m else len(word)
 
 
 def _short_syllable_end(word: str) -> bool:
-    return bool(
-        re.search(f"[^{VOWELS}][{VOWELS}][^{VOWELS}wxY]$", word)
-        or re.fullmatch(f"[{VOWELS}][^{VOWELS}]", word)
-    )
+    return bool(_SHORT_END.search(word))
 
 
 @lru_cache(maxsize=200_000)
@@ -58,8 +63,8 @@ def stem(word: str) -> str:
     if word in SPECIAL:
         return SPECIAL[word]
     # A y that acts as a consonant is written Y until the end.
-    word = re.sub(r"^y", "Y", word)
-    word = re.sub(f"([{VOWELS}])y", r"\1Y", word)
+    if "y" in word:
+        word = _CONSONANT_Y.sub("Y", word)
     prefix = next((p for p in LONG_PREFIXES if word.startswith(p)), None)
     r1 = len(prefix) if prefix else _region(word, 0)
     r2 = _region(word, r1)
@@ -69,7 +74,7 @@ def stem(word: str) -> str:
     elif word.endswith(("ied", "ies")):
         word = word[:-2] if len(word) > 4 else word[:-1]
     elif word.endswith("s") and not word.endswith(("us", "ss")):
-        if re.search(f"[{VOWELS}]", word[:-2]):
+        if _HAS_VOWEL.search(word[:-2]):
             word = word[:-1]
     if word in KEEP_AFTER_PLURAL:
         return word
@@ -78,7 +83,7 @@ def stem(word: str) -> str:
     if suffix in ("eed", "eedly"):
         if len(word) - len(suffix) >= r1:
             word = word[: -len(suffix)] + "ee"
-    elif suffix and re.search(f"[{VOWELS}]", word[: -len(suffix)]):
+    elif suffix and _HAS_VOWEL.search(word[: -len(suffix)]):
         word = word[: -len(suffix)]
         if word.endswith(("at", "bl", "iz")):
             word += "e"
@@ -90,7 +95,7 @@ def stem(word: str) -> str:
     if len(word) > 2 and word[-1] in "yY" and word[-2] not in VOWELS:
         word = word[:-1] + "i"
 
-    suffix = _longest(word, (*STEP2, "ogi", "li"))
+    suffix = _longest(word, STEP2_ENDS)
     if suffix and len(word) - len(suffix) >= r1:
         before = word[: -len(suffix)]
         if suffix == "ogi":
@@ -100,7 +105,7 @@ def stem(word: str) -> str:
         else:
             word = before + STEP2[suffix]
 
-    suffix = _longest(word, (*STEP3, "ative"))
+    suffix = _longest(word, STEP3_ENDS)
     if suffix and len(word) - len(suffix) >= r1:
         before = word[: -len(suffix)]
         if suffix != "ative":
@@ -108,7 +113,7 @@ def stem(word: str) -> str:
         elif len(before) >= r2:
             word = before
 
-    suffix = _longest(word, (*STEP4, "ion"))
+    suffix = _longest(word, STEP4_ENDS)
     if suffix and len(word) - len(suffix) >= r2:
         before = word[: -len(suffix)]
         if suffix != "ion" or before.endswith(("s", "t")):

@@ -10,6 +10,8 @@ Rank is defined here as follows. With w the weight of an occurrence:
 Ranks are kept to six digits, as single-precision ranks would be.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfspark.functions.analysis import WEIGHTS, positioned, to_term
@@ -45,19 +47,18 @@ def tokenize(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col:
 
 
 def build_index(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col: str = "id") -> DataFrame:
-    """Postings: one row (term, id, occurrences) per word of a document.
+    """Postings: one row (term, id, pos, weight, first) per word occurrence.
 
-    Texts are spread by id before they are cut into words, so grouping the words of a document
-    needs no further shuffle and no frequent word is ever gathered in one task.
+    `first` marks the first occurrence of the term in its document. Texts are spread by id before
+    they are cut into words, so marking needs no further shuffle and no frequent word is ever
+    gathered in one task.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(id_col, *dict.fromkeys(c for c, _ in fields)).repartition(tasks, id_col)
     words = tokenize(texts, fields, config, id_col)
-    return (
-        words.withColumn("term", to_term(F.col("surface"), config))
-        .groupBy("id", "term")
-        .agg(F.collect_list(F.struct("pos", "weight")).alias("occurrences"))
-        .select("term", "id", "occurrences")
+    in_doc = Window.partitionBy("id", "term").orderBy("pos")
+    return words.select(to_term(F.col("surface"), config).alias("term"), "id", "pos", "weight").withColumn(
+        "first", F.row_number().over(in_doc) == 1
     )
 
 
@@ -68,7 +69,7 @@ def write_index(postings: DataFrame, path: str) -> None:
 
 def doc_freq(postings: DataFrame) -> DataFrame:
     """Documents per term; map tasks count before the shuffle."""
-    return postings.groupBy("term").agg(F.count("*").alias("doc_freq"))
+    return postings.filter("first").groupBy("term").agg(F.count("*").alias("doc_freq"))
 
 
 def vocabulary(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col: str = "id") -> DataFrame:
@@ -87,11 +88,15 @@ def plain_query(requests: DataFrame, config: str, text: str = "q", key: str = "r
     return terms.withColumn("n_terms", F.count("*").over(Window.partitionBy(key)))
 
 
-def match_terms(postings: DataFrame, terms: DataFrame, key: str = "request_id") -> DataFrame:
-    """Documents holding every term of a request: rows (request_id, id, term, occurrences).
+def match_terms(
+    postings: DataFrame, terms: DataFrame, key: str = "request_id",
+    allowed: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Occurrences (request_id, id, n_terms, term, pos, weight) in documents with every term of a request.
 
     Candidates come from the rarest term of each request only; its other terms are looked up for
     those candidates by (id, term). A frequent word is therefore never joined against all documents.
+    `allowed` may drop candidate pairs (request_id, id) before their occurrences are fetched.
     """
     used = postings.join(terms.select("term").distinct(), "term", "left_semi")  # the only postings shuffled
     counted = terms.join(doc_freq(used), "term")
@@ -103,14 +108,13 @@ def match_terms(postings: DataFrame, terms: DataFrame, key: str = "request_id")
         .filter("_place = 1")
         .select(key, "term", "n_terms")
     )
-    candidates = rarest.join(used.select("term", "id"), "term").select(key, "n_terms", "id")
+    candidates = rarest.join(used.filter("first").select("term", "id"), "term").select(key, "n_terms", "id")
+    if allowed is not None:
+        candidates = allowed(candidates).select(key, "n_terms", "id")
     wanted = candidates.join(terms.select(key, "term"), key)
     hits = wanted.join(used, ["id", "term"])
-    return (
-        hits.withColumn("_hits", F.count("*").over(Window.partitionBy(key, "id")))
-        .filter("_hits = n_terms")
-        .select(key, "id", "n_terms", "term", "occurrences")
-    )
+    found = F.sum(F.col("first").cast("int")).over(Window.partitionBy(key, "id"))
+    return hits.withColumn("_found", found).filter("_found = n_terms").drop("_found", "first")
 
 
 def rank_matches(matches: DataFrame, key: str = "request_id") -> DataFrame:
@@ -119,10 +123,9 @@ def rank_matches(matches: DataFrame, key: str = "request_id") -> DataFrame:
     Occurrences are walked in position order with the at most 100 before them, so work grows with
     the text length and not with its square.
     """
-    occurrences = matches.select(key, "id", "n_terms", "term", F.inline("occurrences"))
     in_doc = Window.partitionBy(key, "id").orderBy("pos")
     near = in_doc.rangeBetween(-MAX_DISTANCE, -1)
-    walked = occurrences.withColumn("j", F.row_number().over(in_doc)).withColumn(
+    walked = matches.withColumn("j", F.row_number().over(in_doc)).withColumn(
         "near", F.when(F.col("n_terms") > 1, F.collect_list(F.struct("pos", "weight", "term")).over(near))
     )
 
@@ -151,10 +154,11 @@ def rank_matches(matches: DataFrame, key: str = "request_id") -> DataFrame:
 
 def search_fts(
     postings: DataFrame, requests: DataFrame, config: str, depth: int | None = None,
-    text: str = "q", key: str = "request_id",
+    text: str = "q", key: str = "request_id", allowed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ranked matches (request_id, id, rank); with `depth` only the best of each request."""
-    ranked = rank_matches(match_terms(postings, plain_query(requests, config, text, key), key), key)
+    terms = plain_query(requests, config, text, key)
+    ranked = rank_matches(match_terms(postings, terms, key, allowed), key)
     if depth is None:
         return ranked
     return top_rows(ranked, [key], [F.desc("rank"), F.col("id")], depth)

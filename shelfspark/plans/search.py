@@ -81,15 +81,23 @@ def _browse(rows: DataFrame, requests: DataFrame, params: dict, sufficient: list
 
 def _candidates(
     rows: DataFrame, postings: DataFrame, requests: DataFrame, params: dict, sufficient: list[str],
-    config: str,
+    config: str, part_of_index: bool = False,
 ) -> DataFrame:
-    """(request_id, id, rank, …row columns) that satisfy each request; rank is NULL without a text."""
+    """(request_id, id, rank, …row columns) that satisfy each request; rank is NULL without a text.
+
+    Filters apply before ranking, and so does the choice of rows where the index covers more than
+    `rows` (`part_of_index`): only documents that can be shown are ranked.
+    """
     given = [p for p in params if p in requests.columns]
     has_q = "q" in requests.columns
     parts = []
     if has_q:
-        ranked = search_fts(postings, requests.filter(present(F.col("q"))), config)
-        parts.append(_filtered(ranked.join(rows, "id"), requests, params, given))
+        def allowed(pairs: DataFrame) -> DataFrame:
+            return _filtered(pairs.join(rows, "id"), requests_q, params, given)
+
+        requests_q = requests.filter(present(F.col("q")))
+        ranked = search_fts(postings, requests_q, config, allowed=allowed if given or part_of_index else None)
+        parts.append(ranked.join(rows, "id"))
         requests = requests.filter(~present(F.col("q")))
     browsed = _browse(rows, requests, params, sufficient)
     if browsed is not None:
@@ -154,7 +162,7 @@ def library_search(
     collected = is_collected(items)
     used = {c for p, (c, _) in ITEM_PARAMS.items() if p in requests.columns}
     narrow = collected.select("id", "downloaded_at", *sorted(used))
-    hits = _candidates(narrow, postings, requests, ITEM_PARAMS, ITEM_SUFFICIENT, config)
+    hits = _candidates(narrow, postings, requests, ITEM_PARAMS, ITEM_SUFFICIENT, config, part_of_index=True)
     latest = F.when(F.col("rank").isNull(), F.col("downloaded_at"))
     order = [F.desc("rank"), F.desc(latest), F.col("id")]
     shown = page(hits, [KEY], order, limit, offset).select(KEY, "id", "rank", "rank_no")

@@ -41,4 +41,4 @@ VECTORS = "id LONG, embedding ARRAY<FLOAT>, model STRING"
 DOC_PAGES = "doc_id STRING, page_number INT, content STRING, embedding ARRAY<FLOAT>, created_at TIMESTAMP"
 OUTLINE = "doc_id STRING, seq INT, depth INT, parent_seq INT, title STRING, page INT"
 RUN_META = "key STRING, value STRING, ts TIMESTAMP"
-POSTINGS = "term STRING, id LONG, occurrences ARRAY<STRUCT<pos: INT, weight: DOUBLE>>"
+POSTINGS = "term STRING, id LONG, pos INT, weight DOUBLE, first BOOLEAN"
