@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.functions.analysis import tokens
 from shelfspark.functions.text import compose_text
+from shelfspark.operators.layout import spread
 from shelfspark.sources.lines import slice_in_order
 
 BATCH_TEXTS = 10
@@ -41,9 +42,10 @@ class HashingEmbedder:
         digest = F.md5(F.col("word").cast("binary"))
         bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(self.dim)).cast("int")
         sign = F.when(F.pmod(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int"), F.lit(2)) == 0, 1).otherwise(-1)
-        each = df.select(id_col, F.explode_outer(tokens(F.col(text_col))).alias("word"))
+        # Texts are spread by id first: all sums of a text are then made where its words are.
+        texts = spread(df.select(id_col, text_col), id_col)
+        each = texts.select(id_col, F.explode_outer(tokens(F.col(text_col))).alias("word"))
         totals = each.select(id_col, bucket.alias("bucket"), F.when(F.col("word").isNotNull(), sign).alias("sign"))
-        # At most `dim` rows per text leave a map task.
         summed = totals.groupBy(id_col, "bucket").agg(F.sum("sign").alias("total"))
         entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "total"))
         whole = summed.groupBy(id_col).agg(
@@ -87,7 +89,7 @@ def embed(df: DataFrame, text_col: str, embedder, id_col: str = "id") -> DataFra
                     "embedding": [np.asarray(v, np.float32) for v in vectors],
                 })
 
-    narrow = df.select(id_col, text_col)
+    narrow = spread(df.select(id_col, text_col), id_col)
     id_type = narrow.schema[id_col].dataType.simpleString()
     return narrow.mapInPandas(run, f"{id_col} {id_type}, embedding array<float>")
 

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfspark.functions.analysis import WEIGHTS, positioned, to_term
+from shelfspark.operators.layout import spread
 from shelfspark.operators.paging import top_rows
 
 RANK_DIGITS = 6
@@ -53,8 +54,7 @@ def build_index(df: DataFrame, fields: list[tuple[str, str]], config: str, id_co
     they are cut into words, so marking needs no further shuffle and no frequent word is ever
     gathered in one task.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = df.select(id_col, *dict.fromkeys(c for c, _ in fields)).repartition(tasks, id_col)
+    texts = spread(df.select(id_col, *dict.fromkeys(c for c, _ in fields)), id_col)
     words = tokenize(texts, fields, config, id_col)
     in_doc = Window.partitionBy("id", "term").orderBy("pos")
     return words.select(to_term(F.col("surface"), config).alias("term"), "id", "pos", "weight").withColumn(
@@ -108,9 +108,12 @@ def match_terms(
         .filter("_place = 1")
         .select(key, "term", "n_terms")
     )
-    candidates = rarest.join(used.filter("first").select("term", "id"), "term").select(key, "n_terms", "id")
+    firsts = used.filter("first").select("term", "id")
+    candidates = spread(rarest, key, "term").join(firsts, "term").select(key, "n_terms", "id")
     if allowed is not None:
         candidates = allowed(candidates).select(key, "n_terms", "id")
+    # By document as well as by request: one request may match a large part of all documents.
+    candidates = spread(candidates, key, "id")
     wanted = candidates.join(terms.select(key, "term"), key)
     hits = wanted.join(used, ["id", "term"])
     found = F.sum(F.col("first").cast("int")).over(Window.partitionBy(key, "id"))

@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from shelfspark.functions.vectors import norm, similarity
+from shelfspark.operators.layout import spread
 from shelfspark.operators.paging import fetch_ranked, top_rows
 
 TILE_ROWS = 32_768
@@ -152,7 +153,7 @@ def topk_grouped(
         F.to_json(F.struct(*key, "_tile", "_block")).alias("cell"),
         "is_vector", "query_id", "id", "embedding",
     )
-    laid_out = cells.repartition("cell").sortWithinPartitions("cell", "is_vector")
+    laid_out = spread(cells, "cell").sortWithinPartitions("cell", "is_vector")
     arrow_type = pa.int64() if query_type.simpleString() == "bigint" else pa.string()
     if query_type.simpleString() not in ("bigint", "string"):
         raise TypeError("query_id must be a bigint or a string")
