@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, table, view
 from checks.views import DOC_PAGES, RATINGS, ctes
-from shelfspark.operators.filters import at_least, id_after, id_in
+from shelfspark.operators.filters import at_least, id_in
 from shelfspark.operators.merge import (
     assign_ids, change_report, dedupe_last, insert_absent, invalidate_vectors, number_new_rows, set_outline,
     split_blank_keys, upsert, upsert_pages,
@@ -13,14 +13,15 @@ from shelfspark.sources.meta import meta_current
 from shelfspark.sources.storage import stage
 
 EVENTS = "SELECT user_id, ts, event_id, event_type, value FROM {events}"
-# The table before the merge: each user's last event that was no error; the feed: each user's last event.
+# Only events of some value enter. The table before the merge holds each user's last one that was no
+# error or signup, the feed each user's last one that was no click.
 OLD = """
-    SELECT user_id, arg AS event_type, val AS value, user_id + 1000 AS id, timestamp '2023-01-01 00:00:00' AS updated_at FROM (
-      SELECT user_id, max_by(event_type, event_id) AS arg, max_by(value, event_id) AS val
-      FROM {events} WHERE event_type <> 'error' AND user_id >= 3 GROUP BY user_id) x"""
+    SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value,
+           user_id + 1000 AS id, timestamp '2023-01-01 00:00:00' AS updated_at
+    FROM {events} WHERE value > 170 AND event_type NOT IN ('error', 'signup') GROUP BY user_id"""
 NEW = """
     SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value
-    FROM {events} WHERE user_id <= 95 GROUP BY user_id"""
+    FROM {events} WHERE value > 170 AND event_type <> 'click' GROUP BY user_id"""
 MERGED = f"""WITH {ctes(o=OLD, n=NEW)}, j AS (
     SELECT coalesce(o.user_id, n.user_id) AS user_id, o.id, o.event_type AS old_type, o.value AS old_value, o.updated_at,
            n.event_type AS new_type, n.value AS new_value,
@@ -140,8 +141,8 @@ def blank_key_rows(spark, sf):
 
 
 @check(f"""WITH {ctes(r=RATINGS)} SELECT id, title, rating FROM r
-    WHERE id > 100 AND rating >= 930 AND ratings_count >= 20 AND id IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)""")
+    WHERE rating >= 930 AND ratings_count >= 20 AND id IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)""")
 def rating_filters(spark, sf):
     busy = table(spark, sf, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("id"))
-    rows = id_in(id_after(view(spark, sf, RATINGS), 100), busy)
+    rows = id_in(view(spark, sf, RATINGS), busy)
     return rows.filter(at_least(F.col("rating"), 930) & at_least(F.col("ratings_count"), 20)).select("id", "title", "rating")

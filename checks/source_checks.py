@@ -29,7 +29,7 @@ def seekable_read(spark, sf):
     """Every document once, whatever frames and tasks its line falls into."""
     folder = new_folder(spark, "feed")
     write_seekable(item_lines(spark, sf).repartition(4), folder)
-    rows = parse_items(window_lines(read_seekable_jsonl(spark, folder, split_bytes=200_000)))
+    rows = parse_items(window_lines(read_seekable_jsonl(spark, folder, split_bytes=500_000)))
     return rows.groupBy("source_id").agg(
         F.max(F.length("description")).cast("long").alias("n"), F.count("*").alias("times"))
 
@@ -53,7 +53,7 @@ def extract_links(spark, sf):
 
 MANIFEST = """
     SELECT concat(event_type, '_records__', lpad(cast(event_id AS string), 8, '0')) AS display_name,
-           value * 1000000000 AS data_size, user_id < 20 AS obsolete, event_type FROM {events}"""
+           value * 1000000000 AS data_size, value < 30 AS obsolete, event_type FROM {events}"""
 
 
 @check(f"""WITH {ctes(m=MANIFEST)}, b AS (SELECT event_type, max(display_name) AS display_name FROM m WHERE NOT obsolete GROUP BY event_type)

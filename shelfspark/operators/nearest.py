@@ -8,6 +8,7 @@ one task, and only k rows per query and tile leave it.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -20,6 +21,8 @@ from shelfspark.operators.paging import fetch_ranked, top_rows
 TILE_ROWS = 32_768
 BLOCK_ROWS = 4_096
 STREAM_ROWS = 1_024
+# Within a cell the queries sort before the vectors.
+QUERY_MARK, VECTOR_MARK = "#", "~"
 # Distances are compared at this many digits, so equal vectors tie whatever the summation order.
 DISTANCE_DIGITS = 9
 
@@ -69,35 +72,35 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _runs(column: pa.StringArray) -> list[tuple[str, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    encoded = pc.run_end_encode(column)
+    ends = encoded.run_ends.to_pylist()
+    return list(zip(encoded.values.to_pylist(), [0, *ends[:-1]], ends))
+
+
 def _stream_tiles(k: int, query_type: pa.DataType):
-    """Task body: rows arrive ordered by cell, the queries of a cell before its vectors."""
+    """Task body: rows arrive ordered by `mark`, the queries of a cell before its vectors."""
     schema = pa.schema([("query_id", query_type), ("id", pa.int64()), ("distance", pa.float64())])
 
     def run(batches):
         cell, best, queries, query_ids = None, None, [], []
         for batch in batches:
-            for start in range(0, batch.num_rows, STREAM_ROWS):
-                part = batch.slice(start, STREAM_ROWS)
-                marks = list(zip(part.column("cell").to_pylist(), part.column("is_vector").to_pylist()))
-                begin = 0
-                while begin < len(marks):
-                    end = begin
-                    while end < len(marks) and marks[end] == marks[begin]:
-                        end += 1
-                    rows = part.slice(begin, end - begin)
-                    if marks[begin][0] != cell:
-                        if best is not None:
-                            yield best.result(schema)
-                        cell, best, queries, query_ids = marks[begin][0], None, [], []
-                    vectors = _matrix(rows.column("embedding"))
-                    if not marks[begin][1]:
-                        queries.append(vectors)
-                        query_ids.extend(rows.column("query_id").to_pylist())
-                    elif queries:
-                        if best is None:
-                            best = _BestK(query_ids, np.concatenate(queries), k)
-                        best.offer(rows.column("id").to_numpy(), vectors)
-                    begin = end
+            for mark, begin, end in _runs(batch.column("mark")):
+                rows = batch.slice(begin, end - begin)
+                if mark[:-1] != cell:
+                    if best is not None:
+                        yield best.result(schema)
+                    cell, best, queries, query_ids = mark[:-1], None, [], []
+                if mark.endswith(QUERY_MARK):
+                    queries.append(_matrix(rows.column("embedding")))
+                    query_ids.extend(rows.column("query_id").to_pylist())
+                elif queries:
+                    if best is None:
+                        best = _BestK(query_ids, np.concatenate(queries), k)
+                    for start in range(0, rows.num_rows, STREAM_ROWS):
+                        part = rows.slice(start, STREAM_ROWS)
+                        best.offer(part.column("id").to_numpy(), _matrix(part.column("embedding")))
         if best is not None:
             yield best.result(schema)
 
@@ -110,12 +113,13 @@ def _parts(rows: int):
 
 def topk_grouped(
     vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None,
-    tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS,
+    tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS, few_groups: bool = False,
 ) -> DataFrame:
     """k nearest vectors of each query, searched within its group (or everywhere).
 
     `vectors` (id, embedding[, group]), `queries` (query_id, embedding[, group]); a query may be
-    listed under several groups. Returns (query_id, id, distance, rank_no).
+    listed under several groups. Returns (query_id, id, distance, rank_no). `few_groups` states that
+    the sizes of all groups fit in memory, so that sizing a group does not shuffle its vectors.
     """
     vectors = vectors.filter(F.col("embedding").isNotNull())
     queries = queries.filter(F.col("embedding").isNotNull())
@@ -130,6 +134,7 @@ def topk_grouped(
         sizes = vectors.groupBy(group).agg(_parts(tile_rows).alias("_tiles")).join(
             queries.groupBy(group).agg(_parts(block_rows).alias("_blocks")), group
         )
+        sizes = F.broadcast(sizes) if few_groups else sizes
         sized_vectors, sized_queries = vectors.join(sizes, group), queries.join(sizes, group)
         key = [group]
 
@@ -142,18 +147,18 @@ def topk_grouped(
     query_type = queries.schema["query_id"].dataType
     tiles = sized_vectors.select(
         *key, one_of("id", "_tiles").alias("_tile"), all_of("_blocks").alias("_block"),
-        F.lit(True).alias("is_vector"), F.lit(None).cast(query_type).alias("query_id"),
+        F.lit(VECTOR_MARK).alias("mark"), F.lit(None).cast(query_type).alias("query_id"),
         F.col("id").cast("long").alias("id"), "embedding",
     )
     blocks = sized_queries.select(
         *key, all_of("_tiles").alias("_tile"), one_of("query_id", "_blocks").alias("_block"),
-        F.lit(False).alias("is_vector"), "query_id", F.lit(None).cast("long").alias("id"), "embedding",
-    )
-    cells = tiles.unionByName(blocks).select(
-        F.to_json(F.struct(*key, "_tile", "_block")).alias("cell"),
-        "is_vector", "query_id", "id", "embedding",
+        F.lit(QUERY_MARK).alias("mark"), "query_id", F.lit(None).cast("long").alias("id"), "embedding",
     )
-    laid_out = spread(cells, "cell").sortWithinPartitions("cell", "is_vector")
+    cell = F.concat_ws("/", *[F.col(c).cast("string") for c in (*key, "_tile", "_block")])
+    cells = tiles.unionByName(blocks).withColumn("cell", cell)
+    laid_out = spread(cells, "cell").select(
+        F.concat("cell", "mark").alias("mark"), "query_id", "id", "embedding"
+    ).sortWithinPartitions("mark")
     arrow_type = pa.int64() if query_type.simpleString() == "bigint" else pa.string()
     if query_type.simpleString() not in ("bigint", "string"):
         raise TypeError("query_id must be a bigint or a string")
@@ -204,7 +209,9 @@ def topk_ivf(vectors: DataFrame, centroids: DataFrame, queries: DataFrame, k: in
     as_vectors = centroids.select(F.col("list_id").cast("long").alias("id"), "embedding")
     visited = topk_exact(as_vectors, queries, probes).select("query_id", F.col("id").cast("int").alias("list_id"))
     routed = queries.select("query_id", "embedding").join(visited, "query_id")
-    return topk_grouped(vectors.select("list_id", "id", "embedding"), routed, k, group="list_id")
+    # There are about as many lists as the square root of the number of vectors.
+    listed = vectors.select("list_id", "id", "embedding")
+    return topk_grouped(listed, routed, k, group="list_id", few_groups=True)
 
 
 def knn_join(
