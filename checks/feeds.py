@@ -8,6 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from shelfspark.sources.seekable import CHECKSUM_FLAG, FOOTER, SEEKABLE_MAGIC
+from shelfspark.sources.storage import as_uri
 
 # Fixed value: magic number of a zstd frame that decoders skip.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -31,7 +32,7 @@ def write_seekable(lines: DataFrame, folder: str) -> int:
 
     Frames are cut by size wherever that falls, so lines straddle them.
     """
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    uri = as_uri(folder)
 
     def write(batches):
         filesystem, root = fs.FileSystem.from_uri(uri)

@@ -22,7 +22,7 @@ EMBEDDER = HashingEmbedder(64)
 
 
 def distance(a: str, b: str) -> str:
-    return f"list_cosine_distance({a}::double[], {b}::double[])"
+    return f"round(list_cosine_distance({a}::double[], {b}::double[]), 9)"
 
 
 V = f"WITH {ctes(v=VECTORS)}"
@@ -41,7 +41,7 @@ def shown(df):
 def cosine_expression(spark, sf):
     vectors = view(spark, sf, VECTORS)
     return vectors.join(label_means(vectors), "label").select(
-        "id", F.round(cosine_distance(F.col("embedding"), F.col("mean")), 4).alias("distance"))
+        "id", F.round(F.round(cosine_distance(F.col("embedding"), F.col("mean")), 9), 4).alias("distance"))
 
 
 def label_means(vectors):
@@ -56,7 +56,7 @@ def label_means(vectors):
       SELECT label, i, avg(x::double)::float AS c FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM v)
       GROUP BY label, i) GROUP BY label),
     d AS (SELECT m.label::bigint AS query_id, v.id, {distance('v.embedding', 'm.embedding')} AS distance FROM v, m),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank_no FROM d)
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank_no FROM d)
     SELECT query_id, id, round(distance, 4) AS distance, rank_no FROM r WHERE rank_no <= 20""")
 def cosine_topk(spark, sf):
     vectors = view(spark, sf, VECTORS)
@@ -64,7 +64,7 @@ def cosine_topk(spark, sf):
     return shown(topk_exact(vectors, queries, 20))
 
 
-@check(f"""{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank_no
+@check(f"""{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank_no
     FROM d WHERE label = other) SELECT query_id, id, round(distance, 4) AS distance, rank_no FROM r WHERE rank_no <= 5""")
 def cosine_topk_in_group(spark, sf):
     vectors = view(spark, sf, VECTORS)
@@ -73,7 +73,7 @@ def cosine_topk_in_group(spark, sf):
     return shown(others)
 
 
-KNN_SQL = f"""{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank_no FROM d)
+KNN_SQL = f"""{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank_no FROM d)
     SELECT query_id, id, round(distance, 4) AS distance, rank_no FROM r WHERE rank_no <= 5"""
 
 
@@ -120,7 +120,7 @@ def ivf_recall(spark, sf):
 
 @check(f"""WITH {ctes(v=VECTORS, ratings=RATINGS, shelf=SHELF)},
     d AS (SELECT a.id AS query_id, b.id, {distance('a.embedding', 'b.embedding')} AS distance FROM v a, v b),
-    fetched AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS place FROM d QUALIFY place <= 30),
+    fetched AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM d QUALIFY place <= 30),
     kept AS (SELECT f.*, r.title, r.rating, r.isbn FROM fetched f JOIN ratings r USING (id)
              WHERE f.id <> f.query_id AND r.rating >= 920 AND r.ratings_count >= 10),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rn FROM kept QUALIFY rn <= 10)
@@ -173,7 +173,7 @@ RATING_TEXT = """SELECT id, concat_ws(' | ', nullif(title, ''), nullif(author, '
 @check(f"""WITH {ctes(ratings=RATINGS, requests=NAME_REQUESTS)}, t AS ({RATING_TEXT}),
     {hashed('t', 'id', 'text', 'e')}, {hashed('requests', 'request_id', 'q', 'q')},
     d AS (SELECT q.request_id, e.id, {distance('q.embedding', 'e.embedding')} AS distance FROM q, e),
-    r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(distance, 9), id) - 5 AS rank_no FROM d)
+    r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, id) - 5 AS rank_no FROM d)
     SELECT request_id, id, rank_no, floor((1 - distance) * 1000 + 0.5) / 1000 AS similarity FROM r WHERE rank_no BETWEEN 1 AND 10""")
 def search_ratings_nearest(spark, sf):
     ratings = view(spark, sf, RATINGS)
@@ -223,7 +223,7 @@ PAGE_REQUESTS = """
     {hashed('p', 'k', 'content', 'e')}, {hashed('requests', 'request_id', 'q', 'h')},
     d AS (SELECT r.request_id, p.doc_id, p.page_number, {distance('h.embedding', 'e.embedding')} AS distance
           FROM requests r JOIN h USING (request_id) JOIN p ON p.doc_id = r.doc_id JOIN e ON e.k = p.k),
-    n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY isnan(distance), round(distance, 9), page_number) AS rank_no FROM d)
+    n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY isnan(distance), distance, page_number) AS rank_no FROM d)
     SELECT request_id, doc_id, page_number::bigint AS page_number, rank_no, round(distance, 4) AS distance FROM n WHERE rank_no <= 3""")
 def search_pages(spark, sf):
     pages = view(spark, sf, DOC_PAGES).withColumn("embedding", F.lit(None).cast("array<float>"))

@@ -1,14 +1,16 @@
 """One ingest run: find the feeds, parse, merge, embed and note the outcome."""
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.operators.embedding import check_model, embed_missing, rating_text
+from shelfspark.operators.embedding import check_model, embed_missing, rating_text, read_exported, restore_vectors
+from shelfspark.operators.filters import has_vector
 from shelfspark.operators.merge import (
     dedupe_last, invalidate_vectors, number_new_rows, split_blank_keys, upsert,
 )
-from shelfspark.operators.parse import parse_items, parse_ratings
+from shelfspark.operators.parse import parse_items, parse_ratings, quarantine
 from shelfspark.schemas import ITEM_VALUES, ITEMS, RATING_VALUES, RATINGS, VECTORS
 from shelfspark.sources.discovery import discover_input, newest_input
 from shelfspark.sources.lines import limit_accepted, window_lines
@@ -24,7 +26,7 @@ MAX_ERROR_CHARS = 500
 ORDER = ["file", "pos"]
 STATUS = """
     started_at STRING, finished_at STRING, error STRING, items_file STRING, items_count LONG,
-    ratings_count LONG, embedded LONG
+    ratings_count LONG, rejected LONG, embedded LONG, restored LONG
 """
 
 
@@ -35,7 +37,10 @@ def _now() -> str:
 def merge_feed(
     target: DataFrame, rows: DataFrame, values: list[str], order: list[str], keep_blank_key: bool = False
 ) -> DataFrame:
-    """Target with the last row per source_id merged in and new rows numbered."""
+    """Target with the last row per source_id merged in and new rows numbered.
+
+    Rows without a source_id are left out (see `rejects`) or, on request, count as one row.
+    """
     if not keep_blank_key:
         rows, _ = split_blank_keys(rows, "source_id")
     latest = dedupe_last(rows, ["source_id"], order).drop(*order)
@@ -43,29 +48,45 @@ def merge_feed(
     return number_new_rows(stage(merged), ["source_id"])
 
 
+def rejects(lines: DataFrame, rows: DataFrame, order: list[str], mode: str, keep_blank_key: bool = False) -> DataFrame:
+    """What a feed holds but the table will not: invalid lines, and rows without a source_id as JSON."""
+    out = []
+    if mode == "quarantine":
+        out.append(quarantine(lines).select(*order, F.lit("invalid JSON").alias("reason"), "value"))
+    if not keep_blank_key:
+        _, blank = split_blank_keys(rows, "source_id")
+        packed = F.to_json(F.struct(*[c for c in rows.columns if c not in order]))
+        out.append(blank.select(*order, F.lit("no source_id").alias("reason"), packed.alias("value")))
+    return reduce(DataFrame.unionByName, out) if out else lines.limit(0).select(*order, F.lit("").alias("reason"), "value")
+
+
 def _import(
-    spark: SparkSession, path: str, table: str, schema: str, parse, values: list[str],
-    skip: int, limit: int | None, mode: str,
-) -> tuple[DataFrame, DataFrame]:
-    """Merge one feed into the newest version of its table: (before, after)."""
-    lines = window_lines(read_seekable_jsonl(spark, path), skip)
+    spark: SparkSession, path: str, root: str, name: str, schema: str, parse, values: list[str],
+    limit: int | None, mode: str, keep_blank_key: bool,
+) -> tuple[DataFrame, DataFrame, int]:
+    """Merge one feed into the newest version of its table: (before, after, rejected rows)."""
+    lines = window_lines(read_seekable_jsonl(spark, path))
     rows = limit_accepted(parse(lines, mode), limit)
+    table, refused = f"{root}/{name}", f"{root}/rejected/{name}"
     before = read_snapshot(spark, table, schema)
-    write_snapshot(merge_feed(before, rows, values, ORDER), table)
-    return before, read_snapshot(spark, table, schema)
+    rejects(lines, rows, ORDER, mode, keep_blank_key).write.mode("overwrite").parquet(refused)
+    write_snapshot(merge_feed(before, rows, values, ORDER, keep_blank_key), table)
+    return before, read_snapshot(spark, table, schema), spark.read.parquet(refused).count()
 
 
 def run_ingest(
     spark: SparkSession, inputs: str, root: str, embedder=None, limit: int | None = None,
-    mode: str = "fail", item_feed: str = ITEM_FEED, rating_feed: str = RATING_FEED,
+    mode: str = "fail", keep_blank_key: bool = False, vector_cache: str | None = None,
+    item_feed: str = ITEM_FEED, rating_feed: str = RATING_FEED,
 ) -> DataFrame:
     """Bring the tables under `root` up to date with the feeds in `inputs`; returns a status row.
 
     Feeds finished by an earlier run are skipped until newer files appear. Every table is replaced
-    as a whole version, so a run that fails half-way leaves the previous version in use.
+    as a whole version, so a run that fails half-way leaves the previous version in use. Lines and
+    rows that cannot be stored are kept under `root`/rejected.
     """
     notes = f"{root}/notes"
-    status = dict.fromkeys(["started_at", "finished_at", "error", "items_file", "items_count", "ratings_count", "embedded"])
+    status = dict.fromkeys(["started_at", "finished_at", "error", "items_file", "items_count", "ratings_count", "rejected", "embedded", "restored"])
     status["started_at"] = _now()
 
     newest = newest_input(spark, inputs)
@@ -81,7 +102,10 @@ def run_ingest(
             highest = read_snapshot(spark, f"{root}/items", ITEMS).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
             remaining = None if limit is None else limit - highest
             if remaining is None or remaining > 0:
-                _, after = _import(spark, path, f"{root}/items", ITEMS, parse_items, ITEM_VALUES, 0, remaining, mode)
+                _, after, refused = _import(
+                    spark, path, root, "items", ITEMS, parse_items, ITEM_VALUES, remaining, mode, keep_blank_key
+                )
+                status["rejected"] = refused
                 status["items_file"] = path.rsplit("/", 1)[-1]
                 status["items_count"] = after.count()
                 meta_put(spark, notes, {"items_count": str(status["items_count"])})
@@ -89,7 +113,10 @@ def run_ingest(
                 meta_put(spark, notes, {"items_done": "true"})
         if newest is not None and meta_get(done, "ratings_done") != "true":
             path = discover_input(spark, inputs, rating_feed)
-            before, after = _import(spark, path, f"{root}/ratings", RATINGS, parse_ratings, RATING_VALUES, 0, limit, mode)
+            before, after, refused = _import(
+                spark, path, root, "ratings", RATINGS, parse_ratings, RATING_VALUES, limit, mode, keep_blank_key
+            )
+            status["rejected"] = (status["rejected"] or 0) + refused
             if snapshot_versions(spark, f"{root}/vectors"):
                 vectors = read_snapshot(spark, f"{root}/vectors", VECTORS)
                 write_snapshot(invalidate_vectors(vectors, before, after), f"{root}/vectors")
@@ -100,7 +127,7 @@ def run_ingest(
         if limit is None and changed:
             meta_put(spark, notes, {"newest_input": newest.isoformat()})
         if embedder is not None:
-            status["embedded"] = embed_table(spark, root, embedder)
+            status["embedded"], status["restored"] = embed_table(spark, root, embedder, vector_cache)
     except Exception as e:
         text = str(e)
         short = text if len(text) <= MAX_ERROR_CHARS else text[:MAX_ERROR_CHARS] + "…"
@@ -111,14 +138,22 @@ def run_ingest(
     return spark.createDataFrame([tuple(status.values())], STATUS)
 
 
-def embed_table(spark: SparkSession, root: str, embedder) -> int:
-    """Embed the rating rows that have no vector and store the new vector table; returns their number."""
+def embed_table(
+    spark: SparkSession, root: str, embedder, cache: str | None = None, limit: int | None = None
+) -> tuple[int, int]:
+    """Embed the rating rows that have no vector, after restoring exported vectors if there are none at all.
+
+    Returns the numbers of embedded and of restored rows.
+    """
     ratings = read_snapshot(spark, f"{root}/ratings", RATINGS)
     vectors = read_snapshot(spark, f"{root}/vectors", VECTORS)
     check_model(vectors, embedder.name)
-    made = stage(embed_missing(rating_text(ratings), vectors, embedder))
-    count = made.count()
-    if count:
-        kept = vectors.filter("embedding IS NOT NULL")
-        write_snapshot(kept.unionByName(made), f"{root}/vectors")
-    return count
+    restored = 0
+    if cache is not None and has_vector(vectors).isEmpty():
+        vectors = stage(restore_vectors(ratings, vectors, read_exported(spark, cache), embedder.name))
+        restored = vectors.count()
+    made = stage(embed_missing(rating_text(ratings), vectors, embedder, limit))
+    embedded = made.count()
+    if embedded or restored:
+        write_snapshot(has_vector(vectors).unionByName(made), f"{root}/vectors")
+    return embedded, restored

@@ -8,6 +8,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from shelfspark.sources.storage import as_uri
+
 # Fixed values of the seekable format.
 SEEKABLE_MAGIC = 0x8F92EAB1
 FOOTER = struct.Struct("<IBI")
@@ -158,6 +160,4 @@ def read_seekable_jsonl(spark: SparkSession, path: str, split_bytes: int = SPLIT
     `pos` is the offset of the line in its file's text.
     """
     spark.dataSource.register(SeekableLines)
-    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and "://" not in uri else uri
-    return spark.read.format("seekable_lines").option("split_bytes", str(split_bytes)).load(uri)
+    return spark.read.format("seekable_lines").option("split_bytes", str(split_bytes)).load(as_uri(path))

@@ -18,6 +18,15 @@ def work_dir(spark: SparkSession) -> str:
     return local
 
 
+def as_uri(path: str) -> str:
+    """Path as a URI for readers outside the JVM."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path.removeprefix("file:")
+    if path.startswith("s3a://"):
+        return "s3://" + path.removeprefix("s3a://")
+    return path if "://" in path else f"file://{path}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage is cut, sizes are known."""
     spark = df.sparkSession

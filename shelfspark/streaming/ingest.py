@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfspark.plans.ingest import merge_feed
+from shelfspark.plans.ingest import merge_feed, rejects
 from shelfspark.sources.storage import read_snapshot, write_snapshot
 
 ORDER = ["modified", "file", "block", "row"]
@@ -27,18 +27,22 @@ def read_line_stream(spark: SparkSession, folder: str, max_files: int | None = N
 def stream_ingest(
     spark: SparkSession, folder: str, table: str, schema: str, checkpoint: str,
     parse: Callable[..., DataFrame], values: list[str], mode: str = "quarantine",
-    max_files: int | None = None, first_version: int = 0,
+    max_files: int | None = None, first_version: int = 0, rejected: str | None = None,
 ) -> StreamingQuery:
     """Merge every new file of `folder` into the table and stop when all are in.
 
     The checkpoint remembers finished files. Batch n writes version first_version + n from the version
-    before it, so a batch repeated after a crash replaces its own output and counts once.
+    before it, so a batch repeated after a crash replaces its own output and counts once. Refused lines
+    and rows of batch n are kept in `rejected`/batch=n. The query's progress reports rows per batch.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         version = first_version + batch_id
         # Rows of one file block are read by one task in file order.
         lines = batch.withColumn("row", F.monotonically_increasing_id()).filter(F.trim("value") != "")
         rows = parse(lines, mode)
+        if rejected is not None:
+            refused = rejects(lines, rows, ORDER, mode)
+            refused.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
         target = read_snapshot(spark, table, schema, before=version)
         write_snapshot(merge_feed(target, rows, values, ORDER), table, version)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators.embedding import HashingEmbedder
 from shelfspark.operators.parse import parse_items
 from shelfspark.plans.ingest import run_ingest
-from shelfspark.schemas import ITEM_VALUES, ITEMS, RATINGS, VECTORS
+from shelfspark.schemas import ITEM_VALUES, ITEMS, VECTORS
 from shelfspark.sources.meta import meta_current, meta_read
 from checks.feeds import pack_seekable
 from shelfspark.sources.storage import read_snapshot
@@ -39,6 +39,9 @@ def test_run_ingest(spark, tmp_path):
     embedder = HashingEmbedder(8)
     status = run_ingest(spark, str(inputs), root, embedder).first()
     assert (status.items_count, status.ratings_count, status.embedded, status.error) == (40, 10, 10, None)
+    assert (status.rejected, status.restored) == (1, 0)
+    refused = spark.read.parquet(f"{root}/rejected/items").collect()
+    assert [r.reason for r in refused] == ["no source_id"]
     items = read_snapshot(spark, f"{root}/items", ITEMS)
     assert sorted(r.id for r in items.collect()) == list(range(1, 41))
     assert items.filter("source_id = '3'").first().title == "Newer 3"
@@ -70,7 +73,24 @@ def test_failed_run_leaves_the_tables_and_a_note(spark, tmp_path):
     assert 0 < len(notes["run_error"]) <= 501 and notes.get("items_done") is None
     assert read_snapshot(spark, f"{root}/items", ITEMS).count() == 0
     status = run_ingest(spark, str(inputs), root, mode="quarantine", limit=5).first()
-    assert (status.items_count, status.ratings_count) == (1, 1)
+    assert (status.items_count, status.ratings_count, status.rejected) == (1, 1, 1)
+    assert spark.read.parquet(f"{root}/rejected/items").first().value == "x" * 2000
+
+
+def test_vectors_are_restored_once(spark, tmp_path):
+    from shelfspark.operators.embedding import export_vectors
+    from shelfspark.plans.ingest import embed_table
+    from shelfspark.sources.storage import write_snapshot
+
+    root, cache, embedder = f"{tmp_path}/out", f"{tmp_path}/cache", HashingEmbedder(4)
+    rows = spark.range(1, 5).selectExpr("id", "concat('Work ', id) AS title")
+    for c in ["source_id", "author", "description", "genres", "isbn", "pages", "year"]:
+        rows = rows.withColumn(c, F.lit(""))
+    write_snapshot(rows, f"{root}/ratings")
+    export_vectors(spark.createDataFrame([(1, [1.0] * 4), (2, [2.0] * 4), (9, [3.0] * 4)], "id LONG, embedding ARRAY<FLOAT>"), cache)
+    assert embed_table(spark, root, embedder, cache, limit=1) == (1, 2)
+    assert embed_table(spark, root, embedder, cache) == (1, 0)
+    assert read_snapshot(spark, f"{root}/vectors", VECTORS).filter("id = 1").first().embedding == [1.0] * 4
 
 
 def test_stream_ingest(spark, tmp_path):
@@ -82,7 +102,7 @@ def test_stream_ingest(spark, tmp_path):
         os.utime(folder / name, (at, at))
 
     def run():
-        query = stream_ingest(spark, str(folder), table, ITEMS, check, parse_items, ITEM_VALUES, max_files=1)
+        query = stream_ingest(spark, str(folder), table, ITEMS, check, parse_items, ITEM_VALUES, max_files=1, rejected=f"{tmp_path}/no")
         query.awaitTermination()
         return {r.source_id: (r.id, r.title) for r in read_snapshot(spark, table, ITEMS).collect()}
 
@@ -92,5 +112,6 @@ def test_stream_ingest(spark, tmp_path):
     assert {k: t for k, (_, t) in got.items()} == {"1": "second", "2": "later", "3": "Title 3"}
     assert sorted(i for i, _ in got.values()) == [1, 2, 3]
     assert run() == got
+    assert [r.value for r in spark.read.parquet(f"{tmp_path}/no").collect()] == ["broken"]
     add("c.jsonl", [item_line(4)], 3000)
     assert run()["4"] == (4, "Title 4")
