@@ -19,6 +19,8 @@ from shelfspark.operators.layout import spread
 from shelfspark.operators.paging import top_rows
 
 RANK_DIGITS = 6
+# Distinct request words sent to every task; a few megabytes.
+BROADCAST_TERMS = 200_000
 # Fixed values of the rank formula.
 MAX_DISTANCE = 100
 SINGLE_TERM_SCALE = 1.64493406685
@@ -98,8 +100,16 @@ def match_terms(
     those candidates by (id, term). A frequent word is therefore never joined against all documents.
     `allowed` may drop candidate pairs (request_id, id) before their occurrences are fetched.
     """
-    used = postings.join(terms.select("term").distinct(), "term", "left_semi")  # the only postings shuffled
-    counted = terms.join(doc_freq(used), "term")
+    vocabulary = terms.select("term").distinct()
+    if vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # Counted small enough: every map task keeps only the postings the requests ask for.
+        used = postings.join(F.broadcast(vocabulary), "term", "left_semi")
+        freq = doc_freq(used)
+    else:
+        # Counted before meeting the requests, so a frequent term leaves each map task as one row.
+        used = postings.join(vocabulary, "term", "left_semi")
+        freq = doc_freq(postings)
+    counted = terms.join(freq, "term")
     whole = Window.partitionBy(key)
     rarest = (
         counted.withColumn("_found", F.count("*").over(whole))

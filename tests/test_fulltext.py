@@ -6,6 +6,7 @@ import pytest
 
 from shelfspark.functions.analysis import STOP_WORDS, WEIGHTS
 from shelfspark.functions.stemmer import stem
+from shelfspark.operators import fulltext
 from shelfspark.operators.fulltext import build_index, doc_freq, plain_query, search_fts, tokenize, vocabulary, write_index
 
 FIELDS = [("title", "A"), ("body", "D")]
@@ -45,8 +46,9 @@ def brute_rank(found, terms):
     return 1 - miss
 
 
-@pytest.mark.parametrize("config", ["simple", "english"])
-def test_rank_equals_brute_force(spark, config):
+@pytest.mark.parametrize("config,broadcast", [("simple", 200_000), ("simple", 2), ("english", 200_000)])
+def test_rank_equals_brute_force(spark, monkeypatch, config, broadcast):
+    monkeypatch.setattr(fulltext, "BROADCAST_TERMS", broadcast)
     rng = random.Random(3)
     pool = ["whale", "whales", "sea", "the", "of", "ship", "ships", "captain", "running", "ran"]
     docs = [
