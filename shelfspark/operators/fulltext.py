@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfspark.functions.analysis import WEIGHTS, positioned, to_term
 from shelfspark.operators.layout import spread
 from shelfspark.operators.paging import top_rows
+from shelfspark.sources.storage import stage
 
 RANK_DIGITS = 6
 # Distinct request words sent to every task; a few megabytes.
@@ -170,7 +171,8 @@ def search_fts(
     text: str = "q", key: str = "request_id", allowed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ranked matches (request_id, id, rank); with `depth` only the best of each request."""
-    terms = plain_query(requests, config, text, key)
+    # The words of the requests are read by every step of the match: written once, of known size.
+    terms = stage(plain_query(requests, config, text, key))
     ranked = rank_matches(match_terms(postings, terms, key, allowed), key)
     if depth is None:
         return ranked
