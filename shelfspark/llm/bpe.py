@@ -289,7 +289,7 @@ def decode_ids(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Da
 
     from pyspark.sql.types import BinaryType, StructType
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields).add("decoded", BinaryType()))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("decoded", BinaryType()))
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], identity: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,8 +3,8 @@
 Words are lower-cased and freed of punctuation at their ends; numbers, units behind numbers and names (capitalised
 words that do not begin a sentence) become typed placeholders. Windows of WINDOW canonical words of the documents are
 hash-joined to those of the benchmark, so a question with other numbers or names still meets its template. The values
-behind the placeholders then have to agree: over all matched windows of an item, equal values must have been replaced
-by equal values; where they are not, only windows without placeholders count.
+behind the placeholders then have to agree: over the matched windows of an item that lie on one diagonal, equal values
+must have been replaced by equal values; where they are not, only windows with the item's own values count.
 
 A window with more placeholders than half its words says too little and is left out. An item shorter than WINDOW is
 one window; one of less than LEAST words only matches a document with no other words.
@@ -146,17 +146,23 @@ def find_leaks(
     hits = (
         _hits(rows, sizes).join(own, "code").filter(F.col("size") == F.col("item_size"))
         .withColumn("values", _values())
-        .select("id", "digest", "item", "item_digest", "item_place",
+        .select("id", "digest", "item", "item_digest", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"),
                 F.arrays_zip(F.col("item_values").alias("was"), F.col("values").alias("now")).alias("pairs"))
     )
-    pair = F.array_distinct(F.flatten(F.collect_list("pairs")))
-    held = (
-        hits.groupBy("id", "digest", "item", "item_digest")
-        .agg(pair.alias("pairs"), F.count_distinct("item_place").alias("n_all"),
-             F.count_distinct(F.when(F.size("pairs") == 0, F.col("item_place"))).alias("n_free"))
+    other = F.exists("pairs", lambda p: ~p["was"].eqNullSafe(p["now"]))
+    document = ["id", "digest", "item", "item_digest"]
+    aligned = (
+        hits.groupBy(*document, "diagonal")
+        .agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+             F.collect_set("item_place").alias("all"),
+             F.collect_set(F.when(~other, F.col("item_place"))).alias("same"))
         .withColumn("steady", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["was"]))))
-        .withColumn("n_windows", F.when(F.col("steady"), F.col("n_all")).otherwise(F.col("n_free")))
-        .withColumn("kind", F.when(F.exists("pairs", lambda p: ~p["was"].eqNullSafe(p["now"])), "reparameterised").otherwise("exact"))
+        .select(*document, F.when(F.col("steady"), F.col("all")).otherwise(F.col("same")).alias("places"), F.col("same"))
+    )
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    held = (
+        aligned.groupBy(*document).agg(union("places").alias("n_windows"), union("same").alias("n_same"))
+        .withColumn("kind", F.when(F.col("n_same") < F.col("n_windows"), "reparameterised").otherwise("exact"))
         .join(totals.withColumnsRenamed({"item": "own_item", "item_digest": "own_digest"}),
               F.col("item").eqNullSafe(F.col("own_item")) & (F.col("item_digest") == F.col("own_digest")))
         .withColumn("coverage", F.col("n_windows") / F.col("n_item"))

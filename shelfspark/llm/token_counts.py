@@ -81,8 +81,12 @@ def count_tokens(
         rows.groupBy("digest").agg(F.min("id").alias("first"))
         .join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti")
     )
-    texts = rows.select("id", F.col("digest").alias("own"), "content").join(
-        missing, (F.col("own") == F.col("digest")) & F.col("id").eqNullSafe(F.col("first"))
+    # Ids meet as text with a mark for null, so that repeated rows of an id are in one place and encoded once.
+    spot = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    texts = (
+        rows.select("digest", spot("id").alias("spot"), "content")
+        .join(missing.select("digest", spot("first").alias("spot")), ["digest", "spot"])
+        .dropDuplicates(["digest", "spot"])
     )
     (
         encoded_counts(texts.select("digest", "content"), "content", data)
