@@ -1,5 +1,7 @@
 """Full-text, filter, library, lookup and title queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import check, view
@@ -8,7 +10,7 @@ from checks.views import (
     PRODUCTS, RATING_WEIGHTS, RATINGS, SHELF, SOURCE_REQUESTS, TOKEN, ctes, occurrences, ranked,
 )
 from shelfspark.operators.fulltext import (
-    build_index, doc_freq, match_terms, plain_query, search_fts, tokenize, vocabulary,
+    build_index, doc_freq, match_terms, plain_query, search_fts, search_index, tokenize, update_index, vocabulary, write_index,
 )
 from shelfspark.operators.lookups import with_availability
 from shelfspark.operators.merge import mark_collected, unmark_collected
@@ -18,7 +20,7 @@ from shelfspark.plans.search import (
 )
 from shelfspark.plans.similar import resolve_source
 from shelfspark.schemas import ITEM_FIELDS, RATING_FIELDS
-from shelfspark.sources.storage import stage
+from shelfspark.sources.storage import stage, work_dir
 
 DOC_OCC = f"{ctes(items=DOC_ITEMS)}, {occurrences('items', DOC_WEIGHTS)}"
 PRODUCT_OCC = f"{ctes(items=PRODUCTS)}, {occurrences('items', DOC_WEIGHTS)}"
@@ -87,6 +89,18 @@ def fts_top_k(spark, sf):
     return search_fts(doc_index(spark, sf), view(spark, sf, SOURCE_REQUESTS), "simple", 10)
 
 
+@check(f"""WITH {DOC_OCC}, {ctes(requests=BENCHMARK_REQUESTS)}, {ranked('requests')},
+    placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank DESC, id) AS rank_no FROM ranked)
+    SELECT request_id, id, rank, rank_no FROM placed WHERE rank_no <= 10""")
+def fts_stored_and_updated(spark, sf):
+    """Search over a stored index whose odd documents were first stored with another text and then updated."""
+    items, path = view(spark, sf, DOC_ITEMS), f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    first = items.withColumn("description", F.when(F.col("id") % 2 == 1, F.reverse("description")).otherwise(F.col("description")))
+    write_index(build_index(first, DOC_FIELDS, "simple"), path)
+    update_index(path, items.filter("id % 2 = 1"), DOC_FIELDS, "simple")
+    return search_index(path, view(spark, sf, BENCHMARK_REQUESTS), "simple", 10)
+
+
 @check()
 def fts_rank_english(spark, sf):
     return search_fts(doc_index(spark, sf, "english"), view(spark, sf, BENCHMARK_REQUESTS), "english")
@@ -123,6 +137,26 @@ def search_items_all(spark, sf):
     ).select(*SHOWN.split(", "))
 
 
+# Each request has its own page, and two of three want one row per title and author.
+PAGED_REQUESTS = """
+    SELECT DISTINCT p_name AS request_id, p_name AS q, CASE WHEN length(p_name) % 2 = 0 THEN 3 END AS "limit",
+           length(p_name) % 4 AS "offset", length(p_name) % 3 > 0 AS dedupe FROM {part}"""
+
+
+@check(f"""WITH {PRODUCT_OCC}, {ctes(requests=PAGED_REQUESTS)}, {ranked('requests')},
+    hits AS (SELECT r.*, i.title, i.author, i.extension, q."limit" AS lim, q."offset" AS off, q.dedupe
+             FROM ranked r JOIN items i USING (id) JOIN requests q USING (request_id)),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY request_id, lower(title), lower(author)
+             ORDER BY rank DESC, {FORMAT}, id) AS first FROM hits),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank DESC, {FORMAT}, id) - off AS rank_no
+               FROM kept WHERE first = 1 OR NOT dedupe)
+    SELECT {SHOWN} FROM placed WHERE rank_no BETWEEN 1 AND coalesce(lim, 20)""")
+def search_items_paged(spark, sf):
+    items, index = products_and_index(spark, sf)
+    requests = view(spark, sf, PAGED_REQUESTS.replace('"', "`"))
+    return search_items(items, index, requests, "simple").select(*SHOWN.split(", "))
+
+
 @check(f"""WITH {PRODUCT_OCC}, {ctes(requests=NAME_BRAND_REQUESTS)}, {ranked('requests')},
     hits AS (SELECT r.*, i.title, i.author, i.extension FROM ranked r JOIN items i USING (id) JOIN requests q USING (request_id)
              WHERE i.author ILIKE '%' || q.author || '%'),
@@ -174,7 +208,7 @@ def rejected_requests(spark, sf):
 
 
 @check(f"""WITH {ctes(items=PRODUCTS)} SELECT id, title, author, extension, downloaded_at FROM items
-    WHERE downloaded_at IS NOT NULL ORDER BY downloaded_at DESC, id LIMIT 100 OFFSET 20""")
+    WHERE downloaded_at IS NOT NULL ORDER BY downloaded_at DESC, id LIMIT 500 OFFSET 20""")
 def library_listing(spark, sf):
     return library_list(view(spark, sf, PRODUCTS), 500, 20).select("id", "title", "author", "extension", "downloaded_at")
 
@@ -254,14 +288,18 @@ def suggested_names(spark, sf):
 ISBN_KEYS = """
     SELECT concat('978', lpad(cast(p_partkey AS string), 10, '0')) AS isbn FROM {part}
     UNION SELECT concat('979', lpad(cast(s_suppkey AS string), 10, '0')) FROM {supplier}"""
+# Every product comes in two formats under one isbn, and so do its ratings.
+EDITIONS = " UNION ALL ".join(PRODUCTS.replace("p.p_partkey AS id", f"p.p_partkey * 2 + {f} AS id") for f in (0, 1))
+EDITION_RATINGS = " UNION ALL ".join(RATINGS.replace("p_partkey AS id", f"p_partkey * 2 + {f} AS id") for f in (0, 1))
 
 
-@check(f"""WITH {ctes(items=PRODUCTS, ratings=RATINGS, keys=ISBN_KEYS)}
+@check(f"""WITH {ctes(items=EDITIONS, ratings=EDITION_RATINGS, keys=ISBN_KEYS)},
+    first_item AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY isbn ORDER BY id) = 1),
+    first_rating AS (SELECT * FROM ratings QUALIFY row_number() OVER (PARTITION BY isbn ORDER BY id) = 1)
     SELECT k.isbn, i.id AS item_id, i.title AS item_title, r.id AS rating_id, r.rating FROM keys k
-    LEFT JOIN (SELECT * FROM items WHERE downloaded_at IS NOT NULL) i USING (isbn) LEFT JOIN ratings r USING (isbn)""")
+    LEFT JOIN first_item i USING (isbn) LEFT JOIN first_rating r USING (isbn)""")
 def lookup_both(spark, sf):
-    items = view(spark, sf, PRODUCTS).filter("downloaded_at IS NOT NULL")
-    rows = lookup_isbn(view(spark, sf, ISBN_KEYS), items, view(spark, sf, RATINGS))
+    rows = lookup_isbn(view(spark, sf, ISBN_KEYS), view(spark, sf, EDITIONS), view(spark, sf, EDITION_RATINGS))
     return rows.select(
         "isbn", F.col("item.id").alias("item_id"), F.col("item.title").alias("item_title"),
         F.col("rating.id").alias("rating_id"), F.col("rating.rating").alias("rating"))
@@ -273,19 +311,20 @@ def availability_flag(spark, sf):
     return with_availability(view(spark, sf, RATINGS).select("id", "isbn"), view(spark, sf, SHELF))
 
 
+# A returned product's line marks it; most products are listed many times, some without a date.
 RETURNS = """
-    SELECT md5(cast(l_partkey AS string)) AS md5, max(l_shipdate) AS at FROM {lineitem}
-    WHERE l_returnflag = 'A' AND l_quantity >= 48 GROUP BY l_partkey"""
+    SELECT CASE WHEN l_returnflag = 'A' THEN md5(cast(l_partkey AS string)) ELSE 'none' END AS md5,
+           CASE WHEN l_quantity >= 48 THEN l_shipdate END AS marked_at FROM {lineitem}"""
 
 
-@check(f"""WITH {ctes(items=PRODUCTS, marks=RETURNS)} SELECT i.id, coalesce(m.at, i.downloaded_at) AS downloaded_at
-    FROM items i LEFT JOIN marks m USING (md5)""")
+@check(f"""WITH {ctes(items=PRODUCTS, marks=RETURNS)} SELECT i.id, coalesce(m.marked_at, i.downloaded_at) AS downloaded_at
+    FROM items i LEFT JOIN (SELECT md5, max(marked_at) AS marked_at FROM marks GROUP BY md5) m USING (md5)""")
 def collected_marks(spark, sf):
-    return mark_collected(view(spark, sf, PRODUCTS), view(spark, sf, RETURNS), F.col("at")).select("id", "downloaded_at")
+    return mark_collected(view(spark, sf, PRODUCTS), view(spark, sf, RETURNS), F.col("marked_at")).select("id", "downloaded_at")
 
 
 @check(f"""WITH {ctes(items=PRODUCTS, marks=RETURNS)} SELECT i.id, CASE WHEN m.md5 IS NULL THEN i.downloaded_at END AS downloaded_at
-    FROM items i LEFT JOIN marks m USING (md5)""")
+    FROM items i LEFT JOIN (SELECT DISTINCT md5 FROM marks) m USING (md5)""")
 def collected_unmarks(spark, sf):
     return unmark_collected(view(spark, sf, PRODUCTS), view(spark, sf, RETURNS)).select("id", "downloaded_at")
 
@@ -304,8 +343,8 @@ TITLE_REQUESTS = """
     by_isbn AS (SELECT n.request_id, min(i.id) AS id FROM numbered n JOIN items i USING (isbn) GROUP BY n.request_id),
     texts AS (SELECT * FROM requests WHERE request_id NOT IN (SELECT request_id FROM by_isbn)),
     {ranked('texts')},
-    best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank DESC, id) AS rn FROM ranked QUALIFY rn <= 10),
-    named AS (SELECT b.request_id, b.id, b.rn FROM best b JOIN items i USING (id) JOIN texts t USING (request_id)
+    named AS (SELECT b.request_id, b.id, row_number() OVER (PARTITION BY b.request_id ORDER BY b.rank DESC, b.id) AS rn
+              FROM ranked b JOIN items i USING (id) JOIN texts t USING (request_id)
               WHERE list_has_all(string_split(lower(i.title), ' '), string_split(lower(t.q), ' '))
                 AND len(string_split(t.q, ' ')) / len(string_split(i.title, ' ')) >= 0.6)
     SELECT request_id, id FROM by_isbn UNION ALL SELECT request_id, arg_min(id, rn) FROM named GROUP BY request_id""")

@@ -26,7 +26,7 @@ def clean_lenient(spark, sf):
     return view(spark, sf, DIRTY).select("doc_id", X.clean_lenient(F.col("t")).alias("t"))
 
 
-@check(f"""WITH {ctes(d=DOC_ITEMS)} SELECT id, substr(concat_ws(' | ', title, nullif(author, ''), description), 1, 8000) AS t FROM d""")
+@check(f"""WITH {ctes(d=DOC_ITEMS)} SELECT id, concat_ws(' | ', title, nullif(author, ''), description) AS t FROM d""")
 def compose_text(spark, sf):
     items = view(spark, sf, DOC_ITEMS)
     text = X.compose_text(F.col("title"), F.col("author"), F.col("description"), F.col("isbn"))
@@ -195,11 +195,11 @@ def page_texts(spark, sf):
 DOC_KEYS = """
     SELECT DISTINCT cast(conv_id AS string) AS doc_id FROM {conversations}
     UNION SELECT concat('s', cast(s_suppkey AS string)) FROM {supplier}"""
-# Pages of documents with at least four; what the user said is embedded, short documents entirely.
+# What the user said is embedded, and short documents entirely.
 READ_PAGES = """
     SELECT doc_id, page_number, content, CASE WHEN role = 'user' OR n < 6 THEN 1 END AS embedded FROM (
       SELECT cast(conv_id AS string) AS doc_id, cast(turn + 1 AS int) AS page_number, text AS content, role,
-             count(*) OVER (PARTITION BY conv_id) AS n FROM {conversations}) x WHERE n >= 4"""
+             count(*) OVER (PARTITION BY conv_id) AS n FROM {conversations}) x"""
 READ = f"""WITH {ctes(k=DOC_KEYS, i=CONV_ITEMS, p=READ_PAGES)},
     c AS (SELECT doc_id, count(*) AS total, count(embedded) AS embedded FROM p GROUP BY doc_id),
     d AS (SELECT k.doc_id, i.id, i.title, i.author, i.extension, i.downloaded_at, coalesce(c.total, 0) AS total,
@@ -211,12 +211,12 @@ def read_pages(spark, sf):
         "embedding", F.when(F.col("embedded") == 1, F.array(F.lit(1.0).cast("float"))))
 
 
-@check(f"""{READ}, o AS (SELECT conv_id::varchar AS doc_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id)
+@check(f"""{READ}, o AS (SELECT conv_id::varchar AS doc_id, count(*) AS n FROM conversations GROUP BY conv_id)
     SELECT d.doc_id, title, author, extension, downloaded_at IS NOT NULL AS downloaded, total > 0 AS indexed,
            total AS pages_extracted, embedded AS pages_embedded, embedded > 0 AND embedded = total AS ready_for_search,
            coalesce(o.n, 0) AS outline_entries FROM d LEFT JOIN o USING (doc_id) WHERE id IS NOT NULL""")
 def reader_states(spark, sf):
-    outline = table(spark, sf, "conversations").filter("role = 'user'").selectExpr(
+    outline = table(spark, sf, "conversations").selectExpr(
         "cast(conv_id AS string) AS doc_id", "turn + 1 AS seq", "1 AS depth", "cast(NULL AS int) AS parent_seq",
         "role AS title", "turn + 1 AS page")
     state = reader_status(view(spark, sf, DOC_KEYS), view(spark, sf, CONV_ITEMS), read_pages(spark, sf), outline)

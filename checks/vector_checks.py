@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, table, view
 from checks.views import (
-    DOC_PAGES, NAME_REQUESTS, PRODUCTS, RATINGS, SHELF, TOKEN, VECTORS, ctes, hashed,
+    DOC_PAGES, NAME_REQUESTS, PRODUCTS, RATING_WEIGHTS, RATINGS, SHELF, VECTORS, ctes, hashed, occurrences, ranked,
 )
-from shelfspark.functions.vectors import cosine_distance
+from shelfspark.functions.vectors import cosine_distance, format_vector, parse_vector
 from shelfspark.operators.embedding import (
     HashingEmbedder, embed, embed_missing, export_vectors, rating_text, read_exported, restore_vectors,
 )
@@ -26,6 +26,7 @@ def distance(a: str, b: str) -> str:
 
 
 V = f"WITH {ctes(v=VECTORS)}"
+RATING_OCC = f"{ctes(items=RATINGS)}, {occurrences('items', RATING_WEIGHTS)}"
 PAIRS = f"""{V}, d AS (SELECT a.id AS query_id, b.id, a.label AS label, b.label AS other, {distance('a.embedding', 'b.embedding')} AS distance
     FROM v a, v b WHERE a.id <> b.id)"""
 
@@ -96,11 +97,27 @@ def knn_join_all_lists(spark, sf):
     return shown(knn_join(vectors, listed, 5, centroids, probes=16))
 
 
-@check(f"{V} SELECT count(*) AS n, count(DISTINCT id) AS n_ids FROM v")
+@check(f"""{V} SELECT id, 1::bigint AS n_lists, true AS nearest FROM v""")
 def ivf_lists(spark, sf):
-    """Every vector is in exactly one list."""
-    listed, _ = build_ivf(view(spark, sf, VECTORS), 16, iterations=5)
-    return listed.filter("list_id >= 0").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+    """Every vector is in exactly one list, and no other list's centre is nearer than that of its own."""
+    listed, centroids = ivf(spark, sf, 16)
+    vectors = listed.select("id", "list_id", "embedding")
+    centres = centroids.select(F.col("list_id").cast("long").alias("id"), "embedding")
+    nearest = topk_exact(centres, vectors.select(F.col("id").alias("query_id"), "embedding"), 1)
+    own = vectors.join(centroids.select("list_id", F.col("embedding").alias("centre")), "list_id").select(
+        "id", F.round(cosine_distance(F.col("embedding"), F.col("centre")), 4).alias("own"))
+    both = own.join(nearest.select(F.col("query_id").alias("id"), F.round("distance", 4).alias("best")), "id", "left")
+    return both.groupBy("id").agg(
+        F.count("*").alias("n_lists"), F.bool_and(F.col("own") - F.col("best") <= 0.05).alias("nearest"))
+
+
+@check(f"""{V} SELECT id, round(list_sum(embedding::double[]), 4) AS total, len(embedding)::bigint AS n FROM v""")
+def vector_text(spark, sf):
+    """Vectors written as text and read back."""
+    text = view(spark, sf, VECTORS).select("id", format_vector(F.col("embedding")).alias("text"))
+    back = text.select("id", parse_vector(F.col("text")).alias("embedding"))
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return back.select("id", F.round(total, 4).alias("total"), F.size("embedding").cast("long").alias("n"))
 
 
 @check()
@@ -120,17 +137,16 @@ def ivf_recall(spark, sf):
 
 @check(f"""WITH {ctes(v=VECTORS, ratings=RATINGS, shelf=SHELF)},
     d AS (SELECT a.id AS query_id, b.id, {distance('a.embedding', 'b.embedding')} AS distance FROM v a, v b),
-    fetched AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM d QUALIFY place <= 30),
-    kept AS (SELECT f.*, r.title, r.rating, r.isbn FROM fetched f JOIN ratings r USING (id)
-             WHERE f.id <> f.query_id AND r.rating >= 920 AND r.ratings_count >= 10),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rn FROM kept QUALIFY rn <= 10)
+    kept AS (SELECT d.*, r.title, r.rating, r.isbn FROM d JOIN ratings r USING (id)
+             WHERE d.id <> d.query_id AND r.rating >= 905 AND r.ratings_count >= 10),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn FROM kept QUALIFY rn <= 10)
     SELECT query_id, id, title, rating, floor((1 - distance) * 1000 + 0.5) / 1000 AS similarity,
            isbn <> '' AND isbn IN (SELECT isbn FROM shelf) AS available FROM r""")
 def similar_filtered(spark, sf):
     vectors = view(spark, sf, VECTORS)
     queries = vectors.selectExpr("id AS query_id", "id AS source_id", "embedding")
     found = neighbours(
-        queries, vectors, view(spark, sf, RATINGS), view(spark, sf, SHELF), 10, min_rating=920, min_reviews=10)
+        queries, vectors, view(spark, sf, RATINGS), view(spark, sf, SHELF), 10, min_rating=905, min_reviews=10)
     return found.select("query_id", "id", "title", "rating", "similarity", "available")
 
 
@@ -186,24 +202,46 @@ ROUTED_REQUESTS = """
     SELECT DISTINCT p_name AS request_id, p_name AS q, cast(NULL AS string) AS author, cast(NULL AS string) AS search_type FROM {part}
     UNION SELECT DISTINCT concat(p_name, '/', p_brand), p_name, p_brand, cast(NULL AS string) FROM {part}
     UNION SELECT DISTINCT p_type, p_type, cast(NULL AS string), 'fts' FROM {part}
-    UNION SELECT DISTINCT concat(p_brand, '/', p_type), p_brand, p_type, 'vector' FROM {part}"""
-
-
-@check(f"""WITH {ctes(requests=ROUTED_REQUESTS, ratings=RATINGS)},
-    w AS (SELECT *, regexp_extract_all(lower(concat_ws(' ', title, author, description, genres, isbn)), '{TOKEN}') AS words FROM ratings),
-    routed AS (SELECT *, CASE WHEN search_type = 'fts' OR author IS NOT NULL AND search_type IS NULL THEN 'fts' ELSE 'vector' END AS kind FROM requests)
-    SELECT request_id, kind AS search_type, least(5, count(*)) AS n FROM routed q JOIN w ON kind = 'vector' OR (
-      list_has_all(words, regexp_extract_all(lower(q.q), '{TOKEN}')) AND (q.author IS NULL OR w.author ILIKE '%' || q.author || '%'))
-    GROUP BY request_id, kind""")
+    UNION SELECT DISTINCT concat(p_brand, '/', p_type), p_type, p_brand, 'vector' FROM {part}
+    UNION SELECT DISTINCT concat('none/', p_type), p_type, p_type, 'vector' FROM {part}
+    UNION SELECT DISTINCT concat('author/', p_brand), cast(NULL AS string), p_brand, 'vector' FROM {part}"""
+
+
+@check(f"""WITH {RATING_OCC}, {ctes(requests=ROUTED_REQUESTS)}, {ranked('requests')}, t AS ({RATING_TEXT.replace('FROM ratings', 'FROM items')}),
+    routed AS (SELECT *, CASE WHEN search_type = 'fts' OR author IS NOT NULL AND search_type IS NULL THEN 'fts' ELSE 'vector' END AS kind FROM requests),
+    {hashed('t', 'id', 'text', 'e')}, {hashed('requests', 'request_id', 'q', 'h')},
+    met AS (SELECT q.request_id, q.kind, i.id FROM routed q JOIN items i ON q.author IS NULL OR i.author ILIKE '%' || q.author || '%'
+            WHERE q.q IS NOT NULL),
+    placed AS (
+      SELECT m.request_id, kind, m.id, row_number() OVER (PARTITION BY m.request_id ORDER BY r.rank DESC, m.id) AS rank_no
+      FROM met m JOIN ranked r USING (request_id, id) WHERE kind = 'fts'
+      UNION ALL
+      SELECT request_id, kind, id, row_number() OVER (PARTITION BY request_id ORDER BY distance, id) FROM (
+        SELECT m.request_id, m.kind, m.id, {distance('h.embedding', 'e.embedding')} AS distance
+        FROM met m JOIN h USING (request_id) JOIN e USING (id) WHERE kind = 'vector'))
+    SELECT request_id, kind AS search_type, id, rank_no, NULL AS error FROM placed WHERE rank_no <= 5
+    UNION ALL SELECT request_id, NULL, NULL, NULL, CASE WHEN q IS NULL THEN 'a vector search needs q' ELSE 'vector search found nothing' END
+    FROM routed WHERE kind = 'vector' AND request_id NOT IN (SELECT request_id FROM placed)""")
 def search_ratings_routed(spark, sf):
     ratings = view(spark, sf, RATINGS)
     index = stage(build_index(ratings, RATING_FIELDS, "simple"))
     vectors = stage(embed(rating_text(ratings), "text", EMBEDDER))
-    results, _ = search_ratings(ratings, index, vectors, view(spark, sf, ROUTED_REQUESTS), EMBEDDER, "simple", limit=5)
-    return results.groupBy("request_id", "search_type").agg(F.count("*").alias("n"))
-
-
-@check()
+    results, errors = search_ratings(ratings, index, vectors, view(spark, sf, ROUTED_REQUESTS), EMBEDDER, "simple", limit=5)
+    found = results.select("request_id", "search_type", "id", "rank_no", F.lit(None).cast("string").alias("error"))
+    return found.unionByName(errors.select("request_id", "error"), allowMissingColumns=True)
+
+
+@check(f"""WITH {RATING_OCC}, {ctes(requests=NAME_REQUESTS, shelf=PRODUCTS)}, {ranked('requests')},
+    t AS ({RATING_TEXT.replace('FROM ratings', 'FROM items')}), {hashed('t', 'id', 'text', 'e')},
+    named AS (SELECT r.request_id, r.id, row_number() OVER (PARTITION BY r.request_id ORDER BY r.rank DESC, r.id) AS rn
+              FROM ranked r JOIN items i USING (id) JOIN requests q USING (request_id)
+              WHERE list_has_all(string_split(lower(i.title), ' '), string_split(lower(q.q), ' '))
+                AND len(string_split(q.q, ' ')) / len(string_split(i.title, ' ')) >= 0.6),
+    d AS (SELECT n.request_id, o.id, {distance('s.embedding', 'o.embedding')} AS distance
+          FROM named n JOIN e s ON s.id = n.id, e o WHERE n.rn = 1 AND o.id <> n.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, id) AS rn FROM d QUALIFY rn <= 10)
+    SELECT request_id, id, title, author, floor((1 - distance) * 1000 + 0.5) / 1000 AS similarity,
+           isbn <> '' AND isbn IN (SELECT isbn FROM shelf) AS available FROM r JOIN items USING (id)""")
 def similar_by_name(spark, sf):
     ratings, items = view(spark, sf, RATINGS), view(spark, sf, PRODUCTS)
     index = stage(build_index(ratings, RATING_FIELDS, "simple"))

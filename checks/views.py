@@ -22,8 +22,8 @@ PRODUCTS = """
            concat('978', lpad(cast(p.p_partkey AS string), 10, '0')) AS isbn, '' AS series, '' AS edition,
            c.at AS downloaded_at
     FROM {part} p LEFT JOIN (
-        SELECT l_partkey, max(l_shipdate) AS at FROM {lineitem}
-        WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 45 GROUP BY l_partkey
+        SELECT l_partkey, max(CASE WHEN l_returnflag = 'R' AND l_quantity >= 45 THEN l_shipdate END) AS at
+        FROM {lineitem} GROUP BY l_partkey
     ) c ON c.l_partkey = p.p_partkey"""
 
 RATINGS = """
@@ -34,10 +34,10 @@ RATINGS = """
            '' AS pages, cast(p_size AS string) AS year
     FROM {part}"""
 
-# Isbns on the shelf: one row per returned line, so frequent parts repeat.
+# Isbns on the shelf: one row per line, so frequent parts repeat; only returned lines of a fair size carry one.
 SHELF = """
-    SELECT concat('978', lpad(cast(l_partkey AS string), 10, '0')) AS isbn
-    FROM {lineitem} WHERE l_returnflag = 'R' AND l_discount >= 0.07 AND l_quantity >= 30"""
+    SELECT CASE WHEN l_returnflag = 'R' AND l_discount >= 0.07 AND l_quantity >= 30
+           THEN concat('978', lpad(cast(l_partkey AS string), 10, '0')) ELSE '' END AS isbn FROM {lineitem}"""
 
 # Conversations as documents: a turn is a page.
 DOC_PAGES = """
@@ -96,15 +96,18 @@ def ranked(requests: str) -> str:
              FROM hit h JOIN matched m USING (request_id, id)),
     peak AS (SELECT request_id, id, max(w) AS top, arg_min(j, -w * 1e9 + j) AS m,
              sum(w / (j * j)) AS series FROM held WHERE n = 1 GROUP BY request_id, id),
-    pairs AS (SELECT a.request_id, a.id,
-              sum(ln(1 - sqrt(a.w * b.w / (1.005::double + 0.05::double * exp((a.pos - b.pos) / 1.5::double - 2))))) AS miss
+    pairs AS (SELECT request_id, id,
+              sum(CASE WHEN c < 1e-4::double THEN -c * (1 + c / 2 + c * c / 3) ELSE ln(1 - c) END) AS miss FROM (
+              SELECT a.request_id, a.id,
+              sqrt(a.w * b.w / (1.005::double + 0.05::double * exp((a.pos - b.pos) / 1.5::double - 2))) AS c
               FROM held a JOIN held b ON a.request_id = b.request_id AND a.id = b.id AND a.term <> b.term
-               AND a.pos - b.pos BETWEEN 1 AND 100 WHERE a.n > 1 GROUP BY a.request_id, a.id),
+               AND a.pos - b.pos BETWEEN 1 AND 100 WHERE a.n > 1) GROUP BY request_id, id),
     ranked AS (
-      SELECT request_id, id, round((top + series - top / (m * m)) / 1.64493406685::double, 6) AS rank FROM peak
+      SELECT request_id, id, ((top + series - top / (m * m)) / 1.64493406685::double)::float::double AS rank FROM peak
       UNION ALL
-      SELECT m.request_id, m.id, round(1 - exp(coalesce(p.miss, 0::double)), 6) FROM matched m
-      LEFT JOIN pairs p USING (request_id, id) WHERE m.n > 1)"""
+      SELECT request_id, id, (CASE WHEN x > -1e-4::double THEN -x * (1 + x / 2 + x * x / 6) ELSE 1 - exp(x) END)::float::double
+      FROM (SELECT m.request_id, m.id, coalesce(p.miss, 0::double) AS x FROM matched m
+            LEFT JOIN pairs p USING (request_id, id) WHERE m.n > 1))"""
 
 
 DOC_FIELDS = [("title", "A"), ("author", "B"), ("publisher", "C"), ("description", "D"), ("isbn", "D")]

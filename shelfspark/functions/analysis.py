@@ -1,8 +1,9 @@
 """Tokenising and term normalisation for full-text columns."""
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from shelfspark.functions.stemmer import stem
 
@@ -49,5 +50,19 @@ def _stem_column(surface: pa.Array) -> pa.Array:
     return stems.take(encoded.indices)
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _stem_arrays(surfaces: pa.Array) -> pa.Array:
+    encoded = surfaces.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in encoded.dictionary.to_pylist()], pa.string()).take(encoded.indices)
+    sizes = pc.fill_null(pc.list_value_length(surfaces), 0)
+    ends = pc.cumulative_sum(sizes).cast(pa.int32())
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), stems)
+
+
+def to_terms(surfaces: Column, config: str) -> Column:
+    """Terms of an array of words; each distinct word of an Arrow batch is stemmed once."""
+    return _stem_arrays(surfaces) if config == "english" else surfaces
+
+
 def to_term(surface: Column, config: str) -> Column:
     return _stem_column(surface) if config == "english" else surface

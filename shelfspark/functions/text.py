@@ -22,7 +22,6 @@ DEFAULT_CONTENT_TYPE = "application/octet-stream"
 STRICT_JUNK = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}\x{10000}-\x{10FFFF}]"
 LENIENT_JUNK = r"[\x00\x{FFFD}]"
 
-MAX_EMBED_CHARS = 8000
 MAX_FILENAME_CHARS = 200
 
 
@@ -55,10 +54,13 @@ def clean_lenient(c: Column) -> Column:
     return F.regexp_replace(or_empty(c), LENIENT_JUNK, "")
 
 
-def compose_text(title: Column, author: Column, description: Column, genres: Column) -> Column:
-    """Text to embed: the non-empty parts joined by ' | ', cut to the embedder's input limit."""
+def compose_text(
+    title: Column, author: Column, description: Column, genres: Column, max_chars: int | None = None
+) -> Column:
+    """Text to embed: the non-empty parts joined by ' | ', cut to `max_chars` where the model has such a limit."""
     parts = [F.nullif(c, F.lit("")) for c in (title, author, description, genres)]
-    return F.substring(F.concat_ws(" | ", *parts), 1, MAX_EMBED_CHARS)
+    whole = F.concat_ws(" | ", *parts)
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
 def normalize_isbn(c: Column) -> Column:

@@ -19,8 +19,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def similarity(distance: Column) -> Column:
-    """Similarity to three digits, halves rounded up."""
-    return F.floor((F.lit(1.0) - distance) * 1000 + 0.5) / 1000
+    """Similarity to three digits, halves rounded up; NULL where a vector has no direction."""
+    return F.when(~F.isnan(distance), F.floor((F.lit(1.0) - distance) * 1000 + 0.5) / 1000)
 
 
 def parse_vector(text: Column) -> Column:

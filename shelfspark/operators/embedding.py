@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.functions.analysis import tokens
 from shelfspark.functions.text import compose_text
-from shelfspark.operators.layout import spread
 from shelfspark.sources.lines import slice_in_order
 
 BATCH_TEXTS = 10
@@ -42,9 +41,8 @@ class HashingEmbedder:
         digest = F.md5(F.col("word").cast("binary"))
         bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(self.dim)).cast("int")
         sign = F.when(F.pmod(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int"), F.lit(2)) == 0, 1).otherwise(-1)
-        # Texts are spread by id first: all sums of a text are then made where its words are.
-        texts = spread(df.select(id_col, text_col), id_col)
-        each = texts.select(id_col, F.explode_outer(tokens(F.col(text_col))).alias("word"))
+        # Words are added up by bucket in the task that read the text; only those sums are shuffled.
+        each = df.select(id_col, F.explode_outer(tokens(F.col(text_col))).alias("word"))
         totals = each.select(id_col, bucket.alias("bucket"), F.when(F.col("word").isNotNull(), sign).alias("sign"))
         summed = totals.groupBy(id_col, "bucket").agg(F.sum("sign").alias("total"))
         entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "total"))
@@ -63,15 +61,22 @@ class HashingEmbedder:
 
 
 def embed_with_backoff(embedder: Embedder, texts: list[str]) -> np.ndarray:
-    """Embed a batch; while the model finds it too long, cut all texts to half of the longest."""
-    while True:
-        try:
-            return embedder.embed(texts)
-        except ContextLengthError:
-            longest = max(len(t) for t in texts)
-            if longest <= 1:
-                raise
-            texts = [t[: longest // 2] for t in texts]
+    """Embed a batch. If the model finds it too long, each text is tried alone, and one that is too long is embedded in
+    halves, whose vectors are averaged by length and scaled to the length of a unit vector; no text is cut.
+    """
+    try:
+        return np.asarray(embedder.embed(texts))
+    except ContextLengthError:
+        if len(texts) > 1:
+            return np.concatenate([embed_with_backoff(embedder, [t]) for t in texts])
+        if len(texts[0]) <= 1:
+            raise
+        half = len(texts[0]) // 2
+        parts = [texts[0][:half], texts[0][half:]]
+        vectors = np.concatenate([embed_with_backoff(embedder, [p]) for p in parts])
+        mean = np.average(vectors, axis=0, weights=[len(p) for p in parts])
+        length = float(np.sqrt((mean * mean).sum()))
+        return (mean / length if length else mean)[None, :]
 
 
 def embed(df: DataFrame, text_col: str, embedder, id_col: str = "id") -> DataFrame:
@@ -89,14 +94,14 @@ def embed(df: DataFrame, text_col: str, embedder, id_col: str = "id") -> DataFra
                     "embedding": [np.asarray(v, np.float32) for v in vectors],
                 })
 
-    narrow = spread(df.select(id_col, text_col), id_col)
+    narrow = df.select(id_col, text_col)
     id_type = narrow.schema[id_col].dataType.simpleString()
     return narrow.mapInPandas(run, f"{id_col} {id_type}, embedding array<float>")
 
 
-def rating_text(ratings: DataFrame) -> DataFrame:
-    """(id, text) that represents a rating row for the embedder."""
-    text = compose_text(F.col("title"), F.col("author"), F.col("description"), F.col("genres"))
+def rating_text(ratings: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(id, text) that represents a rating row for the embedder, cut only where the model states its input limit."""
+    text = compose_text(F.col("title"), F.col("author"), F.col("description"), F.col("genres"), max_chars)
     return ratings.select("id", text.alias("text"))
 
 

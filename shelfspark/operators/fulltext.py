@@ -7,29 +7,30 @@ Rank is defined here as follows. With w the weight of an occurrence:
 * several terms: 1 - prod(1 - c) over all pairs of occurrences of two different terms at most 100
   positions apart, c = sqrt(w1 * w2 / (1.005 + 0.05 * exp(d / 1.5 - 2)))
 
-Ranks are kept to six digits, as single-precision ranks would be.
+Ranks have the digits of a single-precision number, so that equal ones tie whatever the order of summation.
 """
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from shelfspark.functions.analysis import WEIGHTS, positioned, to_term
+from shelfspark.functions.analysis import WEIGHTS, positioned, to_term, to_terms
 from shelfspark.operators.layout import spread
 from shelfspark.operators.paging import top_rows
-from shelfspark.sources.storage import stage
+from shelfspark.schemas import POSTINGS
+from shelfspark.sources.storage import snapshot_versions, stage
+
+BUCKETS = 64
 
-RANK_DIGITS = 6
-# Distinct request words sent to every task; a few megabytes.
-BROADCAST_TERMS = 200_000
 # Fixed values of the rank formula.
 MAX_DISTANCE = 100
 SINGLE_TERM_SCALE = 1.64493406685
 DECAY_BASE, DECAY_SCALE, DECAY_WIDTH, DECAY_SHIFT = 1.005, 0.05, 1.5, 2.0
 
 
-def tokenize(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col: str = "id") -> DataFrame:
-    """One row (id, surface, pos, weight) per indexed word.
+def document_words(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col: str = "id") -> DataFrame:
+    """(id, words): all indexed words of a row as one array of (surface, pos, weight).
 
     Positions of a field continue after the last indexed word of the fields before it.
     """
@@ -38,36 +39,96 @@ def tokenize(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col:
         F.col(id_col).alias("id"),
         *[positioned(F.col(c), config).alias(n) for (c, _), n in zip(fields, names)],
     )
+
+    def placed(name: str, weight: float, base: Column) -> Column:
+        return F.transform(name, lambda w: F.struct(
+            w["surface"].alias("surface"), (base + w["pos"]).alias("pos"), F.lit(weight).alias("weight")))
+
     base, parts = F.lit(0), []
     for (_, label), name in zip(fields, names):
-        parts.append(
-            F.struct(F.lit(WEIGHTS[label]).alias("weight"), base.alias("base"), F.col(name).alias("words"))
-        )
-        last = F.coalesce(F.try_element_at(F.col(name), F.lit(-1))["pos"], F.lit(0))
-        base = base + last
-    by_field = arrays.select("id", F.inline(F.array(*parts)))
-    by_word = by_field.select("id", "weight", "base", F.inline("words"))
-    return by_word.select("id", "surface", (F.col("base") + F.col("pos")).alias("pos"), "weight")
+        parts.append(placed(name, WEIGHTS[label], base))
+        base = base + F.coalesce(F.try_element_at(F.col(name), F.lit(-1))["pos"], F.lit(0))
+    return arrays.select("id", F.concat(*parts).alias("words"))
+
+
+def tokenize(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col: str = "id") -> DataFrame:
+    """One row (id, surface, pos, weight) per indexed word."""
+    return document_words(df, fields, config, id_col).select("id", F.inline("words"))
 
 
 def build_index(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col: str = "id") -> DataFrame:
     """Postings: one row (term, id, pos, weight, first) per word occurrence.
 
-    `first` marks the first occurrence of the term in its document. Texts are spread by id before
-    they are cut into words, so marking needs no further shuffle and no frequent word is ever
-    gathered in one task.
+    `first` marks the first occurrence of the term in its document. It is found in the sorted words of the row itself,
+    so a text stays in the task that read it.
     """
-    texts = spread(df.select(id_col, *dict.fromkeys(c for c, _ in fields)), id_col)
-    words = tokenize(texts, fields, config, id_col)
-    in_doc = Window.partitionBy("id", "term").orderBy("pos")
-    return words.select(to_term(F.col("surface"), config).alias("term"), "id", "pos", "weight").withColumn(
-        "first", F.row_number().over(in_doc) == 1
-    )
+    words = document_words(df, fields, config, id_col)
+    terms = to_terms(F.transform("words", lambda w: w["surface"]), config)
+    words = words.withColumn("terms", terms)
+    sorted_words = F.array_sort(F.zip_with("words", "terms", lambda w, term: F.struct(
+        term.alias("term"), w["pos"].alias("pos"), w["weight"].alias("weight"))))
+    placed = words.select("id", sorted_words.alias("words"))
+    marked = F.transform("words", lambda w, i: F.struct(
+        w["term"].alias("term"), w["pos"].alias("pos"), w["weight"].alias("weight"),
+        ((i == 0) | (F.get("words", i - 1)["term"] != w["term"])).alias("first")))
+    return placed.select("id", F.inline(marked)).select("term", "id", "pos", "weight", "first")
+
+
+def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _write_postings(postings: DataFrame, path: str, version: int) -> None:
+    bucketed = postings.withColumn("bucket", term_bucket(F.col("term")))
+    ordered = bucketed.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/version={version}")
 
 
 def write_index(postings: DataFrame, path: str) -> None:
-    """Store postings in (term, id) order: a frequent term spans files, a rare one touches one."""
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(path)
+    """Store postings by term bucket and in (term, id) order: a search reads the buckets of its words only."""
+    _write_postings(postings, path, 0)
+
+
+def update_index(path: str, changed: DataFrame, fields: list[tuple[str, str]], config: str, id_col: str = "id") -> None:
+    """Bring a stored index up to date with new or `changed` rows without touching what it holds.
+
+    The ids are noted as replaced in all earlier versions, and their postings are added as a new version. A row whose
+    fields are all empty is thereby removed. A version counts once its postings are complete, which are written last.
+    """
+    spark = changed.sparkSession
+    version = max(_index_versions(spark, path)) + 1
+    changed.select(F.col(id_col).alias("id")).distinct().write.mode("overwrite").parquet(f"{path}/replaced/version={version}")
+    _write_postings(build_index(changed, fields, config, id_col), path, version)
+
+
+def _index_versions(spark: SparkSession, path: str) -> list[int]:
+    return snapshot_versions(spark, f"{path}/postings")
+
+
+def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
+    """Postings of a stored index as its updates left them, of the buckets that hold `terms` where these are given."""
+    versions = _index_versions(spark, path)
+    if terms is not None:
+        found = [r[0] for r in terms.select(term_bucket(F.col("term"))).distinct().collect()]  # BUCKETS at most
+    parts = []
+    for version in versions:
+        part = spark.read.schema(f"{POSTINGS}, bucket INT").parquet(f"{path}/postings/version={version}")
+        if terms is not None:
+            part = part.filter(F.col("bucket").isin(found))
+        later = [f"{path}/replaced/version={v}" for v in versions if v > version]
+        if later:
+            part = part.join(spark.read.schema("id LONG").parquet(*later).distinct(), "id", "left_anti")
+        parts.append(part.select("term", "id", "pos", "weight", "first"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def search_index(
+    path: str, requests: DataFrame, config: str, depth: int | None = None, text: str = "q", key: str = "request_id"
+) -> DataFrame:
+    """search_fts over a stored index; only the buckets of the requests' words are read."""
+    terms = stage(plain_query(requests, config, text, key))
+    ranked = rank_matches(match_terms(read_index(requests.sparkSession, path, terms), terms, key), key)
+    return ranked if depth is None else top_rows(ranked, [key], [F.desc("rank"), F.col("id")], depth)
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
@@ -101,16 +162,9 @@ def match_terms(
     those candidates by (id, term). A frequent word is therefore never joined against all documents.
     `allowed` may drop candidate pairs (request_id, id) before their occurrences are fetched.
     """
-    vocabulary = terms.select("term").distinct()
-    if vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        # Counted small enough: every map task keeps only the postings the requests ask for.
-        used = postings.join(F.broadcast(vocabulary), "term", "left_semi")
-        freq = doc_freq(used)
-    else:
-        # Counted before meeting the requests, so a frequent term leaves each map task as one row.
-        used = postings.join(vocabulary, "term", "left_semi")
-        freq = doc_freq(postings)
-    counted = terms.join(freq, "term")
+    # Where the requests' words are few, Spark broadcasts them and map tasks keep only their postings.
+    used = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    counted = terms.join(doc_freq(used), "term")
     whole = Window.partitionBy(key)
     rarest = (
         counted.withColumn("_found", F.count("*").over(whole))
@@ -147,7 +201,7 @@ def rank_matches(matches: DataFrame, key: str = "request_id") -> DataFrame:
         distance = (F.col("pos") - x["pos"]).cast("double")
         decay = F.lit(DECAY_BASE) + F.lit(DECAY_SCALE) * F.exp(distance / DECAY_WIDTH - DECAY_SHIFT)
         closeness = F.sqrt(F.col("weight") * x["weight"] / decay)
-        return acc + F.when(x["term"] == F.col("term"), F.lit(0.0)).otherwise(F.log(1.0 - closeness))
+        return acc + F.when(x["term"] == F.col("term"), F.lit(0.0)).otherwise(F.log1p(-closeness))
 
     scored = walked.select(
         key, "id", "n_terms", "weight", "j",
@@ -161,9 +215,9 @@ def rank_matches(matches: DataFrame, key: str = "request_id") -> DataFrame:
     )
     top, m = -F.col("best.w"), F.col("best.m")
     single = (top + F.col("series") - top / (m * m)) / F.lit(SINGLE_TERM_SCALE)
-    several = F.lit(1.0) - F.exp("log_miss")
+    several = -F.expm1("log_miss")
     rank = F.when(F.col("n_terms") == 1, single).otherwise(several)
-    return grouped.select(key, "id", F.round(rank, RANK_DIGITS).alias("rank"))
+    return grouped.select(key, "id", rank.cast("float").cast("double").alias("rank"))
 
 
 def search_fts(

@@ -125,14 +125,14 @@ def number_new_rows(table: DataFrame, order: list[str]) -> DataFrame:
 
 
 def mark_collected(items: DataFrame, keys: DataFrame, when: Column, key: str = "md5") -> DataFrame:
-    """Set `downloaded_at` for the listed keys; `when` may use columns of `keys`."""
-    marks = keys.select(F.col(key), when.cast("timestamp").alias("_when"))
+    """Set `downloaded_at` for the listed keys; `when` may use columns of `keys`. Of a repeated key the latest counts."""
+    marks = keys.select(F.col(key), when.cast("timestamp").alias("_when")).groupBy(key).agg(F.max("_when").alias("_when"))
     at = F.when(F.col("_when").isNotNull(), F.col("_when")).otherwise(F.col("downloaded_at"))
     return items.join(marks, key, "left").withColumn("downloaded_at", at).select(items.columns)
 
 
 def unmark_collected(items: DataFrame, keys: DataFrame, key: str = "md5") -> DataFrame:
-    marks = keys.select(F.col(key), F.lit(True).alias("_gone"))
+    marks = keys.select(F.col(key), F.lit(True).alias("_gone")).distinct()
     at = F.when(F.col("_gone"), None).otherwise(F.col("downloaded_at"))
     return items.join(marks, key, "left").withColumn("downloaded_at", at).select(items.columns)
 

@@ -232,10 +232,10 @@ def knn_join(
 
 def search_vectors(
     rows: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 20, offset: int = 0,
-    centroids: DataFrame | None = None, probes: int = 1, cap: int = 100,
+    centroids: DataFrame | None = None, probes: int = 1,
 ) -> DataFrame:
     """Rows nearest to each query vector with their similarity, places offset+1 … offset+limit."""
-    depth = min(limit, cap) + offset
+    depth = limit + offset
     if centroids is None:
         found = topk_exact(vectors, queries, depth)
     else:

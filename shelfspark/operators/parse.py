@@ -19,20 +19,14 @@ RATING_XML_FIELDS = [
     "title_without_series", "title", "isbn", "isbn13", "publication_year", "description",
     "average_rating", "num_pages", "ratings_count",
 ]
-CORRUPT = "_corrupt"
 
 
 def _strings(names: list[str]) -> list[StructField]:
     return [StructField(n, StringType()) for n in names]
 
 
-_ITEM_JSON = StructType(
-    [StructField("metadata", StructType(_strings(ITEM_JSON_FIELDS))), *_strings(ITEM_JSON_FIELDS),
-     StructField(CORRUPT, StringType())]
-)
-_RATING_JSON = StructType(
-    [StructField("metadata", StructType(_strings(["id", "record"]))), StructField(CORRUPT, StringType())]
-)
+_ITEM_JSON = StructType([StructField("metadata", StructType(_strings(ITEM_JSON_FIELDS))), *_strings(ITEM_JSON_FIELDS)])
+_RATING_JSON = StructType([StructField("metadata", StructType(_strings(["id", "record"])))])
 _PERSON = StructType(_strings(["name"]))
 _BOOK = [*_strings(RATING_XML_FIELDS),
          StructField("authors", StructType([StructField("author", ArrayType(_PERSON))]))]
@@ -40,12 +34,14 @@ _RATING_XML = StructType([StructField("book", StructType(_BOOK)), *_BOOK])
 
 
 def _read_json(lines: DataFrame, schema: StructType) -> DataFrame:
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     return lines.withColumn("_json", parsed)
 
 
 def _is_bad() -> Column:
-    return F.col("_json").isNull() | F.col(f"_json.{CORRUPT}").isNotNull()
+    """Whether `value` is not JSON at all; valid JSON of another shape merely lacks the fields that are read."""
+    # The first test refuses objects that name a key twice, which are valid; the second one reads them.
+    return F.expr("try_parse_json(value) IS NULL AND get_json_object(value, '$') IS NULL")
 
 
 def _good(read: DataFrame, mode: str) -> DataFrame:
@@ -59,8 +55,8 @@ def _good(read: DataFrame, mode: str) -> DataFrame:
 
 
 def quarantine(lines: DataFrame) -> DataFrame:
-    """Lines that are not valid JSON."""
-    return _read_json(lines, _ITEM_JSON).filter(_is_bad()).select(lines.columns)
+    """Lines that are not valid JSON, whatever feed they belong to."""
+    return lines.filter(_is_bad())
 
 
 def _order_columns(lines: DataFrame) -> list[str]:

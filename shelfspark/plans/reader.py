@@ -9,8 +9,6 @@ from shelfspark.operators.nearest import topk_grouped
 from shelfspark.operators.pages import nest_outline
 from shelfspark.sources.storage import stage
 
-MAX_RESULTS = 20
-
 
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(
@@ -41,7 +39,7 @@ def page_search(
         texts.join(asked.select("request_id", "doc_id"), "request_id").withColumnRenamed("request_id", "query_id")
     )
     vectors = pages.select("doc_id", F.col("page_number").alias("id"), "embedding")
-    found = topk_grouped(vectors, queries, min(limit, MAX_RESULTS), group="doc_id")
+    found = topk_grouped(vectors, queries, limit, group="doc_id")
     located = found.join(queries.select("query_id", "doc_id"), "query_id").withColumnRenamed("id", "page_number")
     return (
         located.join(pages.select("doc_id", "page_number", "content"), ["doc_id", "page_number"])

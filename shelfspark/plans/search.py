@@ -9,14 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfspark.functions.text import present
+from shelfspark.functions.vectors import cosine_distance, similarity
 from shelfspark.operators.embedding import embed
 from shelfspark.operators.filters import (
     and_all, any_given, check_requests, contains_ci, equals_folded, is_collected, when_given,
 )
 from shelfspark.operators.fulltext import search_fts
 from shelfspark.operators.lookups import contains_pairs
-from shelfspark.operators.nearest import search_vectors
-from shelfspark.operators.paging import dedupe_formats, fetch_ranked, format_order, page
+from shelfspark.operators.nearest import DISTANCE_DIGITS, search_vectors
+from shelfspark.operators.paging import dedupe_formats, fetch_ranked, format_order, page, page_as_asked
 from shelfspark.schemas import COLLECTED_COLUMNS, ITEM_COLUMNS, RATING_COLUMNS
 from shelfspark.sources.storage import stage
 
@@ -125,11 +126,12 @@ def search_items(
 ) -> DataFrame:
     """Items for each request, best text match first (PDF before EPUB before others on equal rank).
 
-    Without a text the newest come first. `dedupe` keeps the first row per title and author. Rows
+    Without a text the newest come first. `dedupe` keeps the first row per title and author. Columns limit, offset
+    and dedupe of a request go before the arguments. Rows
     that cannot be on the page are cut from narrow columns; whole rows are fetched for the page only.
     """
     used = {c for p, (c, _) in ITEM_PARAMS.items() if p in requests.columns}
-    used |= {"title", "author", "extension"} if dedupe else {"extension"}
+    used |= {"title", "author", "extension"} if dedupe or "dedupe" in requests.columns else {"extension"}
     narrow = items.select("id", *sorted(used))
     hits = _candidates(narrow, postings, requests, ITEM_PARAMS, ITEM_SUFFICIENT, config)
     by_text = F.col("rank").isNotNull()
@@ -138,16 +140,19 @@ def search_items(
         F.when(by_text, format_order(F.col("extension"))),
         F.when(by_text, F.col("id")).otherwise(-F.col("id")),
     ]
-    if dedupe:
+    if "dedupe" in requests.columns:
+        choice = requests.select(KEY, F.coalesce(F.col("dedupe").cast("boolean"), F.lit(dedupe)).alias("_dedupe")).distinct()
+        hits = dedupe_formats(hits.join(choice, KEY), [KEY], order, F.col("_dedupe"))
+    elif dedupe:
         hits = dedupe_formats(hits, [KEY], order)
-    shown = page(hits, [KEY], order, limit, offset).select(KEY, "id", "rank", "rank_no")
+    shown = page_as_asked(hits, requests, KEY, order, limit, offset).select(KEY, "id", "rank", "rank_no")
     return fetch_ranked(items.select(ITEM_COLUMNS), shown)
 
 
 def library_list(items: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """Collected items, latest first."""
     collected = is_collected(items).select(COLLECTED_COLUMNS)
-    return collected.orderBy(F.desc("downloaded_at"), "id").offset(offset).limit(min(limit, 100))
+    return collected.orderBy(F.desc("downloaded_at"), "id").offset(offset).limit(limit)
 
 
 def library_total(items: DataFrame) -> DataFrame:
@@ -165,7 +170,7 @@ def library_search(
     hits = _candidates(narrow, postings, requests, ITEM_PARAMS, ITEM_SUFFICIENT, config, part_of_index=True)
     latest = F.when(F.col("rank").isNull(), F.col("downloaded_at"))
     order = [F.desc("rank"), F.desc(latest), F.col("id")]
-    shown = page(hits, [KEY], order, limit, offset).select(KEY, "id", "rank", "rank_no")
+    shown = page_as_asked(hits, requests, KEY, order, limit, offset).select(KEY, "id", "rank", "rank_no")
     return fetch_ranked(collected.select(COLLECTED_COLUMNS), shown)
 
 
@@ -179,20 +184,42 @@ def search_ratings_fts(
     hits = _candidates(narrow, postings, requests, RATING_PARAMS, RATING_SUFFICIENT, config)
     best = F.when(F.col("rank").isNull(), F.col("rating"))
     order = [F.desc("rank"), F.desc_nulls_last(best), F.col("id")]
-    shown = page(hits, [KEY], order, limit, offset).select(KEY, "id", "rank", "rank_no")
+    shown = page_as_asked(hits, requests, KEY, order, limit, offset).select(KEY, "id", "rank", "rank_no")
     return fetch_ranked(ratings.select(RATING_COLUMNS), shown)
 
 
+def _asked_vectors(requests: DataFrame, embedder) -> DataFrame:
+    """(query_id, embedding) of the requests with a text, written once for the several steps that read them."""
+    asked = requests.filter(present(F.col("q")))
+    return stage(embed(asked, "q", embedder, KEY).withColumnRenamed(KEY, "query_id"))
+
+
 def search_ratings_vector(
     ratings: DataFrame, vectors: DataFrame, requests: DataFrame, embedder,
     limit: int = 20, offset: int = 0, centroids: DataFrame | None = None, probes: int = 1,
 ) -> DataFrame:
-    """Rating rows nearest to the text of each request; other parameters play no part."""
-    asked = requests.filter(present(F.col("q")))
-    # Written once: counting the queries and searching with them must not embed them twice.
-    queries = stage(embed(asked, "q", embedder, KEY).withColumnRenamed(KEY, "query_id"))
-    found = search_vectors(ratings.select(RATING_COLUMNS), vectors, queries, limit, offset, centroids, probes)
-    return found.withColumnRenamed("query_id", KEY)
+    """Rating rows nearest to the text of each request.
+
+    A request with filters is compared with the rows that meet them, one without with all rows.
+    """
+    given = [p for p in RATING_PARAMS if p in requests.columns]
+    queries = _asked_vectors(requests, embedder)
+    rows = ratings.select(RATING_COLUMNS)
+    if not given:
+        return search_vectors(rows, vectors, queries, limit, offset, centroids, probes).withColumnRenamed("query_id", KEY)
+    filtered = requests.filter(present(F.col("q")) & any_given([F.col(p) for p in given]))
+    plain = queries.join(filtered.select(F.col(KEY).alias("query_id")), "query_id", "left_anti")
+    nearest = search_vectors(rows, vectors, plain, limit, offset, centroids, probes)
+    narrow = ratings.select("id", *sorted({RATING_PARAMS[p][0] for p in given}))
+    met = _filtered(_browse(narrow, filtered, RATING_PARAMS, RATING_SUFFICIENT), filtered, RATING_PARAMS, given)
+    asked = queries.select(F.col("query_id").alias(KEY), F.col("embedding").alias("_asked"))
+    compared = (
+        met.select(KEY, "id").join(vectors.filter("embedding IS NOT NULL").select("id", "embedding"), "id").join(asked, KEY)
+        .select(KEY, "id", F.round(cosine_distance(F.col("_asked"), F.col("embedding")), DISTANCE_DIGITS).alias("distance"))
+    )
+    order = [F.isnan("distance"), F.col("distance"), F.col("id")]
+    shown = fetch_ranked(rows, page(compared, [KEY], order, limit, offset)).withColumn("similarity", similarity(F.col("distance")))
+    return nearest.withColumnRenamed("query_id", KEY).unionByName(shown)
 
 
 def search_ratings(
@@ -203,8 +230,8 @@ def search_ratings(
     """Both kinds of search in one call: (results with `search_type`, errors).
 
     `search_type` of a request is 'fts', 'vector' or empty. Empty means vector when the request is a
-    text alone, with text search in its place if that finds nothing. A forced vector search that
-    finds nothing is an error.
+    text alone, with text search in its place if that finds nothing. A forced vector search without a
+    text, or one that finds nothing, is an error.
     """
     full = _with_params(requests, ["q", *RATING_SUFFICIENT, "search_type"])
     filters = any_given([F.col(p) for p in RATING_SUFFICIENT])
@@ -220,7 +247,7 @@ def search_ratings(
     results = nearest.withColumn("search_type", F.lit("vector")).unionByName(
         ranked.withColumn("search_type", F.lit("fts")), allowMissingColumns=True
     )
-    unavailable = rest.filter(forced & present(F.col("q"))).select(
-        KEY, F.lit("vector search found nothing").alias("error")
-    )
-    return results, rejected_ratings(requests).unionByName(unavailable)
+    said = F.when(present(F.col("q")), "vector search found nothing").otherwise("a vector search needs q")
+    unavailable = rest.filter(forced).select(KEY, said.alias("error"))
+    rejected = rejected_ratings(requests).join(unavailable.select(KEY), KEY, "left_anti")
+    return results, rejected.unionByName(unavailable)

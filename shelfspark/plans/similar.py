@@ -11,16 +11,12 @@ from shelfspark.operators.filters import at_least
 from shelfspark.operators.fulltext import search_fts
 from shelfspark.operators.lookups import first_ids, with_availability
 from shelfspark.operators.nearest import topk_exact, topk_ivf
-from shelfspark.operators.paging import fetch_ranked, first_per_group, top_rows
+from shelfspark.operators.paging import fetch_ranked, top_rows
 from shelfspark.schemas import ITEM_COLUMNS, RATING_COLUMNS
 from shelfspark.sources.storage import stage
 
 KEY = "request_id"
-TITLE_CANDIDATES = 10
 MIN_COVERAGE = 0.6
-MAX_LIMIT = 50
-EXTRA = 10
-FILTER_FACTOR = 3
 
 
 def title_covered(query, title):
@@ -31,15 +27,20 @@ def title_covered(query, title):
 
 
 def resolve_source(requests: DataFrame, ratings: DataFrame, postings: DataFrame, config: str = "english") -> DataFrame:
-    """(request_id, id) of the rating row each request names, by isbn or else by title."""
+    """(request_id, id) of the rating row each request names, by isbn or else by title.
+
+    The title test is applied to all matches before they are ranked, so no crowd of better ranked rows hides a title.
+    """
     asked = requests.filter(present(F.col("q")))
     by_number = asked.filter(is_isbn_query(F.col("q"))).select(KEY, normalize_isbn(F.col("q")).alias("isbn"))
     by_isbn = by_number.join(first_ids(ratings, by_number, "isbn"), "isbn").select(KEY, "id")
     rest = asked.join(by_isbn.select(KEY), KEY, "left_anti").select(KEY, "q")
-    best = search_fts(postings, rest, config, TITLE_CANDIDATES)
-    titled = best.join(ratings.select("id", "title"), "id").join(rest, KEY)
-    named = titled.filter(title_covered(F.col("q"), F.col("title")))
-    by_title = first_per_group(named, [KEY], [F.col("rank_no")]).select(KEY, "id")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        titled = pairs.join(ratings.select("id", "title"), "id").join(rest, KEY)
+        return titled.filter(title_covered(F.col("q"), F.col("title"))).select(pairs.columns)
+
+    by_title = search_fts(postings, rest, config, 1, allowed=named).select(KEY, "id")
     return by_isbn.unionByName(by_title)
 
 
@@ -50,19 +51,18 @@ def neighbours(
 ) -> DataFrame:
     """Rating rows nearest to (query_id, source_id, embedding), the source itself left out.
 
-    As many neighbours are fetched as the service does: three times the limit under a rating filter,
-    else ten more than the limit; filters then apply to those, so fewer than `limit` may remain.
+    The rating filters choose the vectors that are searched, so `limit` rows are found wherever as many qualify.
     """
-    limit = min(limit, MAX_LIMIT)
-    depth = limit * FILTER_FACTOR if min_rating > 0 or min_reviews > 0 else limit + EXTRA
+    wanted = ratings.select(RATING_COLUMNS).filter(
+        at_least(F.col("rating"), min_rating) & at_least(F.col("ratings_count"), min_reviews)
+    )
+    vectors = vectors.join(wanted.select("id"), "id", "left_semi")
+    depth = limit + 1
     if centroids is None:
         found = topk_exact(vectors, queries, depth)
     else:
         found = topk_ivf(vectors, centroids, queries, depth, probes)
     others = found.join(queries.select("query_id", "source_id"), "query_id").filter("id <> source_id")
-    wanted = ratings.select(RATING_COLUMNS).filter(
-        at_least(F.col("rating"), min_rating) & at_least(F.col("ratings_count"), min_reviews)
-    )
     kept = fetch_ranked(wanted, others.withColumnRenamed("rank_no", "_place"))
     shown = top_rows(kept, ["query_id"], [F.col("_place")], limit).drop("_place", "source_id")
     return with_availability(shown, items).withColumn("similarity", similarity(F.col("distance")))

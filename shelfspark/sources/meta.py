@@ -26,7 +26,8 @@ def meta_delete(spark: SparkSession, path: str, keys: list[str]) -> None:
 
 def meta_current(notes: DataFrame) -> DataFrame:
     """Latest value per key, deleted keys left out."""
-    latest = notes.groupBy("key").agg(F.max_by(F.struct("value"), "ts").alias("last"))
+    # Of notes written at the same moment the greatest value counts, a deletion last.
+    latest = notes.groupBy("key").agg(F.max(F.struct("ts", F.col("value").isNotNull().alias("set"), "value")).alias("last"))
     return latest.select("key", "last.value").filter(F.col("value").isNotNull())
 
 

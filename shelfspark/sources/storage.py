@@ -1,5 +1,6 @@
 """Shared work folder, staged tables and versioned snapshots on the cluster's file system."""
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ def work_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="shelfspark-")
     spark.conf.set("spark.checkpoint.dir", local)
@@ -35,6 +36,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all staged tables of the work folder; for use between runs, when nothing reads them any more."""
+    fs, folder = _folder(spark, work_dir(spark))
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "stage-*")) or []:
+        fs.delete(status.getPath(), True)
+
+
 def _folder(spark: SparkSession, path: str):
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -46,6 +54,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(folder)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.mkdirs(folder)
+
+
 def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions of a table, oldest first; a version counts once its success marker is there."""
     fs, folder = _folder(spark, root)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.plans.ingest import merge_feed, rejects
-from shelfspark.sources.storage import read_snapshot, write_snapshot
+from shelfspark.sources.storage import make_folder, path_exists, read_snapshot, snapshot_versions, write_snapshot
 
 ORDER = ["modified", "file", "block", "row"]
 
@@ -24,19 +24,35 @@ def read_line_stream(spark: SparkSession, folder: str, max_files: int | None = N
     )
 
 
+def _base_version(spark: SparkSession, table: str, path: str) -> int:
+    """Newest version of the table when the stream first began, -1 for none; kept at `path`."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        newest = max(snapshot_versions(spark, table), default=-1)
+        spark.createDataFrame([(newest,)], "version INT").coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema("version INT").json(path).first()["version"]
+
+
 def stream_ingest(
     spark: SparkSession, folder: str, table: str, schema: str, checkpoint: str,
     parse: Callable[..., DataFrame], values: list[str], mode: str = "quarantine",
-    max_files: int | None = None, first_version: int = 0, rejected: str | None = None,
+    max_files: int | None = None, rejected: str | None = None,
 ) -> StreamingQuery:
     """Merge every new file of `folder` into the table and stop when all are in.
 
-    The checkpoint remembers finished files. Batch n writes version first_version + n from the version
-    before it, so a batch repeated after a crash replaces its own output and counts once. Refused lines
-    and rows of batch n are kept in `rejected`/batch=n. The query's progress reports rows per batch.
+    The checkpoint remembers finished files, and beside it the newest version that the table had when the stream was
+    first started. Batch n writes the version n + 1 after that one from the version before it, so a batch repeated
+    after a crash replaces its own output and counts once. A version that somebody else has written meanwhile is
+    refused. Refused lines and rows of batch n are kept in `rejected`/batch=n. The query's progress reports rows per
+    batch.
     """
+    base = _base_version(spark, table, f"{checkpoint}-base")
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        version = first_version + batch_id
+        version, mark = base + 1 + batch_id, f"{checkpoint}-written/batch={batch_id}"
+        if not path_exists(spark, mark):
+            if max(snapshot_versions(spark, table), default=-1) >= version:
+                raise RuntimeError(f"version {version} of {table} was written by somebody else")
+            make_folder(spark, mark)
         # Rows of one file block are read by one task in file order.
         lines = batch.withColumn("row", F.monotonically_increasing_id()).filter(F.trim("value") != "")
         rows = parse(lines, mode)

@@ -24,18 +24,19 @@ def spark():
     session.stop()
 
 
+# One work in two formats, of which one is collected, and another work.
 ITEM_ROWS = [
-    (1, "zlib3", "123", "The Hobbit", "J.R.R. Tolkien", "Allen & Unwin", "en", "1937", "epub", 1000, "310",
-     "There and back again", "abc123md5", "9780261103344", "", "", datetime(2024, 5, 1)),
-    (2, "zlib3", "456", "Dune", "Frank Herbert", "Chilton Books", "en", "1965", "pdf", 2000, "412",
-     "Desert planet", "def456md5", "9780441172719", "", "", None),
-    (3, "zlib3", "789", "The Hobbit", "J.R.R. Tolkien", "Allen & Unwin", "en", "1937", "pdf", 3000, "310",
-     "There and back again", "ghi789md5", "9780261103344", "", "", None),
+    (1, "zlib3", "n17", "Salt Road Ferries", "Ada Quill", "Harbour & Lane", "en", "1988", "epub", 1100, "204",
+     "Crossings of a grey estuary", "sum-ferries-1", "9780000000171", "", "", datetime(2023, 3, 9)),
+    (2, "zlib3", "n23", "Copper Valley", "Tom_Verne", "Ridge House", "en", "1974", "pdf", 2300, "388",
+     "Winters in a mining town", "sum-copper", "9780000000232", "", "", None),
+    (3, "zlib3", "n31", "Salt Road Ferries", "Ada Quill", "Harbour & Lane", "en", "1988", "pdf", 3500, "204",
+     "Crossings of a grey estuary", "sum-ferries-2", "9780000000171", "", "", None),
 ]
 RATING_ROWS = [
-    (1, "gr1", "The Hobbit", "J.R.R. Tolkien", 4.28, 3500000, "Bilbo's adventure", "Fantasy,Adventure",
-     "9780261103344", "310", "1937"),
-    (2, "gr2", "Obscure Book", "Unknown Author", 2.1, 5, "Not very good", "Fiction", "", "100", "2020"),
+    (1, "r5", "Salt Road Ferries", "Ada Quill", 3.9, 820, "An adventure on the water", "Travel,Memoir",
+     "9780000000171", "204", "1988"),
+    (2, "r8", "Quiet Ledger", "Nora Holt", 2.4, 12, "A clerk counts days", "Drama", "", "96", "2011"),
 ]
 
 

@@ -6,8 +6,7 @@ import pytest
 
 from shelfspark.functions.analysis import STOP_WORDS, WEIGHTS
 from shelfspark.functions.stemmer import stem
-from shelfspark.operators import fulltext
-from shelfspark.operators.fulltext import build_index, doc_freq, plain_query, search_fts, tokenize, vocabulary, write_index
+from shelfspark.operators.fulltext import build_index, doc_freq, plain_query, read_index, search_fts, search_index, tokenize, update_index, vocabulary, write_index
 
 FIELDS = [("title", "A"), ("body", "D")]
 
@@ -46,9 +45,9 @@ def brute_rank(found, terms):
     return 1 - miss
 
 
-@pytest.mark.parametrize("config,broadcast", [("simple", 200_000), ("simple", 2), ("english", 200_000)])
+@pytest.mark.parametrize("config,broadcast", [("simple", "10m"), ("simple", "-1"), ("english", "10m")])
 def test_rank_equals_brute_force(spark, monkeypatch, config, broadcast):
-    monkeypatch.setattr(fulltext, "BROADCAST_TERMS", broadcast)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     rng = random.Random(3)
     pool = ["whale", "whales", "sea", "the", "of", "ship", "ships", "captain", "running", "ran"]
     docs = [
@@ -75,11 +74,11 @@ def test_rank_equals_brute_force(spark, monkeypatch, config, broadcast):
 
 
 def test_positions_continue_over_fields(spark):
-    df = spark.createDataFrame([(1, "The Hobbit of the", "Bilbo's ring")], "id LONG, title STRING, body STRING")
+    df = spark.createDataFrame([(1, "The Ferry of the", "Quill's oar")], "id LONG, title STRING, body STRING")
     simple = sorted((r.pos, r.surface, r.weight) for r in tokenize(df, FIELDS, "simple").collect())
-    assert simple[3:] == [(4, "the", 1.0), (5, "bilbo", 0.1), (6, "s", 0.1), (7, "ring", 0.1)]
+    assert simple[3:] == [(4, "the", 1.0), (5, "quill", 0.1), (6, "s", 0.1), (7, "oar", 0.1)]
     english = sorted((r.pos, r.surface) for r in tokenize(df, FIELDS, "english").collect())
-    assert english == [(2, "hobbit"), (3, "bilbo"), (5, "ring")]
+    assert english == [(2, "ferry"), (3, "quill"), (5, "oar")]
 
 
 def test_vocabulary_and_doc_freq(spark):
@@ -99,13 +98,44 @@ def test_written_index_gives_the_same_answer(spark, tmp_path):
     index = build_index(df, FIELDS, "simple")
     write_index(index, f"{tmp_path}/index")
     queries = spark.createDataFrame([(1, "common word3")], "request_id LONG, q STRING")
-    stored = spark.read.parquet(f"{tmp_path}/index")
     a = search_fts(index, queries, "simple", 4).orderBy("rank_no").collect()
-    assert a == search_fts(stored, queries, "simple", 4).orderBy("rank_no").collect()
+    assert a == search_index(f"{tmp_path}/index", queries, "simple", 4).orderBy("rank_no").collect()
     assert [r.id for r in a] == [3, 8, 13, 18]
+    assert sorted(read_index(spark, f"{tmp_path}/index").collect()) == sorted(index.collect())
+
+
+def test_updated_index_equals_a_new_one(spark, tmp_path):
+    rows = {i: (i, f"word{i % 5} common", "x y") for i in range(20)}
+    schema, path = "id LONG, title STRING, body STRING", f"{tmp_path}/index"
+    write_index(build_index(spark.createDataFrame(list(rows.values()), schema), FIELDS, "simple"), path)
+    for changes in ([(3, "other words", "x"), (30, "word3 common", "new")], [(3, "word3", "common again"), (8, "", "")]):
+        rows.update({r[0]: r for r in changes})
+        update_index(path, spark.createDataFrame(changes, schema), FIELDS, "simple")
+        fresh = build_index(spark.createDataFrame(list(rows.values()), schema), FIELDS, "simple")
+        assert sorted(read_index(spark, path).collect()) == sorted(fresh.collect())
+        queries = spark.createDataFrame([(1, "common word3"), (2, "new")], "request_id LONG, q STRING")
+        assert sorted(search_index(path, queries, "simple").collect()) == sorted(search_fts(fresh, queries, "simple").collect())
+    terms = plain_query(queries, "simple")
+    plan = read_index(spark, path, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") or "bucket#" in plan.split("PartitionFilters: [")[1][:60]
 
 
 def test_unknown_config(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id LONG, title STRING, body STRING")
     with pytest.raises(ValueError, match="unknown text configuration"):
         build_index(df, FIELDS, "klingon")
+
+
+def test_faint_ranks_keep_their_order(spark):
+    gaps = [90, 70, 50, 46]
+    docs = [(i, "", "oar " + "x " * (gap - 1) + "tide") for i, gap in enumerate(gaps)]
+    index = build_index(spark.createDataFrame(docs, "id LONG, title STRING, body STRING"), FIELDS, "simple")
+    found = search_fts(index, spark.createDataFrame([(1, "oar tide")], "request_id LONG, q STRING"), "simple", 10)
+    rows = found.orderBy("rank_no").collect()
+    assert [r.id for r in rows] == [3, 2, 1, 0] and all(r.rank > 0 for r in rows)
+
+
+def test_index_is_built_where_the_text_is_read(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "id LONG, title STRING, body STRING")
+    for config in ("simple", "english"):
+        assert "Exchange" not in build_index(df, FIELDS, config)._jdf.queryExecution().executedPlan().toString()

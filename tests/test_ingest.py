@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators.embedding import HashingEmbedder
+from shelfspark.operators.fulltext import build_index, read_index
 from shelfspark.operators.parse import parse_items
 from shelfspark.plans.ingest import run_ingest
-from shelfspark.schemas import ITEM_VALUES, ITEMS, VECTORS
+from shelfspark.schemas import ITEM_FIELDS, ITEM_VALUES, ITEMS, VECTORS
 from shelfspark.sources.meta import meta_current, meta_read
 from checks.feeds import pack_seekable
 from shelfspark.sources.storage import read_snapshot
@@ -37,8 +38,13 @@ def test_run_ingest(spark, tmp_path):
     feed(inputs, "a__zlib3_records__1.jsonl.zst", [item_line(n) for n in range(1, 41)] + [item_line(3, "Newer 3"), item_line("")], 1000)
     feed(inputs, "a__goodreads_records__1.jsonl.zst", [rating_line(n) for n in range(1, 11)], 1000)
     embedder = HashingEmbedder(8)
-    status = run_ingest(spark, str(inputs), root, embedder).first()
+    def index_is_fresh():
+        fresh = build_index(read_snapshot(spark, f"{root}/items", ITEMS), ITEM_FIELDS, "simple")
+        return sorted(read_index(spark, f"{root}/index/items").collect()) == sorted(fresh.collect())
+
+    status = run_ingest(spark, str(inputs), root, embedder, text_config="simple").first()
     assert (status.items_count, status.ratings_count, status.embedded, status.error) == (40, 10, 10, None)
+    assert index_is_fresh()
     assert (status.rejected, status.restored) == (1, 0)
     refused = spark.read.parquet(f"{root}/rejected/items").collect()
     assert [r.reason for r in refused] == ["no source_id"]
@@ -51,8 +57,9 @@ def test_run_ingest(spark, tmp_path):
 
     feed(inputs, "a__zlib3_records__1.jsonl.zst", [item_line(1), item_line(2, "Changed"), item_line(99)], 2000)
     feed(inputs, "a__goodreads_records__1.jsonl.zst", [rating_line(1), rating_line(2, "Changed")], 2000)
-    status = run_ingest(spark, str(inputs), root, embedder).first()
+    status = run_ingest(spark, str(inputs), root, embedder, text_config="simple", vector_cache=f"{tmp_path}/cache").first()
     assert (status.items_count, status.ratings_count, status.embedded) == (41, 10, 1)
+    assert index_is_fresh() and spark.read.json(f"{tmp_path}/cache").count() == 10
     after = {r.source_id: r for r in read_snapshot(spark, f"{root}/items", ITEMS).collect()}
     before = {r.source_id: r for r in items.collect()}
     assert after["99"].id == 41 and after["2"].title == "Changed" and after["2"].id == before["2"].id
@@ -115,3 +122,29 @@ def test_stream_ingest(spark, tmp_path):
     assert [r.value for r in spark.read.parquet(f"{tmp_path}/no").collect()] == ["broken"]
     add("c.jsonl", [item_line(4)], 3000)
     assert run()["4"] == (4, "Title 4")
+
+
+def test_stream_into_a_table_that_has_versions(spark, tmp_path):
+    from shelfspark.sources.storage import snapshot_versions, write_snapshot
+
+    folder, table, check = tmp_path / "in", f"{tmp_path}/items", f"{tmp_path}/check"
+    folder.mkdir()
+    old = parse_items(spark.createDataFrame([(item_line(7, "old"),), (item_line(8),)], "value STRING")).selectExpr("*", "cast(source_id AS LONG) AS id")
+    rows = spark.createDataFrame([], ITEMS).unionByName(old, allowMissingColumns=True)
+    write_snapshot(rows.limit(1), table)
+    write_snapshot(rows, table)
+
+    def run():
+        stream_ingest(spark, str(folder), table, ITEMS, check, parse_items, ITEM_VALUES, max_files=1).awaitTermination()
+        return {r.source_id: r.title for r in read_snapshot(spark, table, ITEMS).collect()}
+
+    (folder / "a.jsonl").write_text(item_line(7, "new") + "\n" + item_line(9) + "\n")
+    assert run() == {"7": "new", "8": "Title 8", "9": "Title 9"}
+    assert snapshot_versions(spark, table) == [0, 1, 2] and spark.read.parquet(f"{table}/version={0:012d}").count() == 1
+    (folder / "b.jsonl").write_text(item_line(10) + "\n")
+    assert "10" in run() and snapshot_versions(spark, table) == [0, 1, 2, 3]
+    write_snapshot(rows, table)
+    (folder / "c.jsonl").write_text(item_line(11) + "\n")
+    with pytest.raises(Exception, match="written by somebody else"):
+        run()
+    assert read_snapshot(spark, table, ITEMS).count() == 2

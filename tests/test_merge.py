@@ -85,10 +85,12 @@ def test_invalidate_vectors(spark):
 
 
 def test_collect_marks(spark, items):
-    keys = spark.createDataFrame([("def456md5",)], "md5 STRING")
+    keys = spark.createDataFrame([("sum-copper",), ("sum-copper",), ("unknown",)], "md5 STRING")
     marked = mark_collected(items, keys, F.lit(NEW))
+    assert marked.count() == items.count()
     assert sorted(r.id for r in marked.filter("downloaded_at IS NOT NULL").collect()) == [1, 2]
-    gone = unmark_collected(marked, spark.createDataFrame([("abc123md5",)], "md5 STRING"))
+    gone = unmark_collected(marked, spark.createDataFrame([("sum-ferries-1",), ("sum-ferries-1",)], "md5 STRING"))
+    assert gone.count() == items.count()
     assert [r.id for r in gone.filter("downloaded_at IS NOT NULL").collect()] == [2]
     assert gone.columns == items.columns
 

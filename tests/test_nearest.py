@@ -97,7 +97,9 @@ class Counting:
 
 
 def test_backoff():
-    assert embed_with_backoff(Counting(), ["a" * 35, "b"])[:, 0].tolist() == [8, 1]
+    whole = embed_with_backoff(Counting(), ["a" * 35, "b", "cc"])
+    assert whole.shape == (3, 2) and whole[1:, 0].tolist() == [1, 2]
+    assert abs(float((whole[0] ** 2).sum()) - 1) < 1e-9
 
     class Never(Counting):
         def embed(self, texts):

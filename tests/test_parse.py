@@ -6,9 +6,9 @@ from shelfspark.operators.parse import parse_items, parse_ratings, quarantine
 
 RECORD = {
     "aacid": "x", "metadata": {
-        "zlibrary_id": 22430000, "extension": "epub", "filesize_reported": 483359, "md5_reported": "63332c8d6514aa6081d088de96ed1d4f",
-        "title": " Bon dia ", "author": "A\x00utor", "publisher": "P", "language": "catalan", "series": "", "edition": "",
-        "year": "2021", "pages": "0", "description": "d\U0001f600d", "isbns": [],
+        "zlibrary_id": 4711, "extension": "djvu", "filesize_reported": 90210, "md5_reported": "0123456789abcdef0123456789abcdef",
+        "title": " Lantern Law ", "author": "Q\x00uill", "publisher": "Lane", "language": "welsh", "series": "Lights", "edition": "2",
+        "year": "1968", "pages": "77", "description": "e\U0001f600f", "isbns": [],
     },
 }
 
@@ -19,8 +19,8 @@ def lines(spark, *values):
 
 def test_full_item(spark):
     row = parse_items(lines(spark, RECORD)).first()
-    assert (row.source, row.source_id, row.title, row.author) == ("zlib3", "22430000", "Bon dia", "Autor")
-    assert (row.filesize, row.isbn, row.description, row.year) == (483359, "", "dd", "2021")
+    assert (row.source, row.source_id, row.title, row.author) == ("zlib3", "4711", "Lantern Law", "Quill")
+    assert (row.filesize, row.isbn, row.description, row.year) == (90210, "", "ef", "1968")
 
 
 def test_item_isbn_and_fallbacks(spark):
@@ -37,7 +37,7 @@ def test_item_isbn_and_fallbacks(spark):
     ]
 
 
-@pytest.mark.parametrize("bad", ["not json", "", '{"a":'])
+@pytest.mark.parametrize("bad", ["not json", "", '{"a":', "[1,"])
 def test_bad_json(spark, bad):
     frame = lines(spark, bad, {"title": "ok"})
     with pytest.raises(Exception, match="invalid JSON line"):
@@ -88,3 +88,10 @@ def test_rating_fallbacks(spark):
 def test_rating_bad_json(spark):
     with pytest.raises(Exception, match="invalid JSON line"):
         parse_ratings(lines(spark, "nope")).collect()
+
+
+@pytest.mark.parametrize("odd", ["[1, 2]", "5", "null", '"text"', '{"a": 1, "a": 2}', '{"metadata": "x"}', '{"metadata": {"title": ["a"]}}'])
+def test_valid_json_of_another_shape_is_no_error(spark, odd):
+    frame = lines(spark, odd, {"title": "ok"})
+    assert "ok" in [r.title for r in parse_items(frame).collect()]
+    assert parse_ratings(frame).collect() == [] and quarantine(frame).collect() == []
