@@ -13,15 +13,15 @@ from shelfspark.sources.meta import meta_current
 from shelfspark.sources.storage import stage
 
 EVENTS = "SELECT user_id, ts, event_id, event_type, value FROM {events}"
-# The table before the merge holds each user's last event that was no error, signup or purchase, the feed each
-# user's last one that was no click; users without such an event are only in one of them.
+# The table before the merge holds the last event that was no error or signup of users whose such events have a fair
+# mean, the feed the last one that was no click of users whose such events have no high mean: most users are in both.
 OLD = """
     SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value,
            user_id + 1000 AS id, timestamp '2023-01-01 00:00:00' AS updated_at
-    FROM {events} WHERE event_type NOT IN ('error', 'signup') GROUP BY user_id"""
+    FROM {events} WHERE event_type NOT IN ('error', 'signup') GROUP BY user_id HAVING avg(value) > 45"""
 NEW = """
     SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value
-    FROM {events} WHERE event_type <> 'click' GROUP BY user_id"""
+    FROM {events} WHERE event_type <> 'click' GROUP BY user_id HAVING avg(value) < 56"""
 MERGED = f"""WITH {ctes(o=OLD, n=NEW)}, j AS (
     SELECT coalesce(o.user_id, n.user_id) AS user_id, o.id, o.event_type AS old_type, o.value AS old_value, o.updated_at,
            n.event_type AS new_type, n.value AS new_value,
