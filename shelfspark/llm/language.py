@@ -166,13 +166,14 @@ def train(
 
     def compute(texts):
         found = [profile(t) for t in texts]
-        return {"at": [np.flatnonzero(p).tolist() for p in found], "n": [p[p > 0].tolist() for p in found]}
+        at = [np.flatnonzero(p).astype(np.int32) for p in found]
+        return {"at": [a.tobytes() for a in at], "n": [p[a].astype(np.int64).tobytes() for p, a in zip(found, at)]}
 
-    rows = with_columns(picked, "text", "at ARRAY<INT>, n ARRAY<INT>", compute).collect()
-    rows = sorted((r for r in rows if r.at), key=lambda r: (r.lang, r.id is not None, r.id, r.at))
+    rows = with_columns(picked, "text", "at BINARY, n BINARY", compute).collect()
+    rows = sorted((r for r in rows if r.at), key=lambda r: (r.lang, r.id is not None, r.id, bytes(r.at)))
     profiles = np.zeros((len(rows), BUCKETS))
     for i, r in enumerate(rows):
-        profiles[i, r.at] = r.n
+        profiles[i, np.frombuffer(r.at, np.int32)] = np.frombuffer(r.n, np.int64)
     return fit(profiles, [r.lang for r in rows])
 
 

@@ -139,17 +139,17 @@ def train(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: st
     picked = _described(docs, identity, text, "n_chars").join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
     got = sorted(
         with_columns(
-            picked.select("id", "label", "size", "text"), "text", "b ARRAY<INT>, w ARRAY<FLOAT>, s ARRAY<DOUBLE>",
-            lambda texts: dict(zip("bws", zip(*[[p.tolist() for p in describe(t, None)] for t in texts]))),
+            picked.select("id", "label", "size", "text"), "text", "b BINARY, w BINARY, s BINARY",
+            lambda texts: dict(zip("bws", zip(*[[p.tobytes() for p in describe(t, None)] for t in texts]))),
         ).select("id", "label", "size", "b", "w", "s").collect(),
-        key=lambda r: (r.id, r.s),
+        key=lambda r: (r.id, bytes(r.s)),
     )
     rows = []
     for r in got:
-        stats = np.array(r.s)
+        stats = np.frombuffer(r.s).copy()
         if r.size is not None:
             stats[-1] = np.log1p(max(r.size, 0))
-        rows.append((np.array(r.b, np.int64), np.array(r.w), stats))
+        rows.append((np.frombuffer(r.b, np.int64), np.frombuffer(r.w), stats))
     return fit_machine(rows, np.array([float(r.label > 0) for r in got]))
 
 
