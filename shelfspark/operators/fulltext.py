@@ -172,14 +172,16 @@ def match_terms(
         .withColumn("_place", F.row_number().over(whole.orderBy("doc_freq", "term")))
         .filter("_place = 1")
         .select(key, "term", "n_terms")
+        .join(terms.groupBy(key).agg(F.collect_set("term").alias("terms")), key)
     )
     firsts = used.filter("first").select("term", "id")
-    candidates = spread(rarest, key, "term").join(firsts, "term").select(key, "n_terms", "id")
+    candidates = spread(rarest, key, "term").join(firsts, "term").select(key, "n_terms", "terms", "id")
     if allowed is not None:
-        candidates = allowed(candidates).select(key, "n_terms", "id")
+        candidates = allowed(candidates).select(key, "n_terms", "terms", "id")
     # By document as well as by request: one request may match a large part of all documents.
     candidates = spread(candidates, key, "id")
-    wanted = candidates.join(terms.select(key, "term"), key)
+    # Each carries its request's terms, so that they need no join on the request.
+    wanted = candidates.select(key, "n_terms", "id", F.explode("terms").alias("term"))
     hits = wanted.join(used, ["id", "term"])
     found = F.sum(F.col("first").cast("int")).over(Window.partitionBy(key, "id"))
     return hits.withColumn("_found", found).filter("_found = n_terms").drop("_found", "first")

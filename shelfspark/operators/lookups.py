@@ -35,14 +35,18 @@ def with_availability(df: DataFrame, items: DataFrame) -> DataFrame:
 def contains_pairs(values: DataFrame, needles: DataFrame, key: str = "request_id") -> DataFrame:
     """(request_id, value) for every distinct value that holds the request's needle, case-blind.
 
-    Values and needles meet on a piece of at most three characters: the start of the needle's
-    longest run without wildcards. A needle of wildcards only meets every value on the empty piece.
+    Values and needles meet on a piece of at most three characters: of the pieces of the needle's longest run without
+    wildcards the one that fewest values have. A needle of wildcards only meets every value on the empty piece.
     """
     runs = F.split(F.lower(F.col("needle")), r"[%_\\]")
     longest = F.array_sort(
         runs, lambda a, b: (F.length(b) - F.length(a))
     )
-    pieces = needles.select(key, "needle", F.substring(longest[0], 1, GRAM).alias("piece"))
+    run = longest[0]
+    size = F.least(F.length(run), F.lit(GRAM))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(run) - size + 1, F.lit(1)))
+    offered = needles.select(
+        key, "needle", F.explode(F.transform(starts, lambda at: F.substr(run, at, size))).alias("piece"))
     low = F.lower(F.col("value"))
 
     def grams(size: int):
@@ -52,6 +56,9 @@ def contains_pairs(values: DataFrame, needles: DataFrame, key: str = "request_id
     every = F.array_distinct(F.concat(F.array(F.lit("")), *[grams(n) for n in range(1, GRAM + 1)]))
     distinct = values.filter(F.col("value").isNotNull()).distinct()
     cut = distinct.select("value", F.explode(every).alias("piece"))
+    held = cut.groupBy("piece").agg(F.count("*").alias("held"))
+    pieces = offered.join(held, "piece").groupBy(key, "needle").agg(
+        F.min_by("piece", F.struct("held", "piece")).alias("piece"))
     return (
         cut.join(pieces, "piece")
         .filter(contains_ci(F.col("value"), F.col("needle")))
