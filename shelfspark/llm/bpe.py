@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.words import Memo, sha256, with_columns
+from shelfspark.llm.words import Memo, claim, sha256, with_columns
 
 # symbols
 LETTER, NUMBER, OTHER, SHORT, LONG, GLUE, LONE, INNER, BREAK = range(9)
@@ -258,6 +258,7 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", w
 
     def compute(texts):
         codec = _codec(table)
+        claim(codec.memo)
         out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "starts": [], "piece_ids": []}
         for pieces in codec.pieces([t or "" for t in texts]):
             ids = codec.encode(pieces)

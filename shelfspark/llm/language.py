@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfspark.llm.words import Memo, fold, slices, with_columns
+from shelfspark.llm.words import Memo, claim, fold, slices, with_columns
 
 BUCKETS = 1 << 11
 PER_LANGUAGE = 1024
@@ -187,6 +187,7 @@ def predict_languages(docs: DataFrame, identifier: Identifier, identity: str = "
     rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
 
     def run(batches):
+        claim(_GRAMS)
         reader = Reader(shared.value)
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.words import codes, lists, sha256, windows, with_columns
+from shelfspark.llm.words import WORD_CODES, claim, codes, lists, sha256, windows, with_columns
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -77,6 +77,7 @@ def scan_licenses(
     """
 
     def compute(texts):
+        claim(WORD_CODES)
         rows = [words_of(t) for t in texts]
         starts = [np.cumsum([0, *[len(w) + 1 for w in words]]) for words in rows]
         return {

@@ -164,8 +164,9 @@ def score_documents(docs: DataFrame, machine: Machine, identity: str = "doc_id",
     def run(batches):
         import pyarrow as pa
 
-        from shelfspark.llm.words import slices
+        from shelfspark.llm.words import claim, slices
 
+        claim(_BUCKET)
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts, sizes = batch.column("text").to_pylist(), batch.column("size").to_pylist()
@@ -193,8 +194,9 @@ def keep_good(docs: DataFrame, machine: Machine, text: str = "text") -> DataFram
     def run(batches):
         import pyarrow as pa
 
-        from shelfspark.llm.words import slices
+        from shelfspark.llm.words import claim, slices
 
+        claim(_BUCKET)
         for whole in batches:
             for batch in slices(whole, text):
                 sizes = batch.column("n_chars").to_pylist() if "n_chars" in columns else [None] * batch.num_rows

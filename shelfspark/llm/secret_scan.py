@@ -162,9 +162,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with its secrets replaced in the text; all other columns and all rows stay as they are."""
     import pyarrow as pa
 
-    from shelfspark.llm.words import slices
+    from shelfspark.llm.words import claim, slices
 
     def run(batches):
+        claim()
         for whole in batches:
             for batch in slices(whole, text):
                 column = batch.schema.get_field_index(text)

@@ -16,7 +16,7 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.words import Memo, with_columns
+from shelfspark.llm.words import Memo, claim, with_columns
 from shelfspark.sources.storage import path_exists
 
 CACHE = "version STRING, digest BINARY, n_tokens LONG"
@@ -47,7 +47,9 @@ def encoded_counts(df: DataFrame, text: str, data: bytes) -> DataFrame:
     shared, version = df.sparkSession.sparkContext.broadcast(data), tokenizer_version(data)
 
     def compute(texts):
-        count = _counter(version, shared.value).__getitem__
+        memo = _counter(version, shared.value)
+        claim(memo)
+        count = memo.__getitem__
         return {"n_tokens": [sum(map(count, (t or "").split(" "))) if t else 0 for t in texts]}
 
     return with_columns(df, text, "n_tokens LONG", compute)

@@ -1,6 +1,7 @@
 """Helpers that run inside tasks: memoised functions, word codes, window codes, Arrow batches by text."""
 
 import hashlib
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,12 +18,26 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1342543DE82EF95)
 
 
+_MEMOS: list[weakref.ref] = []
+
+
+def claim(*kept: dict) -> None:
+    """Empty all memos of this process but the `kept` ones: a worker serves one operator after the other."""
+    for known in list(_MEMOS):
+        memo = known()
+        if memo is None:
+            _MEMOS.remove(known)
+        elif memo and not any(memo is k for k in kept):
+            memo.clear()
+
+
 class Memo(dict):
     """Results of `fn` by argument. It starts anew at `limit` entries, so its memory is bounded."""
 
     def __init__(self, fn: Callable, limit: int = MEMO_ENTRIES):
         super().__init__()
         self.fn, self.limit = fn, limit
+        _MEMOS.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.fn(key)
