@@ -5,7 +5,8 @@ of its tokens. Over all documents of a language (or of a script, where no langua
 measure give a band, and a text outside its band is rejected. Plain counts of words, symbols and repetitions are
 taken beside them.
 
-The vocabulary's tokens do not reach over white space, so tokens are memoised by word; the memo is bounded.
+The vocabulary's tokens do not reach over white space, so a text's tokens are those of its words. Words that a slice of
+texts brings anew are encoded in one call, and a bounded number of words is kept.
 """
 
 import math
@@ -16,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.words import Memo, codes, windows, with_columns
+from shelfspark.llm.words import with_columns
 from shelfspark.sources.storage import stage
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -25,6 +26,7 @@ SYMBOLS = "#*$%&|<>"
 FENCES = 6.0
 LEAST_WIDTH = 0.15
 LEAST_ROWS = 50
+MEMO_WORDS = 1 << 19
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 # First code points of scripts' main ranges.
 SCRIPTS = (
@@ -33,11 +35,14 @@ SCRIPTS = (
     (0x0E80, "other"), (0x1E00, "latin"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x4E00, "han"),
     (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"),
 )
+SCRIPT_NAMES = ["none", *sorted({n for _, n in SCRIPTS})]
 _STARTS, _NAMES = np.array([s for s, _ in SCRIPTS]), [n for _, n in SCRIPTS]
 
 
 def script_of(word: str) -> str:
     """Script of the first letter of a word; `none` without letters."""
+    if "a" <= word[:1] <= "z" or "A" <= word[:1] <= "Z":
+        return "latin"
     first = next((c for c in word if c.isalpha()), None)
     if first is None:
         return "none"
@@ -45,47 +50,53 @@ def script_of(word: str) -> str:
 
 
 class Meter:
-    """Tokens of words by one vocabulary, memoised."""
+    """Tokens of words by one vocabulary. Those of MEMO_WORDS words at most are kept, but all of the texts at hand."""
 
     def __init__(self, model: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bare = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.words = Memo(self._word)
-
-    def _word(self, word: str) -> tuple[np.ndarray, str]:
-        return np.array(self.model.encode(word, num_threads=1), np.int32), script_of(word)
-
-    def measure(self, words: list[str]) -> dict:
-        """Measures of one text given as words; a text without words has no tokens and neutral measures."""
-        if not words:
+        self.words: dict[str, tuple[np.ndarray, int]] = {}
+
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Encode the words of some texts that are not known yet, all in one call."""
+        wanted = set().union(*texts)
+        missing = wanted - self.words.keys()
+        if len(self.words) + len(missing) > MEMO_WORDS:
+            self.words.clear()
+            missing = wanted
+        missing = list(missing)
+        encoded = self.model.encode(missing, num_threads=1) if missing else []
+        self.words.update((w, (np.array(ids, np.int32), SCRIPT_NAMES.index(script_of(w)))) for w, ids in zip(missing, encoded))
+
+    def measure(self, seen: Counter, n_chars: int) -> dict:
+        """Measures of one text given as its words' counts and their characters; neutral ones without words."""
+        if not seen:
             return {"n_tokens": 0, "chars_per_token": 0.0, "byte_share": 0.0, "token_entropy": 0.0, "script": "none"}
-        seen = Counter(words)
-        tokens, scripts = [], Counter()
         counts = np.fromiter(seen.values(), np.int64, len(seen))
-        for word, n in seen.items():
-            found, script = self.words[word]
-            tokens.append(found)
-            scripts[script] += n
+        tokens, scripts = zip(*map(self.words.__getitem__, seen))
         flat = np.concatenate(tokens)
-        weights = np.repeat(counts, [len(t) for t in tokens])
+        weights = np.repeat(counts, np.fromiter(map(len, tokens), np.int64, len(tokens)))
         total = max(int(weights.sum()), 1)
         kinds = np.bincount(flat, weights)
         kinds = kinds[kinds > 0] / total
-        scripts.pop("none", None)
+        by_script = np.bincount(scripts, counts, minlength=len(SCRIPT_NAMES))[1:]
         return {
             "n_tokens": int(weights.sum()),
-            "chars_per_token": sum(map(len, words)) / total,
+            "chars_per_token": n_chars / total,
             "byte_share": float(weights[self.bare[flat]].sum()) / total,
             "token_entropy": float(-(kinds * np.log2(kinds)).sum()) / max(math.log2(total), 1.0) if len(kinds) else 0.0,
-            "script": min(scripts, key=lambda s: (-scripts[s], s)) if scripts else "none",
+            "script": SCRIPT_NAMES[int(by_script.argmax()) + 1] if by_script.any() else SCRIPT_NAMES[0],
         }
 
 
-def plain_counts(text: str, words: list[str]) -> dict:
+def plain_counts(text: str, words: list[str], seen: Counter) -> dict:
     """Exact counts of words, their characters, symbols, repeated lines and repeated three-word windows."""
     lines = [line for line in text.split("\n") if line.strip(SPACE)]
-    own = codes([w.encode("utf-8", "surrogatepass") for w in words])
-    made, place, count = np.unique(windows(own, 3), return_inverse=True, return_counts=True)
+    numbers = {w: i for i, w in enumerate(seen)}
+    own = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    kinds = len(numbers) + 1
+    pairs = np.unique(own[:-1] * kinds + own[1:], return_inverse=True)[1] if len(words) > 2 else own[:0]
+    made, place, count = np.unique(pairs[:-1] * kinds + own[2:], return_inverse=True, return_counts=True)
     covered = np.zeros(len(words), bool)
     if len(made):
         again = np.flatnonzero(count[place] > 1)
@@ -98,6 +109,15 @@ def plain_counts(text: str, words: list[str]) -> dict:
     }
 
 
+def split_words(text: str | None) -> list[str]:
+    """What the six ASCII white-space characters separate."""
+    if not text:
+        return []
+    for c in SPACE[1:]:
+        text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
+
+
 _METERS: dict[int, Meter] = {}
 
 
@@ -109,11 +129,13 @@ def measure_documents(docs: DataFrame, model: bytes, identity: str = "doc_id", t
         if key not in _METERS:
             _METERS.clear()
             _METERS[key] = Meter(shared.value)
+        meter, cut = _METERS[key], [split_words(t) for t in texts]
+        meter.prepare(cut)
         out: dict[str, list] = {}
-        for t in texts:
-            raw = (t or "").translate(_BREAKS) if t and any(c in t for c in "\t\n\x0b\x0c\r") else (t or "")
-            words = [w for w in raw.split(" ") if w]
-            for name, value in (plain_counts(t or "", words) | _METERS[key].measure(words)).items():
+        for t, words in zip(texts, cut):
+            seen = Counter(words)
+            counts = plain_counts(t or "", words, seen)
+            for name, value in (counts | meter.measure(seen, counts["word_chars"])).items():
                 out.setdefault(name, []).append(value)
         return out if out else {n: [] for n in (*_COUNTS, *MEASURES, "n_tokens", "script")}
 
@@ -125,7 +147,6 @@ def measure_documents(docs: DataFrame, model: bytes, identity: str = "doc_id", t
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_BREAKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def rejection_bands(measured: DataFrame) -> DataFrame:

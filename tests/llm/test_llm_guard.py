@@ -23,3 +23,13 @@ def test_the_rest_works_without_it(tmp_path):
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     n, *without = said.stdout.split()
     assert int(n) > 70 and without == ["False", "False"], said.stderr
+
+
+def test_a_memo_is_bounded_and_gives_way():
+    from shelfspark.llm.words import Memo, claim
+
+    one, two = Memo(lambda x: x + 1, 4), Memo(str)
+    assert [one[i] for i in range(20)] == list(range(1, 21)) and len(one) <= 4
+    assert two[5] == "5"
+    claim(two)
+    assert not one and two == {5: "5"}
