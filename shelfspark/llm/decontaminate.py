@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.words import Memo, lists, sha256, windows, with_columns
+from shelfspark.llm.words import Memo, claim, lists, sha256, windows, with_columns
 
 WINDOW = 8
 LEAST = 4
@@ -39,12 +39,15 @@ _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:%|[a-z]{1,3})?|[-+$€£]\.?\d+"
 
 def _canonical(word: str) -> int:
     """Code of the word's canonical form with its flags in the low bits; 0 if nothing is left of it."""
+    if word.isalpha() and word.islower():  # the common case, which needs no stripping
+        return max(xxhash.xxh3_64_intdigest(word.encode()) & ~15, 64) | UNIT * (word in UNITS)
     bare = word.strip(EDGES)
     if not bare:
         return STOP if word[-1:] in ".!?" else 0
-    low = bare.lower()
-    flags = CAPITAL * bare[0].isupper() | STOP * (word.rstrip("\"')]»”’")[-1:] in (".", "!", "?")) | UNIT * (low in UNITS)
-    if _NUMBER.fullmatch(low):
+    low, first = bare.lower(), bare[0]
+    stop = word[-1] in ".!?" or word.rstrip("\"')]»”’")[-1:] in (".", "!", "?")
+    flags = CAPITAL * first.isupper() | STOP * stop | UNIT * (low in UNITS)
+    if not first.isalpha() and _NUMBER.fullmatch(low):
         return int(NUMBER_CODE) | NUMBER | flags & ~CAPITAL
     return max(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~15, 64) | flags
 
@@ -86,6 +89,7 @@ def _described(df: DataFrame, sizes: list[int]) -> DataFrame:
     """Rows (id, text) as (id, digest, n_words, codes, slots); codes holds n_words entries for each of `sizes`."""
 
     def compute(texts):
+        claim(_WORDS)
         out = {"digest": [], "n_words": [], "codes": [], "slots": []}
         for t in texts:
             code, slot, words = canonical(t)
