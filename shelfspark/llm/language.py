@@ -5,7 +5,8 @@ ends marked) of a text as shares of all its n-grams. A text gets the language wh
 against the classifiers' margins, each bit weighted by how well its classifier does on the rows it learned from; if
 the runner-up is close, the text is flagged as ambiguous.
 
-As the classifiers are linear, a word's n-grams add a fixed vector, so vectors are memoised by word.
+As the classifiers are linear, a word's n-grams add a fixed vector. Vectors of the words that a slice of texts brings
+anew are made together, and a bounded number of words is kept.
 """
 
 import math
@@ -14,19 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfspark.llm.words import Memo, claim, fold, slices, with_columns
+from shelfspark.llm.words import MIX, STEP, claim, fold, slices, with_columns
 
-BUCKETS = 1 << 11
+BITS = 11
+BUCKETS = 1 << BITS
 PER_LANGUAGE = 1024
 STEPS = 400
 RATE = 0.05
 CLOSE = 0.2
-VECTORS = 1 << 17
+VECTORS = 1 << 19
 WORD = re.compile(r"[^\W\d_]+")
 NOTHING = "und"
 
@@ -36,21 +37,28 @@ def letters(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def grams(word: str) -> list[int]:
-    marked = f"^{word}$"
-    return [
-        xxhash.xxh32_intdigest(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS
-        for n in (1, 2, 3) for i in range(len(marked) - n + 1)
-    ]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, whether there is an n-gram, first row of each word) of n-grams of marked words.
 
-
-_GRAMS = Memo(grams, 1 << 16)
+    Row i holds the n-grams of one, two and three letters that begin at letter i of the words laid end to end.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    letter = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    firsts = np.cumsum(sizes) - sizes
+    left = np.repeat(firsts + sizes, sizes) - np.arange(len(letter))
+    there = left[:, None] >= np.array([1, 2, 3])
+    second, third = np.append(letter[1:], 0).astype(np.uint64), np.append(letter[2:], [0, 0]).astype(np.uint64)
+    code = np.stack([letter, letter * STEP + second, (letter * STEP + second) * STEP + third], 1) + np.arange(3, dtype=np.uint64)
+    return ((code * MIX) >> np.uint64(64 - BITS)).astype(np.int64), there, firsts
 
 
 def profile(text: str | None) -> np.ndarray:
     """Counts of hashed n-grams."""
-    found = [g for word in letters(text) for g in _GRAMS[word]]
-    return np.bincount(found, minlength=BUCKETS) if found else np.zeros(BUCKETS, np.int64)
+    found = letters(text)
+    if not found:
+        return np.zeros(BUCKETS, np.int64)
+    buckets, there, _ = grams(found)
+    return np.bincount(buckets[there], minlength=BUCKETS)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -76,9 +84,11 @@ class Identifier:
     bias: np.ndarray
     trust: np.ndarray
 
-    def vector(self, word: str) -> np.ndarray:
-        at = _GRAMS[word]
-        return np.append(self.weights[at].sum(0), len(at))
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the margins, and its number of n-grams."""
+        buckets, there, firsts = grams(words)
+        added = (self.weights[buckets] * there[:, :, None]).sum(1)
+        return np.add.reduceat(np.column_stack([added, there.sum(1)]), firsts, axis=0)
 
     def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
         loss = (np.logaddexp(0, -self.words * margins) * self.trust).sum(1)
@@ -89,36 +99,40 @@ class Identifier:
 
 
 class Reader:
-    """Predicts texts; keeps the vectors of words in one table that starts anew when it is full."""
+    """Predicts texts. Vectors of VECTORS words at most are kept, but all of the texts at hand."""
 
     def __init__(self, identifier: Identifier):
         self.known = identifier
         self.table = np.zeros((VECTORS, len(identifier.bias) + 1), np.float32)
         self.places: dict[str, int] = {}
 
-    def totals(self, found: list[str]) -> np.ndarray:
-        total = np.zeros(self.table.shape[1])
-        for start in range(0, len(found), VECTORS // 4):
-            part = found[start : start + VECTORS // 4]
-            if len(self.places) + len(part) > VECTORS:
-                self.places.clear()
-            get, places = self.places.get, self.places
-            at = [get(w, -1) for w in part]
-            for i, place in enumerate(at):
-                if place < 0:
-                    if (place := get(part[i], -1)) < 0:
-                        place = places[part[i]] = len(places)
-                        self.table[place] = self.known.vector(part[i])
-                    at[i] = place
-            total += self.table[at].sum(0, dtype=np.float64)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        found = letters(text)
-        if not found or not self.known.languages:
-            return NOTHING, 0.0, False
-        total = self.totals(found)
-        return self.known.decode(total[:-1] / total[-1] + self.known.bias)
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Vectors of the words of some texts that are not known yet."""
+        wanted = set().union(*texts)
+        missing = wanted - self.places.keys()
+        if len(self.places) + len(missing) > VECTORS:
+            self.places.clear()
+            missing = wanted
+        if len(missing) > len(self.table) - len(self.places):
+            self.table = np.zeros((len(missing), self.table.shape[1]), np.float32)
+        missing = list(missing)
+        for start in range(0, len(missing), 1 << 14):
+            part, place = missing[start : start + (1 << 14)], len(self.places)
+            self.table[place : place + len(part)] = self.known.vectors(part)
+            self.places.update(zip(part, range(place, place + len(part))))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        cut = [letters(t) for t in texts] if self.known.languages else [[] for _ in texts]
+        self.prepare(cut)
+        out = []
+        for found in cut:
+            if not found:
+                out.append((NOTHING, 0.0, False))
+                continue
+            at = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
+            total = sum(self.table[at[i : i + VECTORS]].sum(0, dtype=np.float64) for i in range(0, len(at), VECTORS))
+            out.append(self.known.decode(total[:-1] / total[-1] + self.known.bias))
+        return out
 
 
 def fit(profiles: np.ndarray, languages: list[str]) -> Identifier:
@@ -187,11 +201,11 @@ def predict_languages(docs: DataFrame, identifier: Identifier, identity: str = "
     rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
 
     def run(batches):
-        claim(_GRAMS)
+        claim()
         reader = Reader(shared.value)
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = list(zip(*map(reader.predict, batch.column("text").to_pylist()))) or [[], [], []]
+                found = list(zip(*reader.predict_all(batch.column("text").to_pylist()))) or [[], [], []]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()),
                      pa.array(found[2], pa.bool_())], ["id", "lang_pred", "score", "ambiguous"])

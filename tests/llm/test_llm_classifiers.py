@@ -85,8 +85,8 @@ def test_words_add_up_to_the_profile(identifier):
     for text in ("Die Schiffe fahren", "le bateau à l'eau " * 50, "x" * 5000):
         counts = language.profile(text)
         margins = counts @ identifier.weights / counts.sum() + identifier.bias
-        assert reader.predict(text)[0] == identifier.decode(margins)[0]
-        assert abs(reader.predict(text)[1] - identifier.decode(margins)[1]) < 1e-3
+        (lang, score, _), = reader.predict_all([text])
+        assert lang == identifier.decode(margins)[0] and abs(score - identifier.decode(margins)[1]) < 1e-3
 
 
 def test_language_edges(spark, identifier):
