@@ -12,7 +12,8 @@ global orders of the tokens, as in any order the first |A| - needed + 1 tokens o
 Equal sets are one node, so copies are never paired. Groups of near copies are not expanded either: in each round the
 nodes posted under a token are compared with one of them, the hub, unless they are known to be connected. When
 rounds find nothing new, all pairs left under a token that are not yet connected are compared, so no link that matters
-to a component is lost. Components are kept in tables, halving paths by joins; links are never gathered.
+to a component is lost. Of these the join itself drops pairs whose parity bitmaps differ in more bits than two linked
+sets can differ in tokens, as each differing token flips one bit. Components are kept in tables, halving paths by joins; links are never gathered.
 """
 
 import numpy as np
@@ -21,13 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.words import MIX, lists, shingles, slices, with_columns
+from shelfspark.llm.words import MIX, WORD_CODES, claim, lists, shingles, slices, with_columns
 from shelfspark.sources.storage import stage
 
 SHINGLE = 5
 PERCENT = 75
 ROUNDS = 6
 GAIN = 0.02
+WORDS = 16
+BITMAP = [f"bits{i}" for i in range(WORDS)]
 
 
 def needed(n, percent: int):
@@ -53,6 +56,13 @@ def set_key(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens)))))
 
 
+def parity_bitmap(tokens: np.ndarray) -> list[int]:
+    """WORDS signed numbers whose bits say of how many tokens, odd or even, each is the hash."""
+    places = ((tokens * MIX) >> np.uint64(40)) % np.uint64(WORDS * 64)
+    odd = (np.bincount(places.astype(np.int64), minlength=WORDS * 64) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def _third_order(tokens: np.ndarray) -> np.ndarray:
     """Codes under which the third order sorts."""
     mixed = (tokens ^ (tokens >> np.uint64(31))) * MIX
@@ -63,6 +73,7 @@ def _members(docs: DataFrame, identity: str, text: str, n: int) -> DataFrame:
     """(id, n_shingles, key) of every row; key is null for an empty set."""
 
     def compute(texts):
+        claim(WORD_CODES)
         sets = [shingles(t, n) for t in texts]
         return {"n_shingles": [len(s) for s in sets], "key": [set_key(s) if len(s) else None for s in sets]}
 
@@ -74,6 +85,7 @@ def _first_prefixes(docs: DataFrame, text: str, n: int, percent: int) -> DataFra
     """(key, n_shingles, tokens): the lengthened prefix by code; equal sets of an Arrow batch once."""
 
     def run(batches):
+        claim(WORD_CODES)
         for whole in batches:
             for batch in slices(whole, "text"):
                 keys, sizes, tokens = [], [], []
@@ -106,16 +118,19 @@ def _plausible(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, members: DataFrame, keys: DataFrame, identity: str, text: str, n: int) -> DataFrame:
-    """(key, text), one row for each of `keys`."""
+    """(key, text, parity bitmap), one row for each of `keys`."""
     firsts = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("first"))
     rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
     found = rows.join(firsts, F.col("id").eqNullSafe(F.col("first"))).select("key", "text")
 
     def compute(texts):
-        return {"own": [set_key(s) if len(s := shingles(t, n)) else None for t in texts]}
+        sets = [shingles(t, n) for t in texts]
+        bitmaps = zip(*[parity_bitmap(s) for s in sets]) if sets else [()] * WORDS
+        return {"own": [set_key(s) if len(s) else None for s in sets]} | dict(zip(BITMAP, map(list, bitmaps)))
 
-    checked = with_columns(found, "text", "own LONG", compute, keep_text=True).filter("key = own")
-    return checked.dropDuplicates(["key"]).select("key", "text")
+    ddl = "own LONG, " + ", ".join(f"{b} LONG" for b in BITMAP)
+    checked = with_columns(found, "text", ddl, compute, keep_text=True).filter("key = own")
+    return checked.dropDuplicates(["key"]).select("key", "text", *BITMAP)
 
 
 def _second_postings(texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -223,16 +238,23 @@ def _hub_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
     return met.select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
 
 
-def _rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs under a token that are not yet connected, one side outside the token's largest component."""
+def _rest_pairs(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All pairs under a token that are not yet connected and may link by size and bitmap.
+
+    One side is outside the token's largest component, so that component is never paired with itself.
+    """
     counts = rows.groupBy("token", "component").count()
     largest = counts.groupBy("token").agg(
         F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
     mixed = rows.join(largest.select("token", F.col("most.component").alias("main")), "token")
+    mixed = mixed.join(texts.select("key", *BITMAP), "key")
     outer = mixed.filter("component <> main").select(
-        "token", F.col("key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("component_a"))
+        "token", F.col("key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("component_a"),
+        *[F.col(b).alias(f"{b}_a") for b in BITMAP])
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_a"))) for b in BITMAP), F.lit(0))
     met = outer.join(mixed, "token").filter(
         (F.col("component") != F.col("component_a")) & _sizes_fit("n_shingles", "n_a", percent)
+        & (differ * (100 + percent) <= (F.col("n_shingles") + F.col("n_a")) * (100 - percent))
         & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("key"))))
     return met.select("a", F.col("key").alias("b")).distinct()
 
@@ -253,7 +275,7 @@ def key_components(docs: DataFrame, members: DataFrame, identity: str, text: str
     for seed in range(ROUNDS + 1):
         rows = _labelled(postings, labels)
         last = seed == ROUNDS
-        pairs = _untested(_rest_pairs(rows, percent) if last else _hub_pairs(rows, seed, percent), tested)
+        pairs = _untested(_rest_pairs(rows, texts, percent) if last else _hub_pairs(rows, seed, percent), tested)
         checked = stage(_linked(pairs, texts, n, percent))
         tested.append(checked)
         links = checked.filter("linked")
@@ -262,7 +284,7 @@ def key_components(docs: DataFrame, members: DataFrame, identity: str, text: str
             labels = _joined(labels, links)
         if not last and found < GAIN * nodes:
             rows = _labelled(postings, labels)
-            links = stage(_linked(_untested(_rest_pairs(rows, percent), tested), texts, n, percent)).filter("linked")
+            links = stage(_linked(_untested(_rest_pairs(rows, texts, percent), tested), texts, n, percent)).filter("linked")
             return _joined(labels, links) if links.limit(1).count() else labels
     return labels
 
