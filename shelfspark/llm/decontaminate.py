@@ -6,11 +6,17 @@ hash-joined to those of the benchmark, so a question with other numbers or names
 behind the placeholders then have to agree: over the matched windows of an item that lie on one diagonal, equal values
 must have been replaced by equal values; where they are not, only windows with the item's own values count.
 
-A window with more placeholders than half its words says too little and is left out. An item shorter than WINDOW is
-one window; one of less than LEAST words only matches a document with no other words.
+A window with more placeholders than half its words says too little as a template. Beside its template every window
+therefore has a plain code, of its words without case and punctuation, with numbers and names as they stand; an item's
+window is held when either code is met. So copies in capitals or without punctuation, rows of numbers and lists of names
+are found as well.
+
+An item shorter than WINDOW is one window; one of less than LEAST words only matches a document with no other words.
 """
 
 import re
+import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -34,34 +40,45 @@ UNITS = frozenset(
     "cents kmh mph".split()
 )
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—*_`"
+STOPS = (".", "!", "?")
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:%|[a-z]{1,3})?|[-+$€£]\.?\d+")
 
 
-def _canonical(word: str) -> int:
-    """Code of the word's canonical form with its flags in the low bits; 0 if nothing is left of it."""
-    if word.isalpha() and word.islower():  # the common case, which needs no stripping
-        return max(xxhash.xxh3_64_intdigest(word.encode()) & ~15, 64) | UNIT * (word in UNITS)
+def _code(word: str) -> int:
+    return max(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~15, 64)
+
+
+def _canonical(word: str) -> bytes:
+    """Code of the word's canonical form with its flags in the low bits, then that of its plain form.
+
+    Both are 0 if nothing is left of the word, and alike for words in small letters. Signs such as + stay in both.
+    """
+    if word.isalpha() and word.islower() and word.isascii():  # the common case, which needs no stripping
+        code = _code(word)
+        return _PAIR.pack(code | UNIT * (word in UNITS), code)
     bare = word.strip(EDGES)
     if not bare:
-        return STOP if word[-1:] in ".!?" else 0
+        return _PAIR.pack(STOP if word.endswith(STOPS) else 0, 0)
     low, first = bare.lower(), bare[0]
-    stop = word[-1] in ".!?" or word.rstrip("\"')]»”’")[-1:] in (".", "!", "?")
+    stop = word.endswith(STOPS) or word.rstrip("\"')]»”’").endswith(STOPS)
     flags = CAPITAL * first.isupper() | STOP * stop | UNIT * (low in UNITS)
     if not first.isalpha() and _NUMBER.fullmatch(low):
-        return int(NUMBER_CODE) | NUMBER | flags & ~CAPITAL
-    return max(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~15, 64) | flags
+        return _PAIR.pack(int(NUMBER_CODE) | NUMBER | flags & ~CAPITAL, _code(low))
+    plain = "".join(c for c in bare.casefold() if c.isalnum() or unicodedata.category(c)[0] == "M")
+    return _PAIR.pack(_code(low) | flags, _code(plain or low))
 
 
+_PAIR = struct.Struct("=QQ")
 _WORDS = Memo(_canonical)
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(codes of the canonical words, which are placeholders, the words themselves)."""
+def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(codes of the canonical words, which are placeholders, the words themselves, their plain codes)."""
     words = (text or "").split()
-    flagged = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    flagged, plain = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), np.uint64).reshape(-1, 2).T
     flags, code = (flagged & np.uint64(15)).astype(np.int64), flagged & ~np.uint64(15)
     if not len(words):
-        return code, np.empty(0, bool), words
+        return code, np.empty(0, bool), words, plain
     starts = np.append(True, (flags[:-1] & STOP) > 0)
     name = ((flags & CAPITAL) > 0) & ~starts
     code = np.where(name, NAME_CODE, code)
@@ -70,8 +87,8 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     there = code != 0
     if not there.all():
         words = [w for w, t in zip(words, there.tolist()) if t]
-        code = code[there]
-    return code, code < np.uint64(64), words
+        code, plain = code[there], plain[there]
+    return code, code < np.uint64(64), words, plain
 
 
 def _window_codes(code: np.ndarray, slot: np.ndarray, size: int) -> np.ndarray:
@@ -85,37 +102,59 @@ def _window_codes(code: np.ndarray, slot: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _described(df: DataFrame, sizes: list[int]) -> DataFrame:
-    """Rows (id, text) as (id, digest, n_words, codes, slots); codes holds n_words entries for each of `sizes`."""
+def _plain_windows(plain: np.ndarray, made: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, places) of the windows of `size` plain words whose code is not the template's in `made`."""
+    codes = _window_codes(plain, np.zeros(len(plain), bool), size)
+    at = np.flatnonzero(codes != made)
+    at = at[codes[at] != 0]
+    return codes[at], at
+
+
+def _described(df: DataFrame, sizes: list[int] | None, window: int) -> DataFrame:
+    """Rows (id, text) as (id, digest, n_words, n_typed, codes, plain_at, slots).
+
+    codes begins with n_typed entries, n_words for each of `sizes`, or for the text's own size if there are none given:
+    `window`, or all words if there are fewer. The plain codes that differ follow, with their places in plain_at.
+    """
 
     def compute(texts):
         claim(_WORDS)
-        out = {"digest": [], "n_words": [], "codes": [], "slots": []}
+        out = {n: [] for n in ("digest", "n_words", "n_typed", "codes", "plain_at", "slots")}
         for t in texts:
-            code, slot, words = canonical(t)
+            code, slot, words, plain = canonical(t)
+            own = sizes or [min(window, max(len(code), 1))]
+            made, codes, places = [_window_codes(code, slot, s) for s in own], [], []
+            if not np.array_equal(code, plain):
+                codes, places = zip(*[_plain_windows(plain, m, s) for s, m in zip(own, made)])
             out["digest"].append(sha256(t or ""))
             out["n_words"].append(len(code))
-            out["codes"].append(np.concatenate([_window_codes(code, slot, s) for s in sizes]))
+            out["n_typed"].append(sum(map(len, made)))
+            out["codes"].append(np.concatenate([*made, *codes]))
+            out["plain_at"].append(np.concatenate([np.empty(0, np.int64), *places]))
             out["slots"].append([{"at": i, "value": words[i].strip(EDGES).lower()} for i in np.flatnonzero(slot).tolist()])
         out["codes"] = lists(out["codes"], pa.int64())
+        out["plain_at"] = lists(out["plain_at"], pa.int32())
         return out
 
     return with_columns(
-        df, "text", "digest STRING, n_words INT, codes ARRAY<LONG>, slots ARRAY<STRUCT<at INT, value STRING>>", compute)
+        df, "text", "digest STRING, n_words INT, n_typed INT, codes ARRAY<LONG>, plain_at ARRAY<INT>, "
+        "slots ARRAY<STRUCT<at INT, value STRING>>", compute)
 
 
-def _hits(described: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row (id, digest, place, code, size, values) per window; values are evaluated only where they are used."""
-    size = F.element_at(F.array(*[F.lit(s) for s in sizes]), (F.col("spot") / F.col("n_words")).cast("int") + 1)
-    return (
-        described.select("id", "digest", "n_words", "slots", F.posexplode("codes").alias("spot", "code"))
-        .filter(F.col("code") != 0)
-        .withColumn("place", F.col("spot") % F.col("n_words")).withColumn("size", size)
-    )
+def _hits(described: DataFrame) -> DataFrame:
+    """A row (id, digest, spot, code) and what tells the place per window."""
+    return described.select(
+        "id", "digest", "n_words", "n_typed", "plain_at", "slots", "codes", F.posexplode("codes").alias("spot", "code")
+    ).filter(F.col("code") != 0)
+
+
+def _place():
+    return F.when(F.col("spot") < F.col("n_typed"), F.col("spot") % F.col("n_words")).otherwise(
+        F.get("plain_at", F.col("spot") - F.col("n_typed")))
 
 
-def _values():
-    inside = F.filter("slots", lambda s: (s["at"] >= F.col("place")) & (s["at"] < F.col("place") + F.col("size")))
+def _values(size):
+    inside = F.filter("slots", lambda s: (s["at"] >= F.col("place")) & (s["at"] < F.col("place") + size))
     return F.transform(inside, lambda s: s["value"])
 
 
@@ -125,8 +164,9 @@ def find_leaks(
 ) -> DataFrame:
     """(identity, item, digest, n_windows, coverage, kind), a row for each document and item that it holds.
 
-    An item counts as held when `coverage` of its windows match, or so many that they span `run_words` words. kind is
-    `exact` when all values behind placeholders are the item's own, else `reparameterised`. digest is the hex sha256
+    An item counts as held when `coverage` of its windows match, or `coverage` of those that have a template, or so many
+    that they span `run_words` words; coverage is the larger share. kind is `exact` when all values behind placeholders
+    are the item's own, else `reparameterised`. digest is the hex sha256
     of the document's text. This counts the benchmark's windows at once: up to BROADCAST_WINDOWS they are broadcast,
     beyond that the join is shuffled.
 
@@ -135,23 +175,23 @@ def find_leaks(
     there are no rows.
     """
     items = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("text"))
-    words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
-    small = [r[0] for r in items.select(words.alias("n")).filter(F.col("n") < window * 2).distinct().collect()]
-    sizes = sorted({window, *range(1, min(window, max(small, default=0) + 1))}, reverse=True)
-    own = _hits(_described(items, sizes), sizes).filter(
-        (F.col("size") == window) | ((F.col("n_words") < window) & (F.col("size") == F.col("n_words"))))
-    own = own.select(
+    known = _described(items, None, window)
+    short = known.select("n_words").filter(F.col("n_words").between(1, window - 1)).distinct().collect()
+    sizes = sorted({window, *(r.n_words for r in short)}, reverse=True)
+    own = _hits(known).withColumn("place", _place()).select(
         F.col("id").alias("item"), F.col("digest").alias("item_digest"), F.col("place").alias("item_place"), "code",
-        F.col("size").alias("item_size"), _values().alias("item_values"))
-    totals = own.groupBy("item", "item_digest").agg(F.count_distinct("item_place").alias("n_item"))
+        F.least("n_words", F.lit(window)).alias("item_size"), (F.get("codes", F.col("place")) != 0).alias("typed"),
+        F.filter(_values(F.least("n_words", F.lit(window))), lambda v: F.col("spot") < F.col("n_typed")).alias("item_values"))
+    totals = own.groupBy("item", "item_digest").agg(
+        F.count_distinct("item_place").alias("n_item"), F.collect_set(F.when(~F.col("typed"), F.col("item_place"))).alias("bare"))
     if own.count() <= BROADCAST_WINDOWS:
         own, totals = F.broadcast(own), F.broadcast(totals)
-    rows = _described(docs.select(F.col(identity).alias("id"), F.col(text).alias("text")), sizes)
+    rows = _described(docs.select(F.col(identity).alias("id"), F.col(text).alias("text")), sizes, window)
+    pairs = F.arrays_zip(F.col("item_values").alias("was"), _values(F.col("item_size")).alias("now"))
     hits = (
-        _hits(rows, sizes).join(own, "code").filter(F.col("size") == F.col("item_size"))
-        .withColumn("values", _values())
+        _hits(rows).join(own, "code").withColumn("place", _place())
         .select("id", "digest", "item", "item_digest", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"),
-                F.arrays_zip(F.col("item_values").alias("was"), F.col("values").alias("now")).alias("pairs"))
+                F.filter(pairs, lambda p: F.size("item_values") > 0).alias("pairs"))  # none: the words themselves were met
     )
     other = F.exists("pairs", lambda p: ~p["was"].eqNullSafe(p["now"]))
     document = ["id", "digest", "item", "item_digest"]
@@ -163,13 +203,17 @@ def find_leaks(
         .withColumn("steady", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["was"]))))
         .select(*document, F.when(F.col("steady"), F.col("all")).otherwise(F.col("same")).alias("places"), F.col("same"))
     )
-    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    n_typed = F.col("n_item") - F.size("bare")
     held = (
-        aligned.groupBy(*document).agg(union("places").alias("n_windows"), union("same").alias("n_same"))
+        aligned.groupBy(*document).agg(union("places").alias("places"), F.size(union("same")).alias("n_same"))
+        .withColumn("n_windows", F.size("places"))
         .withColumn("kind", F.when(F.col("n_same") < F.col("n_windows"), "reparameterised").otherwise("exact"))
         .join(totals.withColumnsRenamed({"item": "own_item", "item_digest": "own_digest"}),
               F.col("item").eqNullSafe(F.col("own_item")) & (F.col("item_digest") == F.col("own_digest")))
-        .withColumn("coverage", F.col("n_windows") / F.col("n_item"))
+        .withColumn("coverage", F.greatest(
+            F.col("n_windows") / F.col("n_item"),
+            F.when(n_typed > 0, F.size(F.array_except("places", "bare")) / n_typed)))
         .filter((F.col("n_windows") > 0) & (
             (F.col("coverage") >= coverage) | (F.col("n_windows") + window - 1 >= run_words)))
     )

@@ -94,3 +94,17 @@ def test_planted_items_of_the_given_tables(spark):
     halves = {(i, r.item_id) for r in items.collect() for i, t in texts.items()
               if any(" ".join(r.text.split()[k : k + 8]) in t for k in range(1, 40, 4) if len(r.text.split()) >= k + 8)}
     assert found <= halves
+
+
+def test_copies_in_other_case_or_without_punctuation(spark, benchmark):
+    bare = "".join(c for c in QUESTION if c.isalnum() or c == " ")
+    found = leaks(spark, benchmark, [
+        OTHER.upper(), OTHER.title(), QUESTION.upper(), QUESTION.title(), bare.title(), "Heading " + bare.lower(), prose(5, 300).upper()])
+    assert set(found) == {(0, 2), (1, 2), (2, 1), (3, 1), (4, 1), (5, 1)}
+
+
+def test_templates_that_cover_part_of_an_item_still_count(spark):
+    item = "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 then count how many whales sail past the old harbour"
+    benchmark = spark.createDataFrame([(1, item)], "item_id LONG, text STRING")
+    found = leaks(spark, benchmark, ["7 7 " + item[item.index("then") :]])
+    assert found[0, 1].coverage >= 0.5 and found[0, 1].kind == "reparameterised"
