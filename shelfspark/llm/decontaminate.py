@@ -9,7 +9,7 @@ must have been replaced by equal values; where they are not, only windows with t
 A window with more placeholders than half its words says too little as a template. Beside its template every window
 therefore has a plain code, of its words without case and punctuation, with numbers and names as they stand; an item's
 window is held when either code is met. So copies in capitals or without punctuation, rows of numbers and lists of names
-are found as well.
+are found as well. Letters of scripts written without spaces are words of their own.
 
 An item shorter than WINDOW is one window; one of less than LEAST words only matches a document with no other words.
 """
@@ -39,8 +39,13 @@ UNITS = frozenset(
     "hours days weeks months years hz khz mhz ghz w kw kwh v a j kj cal kcal c f k usd eur gbp dollars euros pounds "
     "cents kmh mph".split()
 )
-EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—*_`"
-STOPS = (".", "!", "?")
+EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—*_`。．，、！？；：「」『』（）【】《》〈〉・～｡､"
+STOPS = (".", "!", "?", "。", "．", "！", "？", "｡")
+# Letters of scripts without spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile(
+    "[\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u0f40-\u0fbc\u1000-\u103f\u1050-\u108f\u1780-\u17d3"
+    "\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\uff66-\uff9f\U00020000-\U0003ffff]")
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:%|[a-z]{1,3})?|[-+$€£]\.?\d+")
 
 
@@ -60,7 +65,7 @@ def _canonical(word: str) -> bytes:
     if not bare:
         return _PAIR.pack(STOP if word.endswith(STOPS) else 0, 0)
     low, first = bare.lower(), bare[0]
-    stop = word.endswith(STOPS) or word.rstrip("\"')]»”’").endswith(STOPS)
+    stop = word.endswith(STOPS) or word.rstrip("\"')]»”’」』）").endswith(STOPS)
     flags = CAPITAL * first.isupper() | STOP * stop | UNIT * (low in UNITS)
     if not first.isalpha() and _NUMBER.fullmatch(low):
         return _PAIR.pack(int(NUMBER_CODE) | NUMBER | flags & ~CAPITAL, _code(low))
@@ -74,7 +79,8 @@ _WORDS = Memo(_canonical)
 
 def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """(codes of the canonical words, which are placeholders, the words themselves, their plain codes)."""
-    words = (text or "").split()
+    text = text or ""
+    words = (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
     flagged, plain = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), np.uint64).reshape(-1, 2).T
     flags, code = (flagged & np.uint64(15)).astype(np.int64), flagged & ~np.uint64(15)
     if not len(words):

@@ -103,6 +103,20 @@ def test_copies_in_other_case_or_without_punctuation(spark, benchmark):
     assert set(found) == {(0, 2), (1, 2), (2, 1), (3, 1), (4, 1), (5, 1)}
 
 
+def test_every_item_is_found_where_it_stands_verbatim(spark):
+    items = [
+        "3 4 5 6 7 8 9 1 2 3", "Anna Berg, Carl Dahl, Eva Falk, Gustav Holm, Ida Jansson", "whale lantern harbour rather often",
+        "What is the capital of Norway", "北京是中华人民共和国的首都，位于华北平原。", "กรุงเทพมหานครเป็นเมืองหลวง", "春夏秋冬",
+        "東京は日本の首都です", "12 + 30 = 42", "see – 3 kg of it",
+    ]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id LONG, text STRING")
+    texts = [f"{a}{t}{b}" for t in items for a, b in (("Question: ", " after"), ("before\n", "\nafter"))]
+    texts += [f"他说{t}了" for t in items[4:8]]
+    found = leaks(spark, benchmark, texts)
+    assert set(found) == {(i, i // 2) for i in range(20)} | {(20 + i, 4 + i) for i in range(4)}
+    assert leaks(spark, benchmark, ["9 4 1 5 7 2 8 1 2 6", "Olle Ek, Per Gran, Rut Hed, Sven Is, Tor Jord", "我们在上海住了很多年，冬天很冷。"]) == {}
+
+
 def test_templates_that_cover_part_of_an_item_still_count(spark):
     item = "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 then count how many whales sail past the old harbour"
     benchmark = spark.createDataFrame([(1, item)], "item_id LONG, text STRING")
