@@ -23,7 +23,10 @@ from shelfspark.sources.storage import stage
 SPACE = " \t\n\x0b\x0c\r"
 # Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-FENCES = 6.0
+# Quartile ranges that a band reaches beyond the quartiles, in a band of the text's own kind and in a wider one; entropy
+# differs little between languages.
+FENCES = {"chars_per_token": (1.5, 6.0), "byte_share": (1.5, 6.0), "token_entropy": (1.5, 1.5)}
+BOUNDS = {"token_entropy": (0.0, 1.0), "byte_share": (0.0, 1.0), "chars_per_token": (0.0, math.inf)}
 LEAST_WIDTH = 0.15
 LEAST_ROWS = 50
 MEMO_WORDS = 1 << 19
@@ -150,39 +153,55 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def rejection_bands(measured: DataFrame) -> DataFrame:
-    """(band, low and high of each measure) from the quartiles over all documents with 50 words or more.
+    """(level, key, low and high of each measure) from the quartiles over all documents with 50 words or more.
 
-    A band reaches FENCES quartile ranges beyond the quartiles, at least LEAST_WIDTH of the median, and needs
-    LEAST_ROWS documents; fewer give no band, and nothing is rejected by it.
+    A band reaches FENCES quartile ranges beyond the quartiles, at least LEAST_WIDTH of the median, and ends at the
+    BOUNDS of its measure. Level 0 has the texts' own bands. A band needs LEAST_ROWS documents.
     """
+    kinds = F.array(*[F.struct(F.lit(n).alias("level"), k.alias("key")) for n, k in enumerate(_keys())])
     found = (
-        measured.filter(F.col("n_words") >= 50).groupBy("band")
+        measured.filter(F.col("n_words") >= 50).select(F.explode(kinds).alias("kind"), *MEASURES).select("kind.*", *MEASURES)
+        .groupBy("level", "key")
         .agg(F.count("*").alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(m) for m in MEASURES])
-        .filter(F.col("n") >= LEAST_ROWS)
+        .filter((F.col("n") >= LEAST_ROWS))
     )
     for m in MEASURES:
         low, middle, high = (F.col(m)[i] for i in range(3))
-        reach = F.greatest(FENCES * (high - low), LEAST_WIDTH * F.greatest(F.abs(middle), F.lit(0.05)))
-        found = found.withColumn(f"{m}_low", low - reach).withColumn(f"{m}_high", high + reach)
-    return found.select("band", *[f"{m}_{side}" for m in MEASURES for side in ("low", "high")])
+        fences = F.when(F.col("level") == 0, FENCES[m][0]).otherwise(FENCES[m][1])
+        reach = F.greatest(fences * (high - low), LEAST_WIDTH * F.greatest(F.abs(middle), F.lit(0.05)))
+        least, most = map(F.lit, BOUNDS[m])
+        found = found.withColumn(f"{m}_low", F.greatest(low - reach, least)).withColumn(f"{m}_high", F.least(high + reach, most))
+    return found.select("level", "key", *[f"{m}_{side}" for m in MEASURES for side in ("low", "high")])
+
+
+def _keys():
+    """Keys of the bands that a text may be judged by, the narrowest first."""
+    return [F.col("band")]
 
 
 def judge_documents(docs: DataFrame, model: bytes, identity: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(identity, counts, measures, band, base_failed, reason, kept) of every row of `docs`.
+    """(identity, counts, measures, band, judged_by, base_failed, reason, kept) of every row of `docs`.
 
     The measures are written once to the shared folder, at once, as all of them are needed before any is judged.
     base_failed: under 50 words, or over half of the words in repeated three-word windows; such texts are not kept.
-    Null and empty texts have no words and fail. reason names the first measure outside its band. Repeated rows each
-    give a row, null ids stay, an empty table gives none.
+    Null and empty texts have no words and fail. reason names the first measure outside the band judged_by, the
+    text's own. Repeated rows each give a row,
+    null ids stay, an empty table gives none.
     """
     measured = stage(measure_documents(docs, model, identity, text, lang))
-    bands = rejection_bands(measured)
+    bands, judged = stage(rejection_bands(measured)), measured
+    sides = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
+    for level, key in enumerate(_keys()):
+        own = bands.filter(F.col("level") == level).select(
+            F.col("key").alias(f"key{level}"), F.struct(F.col("key").alias("judged_by"), *sides).alias(f"band{level}"))
+        judged = judged.join(F.broadcast(own) if level else own, key == F.col(f"key{level}"), "left")
+    judged = judged.withColumn("fit", F.col("band0")).select(*measured.columns, "fit.*")
     outside = F.lit(None).cast("string")
     for m in reversed(MEASURES):
         outside = F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)).otherwise(outside)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        measured.join(bands, "band", "left").withColumn("base_failed", failed).withColumn("reason", outside)
-        .select(F.col("id").alias(identity), *_COUNTS, "n_tokens", *MEASURES, "band", "base_failed", "reason",
+        judged.withColumn("base_failed", failed).withColumn("reason", outside)
+        .select(F.col("id").alias(identity), *_COUNTS, "n_tokens", *MEASURES, "band", "judged_by", "base_failed", "reason",
                 (~F.col("base_failed") & F.col("reason").isNull()).alias("kept"))
     )

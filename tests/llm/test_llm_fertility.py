@@ -77,6 +77,31 @@ def test_clean_documents_of_the_given_tables_are_kept(spark, model):
     assert clean.count() > 200 and clean.filter("NOT kept").count() <= 0.01 * clean.count()
 
 
+def few_words():
+    """Four words of which each three follow each other once."""
+    order, seen = [0, 0], set()
+    while left := [k for k in (3, 2, 1, 0) if (*order[-2:], k) not in seen]:
+        seen.add((*order[-2:], left[0]))
+        order.append(left[0])
+    return " ".join("the ship sea of".split()[k] for k in order)
+
+
+def test_entropy_has_a_band_that_can_bind(spark, model):
+    rows = [(i, prose(i, 60 + 2 * i), "en") for i in range(90)] + [(200, few_words(), "en")]
+    found = {r.doc_id: r for r in fertility.judge_documents(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"), model).collect()}
+    assert not found[200].base_failed and found[200].reason == "token_entropy"
+    assert all(found[i].kept for i in range(90))
+
+
+def test_held_out_labels(spark, model):
+    """Fences were set on the even ids of sf0.1; the odd ones show what they reject."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("doc_id % 2 = 1")
+    found = fertility.judge_documents(docs, model).filter("NOT base_failed AND reason IS NOT NULL").join(labels, "doc_id")
+    rejected = [(r.reason, r.quality) for r in found.collect()]
+    assert ("token_entropy", 0) in rejected and not [r for r in rejected if r[1] == 1]
+
+
 def test_scripts():
     names = [fertility.script_of(w) for w in ("abc", "Ж", "東京", "ひ", "한", "12", "é", "Ω", "ع")]
     assert names == ["latin", "cyrillic", "han", "kana", "hangul", "none", "latin", "greek", "arabic"]
