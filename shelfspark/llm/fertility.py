@@ -2,7 +2,7 @@
 
 A public vocabulary measures each text: characters per token, the share of tokens that are bare bytes, and the entropy
 of its tokens. Over all documents of a language (or of a script, where no language is stated) the quartiles of each
-measure give a band, and a text outside its band is rejected. Plain counts of words, symbols and repetitions are
+measure give a band, and a text outside its band is rejected. Where these documents are few, wider bands judge the text. Plain counts of words, symbols and repetitions are
 taken beside them.
 
 The vocabulary's tokens do not reach over white space, so a text's tokens are those of its words. Words that a slice of
@@ -156,14 +156,16 @@ def rejection_bands(measured: DataFrame) -> DataFrame:
     """(level, key, low and high of each measure) from the quartiles over all documents with 50 words or more.
 
     A band reaches FENCES quartile ranges beyond the quartiles, at least LEAST_WIDTH of the median, and ends at the
-    BOUNDS of its measure. Level 0 has the texts' own bands. A band needs LEAST_ROWS documents.
+    BOUNDS of its measure. Level 0 has the texts' own bands, level 1 a band per script whatever the language, level 2
+    one over all documents. The first two need LEAST_ROWS documents. A wider band also judges other kinds of text than
+    it was made from, so it reaches further.
     """
     kinds = F.array(*[F.struct(F.lit(n).alias("level"), k.alias("key")) for n, k in enumerate(_keys())])
     found = (
         measured.filter(F.col("n_words") >= 50).select(F.explode(kinds).alias("kind"), *MEASURES).select("kind.*", *MEASURES)
         .groupBy("level", "key")
         .agg(F.count("*").alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(m) for m in MEASURES])
-        .filter((F.col("n") >= LEAST_ROWS))
+        .filter((F.col("n") >= LEAST_ROWS) | (F.col("level") == 2))
     )
     for m in MEASURES:
         low, middle, high = (F.col(m)[i] for i in range(3))
@@ -176,7 +178,7 @@ def rejection_bands(measured: DataFrame) -> DataFrame:
 
 def _keys():
     """Keys of the bands that a text may be judged by, the narrowest first."""
-    return [F.col("band")]
+    return [F.col("band"), F.concat(F.lit("any "), "script"), F.lit("all")]
 
 
 def judge_documents(docs: DataFrame, model: bytes, identity: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -184,8 +186,8 @@ def judge_documents(docs: DataFrame, model: bytes, identity: str = "doc_id", tex
 
     The measures are written once to the shared folder, at once, as all of them are needed before any is judged.
     base_failed: under 50 words, or over half of the words in repeated three-word windows; such texts are not kept.
-    Null and empty texts have no words and fail. reason names the first measure outside the band judged_by, the
-    text's own. Repeated rows each give a row,
+    Null and empty texts have no words and fail. reason names the first measure outside the band judged_by: the
+    text's own, or if that has too few documents its script's, or that of all documents. Repeated rows each give a row,
     null ids stay, an empty table gives none.
     """
     measured = stage(measure_documents(docs, model, identity, text, lang))
@@ -195,7 +197,7 @@ def judge_documents(docs: DataFrame, model: bytes, identity: str = "doc_id", tex
         own = bands.filter(F.col("level") == level).select(
             F.col("key").alias(f"key{level}"), F.struct(F.col("key").alias("judged_by"), *sides).alias(f"band{level}"))
         judged = judged.join(F.broadcast(own) if level else own, key == F.col(f"key{level}"), "left")
-    judged = judged.withColumn("fit", F.col("band0")).select(*measured.columns, "fit.*")
+    judged = judged.withColumn("fit", F.coalesce("band0", "band1", "band2")).select(*measured.columns, "fit.*")
     outside = F.lit(None).cast("string")
     for m in reversed(MEASURES):
         outside = F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)).otherwise(outside)

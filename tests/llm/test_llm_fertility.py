@@ -86,6 +86,9 @@ def few_words():
     return " ".join("the ship sea of".split()[k] for k in order)
 
 
+NOISE = " ".join(f"§{i}¤▒{i}¶" for i in range(80))
+
+
 def test_entropy_has_a_band_that_can_bind(spark, model):
     rows = [(i, prose(i, 60 + 2 * i), "en") for i in range(90)] + [(200, few_words(), "en")]
     found = {r.doc_id: r for r in fertility.judge_documents(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"), model).collect()}
@@ -93,6 +96,16 @@ def test_entropy_has_a_band_that_can_bind(spark, model):
     assert all(found[i].kept for i in range(90))
 
 
+def test_texts_of_thin_bands_are_judged_by_wider_ones(spark, model):
+    for n, by in ((80, "any latin"), (40, "all")):
+        rows = [(i, prose(i, 80), "en") for i in range(n)] + [(300, prose(7, 70), "xx"), (301, NOISE + " " + "é1q#" * 9, "xx")]
+        rows += [(302, " ".join(f"q{i}#{i}" for i in range(80)), "xx")]
+        found = {r.doc_id: r for r in fertility.judge_documents(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"), model).collect()}
+        assert found[300].kept and found[300].judged_by == by and all(found[i].kept for i in range(n))
+        assert not found[301].kept and found[301].reason is not None
+        assert not found[302].kept and found[302].reason is not None and not found[302].base_failed
+
+
 def test_held_out_labels(spark, model):
     """Fences were set on the even ids of sf0.1; the odd ones show what they reject."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
