@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import (
-    bpe, decontaminate, fertility, jaccard, language, license_scan, quality, secret_scan, token_counts, url_rules,
+    bpe, decontaminate, fertility, jaccard, language, license_scan, quality, secret_scan, substring_dedup,
+    token_counts, url_rules,
 )
 from shelfspark.sources.storage import work_dir
 
@@ -68,10 +69,14 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fertility.judge_documents(_table(spark, sf_dir, "documents"), file.read())
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_token_counts, op2_byte_bpe, op3_url_rules, op4_quality, op5_language, op6_secrets, op7_licenses,
-        op8_jaccard, op9_decontaminate, op10_fertility,
+        op8_jaccard, op9_decontaminate, op10_fertility, op11_substring_dedup,
     )
 }
 
@@ -94,4 +99,19 @@ reach(doc_id, other) AS (
     SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id
 FROM sets s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(s.s)""",
+    "op11_substring_dedup": r"""
+WITH cut AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM cut WHERE len(w) >= 20),
+ranked AS (
+    SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) AS r
+    FROM starts),
+gone AS (
+    SELECT doc_id, list(DISTINCT s + j) AS places FROM ranked, (SELECT unnest(range(20)) AS j) WHERE r > 1
+    GROUP BY doc_id)
+SELECT c.doc_id, len(c.w)::BIGINT AS n_words, coalesce(len(g.places), 0)::BIGINT AS n_removed,
+    sha256(array_to_string(CASE WHEN g.places IS NULL THEN c.w ELSE list_transform(list_filter(range(1, len(c.w) + 1),
+        lambda i: NOT list_contains(g.places, i)), lambda i: c.w[i]) END, ' ')) AS kept_sha256
+FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id""",
 }
