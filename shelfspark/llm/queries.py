@@ -103,15 +103,17 @@ FROM sets s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(s.s)""",
 WITH cut AS (
     SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
     FROM documents),
-starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM cut WHERE len(w) >= 20),
-ranked AS (
-    SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) AS r
-    FROM starts),
-gone AS (
-    SELECT doc_id, list(DISTINCT s + j) AS places FROM ranked, (SELECT unnest(range(20)) AS j) WHERE r > 1
-    GROUP BY doc_id)
-SELECT c.doc_id, len(c.w)::BIGINT AS n_words, coalesce(len(g.places), 0)::BIGINT AS n_removed,
-    sha256(array_to_string(CASE WHEN g.places IS NULL THEN c.w ELSE list_transform(list_filter(range(1, len(c.w) + 1),
-        lambda i: NOT list_contains(g.places, i)), lambda i: c.w[i]) END, ' ')) AS kept_sha256
-FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id""",
+runs AS (
+    SELECT doc_id, unnest(range(1, len(w) - 18)) AS s,
+        unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS run
+    FROM cut WHERE len(w) >= 20),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(run) ORDER BY doc_id, s) AS r FROM runs),
+gone AS (SELECT DISTINCT doc_id, s + j AS place FROM ranked, (SELECT unnest(range(20)) AS j) WHERE r > 1),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word FROM cut),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+    FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT c.doc_id, len(c.w)::BIGINT AS n_words, (len(c.w) - coalesce(k.n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(k.text, '')) AS kept_sha256
+FROM cut c LEFT JOIN kept k ON c.doc_id = k.doc_id""",
 }
