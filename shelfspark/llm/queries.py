@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm import (
     bpe, decontaminate, fertility, jaccard, language, license_scan, quality, secret_scan, substring_dedup,
-    token_counts, url_rules,
+    token_alignment, token_counts, url_rules,
 )
 from shelfspark.sources.storage import work_dir
 
@@ -73,10 +73,18 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_counts(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    ranks = token_alignment.load_byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_alignment.align_tokens(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, model)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_token_counts, op2_byte_bpe, op3_url_rules, op4_quality, op5_language, op6_secrets, op7_licenses,
         op8_jaccard, op9_decontaminate, op10_fertility, op11_substring_dedup,
+        op12_token_alignment,
     )
 }
 
