@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import (
-    bpe, decontaminate, fertility, jaccard, language, license_scan, quality, secret_scan, substring_dedup,
-    token_alignment, token_counts, url_rules,
+    bpe, decontaminate, fertility, jaccard, language, license_scan, quality, secret_scan, spelling,
+    substring_dedup, token_alignment, token_counts, url_rules,
 )
 from shelfspark.sources.storage import work_dir
 
@@ -80,11 +80,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, model)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_token_counts, op2_byte_bpe, op3_url_rules, op4_quality, op5_language, op6_secrets, op7_licenses,
         op8_jaccard, op9_decontaminate, op10_fertility, op11_substring_dedup,
-        op12_token_alignment,
+        op12_token_alignment, op13_spelling,
     )
 }
 

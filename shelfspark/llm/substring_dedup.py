@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.llm.joins import by_key
 from shelfspark.llm.words import MIX, STEP, WORD_CODES, claim, codes, lists, sha256, slices, windows, with_columns
 from shelfspark.sources.storage import stage
 
 WINDOW = 20
 GRAM = 8
 HOT = 4096
-HEAVY = 1024
 SHARD_WORDS = 100_000
 SEGMENT = ("anchor", "run", "first", "windows")
 LAID = "n_removed LONG, kept_sha256 STRING, kept STRING, spans ARRAY<STRUCT<start: INT, end: INT>>"
@@ -158,14 +158,6 @@ def _cut(rows: DataFrame, n: int) -> DataFrame:
     return with_columns(rows, "text", ddl, compute)
 
 
-def _by_key(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """`rows` with their key's `facts`, which have a count `n` per key; heavy keys are joined without a shuffle."""
-    heavy = facts.filter(F.col("n") * HEAVY > total)
-    common = F.broadcast(heavy.select(*keys))
-    return rows.join(F.broadcast(heavy), keys).unionByName(
-        rows.join(common, keys, "left_anti").join(facts.filter(F.col("n") * HEAVY <= total), keys))
-
-
 def _word_lists(held: DataFrame, n: int) -> DataFrame:
     """Each segment that stands at its earliest place, with its word codes."""
 
@@ -267,21 +259,21 @@ def find_repeats(
     cut = stage(_cut(rows, n))
     copies = cut.groupBy("h", "g").agg(F.min(_place()).alias("origin"), F.count("*").alias("n"))
     total = cut.count()
-    known = stage(_by_key(cut, copies, ["h", "g"], total).withColumn("copy", _place() != F.col("origin")).drop("origin", "n"))
+    known = stage(by_key(cut, copies, ["h", "g"], total).withColumn("copy", _place() != F.col("origin")).drop("origin", "n"))
     parts = known.filter("NOT copy").select(
         "k", "h", F.explode(F.arrays_zip("anchors", "runs", "firsts", "counts")).alias("s")).select(
         "k", "h", F.col("s.anchors").alias("anchor"), F.col("s.runs").alias("run"), F.col("s.firsts").alias("first"),
         F.col("s.counts").alias("windows"))
     anchors = stage(parts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     total = anchors.agg(F.sum("n")).first()[0] or 0
-    shared = _by_key(parts, anchors, ["anchor"], total).withColumn("fine", F.col("n") > hot)
+    shared = by_key(parts, anchors, ["anchor"], total).withColumn("fine", F.col("n") > hot)
     held = stage(_with_texts(rows, shared, n))
     places = held.select("own", "id", "k", "h", F.explode("found").alias("s")).select("own", "id", "k", "h", "s.*")
     facts = stage(places.groupBy("anchor", "run").agg(
         F.min(_place("first")).alias("origin"), F.count("*").alias("n"), F.max("windows").alias("windows")))
     size = facts.agg(F.sum("n").alias("places"), F.sum(F.col("windows") + (n - 1)).alias("words")).first()
     placed = stage(
-        _by_key(places, facts.drop("windows"), ["anchor", "run"], size["places"] or 0)
+        by_key(places, facts.drop("windows"), ["anchor", "run"], size["places"] or 0)
         .withColumn("here", _place("first") == F.col("origin")).drop("origin", "n"))
     earliest = placed.filter("here").groupBy("k", "h").agg(F.collect_list(F.struct(*SEGMENT)).alias("found"))
     shards = max(1, -(-(size["words"] or 0) // shard_words))
