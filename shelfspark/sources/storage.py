@@ -36,6 +36,15 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete a table made by `stage` that nothing will read again."""
+    spark = df.sparkSession
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if path.rsplit("/", 1)[1].startswith("stage-"):
+            fs, folder = _folder(spark, path)
+            fs.delete(folder, True)
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete all staged tables of the work folder; for use between runs, when nothing reads them any more."""
     fs, folder = _folder(spark, work_dir(spark))
