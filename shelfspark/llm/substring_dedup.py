@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.joins import by_key
 from shelfspark.llm.words import MIX, STEP, WORD_CODES, claim, codes, lists, sha256, slices, windows, with_columns
-from shelfspark.sources.storage import stage
+from shelfspark.sources.storage import stage, unstage
 
 WINDOW = 20
 GRAM = 8
@@ -103,23 +103,24 @@ def _split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def segments(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, content code, first window, number of windows) of each segment of a text's word codes."""
+def anchor_places(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, number of windows) of each segment of a text's word codes."""
     if len(words) < n:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
-    gram = min(GRAM, n)
-    grams = windows(words, gram)
-    view = np.lib.stride_tricks.sliding_window_view(grams, n - gram + 1)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = windows(words, GRAM)
+    view = np.lib.stride_tricks.sliding_window_view(grams, n - GRAM + 1)
     at = np.arange(len(view)) + view.argmin(axis=1)
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    count = np.diff(first, append=len(view))
-    # Codes of runs by differences of prefix sums: equal runs have equal ones wherever they stand.
+    return grams[at[first]], first, np.diff(first, append=len(view))
+
+
+def run_codes(words: np.ndarray, first: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """A code of the words of each segment, by differences of prefix sums: equal wherever the words stand."""
     with np.errstate(over="ignore"):
         power, back = (np.multiply.accumulate(np.concatenate((_ONE, np.full(len(words), x)))) for x in (STEP, _BACK))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((words ^ (words >> np.uint64(29))) * power[:-1])))
         run = (total[first + count + n - 1] - total[first]) * back[first] + count.astype(np.uint64) * MIX
-        run = (run ^ (run >> np.uint64(32))) * MIX
-    return grams[at[first]], run, first.astype(np.int32), count.astype(np.int32)
+        return (run ^ (run >> np.uint64(32))) * MIX
 
 
 def _place(*more: str) -> Column:
@@ -137,25 +138,19 @@ def _rows(docs: DataFrame, own: bool, identity: str, text: str) -> DataFrame:
 
 
 def _cut(rows: DataFrame, n: int) -> DataFrame:
-    """Words, digest and segments of every text."""
+    """Number and digest of the words of every text, and its anchors."""
 
     def compute(texts):
         claim(WORD_CODES)
-        out = {"n_words": [], "whole": []}
-        parts: list[list] = [[], [], [], []]
+        out, anchors = {"n_words": [], "whole": []}, []
         for text in texts:
             words = _split_words(text)
             out["n_words"].append(len(words))
             out["whole"].append(sha256(b" ".join(words)))
-            for part, made in zip(parts, segments(codes(words), n)):
-                part.append(made)
-        kinds = (("anchors", np.int64, pa.int64()), ("runs", np.int64, pa.int64()),
-                 ("firsts", np.int32, pa.int32()), ("counts", np.int32, pa.int32()))
-        return out | {name: lists([p.view(kind) for p in part], arrow)
-                      for part, (name, kind, arrow) in zip(parts, kinds)}
+            anchors.append(anchor_places(codes(words), n)[0].view(np.int64))
+        return out | {"anchors": lists(anchors, pa.int64())}
 
-    ddl = "n_words LONG, whole STRING, anchors ARRAY<LONG>, runs ARRAY<LONG>, firsts ARRAY<INT>, counts ARRAY<INT>"
-    return with_columns(rows, "text", ddl, compute)
+    return with_columns(rows, "text", "n_words LONG, whole STRING, anchors ARRAY<LONG>", compute)
 
 
 def _word_lists(held: DataFrame, n: int) -> DataFrame:
@@ -257,17 +252,15 @@ def find_repeats(
     if reference is not None:
         rows = rows.unionByName(_rows(reference, False, identity, text))
     cut = stage(_cut(rows, n))
-    copies = cut.groupBy("h", "g").agg(F.min(_place()).alias("origin"), F.count("*").alias("n"))
-    total = cut.count()
-    known = stage(by_key(cut, copies, ["h", "g"], total).withColumn("copy", _place() != F.col("origin")).drop("origin", "n"))
-    parts = known.filter("NOT copy").select(
-        "k", "h", F.explode(F.arrays_zip("anchors", "runs", "firsts", "counts")).alias("s")).select(
-        "k", "h", F.col("s.anchors").alias("anchor"), F.col("s.runs").alias("run"), F.col("s.firsts").alias("first"),
-        F.col("s.counts").alias("windows"))
+    facts = cut.select("own", "id", "k", "h", "g", "n_words", "whole", (F.size("anchors") > 0).alias("windowed"))
+    copies = facts.groupBy("h", "g").agg(F.min(_place()).alias("origin"), F.count("*").alias("n"))
+    known = stage(by_key(facts, copies, ["h", "g"], cut.count()).withColumn("copy", _place() != F.col("origin")).drop("origin", "n"))
+    parts = cut.select("k", "h", F.explode("anchors").alias("anchor"))
     anchors = stage(parts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     total = anchors.agg(F.sum("n")).first()[0] or 0
-    shared = by_key(parts, anchors, ["anchor"], total).withColumn("fine", F.col("n") > hot)
-    held = stage(_with_texts(rows, shared, n))
+    shared = by_key(parts, anchors, ["anchor"], total).select("k", "h", "anchor", (F.col("n") > hot).alias("fine"))
+    held = stage(_with_texts(rows, shared, known.filter("copy"), n))
+    unstage(cut)
     places = held.select("own", "id", "k", "h", F.explode("found").alias("s")).select("own", "id", "k", "h", "s.*")
     facts = stage(places.groupBy("anchor", "run").agg(
         F.min(_place("first")).alias("origin"), F.count("*").alias("n"), F.max("windows").alias("windows")))
@@ -284,7 +277,7 @@ def find_repeats(
         mine.filter("here").join(seen, ["anchor", "run"]).select("k", "h", "first", F.col("seen").alias("bits")))
     gone = gone.groupBy("k", "h").agg(F.collect_list(F.struct("first", "bits")).alias("gone"))
     laid = _laid(gone.join(texts, ["k", "h"]), n)
-    whole = F.col("copy") & (F.size("anchors") > 0)
+    whole = F.col("copy") & F.col("windowed")
     return known.filter("own").join(laid, ["k", "h"], "left").select(
         "id", "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -293,28 +286,40 @@ def find_repeats(
     )
 
 
-def _with_texts(rows: DataFrame, shared: DataFrame, n: int) -> DataFrame:
-    """Texts with a shared anchor, one row each, and their segments; those of hot anchors cut into single windows."""
-    per_text = shared.groupBy("k", "h").agg(F.collect_set(F.struct(*SEGMENT, "fine")).alias("found"))
-    both = per_text.join(rows, ["k", "h"]).select("own", "id", "k", "h", "text", "found").dropDuplicates(["k", "h"])
-    segment = pa.struct([("anchor", pa.int64()), ("run", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())])
+def _with_texts(rows: DataFrame, shared: DataFrame, copies: DataFrame, n: int) -> DataFrame:
+    """Texts with a shared anchor, one row each and no copies, and their segments; those of hot anchors as single windows."""
+    per_text = shared.groupBy("k", "h").agg(F.collect_set(F.struct("anchor", "fine")).alias("shared"))
+    per_text = per_text.join(copies.select("k", "h"), ["k", "h"], "left_anti")
+    both = per_text.join(rows, ["k", "h"]).select("own", "id", "k", "h", "text", "shared").dropDuplicates(["k", "h"])
+    kinds = (("anchor", pa.int64()), ("run", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()))
+
+    def found(text: str, anchors: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        words = codes(_split_words(text))
+        anchor, first, count = anchor_places(words, n)
+        run = run_codes(words, first, count, n)
+        plain, fine = (np.isin(anchor.view(np.int64), anchors[c]) for c in ("plain", "fine"))
+        out = [x[plain] for x in (anchor, run, first, count)]
+        if fine.any():
+            each = windows(words, n)
+            at = np.concatenate([np.arange(f, f + c) for f, c in zip(first[fine].tolist(), count[fine].tolist())])
+            out = [np.concatenate(x) for x in zip(out, (each[at], each[at], at, np.ones(len(at), np.int64)))]
+        return (out[0].view(np.int64), out[1].view(np.int64), *out[2:])
 
     def run(batches):
         claim(WORD_CODES)
         for whole in batches:
             for batch in slices(whole, "text"):
-                out = []
-                for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                    plain = [{c: p[c] for c in SEGMENT} for p in found if not p["fine"]]
-                    if len(plain) < len(found):
-                        each = windows(codes(_split_words(text)), n).view(np.int64)
-                        for p in found:
-                            for first in range(p["first"], p["first"] + p["windows"]) if p["fine"] else ():
-                                code = int(each[first])
-                                plain.append({"anchor": code, "run": code, "first": first, "windows": 1})
-                    out.append(plain)
+                shared, parts = batch.column("shared"), []
+                edges, flat = shared.offsets.to_numpy() - shared.offsets[0].as_py(), shared.flatten()
+                anchor, fine = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "fine"))
+                for text, a, b in zip(batch.column("text").to_pylist(), edges.tolist(), edges[1:].tolist()):
+                    own, hot = anchor[a:b], fine[a:b]
+                    parts.append(found(text, {"plain": own[~hot], "fine": own[hot]}))
+                offsets = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts]))).astype(np.int32)
+                columns = [pa.array(np.concatenate([p[i] for p in parts]), kind) for i, (_, kind) in enumerate(kinds)]
+                segments = pa.StructArray.from_arrays(columns, [c for c, _ in kinds])
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in ("own", "id", "k", "h", "text")], pa.array(out, pa.list_(segment))],
+                    [*[batch.column(c) for c in ("own", "id", "k", "h", "text")], pa.ListArray.from_arrays(pa.array(offsets), segments)],
                     ["own", "id", "k", "h", "text", "found"])
 
     kind = dict(rows.dtypes)["id"]
