@@ -126,12 +126,16 @@ def _of_counts(counts, values: pa.Array) -> pa.LargeListArray:
     return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values)
 
 
+def _without(values: pa.Array, gone: pa.Array) -> pa.Array:
+    """A copy of the values with nulls where `gone` is true."""
+    return values.take(pa.array(np.arange(len(values)), mask=gone.to_numpy(zero_copy_only=False)))
+
+
 def chunk_lists(texts: pa.Array) -> pa.LargeListArray:
     """Chunks of each text, without the space that begins each one; null for null and empty texts."""
-    texts = texts.cast(pa.large_string())
-    texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), None, texts)
+    texts = _without(texts, pc.fill_null(pc.equal(pc.binary_length(texts), 0), False)).cast(pa.large_string())
     awkward = pc.fill_null(pc.match_substring_regex(texts, _AWKWARD), False)
-    plain = pc.split_pattern(pc.if_else(awkward, None, texts), " ").cast(pa.large_list(pa.large_string()))
+    plain = pc.split_pattern(_without(texts, awkward), " ").cast(pa.large_list(pa.large_string()))
     if not pc.any(awkward).as_py():
         return plain
     cut = []
@@ -197,7 +201,7 @@ def align_slice(texts: pa.Array, tokens: Tokenizers) -> dict:
         if not pc.any(broken).as_py():
             break
         bad = parent.filter(broken.take(codes))
-        lists = pc.if_else(pc.is_in(pa.array(np.arange(len(lists))), bad), None, lists)
+        lists = _without(lists, pc.is_in(pa.array(np.arange(len(lists))), bad))
     found = aligned(ids["a"], ids["b"], tokens)
     facts = {"n_a": pc.list_value_length(ids["a"]).cast(pa.int64()), "n_b": pc.list_value_length(ids["b"]).cast(pa.int64()),
              "n_groups": pa.array(found["n_groups"], pa.int64()), "n_links": pa.array(found["n_links"], pa.int64())}
