@@ -1,5 +1,7 @@
 """Vector search, embedding and similarity queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import check, table, view
@@ -11,10 +13,12 @@ from shelfspark.operators.embedding import (
     HashingEmbedder, embed, embed_missing, export_vectors, rating_text, read_exported, restore_vectors,
 )
 from shelfspark.operators.fulltext import build_index
+from shelfspark.operators.lists import read_figures, search_lists, update_lists, write_lists
 from shelfspark.operators.nearest import build_ivf, knn_join, topk_exact, topk_grouped
+from shelfspark.operators.paging import top_rows
 from shelfspark.plans.reader import embed_pages, page_search
 from shelfspark.plans.search import search_ratings, search_ratings_vector
-from shelfspark.plans.similar import neighbours, similar
+from shelfspark.plans.similar import neighbours, similar, store_lists
 from shelfspark.schemas import ITEM_FIELDS, RATING_FIELDS
 from shelfspark.sources.storage import stage, work_dir
 
@@ -111,6 +115,48 @@ def ivf_lists(spark, sf):
         F.count("*").alias("n_lists"), F.bool_and(F.col("own") - F.col("best") <= 0.05).alias("nearest"))
 
 
+def work_path(spark, name):
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@check(KNN_SQL)
+def knn_stored_lists(spark, sf):
+    """Stored lists, read no further than a list may still hold a nearer vector, give the exact answer."""
+    vectors = view(spark, sf, VECTORS)
+    path = work_path(spark, "lists")
+    write_lists(vectors, path)
+    found = search_lists(spark, path, vectors.select(F.col("id").alias("query_id"), "embedding"), 6)
+    others = found.filter("id <> query_id").drop("rank_no")
+    return shown(top_rows(others, ["query_id"], [F.col("distance"), F.col("id")], 5))
+
+
+@check(KNN_SQL)
+def knn_updated_lists(spark, sf):
+    """Lists built over part of the vectors, with the rest and a correction put in later, give the exact answer."""
+    vectors = view(spark, sf, VECTORS)
+    path = work_path(spark, "lists")
+    early = vectors.filter("label % 2 = 0").withColumn("embedding", F.when(F.col("id") % 3 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
+    write_lists(early, path)
+    update_lists(vectors.filter("label % 2 = 1"), path)
+    update_lists(vectors.filter("label % 2 = 0 AND id % 3 = 0"), path)
+    found = search_lists(spark, path, vectors.select(F.col("id").alias("query_id"), "embedding"), 6)
+    return shown(top_rows(found.filter("id <> query_id").drop("rank_no"), ["query_id"], [F.col("distance"), F.col("id")], 5))
+
+
+@check("SELECT true AS half_read, true AS recall_enough")
+def lists_recall(spark, sf):
+    """A probed search of half of the lists finds 0.9 of the ten nearest vectors or more."""
+    vectors = view(spark, sf, VECTORS)
+    path = work_path(spark, "lists")
+    write_lists(vectors, path)
+    queries = vectors.select(F.col("id").alias("query_id"), "embedding")
+    probes = read_figures(spark, path).filter("size > 0").count() // 2
+    exact = stage(topk_exact(vectors, queries, 10)).select("query_id", "id")
+    found = search_lists(spark, path, queries, 10, probes=probes).select("query_id", "id")
+    hits = found.join(exact, ["query_id", "id"], "left_semi").agg(F.count("*")).scalar()
+    return exact.agg(F.lit(probes > 0).alias("half_read"), (hits / F.count("*") >= 0.9).alias("recall_enough"))
+
+
 @check(f"""{V} SELECT id, round(list_sum(embedding::double[]), 4) AS total, len(embedding)::bigint AS n FROM v""")
 def vector_text(spark, sf):
     """Vectors written as text and read back."""
@@ -150,6 +196,27 @@ def similar_filtered(spark, sf):
     return found.select("query_id", "id", "title", "rating", "similarity", "available")
 
 
+@check(f"""WITH {ctes(v=VECTORS, ratings=RATINGS, shelf=SHELF)},
+    q AS (SELECT id, embedding, CASE WHEN id % 3 = 0 THEN 905 + id % 7 WHEN id % 3 = 1 THEN 0 END AS min_rating,
+                 CASE WHEN id % 2 = 0 THEN id % 50 END AS min_reviews FROM v),
+    d AS (SELECT a.id AS query_id, b.id, {distance('a.embedding', 'b.embedding')} AS distance, min_rating, min_reviews FROM q a, v b),
+    kept AS (SELECT d.*, r.rating FROM d JOIN ratings r USING (id) WHERE d.id <> d.query_id
+             AND r.rating >= coalesce(min_rating, 0) AND r.ratings_count >= coalesce(min_reviews, 20)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn FROM kept QUALIFY rn <= 10)
+    SELECT query_id, id, rating, floor((1 - distance) * 1000 + 0.5) / 1000 AS similarity FROM r""")
+def similar_own_minimums(spark, sf):
+    """Minimums of each request over stored lists; a request without min_reviews takes the given 20."""
+    vectors, ratings = view(spark, sf, VECTORS), view(spark, sf, RATINGS)
+    path = work_path(spark, "lists")
+    store_lists(vectors, ratings, path)
+    queries = vectors.selectExpr(
+        "id AS query_id", "id AS source_id", "embedding",
+        "CASE WHEN id % 3 = 0 THEN 905 + id % 7 WHEN id % 3 = 1 THEN 0 END AS min_rating",
+        "CASE WHEN id % 2 = 0 THEN id % 50 END AS min_reviews")
+    found = neighbours(queries, None, ratings, view(spark, sf, SHELF), 10, min_reviews=20, lists=path)
+    return found.select("query_id", "id", "rating", "similarity")
+
+
 DOC_TEXTS = "SELECT doc_id AS id, text FROM {documents}"
 
 

@@ -28,20 +28,30 @@ DISTANCE_DIGITS = 9
 
 
 class _BestK:
-    """Best k (distance, id) of every query in a block, fed with slices of vectors."""
+    """Best k (distance, id) of every query in a block, fed with slices of vectors.
 
-    def __init__(self, query_ids: list, queries: np.ndarray, k: int):
-        self.query_ids, self.k = query_ids, k
+    With `floors`, a row per query, only vectors whose marks reach all of them count. `score` turns distances and marks
+    into what is ranked.
+    """
+
+    def __init__(self, query_ids: list, queries: np.ndarray, k: int, floors: np.ndarray | None = None, score=None):
+        self.query_ids, self.k, self.floors, self.score = query_ids, k, floors, score
         self.queries = _unit(queries)
         self.worst = np.full(len(query_ids), np.inf)
         self.rows = np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
         self.distances = np.empty(0)
 
-    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def offer(self, ids: np.ndarray, vectors: np.ndarray, marks: np.ndarray | None = None) -> None:
         distances = np.round(1.0 - self.queries @ _unit(vectors).T, DISTANCE_DIGITS)
+        if self.score is not None:
+            distances = np.round(self.score(distances, marks), DISTANCE_DIGITS)
         distances[np.isnan(distances)] = np.inf
-        row, col = np.nonzero(distances <= self.worst[:, None])
+        wanted = distances <= self.worst[:, None]
+        if self.floors is not None:
+            for j in range(self.floors.shape[1]):
+                wanted &= marks[None, :, j] >= self.floors[:, j, None]
+        row, col = np.nonzero(wanted)
         self.rows = np.concatenate([self.rows, row])
         self.ids = np.concatenate([self.ids, ids[col]])
         self.distances = np.concatenate([self.distances, distances[row, col]])
@@ -72,6 +82,12 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _numbers(column: pa.ListArray) -> np.ndarray:
+    """Rows of marks or floors; a null one is below every floor, as a floor below every mark."""
+    flat = pc.fill_null(column.flatten(), -np.inf).to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.nan_to_num(flat, nan=-np.inf, posinf=np.inf, neginf=-np.inf).reshape(len(column), -1)
+
+
 def _runs(column: pa.StringArray) -> list[tuple[str, int, int]]:
     """(value, start, end) of each run of equal values."""
     encoded = pc.run_end_encode(column)
@@ -79,28 +95,31 @@ def _runs(column: pa.StringArray) -> list[tuple[str, int, int]]:
     return list(zip(encoded.values.to_pylist(), [0, *ends[:-1]], ends))
 
 
-def _stream_tiles(k: int, query_type: pa.DataType):
+def _stream_tiles(k: int, query_type: pa.DataType, marked: bool = False, score=None):
     """Task body: rows arrive ordered by `mark`, the queries of a cell before its vectors."""
     schema = pa.schema([("query_id", query_type), ("id", pa.int64()), ("distance", pa.float64())])
 
     def run(batches):
-        cell, best, queries, query_ids = None, None, [], []
+        cell, best, queries, query_ids, floors = None, None, [], [], []
         for batch in batches:
             for mark, begin, end in _runs(batch.column("mark")):
                 rows = batch.slice(begin, end - begin)
                 if mark[:-1] != cell:
                     if best is not None:
                         yield best.result(schema)
-                    cell, best, queries, query_ids = mark[:-1], None, [], []
+                    cell, best, queries, query_ids, floors = mark[:-1], None, [], [], []
                 if mark.endswith(QUERY_MARK):
                     queries.append(_matrix(rows.column("embedding")))
                     query_ids.extend(rows.column("query_id").to_pylist())
+                    if marked:
+                        floors.append(_numbers(rows.column("marks")))
                 elif queries:
                     if best is None:
-                        best = _BestK(query_ids, np.concatenate(queries), k)
+                        best = _BestK(query_ids, np.concatenate(queries), k, np.concatenate(floors) if marked else None, score)
                     for start in range(0, rows.num_rows, STREAM_ROWS):
                         part = rows.slice(start, STREAM_ROWS)
-                        best.offer(part.column("id").to_numpy(), _matrix(part.column("embedding")))
+                        marks = _numbers(part.column("marks")) if marked else None
+                        best.offer(part.column("id").to_numpy(), _matrix(part.column("embedding")), marks)
         if best is not None:
             yield best.result(schema)
 
@@ -114,13 +133,17 @@ def _parts(rows: int):
 def topk_grouped(
     vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None,
     tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS, few_groups: bool = False,
+    sizes: DataFrame | None = None, score=None,
 ) -> DataFrame:
     """k nearest vectors of each query, searched within its group (or everywhere).
 
-    `vectors` (id, embedding[, group]), `queries` (query_id, embedding[, group]); a query may be
+    `vectors` (id, embedding[, group][, marks]), `queries` (query_id, embedding[, group][, floors]); a query may be
     listed under several groups. Returns (query_id, id, distance, rank_no). `few_groups` states that
-    the sizes of all groups fit in memory, so that sizing a group does not shuffle its vectors.
+    the sizes of all groups fit in memory, so that sizing a group does not shuffle its vectors; `sizes` (group, size)
+    are known ones. With `marks` and `floors`, arrays of equal length, a vector counts for a query where no mark is
+    below its floor. `score` of (distances, marks) replaces the distance.
     """
+    marked = "marks" in vectors.columns
     vectors = vectors.filter(F.col("embedding").isNotNull())
     queries = queries.filter(F.col("embedding").isNotNull())
     if group is None:
@@ -131,7 +154,10 @@ def topk_grouped(
         sized_queries = queries.withColumn("_tiles", tiles).withColumn("_blocks", blocks)
         key = []
     else:
-        sizes = vectors.groupBy(group).agg(_parts(tile_rows).alias("_tiles")).join(
+        tiles = (
+            vectors.groupBy(group).agg(_parts(tile_rows).alias("_tiles")) if sizes is None
+            else sizes.select(group, F.ceil(F.col("size") / tile_rows).cast("int").alias("_tiles")))
+        sizes = tiles.join(
             queries.groupBy(group).agg(_parts(block_rows).alias("_blocks")), group
         )
         sizes = F.broadcast(sizes) if few_groups else sizes
@@ -148,22 +174,23 @@ def topk_grouped(
     tiles = sized_vectors.select(
         *key, one_of("id", "_tiles").alias("_tile"), all_of("_blocks").alias("_block"),
         F.lit(VECTOR_MARK).alias("mark"), F.lit(None).cast(query_type).alias("query_id"),
-        F.col("id").cast("long").alias("id"), "embedding",
+        F.col("id").cast("long").alias("id"), "embedding", *(["marks"] if marked else []),
     )
     blocks = sized_queries.select(
         *key, all_of("_tiles").alias("_tile"), one_of("query_id", "_blocks").alias("_block"),
         F.lit(QUERY_MARK).alias("mark"), "query_id", F.lit(None).cast("long").alias("id"), "embedding",
+        *([F.col("floors").alias("marks")] if marked else []),
     )
     cell = F.concat_ws("/", *[F.col(c).cast("string") for c in (*key, "_tile", "_block")])
     cells = tiles.unionByName(blocks).withColumn("cell", cell)
     laid_out = spread(cells, "cell").select(
-        F.concat("cell", "mark").alias("mark"), "query_id", "id", "embedding"
+        F.concat("cell", "mark").alias("mark"), "query_id", "id", "embedding", *(["marks"] if marked else [])
     ).sortWithinPartitions("mark")
     arrow_type = pa.int64() if query_type.simpleString() == "bigint" else pa.string()
     if query_type.simpleString() not in ("bigint", "string"):
         raise TypeError("query_id must be a bigint or a string")
     nearest = laid_out.mapInArrow(
-        _stream_tiles(k, arrow_type), f"query_id {query_type.simpleString()}, id long, distance double"
+        _stream_tiles(k, arrow_type, marked, score), f"query_id {query_type.simpleString()}, id long, distance double"
     )
     order = [F.isnan("distance"), F.col("distance"), F.col("id")]
     return top_rows(nearest, ["query_id"], order, k)
@@ -171,7 +198,9 @@ def topk_grouped(
 
 def topk_exact(vectors: DataFrame, queries: DataFrame, k: int, **sizes) -> DataFrame:
     """k nearest of all vectors."""
-    return topk_grouped(vectors.select("id", "embedding"), queries.select("query_id", "embedding"), k, **sizes)
+    marks = [c for c in ("marks",) if c in vectors.columns]
+    floors = [c for c in ("floors",) if marks]
+    return topk_grouped(vectors.select("id", "embedding", *marks), queries.select("query_id", "embedding", *floors), k, **sizes)
 
 
 def list_count(n: int) -> int:
