@@ -9,7 +9,7 @@ is the corpus itself, its shards cannot all be broadcast; what can match is brou
 2. Only segments of anchors that occur more than once go on. Equal segments are one, kept at their earliest place; where
    an anchor has more than HOT occurrences, each window is a segment of its own, so a frequent anchor with very
    many surroundings is dealt out by window.
-3. Segments go to a shard by anchor. A shard's segments come in corpus order; each is first streamed through the
+3. Segments whose anchor has other segments too go to a shard by anchor. A shard's segments come in corpus order; each is first streamed through the
    automaton of those before it, then added to it. A shard holds about SHARD_WORDS words, however large the corpus.
 4. Windows found, and all windows of segments that are not at their earliest place, are laid over the texts.
 
@@ -262,13 +262,16 @@ def find_repeats(
     held = stage(_with_texts(rows, shared, known.filter("copy"), n))
     unstage(cut)
     places = held.select("own", "id", "k", "h", F.explode("found").alias("s")).select("own", "id", "k", "h", "s.*")
-    facts = stage(places.groupBy("anchor", "run").agg(
-        F.min(_place("first")).alias("origin"), F.count("*").alias("n"), F.max("windows").alias("windows")))
-    size = facts.agg(F.sum("n").alias("places"), F.sum(F.col("windows") + (n - 1)).alias("words")).first()
+    facts = places.groupBy("anchor", "run").agg(
+        F.min(_place("first")).alias("origin"), F.count("*").alias("n"), F.max("windows").alias("windows"))
+    # A window can only be met in another segment of its anchor, so an anchor with one kind of segment needs no shard.
+    kinds = facts.groupBy("anchor").agg((F.count("*") > 1).alias("varied"))
+    facts = stage(facts.join(kinds, "anchor"))
+    size = facts.agg(F.sum("n").alias("places"), F.sum(F.when(F.col("varied"), F.col("windows") + (n - 1))).alias("words")).first()
     placed = stage(
         by_key(places, facts.drop("windows"), ["anchor", "run"], size["places"] or 0)
         .withColumn("here", _place("first") == F.col("origin")).drop("origin", "n"))
-    earliest = placed.filter("here").groupBy("k", "h").agg(F.collect_list(F.struct(*SEGMENT)).alias("found"))
+    earliest = placed.filter("here AND varied").groupBy("k", "h").agg(F.collect_list(F.struct(*SEGMENT)).alias("found"))
     shards = max(1, -(-(size["words"] or 0) // shard_words))
     texts = held.drop("found")
     seen = stage(_streamed(_word_lists(earliest.join(texts, ["k", "h"]), n), shards, n).filter("seen <> 0"))
