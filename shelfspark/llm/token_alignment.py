@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from shelfspark.llm.words import SLICE_BYTES, claim, sha256, slices
+from shelfspark.llm.words import claim, sha256, slices
 from shelfspark.sources.storage import stage
 
 HEAD = 1 << 19
-MEMO_CHUNKS = 1 << 19
+MEMO_CHUNKS = 1 << 18
+SLICE_BYTES = 2 << 20
 SHIFT = 32
 LOW = (1 << SHIFT) - 1
 # White space, in the widest reading of the libraries, and then a space; or a space at either end.
@@ -241,7 +242,7 @@ def _slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, model: bytes
             _TOKENIZERS[digest] = Tokenizers(*shared.value)
         claim()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 made = align_slice(batch.column("text"), _TOKENIZERS[digest])
                 ids = batch.column("id")
                 columns = [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]

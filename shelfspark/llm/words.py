@@ -80,10 +80,10 @@ def sha256(data: bytes | str) -> str:
     return hashlib.sha256(data.encode("utf-8", "surrogatepass") if isinstance(data, str) else data).hexdigest()
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `size` bytes of text, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
-    parts = np.cumsum(sizes + 64) // SLICE_BYTES
+    parts = np.cumsum(sizes + 64) // size
     edges = np.flatnonzero(np.diff(parts, prepend=-1)).tolist() + [batch.num_rows]
     for start, end in zip(edges, edges[1:]):
         yield batch.slice(start, end - start)
