@@ -10,7 +10,8 @@ from checks.views import (
     PRODUCTS, RATING_WEIGHTS, RATINGS, SHELF, SOURCE_REQUESTS, TOKEN, ctes, occurrences, ranked,
 )
 from shelfspark.operators.fulltext import (
-    build_index, doc_freq, match_terms, plain_query, search_fts, search_index, tokenize, update_index, vocabulary, write_index,
+    build_index, compact_index, doc_freq, match_terms, plain_query, read_doc_freq, search_fts, search_index, tokenize, update_index,
+    vocabulary, write_index,
 )
 from shelfspark.operators.lookups import with_availability
 from shelfspark.operators.merge import mark_collected, unmark_collected
@@ -101,6 +102,30 @@ def fts_stored_and_updated(spark, sf):
     return search_index(path, view(spark, sf, BENCHMARK_REQUESTS), "simple", 10)
 
 
+@check(f"""WITH {DOC_OCC}, {ctes(requests=BENCHMARK_REQUESTS)}, {ranked('requests')},
+    placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank DESC, id) AS rank_no FROM ranked)
+    SELECT request_id, id, rank, rank_no FROM placed WHERE rank_no <= 10""")
+def fts_stored_rebuilt_compacted(spark, sf):
+    """Search after write, update, rebuild over other texts, two more updates and compaction."""
+    items, path = view(spark, sf, DOC_ITEMS), f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    reversed_texts = items.withColumn("description", F.reverse("description"))
+    write_index(build_index(reversed_texts, DOC_FIELDS, "simple"), path)
+    update_index(path, items.filter("id % 2 = 1"), DOC_FIELDS, "simple")
+    write_index(build_index(items.withColumn("description", F.when(F.col("id") % 4 != 2, F.col("description"))), DOC_FIELDS, "simple"), path)
+    update_index(path, reversed_texts.filter("id % 4 = 2"), DOC_FIELDS, "simple")
+    update_index(path, items.filter("id % 4 = 2"), DOC_FIELDS, "simple")
+    compact_index(spark, path)
+    return search_index(path, view(spark, sf, BENCHMARK_REQUESTS), "simple", 10)
+
+
+@check(f"""WITH {DOC_OCC} SELECT term, count(DISTINCT id) AS doc_freq FROM occ GROUP BY term""")
+def stored_doc_freq(spark, sf):
+    """Document frequencies kept beside a stored index."""
+    path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    write_index(build_index(view(spark, sf, DOC_ITEMS), DOC_FIELDS, "simple"), path)
+    return read_doc_freq(spark, path)
+
+
 @check()
 def fts_rank_english(spark, sf):
     return search_fts(doc_index(spark, sf, "english"), view(spark, sf, BENCHMARK_REQUESTS), "english")

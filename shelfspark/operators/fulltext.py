@@ -11,7 +11,6 @@ Ranks have the digits of a single-precision number, so that equal ones tie whate
 """
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -19,7 +18,7 @@ from shelfspark.functions.analysis import WEIGHTS, positioned, to_term, to_terms
 from shelfspark.operators.layout import spread
 from shelfspark.operators.paging import top_rows
 from shelfspark.schemas import POSTINGS
-from shelfspark.sources.storage import snapshot_versions, stage
+from shelfspark.sources.storage import delete_versions, snapshot_versions, stage
 
 BUCKETS = 64
 
@@ -78,57 +77,104 @@ def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _write_postings(postings: DataFrame, path: str, version: int) -> None:
+def _write_version(postings: DataFrame, path: str, version: int, base: int) -> None:
+    """Postings and document frequencies of one version; the version counts once `state`, written last, names its base."""
     bucketed = postings.withColumn("bucket", term_bucket(F.col("term")))
     ordered = bucketed.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
     ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/version={version}")
+    spark = postings.sparkSession
+    stored = spark.read.schema(f"{POSTINGS}, bucket INT").parquet(f"{path}/postings/version={version}")
+    frequencies = stored.filter("first").groupBy("bucket", "term").agg(F.count("*").alias("doc_freq"))
+    frequencies.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
+        "bucket").parquet(f"{path}/doc_freq/version={version}")
+    spark.createDataFrame([(base,)], "base INT").coalesce(1).write.mode("overwrite").parquet(f"{path}/state/version={version}")
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(base, newest) version of a stored index: readers take these and all between."""
+    versions = snapshot_versions(spark, f"{path}/state")
+    if not versions:
+        raise FileNotFoundError(f"no complete index under {path}")
+    return spark.read.schema("base INT").parquet(f"{path}/state/version={versions[-1]}").first()[0], versions[-1]
 
 
 def write_index(postings: DataFrame, path: str) -> None:
-    """Store postings by term bucket and in (term, id) order: a search reads the buckets of its words only."""
-    _write_postings(postings, path, 0)
+    """Store postings by term bucket and in (term, id) order: a search reads the buckets of its words only.
+
+    Of an index that is there already, this is a new base: readers leave all versions before it aside.
+    """
+    version = max(snapshot_versions(postings.sparkSession, f"{path}/state"), default=-1) + 1
+    _write_version(postings, path, version, version)
 
 
 def update_index(path: str, changed: DataFrame, fields: list[tuple[str, str]], config: str, id_col: str = "id") -> None:
     """Bring a stored index up to date with new or `changed` rows without touching what it holds.
 
     The ids are noted as replaced in all earlier versions, and their postings are added as a new version. A row whose
-    fields are all empty is thereby removed. A version counts once its postings are complete, which are written last.
+    fields are all empty is thereby removed. Each version keeps one list of all ids replaced since the base, with the
+    version that replaced them last.
     """
     spark = changed.sparkSession
-    version = max(_index_versions(spark, path)) + 1
-    changed.select(F.col(id_col).alias("id")).distinct().write.mode("overwrite").parquet(f"{path}/replaced/version={version}")
-    _write_postings(build_index(changed, fields, config, id_col), path, version)
+    base, newest = _state(spark, path)
+    version = newest + 1
+    replaced = changed.select(F.col(id_col).cast("long").alias("id"), F.lit(version).alias("since")).union(_replaced(spark, path, base, newest))
+    replaced.groupBy("id").agg(F.max("since").alias("since")).write.mode("overwrite").parquet(f"{path}/replaced/version={version}")
+    _write_version(build_index(changed, fields, config, id_col), path, version, base)
 
 
-def _index_versions(spark: SparkSession, path: str) -> list[int]:
-    return snapshot_versions(spark, f"{path}/postings")
+def _replaced(spark: SparkSession, path: str, base: int, newest: int) -> DataFrame:
+    """(id, since): postings of an id from versions before `since` are outdated."""
+    if newest == base:
+        return spark.createDataFrame([], "id LONG, since INT")
+    return spark.read.schema("id LONG, since INT").parquet(f"{path}/replaced/version={newest}")
+
+
+def _stored(spark: SparkSession, path: str, kind: str, schema: str, terms: DataFrame | None) -> DataFrame:
+    """Rows of one kind of all versions in use, with their version; of the buckets and `terms` asked for where given.
+
+    The terms meet the rows on (bucket, term), and where Spark broadcasts them, their buckets prune the folders.
+    """
+    base, newest = _state(spark, path)
+    rows = spark.read.schema(f"{schema}, version INT, bucket INT").parquet(f"{path}/{kind}")
+    rows = rows.filter((F.col("version") >= base) & (F.col("version") <= newest))
+    if terms is None:
+        return rows
+    wanted = terms.filter(F.col("term").isNotNull() & (F.col("term") != "")).select(term_bucket(F.col("term")).alias("bucket"), "term")
+    return rows.join(wanted.distinct(), ["bucket", "term"], "left_semi")
 
 
 def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
-    """Postings of a stored index as its updates left them, of the buckets that hold `terms` where these are given."""
-    versions = _index_versions(spark, path)
-    if terms is not None:
-        found = [r[0] for r in terms.select(term_bucket(F.col("term"))).distinct().collect()]  # BUCKETS at most
-    parts = []
-    for version in versions:
-        part = spark.read.schema(f"{POSTINGS}, bucket INT").parquet(f"{path}/postings/version={version}")
-        if terms is not None:
-            part = part.filter(F.col("bucket").isin(found))
-        later = [f"{path}/replaced/version={v}" for v in versions if v > version]
-        if later:
-            part = part.join(spark.read.schema("id LONG").parquet(*later).distinct(), "id", "left_anti")
-        parts.append(part.select("term", "id", "pos", "weight", "first"))
-    return reduce(DataFrame.unionByName, parts)
+    """Postings of a stored index as its updates left them, only those of `terms` where these are given."""
+    rows = _stored(spark, path, "postings", POSTINGS, terms)
+    base, newest = _state(spark, path)
+    if newest > base:
+        rows = rows.join(_replaced(spark, path, base, newest), "id", "left").filter(F.col("since").isNull() | (F.col("version") >= F.col("since")))
+    return rows.select("term", "id", "pos", "weight", "first")
+
+
+def read_doc_freq(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc_freq) kept with the index. After updates, replaced documents still count until `compact_index`."""
+    rows = _stored(spark, path, "doc_freq", "term STRING, doc_freq LONG", terms)
+    return rows.groupBy("term").agg(F.sum("doc_freq").alias("doc_freq"))
+
+
+def compact_index(spark: SparkSession, path: str) -> None:
+    """Fold all updates into a new base, without the postings they replaced; readers of the old base are not disturbed."""
+    write_index(read_index(spark, path), path)
+
+
+def expire_index(spark: SparkSession, path: str) -> None:
+    """Delete versions before the base in use; for times when no reader uses them any more."""
+    base, _ = _state(spark, path)
+    for kind in ("state", "postings", "doc_freq", "replaced"):
+        delete_versions(spark, f"{path}/{kind}", base)
 
 
 def search_index(
     path: str, requests: DataFrame, config: str, depth: int | None = None, text: str = "q", key: str = "request_id"
 ) -> DataFrame:
     """search_fts over a stored index; only the buckets of the requests' words are read."""
-    terms = stage(plain_query(requests, config, text, key))
-    ranked = rank_matches(match_terms(read_index(requests.sparkSession, path, terms), terms, key), key)
-    return ranked if depth is None else top_rows(ranked, [key], [F.desc("rank"), F.col("id")], depth)
+    return search_fts(path, requests, config, depth, text, key)
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
@@ -154,17 +200,18 @@ def plain_query(requests: DataFrame, config: str, text: str = "q", key: str = "r
 
 def match_terms(
     postings: DataFrame, terms: DataFrame, key: str = "request_id",
-    allowed: Callable[[DataFrame], DataFrame] | None = None,
+    allowed: Callable[[DataFrame], DataFrame] | None = None, frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Occurrences (request_id, id, n_terms, term, pos, weight) in documents with every term of a request.
 
     Candidates come from the rarest term of each request only; its other terms are looked up for
     those candidates by (id, term). A frequent word is therefore never joined against all documents.
-    `allowed` may drop candidate pairs (request_id, id) before their occurrences are fetched.
+    `allowed` may drop candidate pairs (request_id, id) before their occurrences are fetched. `frequencies` (term,
+    doc_freq), where kept, spare the count.
     """
     # Where the requests' words are few, Spark broadcasts them and map tasks keep only their postings.
     used = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    counted = terms.join(doc_freq(used), "term")
+    counted = terms.join(doc_freq(used) if frequencies is None else frequencies, "term")
     whole = Window.partitionBy(key)
     rarest = (
         counted.withColumn("_found", F.count("*").over(whole))
@@ -223,13 +270,19 @@ def rank_matches(matches: DataFrame, key: str = "request_id") -> DataFrame:
 
 
 def search_fts(
-    postings: DataFrame, requests: DataFrame, config: str, depth: int | None = None,
+    postings: DataFrame | str, requests: DataFrame, config: str, depth: int | None = None,
     text: str = "q", key: str = "request_id", allowed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Ranked matches (request_id, id, rank); with `depth` only the best of each request."""
+    """Ranked matches (request_id, id, rank); with `depth` only the best of each request.
+
+    `postings` are rows, or the path of a stored index, of which only the words of the requests are read.
+    """
     # The words of the requests are read by every step of the match: written once, of known size.
-    terms = stage(plain_query(requests, config, text, key))
-    ranked = rank_matches(match_terms(postings, terms, key, allowed), key)
+    terms, frequencies = stage(plain_query(requests, config, text, key)), None
+    if isinstance(postings, str):
+        spark, words = requests.sparkSession, terms.select("term").distinct()
+        postings, frequencies = read_index(spark, postings, words), read_doc_freq(spark, postings, words)
+    ranked = rank_matches(match_terms(postings, terms, key, allowed, frequencies), key)
     if depth is None:
         return ranked
     return top_rows(ranked, [key], [F.desc("rank"), F.col("id")], depth)

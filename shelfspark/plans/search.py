@@ -81,7 +81,7 @@ def _browse(rows: DataFrame, requests: DataFrame, params: dict, sufficient: list
 
 
 def _candidates(
-    rows: DataFrame, postings: DataFrame, requests: DataFrame, params: dict, sufficient: list[str],
+    rows: DataFrame, postings: DataFrame | str, requests: DataFrame, params: dict, sufficient: list[str],
     config: str, part_of_index: bool = False,
 ) -> DataFrame:
     """(request_id, id, rank, …row columns) that satisfy each request; rank is NULL without a text.
@@ -121,7 +121,7 @@ def rejected_ratings(requests: DataFrame) -> DataFrame:
 
 
 def search_items(
-    items: DataFrame, postings: DataFrame, requests: DataFrame, config: str = "english",
+    items: DataFrame, postings: DataFrame | str, requests: DataFrame, config: str = "english",
     limit: int = 20, offset: int = 0, dedupe: bool = True,
 ) -> DataFrame:
     """Items for each request, best text match first (PDF before EPUB before others on equal rank).
@@ -160,7 +160,7 @@ def library_total(items: DataFrame) -> DataFrame:
 
 
 def library_search(
-    items: DataFrame, postings: DataFrame, requests: DataFrame, config: str = "english",
+    items: DataFrame, postings: DataFrame | str, requests: DataFrame, config: str = "english",
     limit: int = 20, offset: int = 0,
 ) -> DataFrame:
     """Collected items for each request, by rank with a text and latest first without."""
@@ -175,7 +175,7 @@ def library_search(
 
 
 def search_ratings_fts(
-    ratings: DataFrame, postings: DataFrame, requests: DataFrame, config: str = "english",
+    ratings: DataFrame, postings: DataFrame | str, requests: DataFrame, config: str = "english",
     limit: int = 20, offset: int = 0,
 ) -> DataFrame:
     """Rating rows by text rank, or by rating (unrated last) for requests without a text."""
@@ -223,7 +223,7 @@ def search_ratings_vector(
 
 
 def search_ratings(
-    ratings: DataFrame, postings: DataFrame, vectors: DataFrame, requests: DataFrame, embedder,
+    ratings: DataFrame, postings: DataFrame | str, vectors: DataFrame, requests: DataFrame, embedder,
     config: str = "english", limit: int = 20, offset: int = 0,
     centroids: DataFrame | None = None, probes: int = 1,
 ) -> tuple[DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ def title_covered(query, title):
     return all_in & (F.size(asked) >= F.size(have) * F.lit(MIN_COVERAGE)) & (F.size(asked) > 0)
 
 
-def resolve_source(requests: DataFrame, ratings: DataFrame, postings: DataFrame, config: str = "english") -> DataFrame:
+def resolve_source(requests: DataFrame, ratings: DataFrame, postings: DataFrame | str, config: str = "english") -> DataFrame:
     """(request_id, id) of the rating row each request names, by isbn or else by title.
 
     The title test is applied to all matches before they are ranked, so no crowd of better ranked rows hides a title.
@@ -99,8 +99,8 @@ class Similar(NamedTuple):
 
 
 def similar(
-    requests: DataFrame, ratings: DataFrame, rating_postings: DataFrame, items: DataFrame,
-    item_postings: DataFrame, vectors: DataFrame | None, embedder, config: str = "english",
+    requests: DataFrame, ratings: DataFrame, rating_postings: DataFrame | str, items: DataFrame,
+    item_postings: DataFrame | str, vectors: DataFrame | None, embedder, config: str = "english",
     limit: int = 10, min_rating: float = 0, min_reviews: int = 0,
     centroids: DataFrame | None = None, probes: int | None = None, lists: str | None = None,
 ) -> Similar:

@@ -81,6 +81,15 @@ def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     )
 
 
+def delete_versions(spark: SparkSession, root: str, before: int) -> None:
+    """Delete the versions of a table that are older than `before`."""
+    fs, folder = _folder(spark, root)
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        name = status.getPath().getName()
+        if name.startswith("version=") and int(name.removeprefix("version=")) < before:
+            fs.delete(status.getPath(), True)
+
+
 def write_snapshot(
     df: DataFrame, root: str, version: int | None = None, partition_by: list[str] | None = None
 ) -> int:

@@ -6,7 +6,11 @@ import pytest
 
 from shelfspark.functions.analysis import STOP_WORDS, WEIGHTS
 from shelfspark.functions.stemmer import stem
-from shelfspark.operators.fulltext import build_index, doc_freq, plain_query, read_index, search_fts, search_index, tokenize, update_index, vocabulary, write_index
+from shelfspark.operators.fulltext import (
+    build_index, compact_index, doc_freq, expire_index, plain_query, read_doc_freq, read_index, search_fts, search_index, tokenize,
+    update_index, vocabulary, write_index,
+)
+from shelfspark.sources.storage import stage
 
 FIELDS = [("title", "A"), ("body", "D")]
 
@@ -115,9 +119,39 @@ def test_updated_index_equals_a_new_one(spark, tmp_path):
         assert sorted(read_index(spark, path).collect()) == sorted(fresh.collect())
         queries = spark.createDataFrame([(1, "common word3"), (2, "new")], "request_id LONG, q STRING")
         assert sorted(search_index(path, queries, "simple").collect()) == sorted(search_fts(fresh, queries, "simple").collect())
-    terms = plain_query(queries, "simple")
-    plan = read_index(spark, path, terms)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") or "bucket#" in plan.split("PartitionFilters: [")[1][:60]
+    write_index(build_index(spark.createDataFrame([(3, "a new base", ""), (40, "common", "")], schema), FIELDS, "simple"), path)
+    assert {r.id for r in read_index(spark, path).collect()} == {3, 40}
+    update_index(path, spark.createDataFrame([(40, "word3", "")], schema), FIELDS, "simple")
+    assert {(r.id, r.term) for r in read_index(spark, path).collect()} == {(3, "a"), (3, "new"), (3, "base"), (40, "word3")}
+
+
+def test_many_updates_then_compaction_equal_a_new_index(spark, tmp_path):
+    rows = {i: (i, f"word{i % 5} common", "x y") for i in range(30)}
+    schema, path = "id LONG, title STRING, body STRING", f"{tmp_path}/index"
+    write_index(build_index(spark.createDataFrame(list(rows.values()), schema), FIELDS, "simple"), path)
+    for turn in range(5):
+        changes = [(i, f"turn{turn} common", "") for i in range(turn, 34, 7)]
+        rows.update({r[0]: r for r in changes})
+        update_index(path, spark.createDataFrame(changes, schema), FIELDS, "simple")
+    plan = read_index(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Relation") == 2
+    fresh = build_index(spark.createDataFrame(list(rows.values()), schema), FIELDS, "simple")
+    assert sorted(read_index(spark, path).collect()) == sorted(fresh.collect())
+    compact_index(spark, path)
+    assert sorted(read_index(spark, path).collect()) == sorted(fresh.collect())
+    assert sorted(read_doc_freq(spark, path).collect()) == sorted(doc_freq(fresh).collect())
+    expire_index(spark, path)
+    assert [p.name for p in (tmp_path / "index/postings").glob("version=*")] == ["version=6"]
+    assert sorted(read_index(spark, path).collect()) == sorted(fresh.collect())
+
+
+def test_terms_prune_the_buckets_of_a_stored_index(spark, tmp_path):
+    schema, path = "id LONG, title STRING, body STRING", f"{tmp_path}/index"
+    write_index(build_index(spark.createDataFrame([(i, f"word{i}", "") for i in range(40)], schema), FIELDS, "simple"), path)
+    asked = stage(plain_query(spark.createDataFrame([(1, "word7")], "request_id LONG, q STRING"), "simple"))
+    found = read_index(spark, path, asked.select("term").distinct())
+    assert [r.id for r in found.collect()] == [7]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
 
 
 def test_unknown_config(spark):
