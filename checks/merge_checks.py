@@ -1,16 +1,19 @@
 """De-duplication, upsert, id and run-note queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import check, table, view
 from checks.views import DOC_PAGES, RATINGS, ctes
+from shelfspark.operators.buckets import expire_versions, invalidate_bucketed, read_bucketed, upsert_bucketed, write_bucketed
 from shelfspark.operators.filters import at_least, id_in
 from shelfspark.operators.merge import (
     assign_ids, change_report, dedupe_last, insert_absent, invalidate_vectors, number_new_rows, set_outline,
     split_blank_keys, upsert, upsert_pages,
 )
 from shelfspark.sources.meta import meta_current
-from shelfspark.sources.storage import stage
+from shelfspark.sources.storage import stage, work_dir
 
 EVENTS = "SELECT user_id, ts, event_id, event_type, value FROM {events}"
 # The table before the merge holds the last event that was no error or signup of users whose such events have a fair
@@ -30,6 +33,9 @@ MERGED = f"""WITH {ctes(o=OLD, n=NEW)}, j AS (
                 ELSE 'unchanged' END AS change_type
     FROM o FULL JOIN n ON o.user_id = n.user_id)"""
 VALUES = ["event_type", "value"]
+NEXT_RATINGS = """
+    SELECT p_partkey AS id, p_name AS title, CASE WHEN length(p_name) > 12 THEN concat(p_brand, ' Ltd') ELSE p_brand END AS author,
+           CASE WHEN p_size > 40 THEN NULL ELSE p_type END AS description, 'new' AS genres FROM {part}"""
 
 
 def now():
@@ -51,6 +57,35 @@ def upsert_changed_only(spark, sf):
         "user_id", "id", "event_type", "value", "updated_at")
 
 
+@check(f"""{MERGED} SELECT user_id, id, CASE WHEN change_type IN ('inserted', 'updated') THEN new_type ELSE old_type END AS event_type,
+    CASE WHEN change_type IN ('inserted', 'updated') THEN new_value ELSE old_value END AS value,
+    CASE WHEN change_type IN ('inserted', 'updated') THEN timestamp '2024-06-01 00:00:00' ELSE updated_at END AS updated_at FROM j""")
+def upsert_by_bucket(spark, sf):
+    """The same merge over a stored table of key buckets, first the inserted half, then all, then all again for nothing."""
+    root, source = f"{work_dir(spark)}/users-{uuid.uuid4().hex}", view(spark, sf, NEW)
+    schema = "user_id LONG, event_type STRING, value DOUBLE, id LONG, updated_at TIMESTAMP"
+    write_bucketed(view(spark, sf, OLD).withColumn("user_id", F.col("user_id").cast("long")).withColumn("id", F.col("id").cast("long")), root, ["user_id"], 32)
+    for rows in (source.filter("user_id % 2 = 0"), source, source):
+        last = upsert_bucketed(rows.withColumn("user_id", F.col("user_id").cast("long")), root, schema, ["user_id"], VALUES, now())
+    assert last is None
+    expire_versions(spark, root, 1)
+    return read_bucketed(spark, root, schema).select("user_id", "id", "event_type", "value", "updated_at")
+
+
+@check(f"""WITH {ctes(o=RATINGS, n=NEXT_RATINGS)} SELECT e.vec_id AS id,
+    n.title IS DISTINCT FROM o.title OR n.author IS DISTINCT FROM o.author OR n.description IS DISTINCT FROM o.description AS stale
+    FROM embeddings e JOIN o ON o.id = e.vec_id JOIN n ON n.id = e.vec_id""")
+def invalidate_by_bucket(spark, sf):
+    """Vectors of changed texts nulled in a stored table of key buckets."""
+    root = f"{work_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    old, new = view(spark, sf, RATINGS), view(spark, sf, NEXT_RATINGS)
+    write_bucketed(table(spark, sf, "embeddings").selectExpr("vec_id AS id", "embedding"), root, ["id"], 32)
+    invalidate_bucketed(root, "id LONG, embedding ARRAY<FLOAT>", old, new)
+    both = old.select("id").join(new.select("id"), "id", "left_semi")
+    return read_bucketed(spark, root, "id LONG, embedding ARRAY<FLOAT>").join(both, "id", "left_semi").select(
+        "id", F.col("embedding").isNull().alias("stale"))
+
+
 @check(f"{MERGED} SELECT change_type, count(*) AS n FROM j GROUP BY change_type")
 def change_counts(spark, sf):
     return change_report(view(spark, sf, OLD), view(spark, sf, NEW), ["user_id"], VALUES)
@@ -76,9 +111,6 @@ def assign_event_ids(spark, sf):
 
 
 # The rating feed of the next release: larger products get a new description, long names a new author.
-NEXT_RATINGS = """
-    SELECT p_partkey AS id, p_name AS title, CASE WHEN length(p_name) > 12 THEN concat(p_brand, ' Ltd') ELSE p_brand END AS author,
-           CASE WHEN p_size > 40 THEN NULL ELSE p_type END AS description, 'new' AS genres FROM {part}"""
 
 
 @check(f"""WITH {ctes(o=RATINGS, n=NEXT_RATINGS)} SELECT e.vec_id AS id,

@@ -193,6 +193,18 @@ def search_items_filters(spark, sf):
     return search_items(items, index, requests, "simple", dedupe=False).select(*SHOWN.split(", "))
 
 
+@check(f"""WITH {PRODUCT_OCC}, {ctes(requests=NAME_BRAND_REQUESTS)}, {ranked('requests')},
+    hits AS (SELECT r.*, i.title, i.author, i.extension FROM ranked r JOIN items i USING (id) JOIN requests q USING (request_id)
+             WHERE i.author ILIKE '%' || q.author || '%'),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank DESC, {FORMAT}, id) AS rank_no FROM hits)
+    SELECT {SHOWN} FROM placed WHERE rank_no <= 20""")
+def search_items_stored(spark, sf):
+    """The public search over a stored index given by its path."""
+    items, path = view(spark, sf, PRODUCTS), f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    write_index(build_index(items, ITEM_FIELDS, "simple"), path)
+    return search_items(items, path, view(spark, sf, NAME_BRAND_REQUESTS), "simple", dedupe=False).select(*SHOWN.split(", "))
+
+
 # Requests without a text: by brand with a type, by type and size, by size alone, by upper-case type.
 BROWSE_REQUESTS = """
     SELECT DISTINCT concat('b', p_brand, p_type) AS request_id, p_brand AS author, p_type AS publisher,
