@@ -12,8 +12,9 @@ global orders of the tokens, as in any order the first |A| - needed + 1 tokens o
 Equal sets are one node, so copies are never paired. Groups of near copies are not expanded either: in each round the
 nodes posted under a token are compared with one of them, the hub, unless they are known to be connected. When
 rounds find nothing new, all pairs left under a token that are not yet connected are compared, so no link that matters
-to a component is lost. Of these the join itself drops pairs whose parity bitmaps differ in more bits than two linked
-sets can differ in tokens, as each differing token flips one bit. Components are kept in tables, halving paths by joins; links are never gathered.
+to a component is lost. Each is made at its first common token, where both sets must have enough tokens left, and the
+join drops pairs whose parity bitmaps differ in more bits than two linked sets can differ in tokens, as each differing
+token flips one bit. Components are kept in tables, halving paths by joins; links are never gathered.
 """
 
 import numpy as np
@@ -29,6 +30,7 @@ SHINGLE = 5
 PERCENT = 75
 ROUNDS = 6
 GAIN = 0.02
+RECENT = 16
 WORDS = 16
 BITMAP = [f"bits{i}" for i in range(WORDS)]
 
@@ -134,7 +136,10 @@ def _texts_of(docs: DataFrame, members: DataFrame, keys: DataFrame, identity: st
 
 
 def _second_postings(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(token, key, n_shingles): tokens of the prefix rarest first that more than one set has."""
+    """(token, key, n_shingles, place, rest): tokens of the prefix rarest first that more than one set has.
+
+    `rest` counts the token and those of the set that come after it in this order and occur in other sets as well.
+    """
 
     def compute(rows):
         sets = [shingles(t, n) for t in rows]
@@ -147,7 +152,8 @@ def _second_postings(texts: DataFrame, n: int, percent: int) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("tie"), "token"))).alias("tokens"))
     room = F.size("tokens") - column_needed(F.col("n_shingles"), percent) + 1
     prefix = F.slice("tokens", 1, F.greatest(room, F.lit(0)).cast("int"))
-    return ordered.select("key", "n_shingles", F.explode(prefix).alias("t")).select("t.token", "key", "n_shingles")
+    placed = ordered.select("key", "n_shingles", F.size("tokens").alias("size"), F.posexplode(prefix).alias("place", "t"))
+    return placed.select("t.token", "key", "n_shingles", "place", (F.col("size") - F.col("place")).alias("rest"))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -239,22 +245,29 @@ def _hub_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
 
 
 def _rest_pairs(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """All pairs under a token that are not yet connected and may link by size and bitmap.
+    """All pairs under a token that are not yet connected and may link by size, place and bitmap.
 
-    One side is outside the token's largest component, so that component is never paired with itself.
+    One side is outside the token's largest component, so that component is never paired with itself. A pair is made at
+    the first token that both prefixes have: rows carry the RECENT tokens before theirs, and where one of these is common
+    too, the pair has been made there already. From the first common token on, both sets must have enough tokens left.
     """
     counts = rows.groupBy("token", "component").count()
     largest = counts.groupBy("token").agg(
         F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
     mixed = rows.join(largest.select("token", F.col("most.component").alias("main")), "token")
+    before = Window.partitionBy("key").orderBy("place").rowsBetween(-RECENT, -1)
+    mixed = mixed.withColumn("recent", F.collect_list("token").over(before))
     mixed = mixed.join(texts.select("key", *BITMAP), "key")
     outer = mixed.filter("component <> main").select(
         "token", F.col("key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("component_a"),
-        *[F.col(b).alias(f"{b}_a") for b in BITMAP])
+        F.col("rest").alias("rest_a"), F.col("recent").alias("recent_a"), *[F.col(b).alias(f"{b}_a") for b in BITMAP])
     differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_a"))) for b in BITMAP), F.lit(0))
+    both = F.col("n_shingles") + F.col("n_a")
     met = outer.join(mixed, "token").filter(
         (F.col("component") != F.col("component_a")) & _sizes_fit("n_shingles", "n_a", percent)
-        & (differ * (100 + percent) <= (F.col("n_shingles") + F.col("n_a")) * (100 - percent))
+        & (F.least("rest", "rest_a") * (100 + percent) >= both * percent)
+        & (differ * (100 + percent) <= both * (100 - percent))
+        & ~F.arrays_overlap("recent", "recent_a")
         & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("key"))))
     return met.select("a", F.col("key").alias("b")).distinct()
 

@@ -67,6 +67,24 @@ def test_components_as_all_pairs_give_them(spark, seed):
     assert rows_of(jaccard.jaccard_components(docs), *COLUMNS) == brute(rows)
 
 
+def test_strangers_that_share_many_rare_tokens_are_paired_once(spark):
+    """Texts that share a passage but do not link: one pair comes out per two of them, or few more, and no link is lost."""
+    passage = prose(77, 60)
+    rows = [(i, f"{prose(500 + i, 10)} {passage} {prose(700 + i, 45)}") for i in range(30)]
+    rows += [(100 + i, edited(random.Random(i), rows[i][1], 0.02)) for i in range(0, 30, 3)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert rows_of(jaccard.jaccard_components(docs), *COLUMNS) == brute(rows)
+    members = jaccard._members(docs, "doc_id", "text", 5)
+    texts = jaccard._texts_of(docs, members, members.select("key"), "doc_id", "text", 5)
+    postings = jaccard._labelled(jaccard._second_postings(texts, 5, 75), None)
+    made = jaccard._rest_pairs(postings, texts, 75)
+    linked = {(a, b) for a in dict(rows) for b in dict(rows) if a < b
+              and 100 * len(shingles(dict(rows)[a]) & shingles(dict(rows)[b])) >= 75 * len(shingles(dict(rows)[a]) | shingles(dict(rows)[b]))}
+    keys = {r["key"]: r["id"] for r in members.collect()}
+    found = {tuple(sorted((keys[r["a"]], keys[r["b"]]))) for r in made.collect()}
+    assert linked and linked <= found
+
+
 def test_edges(spark):
     docs = messy(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
