@@ -35,8 +35,8 @@ from shelfspark.llm.words import claim, sha256, slices
 from shelfspark.sources.storage import stage
 
 HEAD = 1 << 19
-MEMO_CHUNKS = 1 << 18
-SLICE_BYTES = 2 << 20
+MEMO_CHUNKS = 1 << 17
+SLICE_BYTES = 1 << 20
 SHIFT = 32
 LOW = (1 << SHIFT) - 1
 # White space, in the widest reading of the libraries, and then a space; or a space at either end.
@@ -249,6 +249,7 @@ def _slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, model: bytes
                 columns += [
                     pa.ListArray.from_arrays(pa.array([0, len(made[c])], pa.int32()), pa.array(made[c], arrow[k])) for c, k in kinds.items()]
                 yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", *kinds])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
@@ -269,6 +270,9 @@ def _scored(parts: DataFrame, head: pa.Table) -> DataFrame:
     figures = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 
     def run(batches):
+        # The worker has no more use for what the first pass kept.
+        _TOKENIZERS.clear()
+        pa.default_memory_pool().release_unused()
         known, n, best = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
