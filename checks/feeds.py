@@ -27,7 +27,7 @@ def pack_seekable(pieces: list[bytes], checksum: bool = False) -> bytes:
     return b"".join(packed) + seek_table([(len(a), len(b)) for a, b in zip(packed, pieces)], checksum)
 
 
-def write_seekable(lines: DataFrame, folder: str) -> int:
+def write_seekable(lines: DataFrame, folder: str, prefix: str = "part") -> int:
     """Write one seekable file per partition of `lines` (value); returns the number of files.
 
     Frames are cut by size wherever that falls, so lines straddle them.
@@ -37,7 +37,7 @@ def write_seekable(lines: DataFrame, folder: str) -> int:
     def write(batches):
         filesystem, root = fs.FileSystem.from_uri(uri)
         filesystem.create_dir(root)
-        name = f"{root}/part-{TaskContext.get().partitionId():05d}.jsonl.zst"
+        name = f"{root}/{prefix}-{TaskContext.get().partitionId():05d}.jsonl.zst"
         codec, sizes, held = pa.Codec("zstd"), [], b""
         with filesystem.open_output_stream(name, compression=None) as out:
             def frame(text: bytes) -> None:

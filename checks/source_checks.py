@@ -6,17 +6,23 @@ from pyspark.sql import functions as F
 
 from checks.feeds import write_seekable
 from checks.registry import check, table, view
-from checks.text_checks import item_lines
+from checks.text_checks import item_lines, rating_lines
 from checks.views import ctes
+from shelfspark.operators.embedding import HashingEmbedder
+from shelfspark.operators.filters import exists_missing, id_after
+from shelfspark.operators.fulltext import read_index
 from shelfspark.operators.parse import parse_items
+from shelfspark.plans.ingest import ITEM_FEED, RATING_FEED, run_ingest
 from shelfspark.plans.stats import embedding_progress, stats
-from shelfspark.schemas import ITEM_VALUES, ITEMS
+from shelfspark.schemas import ITEM_VALUES, ITEMS, RATINGS, VECTORS
 from shelfspark.sources.discovery import extract_hosts, latest_release
 from shelfspark.sources.lines import slice_in_order, window_lines
 from shelfspark.sources.seekable import read_seekable_jsonl
 from shelfspark.sources.storage import read_snapshot, work_dir, write_snapshot
 from shelfspark.streaming.ingest import stream_ingest
 
+# Every document with the vector of its id, where there is one.
+VECTOR_STATE = "SELECT d.doc_id AS id, e.embedding FROM {documents} d LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id"
 LINK = 'href="/[^"]*"'
 
 
@@ -112,3 +118,36 @@ def stream_upsert(spark, sf):
         spark, f"{folder}/in", f"{folder}/items", ITEMS, f"{folder}/checkpoint", parse_items, ITEM_VALUES, max_files=2
     ).awaitTermination()
     return read_snapshot(spark, f"{folder}/items", ITEMS).select("source_id", "title", "year")
+
+
+@check(f"""SELECT 'items' AS kind, row_number() OVER (ORDER BY doc_id::varchar) AS id, doc_id::varchar AS source_id, source AS title FROM documents
+    UNION ALL SELECT 'ratings', row_number() OVER (ORDER BY doc_id::varchar), doc_id::varchar, CASE WHEN lang = 'en' THEN lang ELSE source END FROM documents
+    UNION ALL SELECT 'vectors', row_number() OVER (ORDER BY doc_id::varchar), NULL, 'hashing-16' FROM documents
+    UNION ALL SELECT 'indexed', row_number() OVER (ORDER BY doc_id::varchar), NULL, NULL FROM documents""")
+def ingest_run(spark, sf):
+    """A whole run from two compressed feeds: discovery, merge, ids, postings and vectors; a second run finds nothing new."""
+    folder = new_folder(spark, "run")
+    for lines, name in ((item_lines(spark, sf), ITEM_FEED), (rating_lines(spark, sf), RATING_FEED)):
+        write_seekable(lines.coalesce(1), f"{folder}/in", name)
+    for _ in range(2):
+        status = run_ingest(spark, f"{folder}/in", f"{folder}/tables", HashingEmbedder(16), text_config="simple").first()
+    assert (status["items_count"], status["embedded"]) == (None, 0)
+    items = read_snapshot(spark, f"{folder}/tables/items", ITEMS)
+    ratings = read_snapshot(spark, f"{folder}/tables/ratings", RATINGS)
+    vectors = read_snapshot(spark, f"{folder}/tables/vectors", VECTORS)
+    words = read_index(spark, f"{folder}/tables/index/items").select("id").distinct()
+    none = F.lit(None).cast("string")
+    return (
+        items.select(F.lit("items").alias("kind"), "id", "source_id", "title")
+        .unionByName(ratings.select(F.lit("ratings").alias("kind"), "id", "source_id", "title"))
+        .unionByName(vectors.select(F.lit("vectors").alias("kind"), "id", none.alias("source_id"), F.col("model").alias("title")))
+        .unionByName(words.select(F.lit("indexed").alias("kind"), "id", none.alias("source_id"), none.alias("title"))))
+
+
+@check(f"""WITH {ctes(v=VECTOR_STATE)} SELECT id, (SELECT count(*) > 0 FROM v WHERE embedding IS NULL) AS some_missing
+    FROM v WHERE id > (SELECT max(id) // 2 FROM v)""")
+def ids_after_cursor(spark, sf):
+    """Rows above a cursor, and whether any row lacks its vector."""
+    rows = view(spark, sf, VECTOR_STATE)
+    cursor = rows.agg(F.max("id")).first()[0] // 2
+    return id_after(rows, cursor).select("id", F.lit(exists_missing(rows)).alias("some_missing"))

@@ -4,9 +4,10 @@ A request table has `request_id` (bigint or string) and any of the parameter col
 column means that no request gives this parameter.
 """
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfspark.functions.text import present
 from shelfspark.functions.vectors import cosine_distance, similarity
@@ -42,6 +43,22 @@ def _with_params(requests: DataFrame, params: list[str]) -> DataFrame:
     ])
 
 
+def once_per_combination(search: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Answer requests with the same parameters once, and give the trimmed answer to each of them.
+
+    A combination stands under its smallest request id, so the search makes rows for each distinct combination only.
+    """
+    @wraps(search)
+    def run(rows: DataFrame, postings: DataFrame | str, requests: DataFrame, *args, **kwargs) -> DataFrame:
+        params = [c for c in requests.columns if c != KEY]
+        asked = stage(requests.distinct().withColumn("_first", F.min(KEY).over(Window.partitionBy(*params))))
+        found = search(rows, postings, asked.filter(F.col(KEY) == F.col("_first")).drop("_first"), *args, **kwargs)
+        others = asked.select(KEY, "_first")
+        return found.withColumnRenamed(KEY, "_first").join(others, "_first").select(found.columns)
+
+    return run
+
+
 def _matches(column: str, way: str, param: Column) -> Column:
     if way == "contains":
         return contains_ci(F.col(column), param)
@@ -120,6 +137,7 @@ def rejected_ratings(requests: DataFrame) -> DataFrame:
     return checked.filter("error IS NOT NULL").select(KEY, "error")
 
 
+@once_per_combination
 def search_items(
     items: DataFrame, postings: DataFrame | str, requests: DataFrame, config: str = "english",
     limit: int = 20, offset: int = 0, dedupe: bool = True,
@@ -159,6 +177,7 @@ def library_total(items: DataFrame) -> DataFrame:
     return is_collected(items).agg(F.count("*").alias("total"))
 
 
+@once_per_combination
 def library_search(
     items: DataFrame, postings: DataFrame | str, requests: DataFrame, config: str = "english",
     limit: int = 20, offset: int = 0,
@@ -174,6 +193,7 @@ def library_search(
     return fetch_ranked(collected.select(COLLECTED_COLUMNS), shown)
 
 
+@once_per_combination
 def search_ratings_fts(
     ratings: DataFrame, postings: DataFrame | str, requests: DataFrame, config: str = "english",
     limit: int = 20, offset: int = 0,
