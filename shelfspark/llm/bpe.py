@@ -223,7 +223,7 @@ class Codec:
         return b"".join(map(self.words.__getitem__, ids.split(b" "))) if ids else b""
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
 def _codec(shared) -> Codec:
@@ -239,7 +239,7 @@ class _Table:
 
     def __init__(self, spark, ranks: dict[bytes, int]):
         self.ranks = spark.sparkContext.broadcast(ranks)
-        self.id = hash(frozenset(list(ranks.items())[:64])) ^ len(ranks)
+        self.id = sha256(b"".join(b"%d:%d:%b" % (i, len(word), word) for word, i in sorted(ranks.items())))
 
     @property
     def value(self):

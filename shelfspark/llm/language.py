@@ -166,8 +166,9 @@ def train(
 ) -> Identifier:
     """An identifier learned from documents with a language whose fold (crc32 of the id mod 4) is not 2.
 
-    Of each language about `per_language` documents are taken, by a hash of their id against a share that follows
-    from the language's count; of the rest only a count per language reaches the driver.
+    Of each language about `per_language` documents are taken, by a hash of id and text against a share that follows
+    from the language's count; of the rest only a count per language reaches the driver. A row repeated with its id and
+    text is taken once or not at all.
     """
     usable = docs.filter(F.col(lang).isNotNull() & (fold(identity) % 4 != 2)).select(
         F.col(identity).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -175,8 +176,8 @@ def train(
     if not counts:
         return fit(np.zeros((0, BUCKETS)), [])
     share = F.create_map(*[F.lit(x) for of, n in sorted(counts.items()) for x in (of, per_language / n)])
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.filter(place < share[F.col("lang")])
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    picked = usable.filter(place < share[F.col("lang")]).withColumn("digest", F.xxhash64("text")).dropDuplicates(["id", "lang", "digest"])
 
     def compute(texts):
         found = [profile(t) for t in texts]

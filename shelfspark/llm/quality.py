@@ -136,7 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: st
         .filter(fold("label_id") % 3 != 1)
         .orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     )
-    picked = _described(docs, identity, text, "n_chars").join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    labelled = _described(docs, identity, text, "n_chars").join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    # An id may be repeated without end: of its rows the one of the smallest digest is learned from.
+    first = F.min(F.struct(F.xxhash64("text").alias("digest"), "label", "size", "text")).alias("row")
+    picked = labelled.groupBy("id").agg(first).select("id", "row.*")
     got = sorted(
         with_columns(
             picked.select("id", "label", "size", "text"), "text", "b BINARY, w BINARY, s BINARY",

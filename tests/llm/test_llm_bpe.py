@@ -73,3 +73,10 @@ def test_scan_over_many_blocks(ranks, library):
 @pytest.mark.parametrize("piece", ["x" * 300, "ab" * 900, "abc" * 257, "é" * 400])
 def test_long_pieces_by_heap(ranks, library, piece):
     assert bpe.merge(piece.encode(), ranks) == library.encode_ordinary(piece)
+
+
+def test_two_tables_that_share_their_bytes_keep_apart_in_one_worker(spark):
+    single = {bytes([i]): i for i in range(256)}
+    docs = spark.createDataFrame([(1, "abc")], "doc_id LONG, text STRING").coalesce(1)
+    found = [bpe.encode_texts(docs, single | {pair: 256}).first()["ids"] for pair in (b"ab", b"bc", b"ab")]
+    assert found == [[256, 99], [97, 256], [256, 99]]

@@ -110,3 +110,22 @@ def test_codewords_are_apart():
     for n in (2, 4, 20):
         words = language.codewords(n)
         assert len({tuple(w) for w in words}) == n
+
+
+def test_samples_stay_small_where_ids_are_null_or_repeated(spark, monkeypatch):
+    """What reaches the driver is bounded by distinct rows of the sample, whatever ids are."""
+    taken = []
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", lambda profiles, langs: taken.append(len(langs)) or fit(profiles, langs))
+    texts = [f"the whale number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {'sea' * (i % 7)}" for i in range(3000)]
+    null_ids = spark.createDataFrame([(None, t, "en") for t in texts], "doc_id LONG, text STRING, lang STRING")
+    language.train(null_ids, per_language=64)
+    repeated = spark.createDataFrame([(8, "one and the same", "en")] * 2000, "doc_id LONG, text STRING, lang STRING")
+    language.train(repeated, per_language=2000)
+    assert 20 < taken[0] < 160 and taken[1] <= 1
+    again = spark.createDataFrame([(i % 40, f"row {i}", 5) for i in range(4000)], "doc_id LONG, text STRING, n_chars LONG")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id LONG, quality INT")
+    seen = []
+    monkeypatch.setattr(quality, "fit_machine", lambda rows, truth: seen.append(len(rows)))
+    quality.train(again, labels)
+    assert 20 <= seen[0] <= 40
