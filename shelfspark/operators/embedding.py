@@ -1,5 +1,6 @@
 """Turning text columns into vectors with a pluggable embedder."""
 
+import threading
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.functions.analysis import tokens
 from shelfspark.functions.text import compose_text
+from shelfspark.schemas import VECTORS
 from shelfspark.sources.lines import slice_in_order
+from shelfspark.sources.storage import folder_names, snapshot_versions, write_snapshot
 
 BATCH_TEXTS = 10
 
@@ -79,6 +82,36 @@ def embed_with_backoff(embedder: Embedder, texts: list[str]) -> np.ndarray:
         return (mean / length if length else mean)[None, :]
 
 
+class Patient:
+    """An embedder whose calls may take `timeout` seconds, and are made again up to `retries` times if they fail or hang.
+
+    A call that hangs keeps its thread until the worker ends; its result is not waited for.
+    """
+
+    def __init__(self, embedder: Embedder, timeout: float = 30.0, retries: int = 2):
+        self.embedder, self.timeout, self.retries = embedder, timeout, retries
+        self.name, self.dim = embedder.name, embedder.dim
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        for attempt in range(self.retries + 1):
+            answer: list = []
+
+            def call(answer=answer):
+                try:
+                    answer.append((np.asarray(self.embedder.embed(texts)), None))
+                except Exception as e:
+                    answer.append((None, e))
+
+            thread = threading.Thread(target=call, daemon=True)
+            thread.start()
+            thread.join(self.timeout)
+            vectors, problem = answer[0] if answer else (None, TimeoutError(f"no answer within {self.timeout} s"))
+            if problem is None:
+                return vectors
+            if isinstance(problem, ContextLengthError) or attempt == self.retries:
+                raise problem
+
+
 def embed(df: DataFrame, text_col: str, embedder, id_col: str = "id") -> DataFrame:
     """Rows (id, embedding) for every text; `id_col` must be unique."""
     if hasattr(embedder, "embed_frame"):
@@ -124,6 +157,35 @@ def embed_missing(texts: DataFrame, vectors: DataFrame, embedder, limit: int | N
     return embed(todo, "text", embedder).withColumn("model", F.lit(embedder.name))
 
 
+def embed_in_ranges(texts: DataFrame, root: str, embedder, ranges: int = 16) -> int:
+    """Embed the rows (id, text) that have no vector under `root`, one share of the ids after the other.
+
+    Each share is committed as a version of its own folder, so a run that stops or loses its executors repeats at most
+    the share it was at. Vectors of another model are refused. Returns the number of rows embedded.
+    """
+    spark, done = texts.sparkSession, 0
+    check_model(read_ranges(spark, root), embedder.name)
+    share = F.pmod(F.xxhash64("id"), F.lit(ranges))
+    for k in range(ranges):
+        own = read_ranges(spark, root).filter(share == k)
+        todo = texts.filter(share == k).join(own.select("id"), "id", "left_anti")
+        if todo.isEmpty():
+            continue
+        made = embed(todo, "text", embedder).withColumn("model", F.lit(embedder.name))
+        folder = f"{root}/share={k}-of-{ranges}"
+        version = write_snapshot(made, folder)
+        done += spark.read.schema(VECTORS).parquet(f"{folder}/version={version:012d}").count()
+    return done
+
+
+def read_ranges(spark: SparkSession, root: str) -> DataFrame:
+    """All vectors (id, embedding, model) that complete shares under `root` hold."""
+    parts = [
+        f"{root}/{share}/version={version:012d}" for share in folder_names(spark, root) if share.startswith("share=")
+        for version in snapshot_versions(spark, f"{root}/{share}")]
+    return spark.read.schema(VECTORS).parquet(*parts) if parts else spark.createDataFrame([], VECTORS)
+
+
 def export_vectors(df: DataFrame, path: str) -> None:
     """Save id and vector of every embedded row as JSON lines."""
     df.filter(F.col("embedding").isNotNull()).select("id", "embedding").write.mode("overwrite").json(path)

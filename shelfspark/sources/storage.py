@@ -68,6 +68,12 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(folder)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none where it does not exist."""
+    fs, folder = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
 def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions of a table, oldest first; a version counts once its success marker is there."""
     fs, folder = _folder(spark, root)
