@@ -17,13 +17,16 @@ Whole copies of a text are told by digest beforehand. Keys with more than a 1024
 by broadcast and the others by shuffle, so no frequent passage lands in one task.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.joins import by_key
-from shelfspark.llm.words import MIX, STEP, WORD_CODES, claim, codes, lists, sha256, slices, windows, with_columns
+from shelfspark.llm.words import MIX, STEP, claim, lists, sha256, slices, windows, with_columns
 from shelfspark.sources.storage import stage, unstage
 
 WINDOW = 20
@@ -32,6 +35,13 @@ HOT = 4096
 SHARD_WORDS = 100_000
 SEGMENT = ("anchor", "run", "first", "windows")
 LAID = "n_removed LONG, kept_sha256 STRING, kept STRING, spans ARRAY<STRUCT<start: INT, end: INT>>"
+LONG_WORD = 4096
+PIECE_BYTES = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_LETTER = np.array([not _GAP.match(bytes([b])) for b in range(256)])
+# Codes of bytes and powers by place, both made from the mixing constants.
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_POWER = np.multiply.accumulate(np.full(LONG_WORD, STEP))
 _ONE = np.ones(1, np.uint64)
 _BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 
@@ -103,6 +113,42 @@ def _split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def word_codes(text: str | None) -> np.ndarray:
+    """A 64-bit code of each word: the sum of its bytes' codes times powers by place, over arrays of bytes.
+
+    Words of over LONG_WORD bytes are hashed one by one, so that tables of places stay small.
+    """
+    data, out, start = (text or "").encode("utf-8", "surrogatepass"), [], 0
+    while start < len(data):
+        end = start + PIECE_BYTES
+        if end < len(data):
+            gap = _GAP.search(data, end)
+            end = gap.start() if gap else len(data)
+        out.append(_piece_codes(data[start:end]))
+        start = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _piece_codes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    inside = _LETTER[raw]
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    out = np.empty(len(starts), np.uint64)
+    short = sizes <= LONG_WORD
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+        inside[starts[i] : starts[i] + sizes[i]] = False
+    if short.any():
+        sizes = sizes[short]
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        code = np.add.reduceat(_BYTE[raw[inside]] * _POWER[place], first) + sizes.astype(np.uint64)
+        code = (code ^ (code >> np.uint64(32))) * MIX
+        out[short] = code ^ (code >> np.uint64(29))
+    return out
+
+
 def anchor_places(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, number of windows) of each segment of a text's word codes."""
     if len(words) < n:
@@ -141,13 +187,13 @@ def _cut(rows: DataFrame, n: int) -> DataFrame:
     """Number and digest of the words of every text, and its anchors."""
 
     def compute(texts):
-        claim(WORD_CODES)
+        claim()
         out, anchors = {"n_words": [], "whole": []}, []
         for text in texts:
             words = _split_words(text)
             out["n_words"].append(len(words))
             out["whole"].append(sha256(b" ".join(words)))
-            anchors.append(anchor_places(codes(words), n)[0].view(np.int64))
+            anchors.append(anchor_places(word_codes(text), n)[0].view(np.int64))
         return out | {"anchors": lists(anchors, pa.int64())}
 
     return with_columns(rows, "text", "n_words LONG, whole STRING, anchors ARRAY<LONG>", compute)
@@ -157,12 +203,12 @@ def _word_lists(held: DataFrame, n: int) -> DataFrame:
     """Each segment that stands at its earliest place, with its word codes."""
 
     def run(batches):
-        claim(WORD_CODES)
+        claim()
         for whole in batches:
             for batch in slices(whole, "text"):
                 flat, parts, rows = [], [], []
                 for row, (text, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())):
-                    words = codes(_split_words(text)).view(np.int64)
+                    words = word_codes(text).view(np.int64)
                     flat += [words[p["first"] : p["first"] + p["windows"] + n - 1] for p in found]
                     parts += found
                     rows += [row] * len(found)
@@ -297,7 +343,7 @@ def _with_texts(rows: DataFrame, shared: DataFrame, copies: DataFrame, n: int) -
     kinds = (("anchor", pa.int64()), ("run", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()))
 
     def found(text: str, anchors: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-        words = codes(_split_words(text))
+        words = word_codes(text)
         anchor, first, count = anchor_places(words, n)
         run = run_codes(words, first, count, n)
         plain, fine = (np.isin(anchor.view(np.int64), anchors[c]) for c in ("plain", "fine"))
@@ -309,7 +355,7 @@ def _with_texts(rows: DataFrame, shared: DataFrame, copies: DataFrame, n: int) -
         return (out[0].view(np.int64), out[1].view(np.int64), *out[2:])
 
     def run(batches):
-        claim(WORD_CODES)
+        claim()
         for whole in batches:
             for batch in slices(whole, "text"):
                 shared, parts = batch.column("shared"), []

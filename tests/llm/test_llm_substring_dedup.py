@@ -4,7 +4,7 @@ import random
 import pytest
 from llm_samples import ascii_words, empty, messy, prose, rows_of
 
-from shelfspark.llm.substring_dedup import SuffixAutomaton, find_repeats, matched, repeat_counts
+from shelfspark.llm.substring_dedup import SuffixAutomaton, find_repeats, matched, repeat_counts, word_codes
 
 COLUMNS = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -85,6 +85,15 @@ def test_empty_tables(spark):
     assert [r[1:3] for r in rows_of(repeat_counts(nothing), *COLUMNS)] == [(0, 0)] * 3
 
 
+def test_codes_of_words_differ_as_the_words_do():
+    text = "a b ab ba aa\t\x0b\x0c\r\n b  a é è \x1c \u00a0 " + "x" * 4096 + " " + "x" * 4097 + " " + "x" * 9000 + " " + prose(6, 300)
+    own, found = ascii_words(text), word_codes(text).tolist()
+    assert len(own) == len(found) and len(set(zip(own, found))) == len(set(own)) == len(set(found))
+    long = prose(7, 200_000)
+    assert len(word_codes(long)) == 200_000 and len(word_codes("")) == len(word_codes(None)) == len(word_codes(" \n")) == 0
+    assert word_codes(long)[-5:].tolist() == word_codes(" ".join(long.split()[-5:])).tolist()
+
+
 def test_matching_statistics_are_those_of_a_search():
     rng = random.Random(4)
     for _ in range(200):
