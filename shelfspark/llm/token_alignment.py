@@ -214,11 +214,13 @@ def align_slice(texts: pa.Array, tokens: Tokenizers) -> dict:
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
     joined = pc.binary_join(_of_counts(sizes, found["text"].take(codes)), _text(";")).to_pylist()
     weight = pa.array(np.bincount(codes.to_numpy(), minlength=len(chunks)), pa.int64())
-    pairs = pa.table({"pair": found["pair"], "n": weight.take(found["chunk"])}).group_by("pair", use_threads=False).aggregate([("n", "sum")])
+    coded = found["pair"].dictionary_encode()
+    pairs = pa.table({"pair": coded.indices, "n": weight.take(found["chunk"])}).group_by("pair", use_threads=False).aggregate(
+        [("n", "sum")]).sort_by("pair")
     return out | {
         "groups_sha256": [sha256(x) if x else "" for x in joined], "n_chunks": sizes, "chunks": codes.to_numpy(),
-        "chunk_links": found["n_links"], "links": found["pair"].to_numpy(),
-        "pairs": pairs["pair"].to_numpy(), "pair_counts": pairs["n_sum"].to_numpy(),
+        "chunk_links": found["n_links"], "links": coded.indices.to_numpy(),
+        "pairs": coded.dictionary.to_numpy(), "pair_counts": pairs["n_sum"].to_numpy(),
     }
 
 
@@ -229,8 +231,8 @@ def _slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, model: bytes
     """A row per slice of texts, holding what `align_slice` says of them."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, model))
     digest = sha256(base64.b64encode(model) + pattern.encode() + b"".join(b"%d=%b;" % (i, w) for w, i in sorted(ranks.items())))
-    kinds = {c: "LONG" for c in ("n_a", "n_b", "n_groups", "n_links", "links", "pairs", "pair_counts")} | {
-        c: "INT" for c in ("n_chunks", "chunks", "chunk_links")} | {"groups_sha256": "STRING"}
+    kinds = {c: "LONG" for c in ("n_a", "n_b", "n_groups", "n_links", "pairs", "pair_counts")} | {
+        c: "INT" for c in ("n_chunks", "chunks", "chunk_links", "links")} | {"groups_sha256": "STRING"}
     arrow = {"LONG": pa.int64(), "INT": pa.int32(), "STRING": pa.string()}
     identity = docs.schema["id"].dataType
     schema = StructType([StructField("slice", StructType.fromDDL("s STRING")["s"].dataType), StructField("ids", ArrayType(identity))]
@@ -277,11 +279,14 @@ def _scored(parts: DataFrame, head: pa.Table) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].values for c in batch.schema.names if c != "slice"}
-                links = row["links"].to_numpy()
-                at = np.minimum(np.searchsorted(known, links), max(len(known) - 1, 0))
-                met = known[at] == links if len(known) else np.zeros(len(links), bool)
-                value = np.where(met, n[at], 0) if len(known) else np.zeros(len(links), np.int64)
-                top = met & best[at] if len(known) else met
+                # Pairs are looked up once for the slice; links name them by place.
+                links, pairs = row["links"].to_numpy(), row["pairs"].to_numpy()
+                at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
+                if len(known):
+                    hit = known[at] == pairs
+                    met, value, top = hit[links], np.where(hit, n[at], 0)[links], (hit & best[at])[links]
+                else:
+                    met, value, top = np.zeros(len(links), bool), np.zeros(len(links), np.int64), np.zeros(len(links), bool)
                 first = np.concatenate(([0], np.cumsum(row["chunk_links"].to_numpy()))).astype(np.int64)
                 chunks, edge = row["chunks"].to_numpy(), np.concatenate(([0], np.cumsum(row["n_chunks"].to_numpy())))
 
@@ -294,7 +299,7 @@ def _scored(parts: DataFrame, head: pa.Table) -> DataFrame:
                 for text in np.flatnonzero(left).tolist():
                     for c in chunks[edge[text] : edge[text + 1]].tolist():
                         own = slice(first[c], first[c + 1])
-                        rare[text] += links[own][~met[own]].tolist()
+                        rare[text] += pairs[links[own][~met[own]]].tolist()
                 size = len(rare)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column("slice")[i].as_py()] * size, pa.string()), pa.array(range(size), pa.int32()), row["ids"],
@@ -305,7 +310,7 @@ def _scored(parts: DataFrame, head: pa.Table) -> DataFrame:
     identity = parts.schema["ids"].dataType.elementType
     schema = StructType([*StructType.fromDDL("slice STRING, place INT").fields, StructField("id", identity), *StructType.fromDDL(
         "n_a LONG, n_b LONG, n_groups LONG, n_links LONG, groups_sha256 STRING, n_best LONG, count_sum LONG, rare ARRAY<LONG>").fields])
-    return parts.select("slice", "ids", *figures, "n_chunks", "chunks", "chunk_links", "links").mapInArrow(run, schema)
+    return parts.select("slice", "ids", *figures, "n_chunks", "chunks", "chunk_links", "links", "pairs").mapInArrow(run, schema)
 
 
 def align_tokens(
