@@ -44,18 +44,19 @@ def test_host_path_and_rule(spark):
 
 
 def brute_rules(rows, support, confidence):
-    """Every combination of tokens, counted; then the same pruning."""
-    with_label, without = Counter(), Counter()
+    """Every combination of tokens of both kinds, counted over the labelled rows; then the same pruning."""
+    rows = [(tokens, label) for tokens, label in rows if label and tokens]
+    totals, with_label, without = Counter(label for _, label in rows), Counter(), Counter()
     for tokens, label in rows:
-        for n in range(1, len(tokens) + 1):
+        for n in range(2, len(tokens) + 1):
             for part in itertools.combinations(sorted(tokens), n):
-                without[part] += 1
-                if label:
+                if {t.split("=")[0] for t in part} == {"host", "path"}:
+                    without[part] += 1
                     with_label[part, label] += 1
     kept = {}
     for (part, label), n in sorted(with_label.items(), key=lambda x: (len(x[0][0]), x[0])):
         sure = n / without[part]
-        if n / len(rows) >= support and sure >= confidence and not any(
+        if n / totals[label] >= support and sure >= confidence and not any(
                 label == other and set(less) <= set(part) and c >= sure for (less, other), c in kept.items()):
             kept[part, label] = sure
     return kept
@@ -69,7 +70,7 @@ def test_mined_rules_and_verdicts_by_counting(spark):
     for _ in range(600):
         host = rng.choice(["bad-win", "good", "ads"]) + "." + rng.choice(["example.net", "example.com", "example.org"])
         urls.append(f"http://{host}/{rng.choice(['de', 'en', 'fr'])}/{rng.randint(1, 999)}")
-    urls += ["http://bad-win.example.net/de/1"] * 300 + ["http://new.example.net/x", "http://odd/"]
+    urls += ["http://bad-win.example.net/de/1"] * 9000 + ["http://new.example.net/x", "http://odd/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id LONG, url STRING").repartition(4)
     host, path = url_host(pages.url), url_path(pages.url)
     rows = pages.select("page_id", url_tokens(host, path).alias("tokens"))
@@ -80,11 +81,28 @@ def test_mined_rules_and_verdicts_by_counting(spark):
     brute = brute_rules(labelled, 0.02, 0.9)
     assert mined.keys() == brute.keys() and all(abs(mined[k] - brute[k]) < 1e-9 for k in brute) and mined
     kept = brute_rules(labelled, SUPPORT, CONFIDENCE)
+    decided = 0
     for r in judge_urls(pages, URL_RULES).collect():
         own = [(c, len(t), label == "block", label) for (t, label), c in kept.items() if set(t) <= set(tokens[r.page_id])]
         assert r.mined == (max(own)[3] if own else None)
         assert r.verdict == (judged(urls[r.page_id])[3] or r.mined or "allow")
+        decided += r.rule is None and r.mined is not None
+    assert decided
 
 
 def test_no_rules_from_nothing(spark):
     assert mine_rules(spark.createDataFrame([], "tokens ARRAY<STRING>, label STRING")) == []
+
+
+def test_tokens_are_of_the_whole_url(spark):
+    far = "/".join(f"p{chr(97 + i)}x" for i in range(26))
+    deep = spark.createDataFrame([("a.b.c.d.e.f-g.h9.org", "/" + far + "/" + "z" * 300)], "host STRING, path STRING")
+    found = set(deep.select(url_tokens(deep.host, deep.path)).first()[0])
+    assert {"host=a", "host=f", "host=g", "host=h0", "path=pzx", "path=" + "z" * 300} <= found and len(found) == 9 + 27
+
+
+def test_a_rare_label_has_rules_too(spark):
+    rows = [(["host=a", "path=x"], "allow")] * 5000 + [(["host=b", "path=y"], "block")] * 3 + [(["host=a", "path=y"], None)]
+    table = spark.createDataFrame(rows, "tokens ARRAY<STRING>, label STRING")
+    assert {(t, label) for t, label, _ in mine_rules(table)} == {
+        (("host=a", "path=x"), "allow"), (("host=b", "path=y"), "block")}
