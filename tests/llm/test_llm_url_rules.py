@@ -44,22 +44,21 @@ def test_host_path_and_rule(spark):
 
 
 def brute_rules(rows, support, confidence):
-    """Every combination of tokens of both kinds, counted over the labelled rows; then the same pruning."""
+    """Every combination of tokens, counted over the labelled rows; then the same pruning."""
     rows = [(tokens, label) for tokens, label in rows if label and tokens]
     totals, with_label, without = Counter(label for _, label in rows), Counter(), Counter()
     for tokens, label in rows:
-        for n in range(2, len(tokens) + 1):
+        for n in range(1, len(tokens) + 1):
             for part in itertools.combinations(sorted(tokens), n):
-                if {t.split("=")[0] for t in part} == {"host", "path"}:
-                    without[part] += 1
-                    with_label[part, label] += 1
+                without[part] += 1
+                with_label[part, label] += 1
     kept = {}
     for (part, label), n in sorted(with_label.items(), key=lambda x: (len(x[0][0]), x[0])):
         sure = n / without[part]
         if n / totals[label] >= support and sure >= confidence and not any(
                 label == other and set(less) <= set(part) and c >= sure for (less, other), c in kept.items()):
             kept[part, label] = sure
-    return kept
+    return {rule: sure for rule, sure in kept.items() if any(t.startswith("path=") for t in rule[0])}
 
 
 def test_mined_rules_and_verdicts_by_counting(spark):
@@ -103,6 +102,7 @@ def test_tokens_are_of_the_whole_url(spark):
 
 def test_a_rare_label_has_rules_too(spark):
     rows = [(["host=a", "path=x"], "allow")] * 5000 + [(["host=b", "path=y"], "block")] * 3 + [(["host=a", "path=y"], None)]
+    rows += [(["host=c", "path=x"], "block")] * 3 + [(["host=c", "path=z"], "allow")] * 60
     table = spark.createDataFrame(rows, "tokens ARRAY<STRING>, label STRING")
     assert {(t, label) for t, label, _ in mine_rules(table)} == {
-        (("host=a", "path=x"), "allow"), (("host=b", "path=y"), "block")}
+        (("path=x",), "allow"), (("path=y",), "block"), (("path=z",), "allow"), (("host=c", "path=x"), "block")}
