@@ -19,7 +19,7 @@ from shelfspark.sources.discovery import extract_hosts, latest_release
 from shelfspark.sources.lines import slice_in_order, window_lines
 from shelfspark.sources.seekable import read_seekable_jsonl
 from shelfspark.sources.storage import read_snapshot, work_dir, write_snapshot
-from shelfspark.streaming.ingest import stream_ingest
+from shelfspark.streaming.ingest import ingest_frames, stream_ingest
 
 # Every document with the vector of its id, where there is one.
 VECTOR_STATE = "SELECT d.doc_id AS id, e.embedding FROM {documents} d LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id"
@@ -106,14 +106,32 @@ def newest_snapshot(spark, sf):
     return read_snapshot(spark, root).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@check("""SELECT user_id::varchar AS source_id, event_type AS title, event_id::varchar AS year FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+LAST_OF_USER = """SELECT user_id::varchar AS source_id, event_type AS title, event_id::varchar AS year FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
+
+
+def _event_lines(spark, sf):
+    """Each user in one partition in time order."""
+    events = table(spark, sf, "events").repartition(4, "user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    fields = F.struct(F.col("user_id").alias("zlibrary_id"), F.col("event_type").alias("title"), F.col("event_id").alias("year"))
+    return events.select(F.to_json(F.struct(fields.alias("metadata"))).alias("value"))
+
+
+@check(LAST_OF_USER)
+def stream_upsert_frames(spark, sf):
+    """Events in compressed feed files, read by frames: batches end inside files."""
+    folder = new_folder(spark, "frames")
+    write_seekable(_event_lines(spark, sf), f"{folder}/in")
+    ingest_frames(
+        spark, f"{folder}/in", f"{folder}/items", ITEMS, f"{folder}/checkpoint", parse_items, ITEM_VALUES, max_frames=50)
+    return read_snapshot(spark, f"{folder}/items", ITEMS).select("source_id", "title", "year")
+
+
+@check(LAST_OF_USER)
 def stream_upsert(spark, sf):
     """Events written as feed files, each user in one file in time order; the stream keeps the last one."""
     folder = new_folder(spark, "events")
-    events = table(spark, sf, "events").repartition(4, "user_id").sortWithinPartitions("user_id", "ts", "event_id")
-    fields = F.struct(F.col("user_id").alias("zlibrary_id"), F.col("event_type").alias("title"), F.col("event_id").alias("year"))
-    events.select(F.to_json(F.struct(fields.alias("metadata"))).alias("value")).write.text(f"{folder}/in")
+    _event_lines(spark, sf).write.text(f"{folder}/in")
     stream_ingest(
         spark, f"{folder}/in", f"{folder}/items", ITEMS, f"{folder}/checkpoint", parse_items, ITEM_VALUES, max_files=2
     ).awaitTermination()

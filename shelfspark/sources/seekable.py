@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from shelfspark.sources.storage import as_uri
 
@@ -17,6 +17,8 @@ CHECKSUM_FLAG = 0x80
 
 SPLIT_BYTES = 64 * 1024 * 1024
 BATCH_LINES = 4_096
+#: Frames that one task of a stream reads.
+TASK_FRAMES = 64
 
 
 @dataclass(frozen=True)
@@ -34,14 +36,25 @@ class FrameRange(InputPartition):
     last: int
 
 
-def read_frames(handle, size: int) -> list[Frame]:
-    """Frames listed by the seek table at the end of a file."""
+@dataclass
+class StampedRange(FrameRange):
+    modified: int
+
+
+def read_footer(handle, size: int) -> tuple[int, int]:
+    """Number of frames and descriptor of the seek table, from the last bytes of a file."""
     if size < FOOTER.size:
         raise ValueError("not a seekable zstd file (too short)")
     handle.seek(size - FOOTER.size)
     count, descriptor, magic = FOOTER.unpack(handle.read(FOOTER.size))
     if magic != SEEKABLE_MAGIC:
         raise ValueError("not a seekable zstd file (bad footer magic)")
+    return count, descriptor
+
+
+def read_frames(handle, size: int) -> list[Frame]:
+    """Frames listed by the seek table at the end of a file."""
+    count, descriptor = read_footer(handle, size)
     entry = struct.Struct("<III" if descriptor & CHECKSUM_FLAG else "<II")
     handle.seek(size - FOOTER.size - count * entry.size)
     frames, offset, text_offset = [], 0, 0
@@ -154,6 +167,85 @@ class SeekableLines(DataSource):
         return SeekableLinesReader(self.options["path"], int(self.options.get("split_bytes", SPLIT_BYTES)))
 
 
+class FrameStreamReader(DataSourceStreamReader):
+    """Offsets are (modified, file, frame): all frames before that place, in this order, have been read.
+
+    The driver reads the last bytes of files that are new, for their number of frames; seek tables and text are read
+    by tasks. Spark gives the offset it goes on from to `partitions` first, also after a restart.
+    """
+
+    def __init__(self, path: str, max_frames: int | None):
+        self.path, self.max_frames, self.at = path, max_frames, None
+
+    def _ahead(self, at: dict):
+        """(modified, file, first frame not read, number of frames) of the files from an offset on."""
+        filesystem, path = fs.FileSystem.from_uri(self.path)
+        inside = filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        place = (at["modified"], at["file"])
+        for modified, file in sorted((f.mtime_ns or 0, f.path) for f in inside if f.path.endswith(".zst")):
+            if (modified, file) >= place:
+                with filesystem.open_input_file(file) as handle:
+                    count, _ = read_footer(handle, handle.size())
+                yield modified, file, at["frame"] if (modified, file) == place else 0, count
+
+    def initialOffset(self):
+        return {"modified": -1, "file": "", "frame": 0}
+
+    def latestOffset(self):
+        at = self.at or self.initialOffset()
+        left = self.max_frames
+        for modified, file, first, count in self._ahead(at):
+            last = count if left is None else min(count, first + left)
+            at = {"modified": modified, "file": file, "frame": last}
+            if left is not None:
+                left -= last - first
+                if left == 0:
+                    break
+        return at
+
+    def partitions(self, start: dict, end: dict):
+        self.at, ranges, stop = end, [], (end["modified"], end["file"])
+        for modified, file, first, count in self._ahead(start) if start != end else ():
+            if (modified, file) > stop:
+                break
+            last = end["frame"] if (modified, file) == stop else count
+            ranges += [
+                StampedRange(file, i, min(i + TASK_FRAMES, last), modified) for i in range(first, last, TASK_FRAMES)]
+        return ranges
+
+    def read(self, partition: StampedRange):
+        for batch in SeekableLinesReader(self.path, SPLIT_BYTES).read(partition):
+            yield batch.add_column(0, "modified", pa.array([partition.modified] * batch.num_rows, pa.int64()))
+
+
+class SeekableFrames(DataSource):
+    """`spark.readStream.format("seekable_frames").load(uri)`: rows (modified, file, pos, value) in that order."""
+
+    @classmethod
+    def name(cls):
+        return "seekable_frames"
+
+    def schema(self):
+        return "modified LONG, file STRING, pos LONG, value STRING"
+
+    def streamReader(self, schema):
+        limit = self.options.get("max_frames")
+        return FrameStreamReader(self.options["path"], None if limit is None else int(limit))
+
+
+def read_frame_stream(spark: SparkSession, folder: str, max_frames: int | None = None) -> DataFrame:
+    """Lines of the seekable zstd files that appear in a folder, with columns (modified, file, block) for their order.
+
+    A batch holds at most `max_frames` frames and may end inside a file; a restarted query goes on at the next frame.
+    A file has to be complete when it appears, and must not be older than those already read.
+    """
+    spark.dataSource.register(SeekableFrames)
+    reader = spark.readStream.format("seekable_frames")
+    if max_frames is not None:
+        reader = reader.option("max_frames", str(max_frames))
+    return reader.load(as_uri(folder)).withColumnRenamed("pos", "block")
+
+
 def read_seekable_jsonl(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Lines of a seekable zstd file, or of all in a folder, one task per run of frames.
 

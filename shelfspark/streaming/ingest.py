@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.plans.ingest import merge_feed, rejects
+from shelfspark.sources.seekable import read_frame_stream
 from shelfspark.sources.storage import make_folder, path_exists, read_snapshot, snapshot_versions, write_snapshot
 
 ORDER = ["modified", "file", "block", "row"]
@@ -35,10 +36,12 @@ def _base_version(spark: SparkSession, table: str, path: str) -> int:
 def stream_ingest(
     spark: SparkSession, folder: str, table: str, schema: str, checkpoint: str,
     parse: Callable[..., DataFrame], values: list[str], mode: str = "quarantine",
-    max_files: int | None = None, rejected: str | None = None,
+    max_files: int | None = None, rejected: str | None = None, lines: DataFrame | None = None,
 ) -> StreamingQuery:
     """Merge every new file of `folder` into the table and stop when all are in.
 
+    `lines` is another stream to read instead of text files, with a `value` and the columns that give its order.
+
     The checkpoint remembers finished files, and beside it the newest version that the table had when the stream was
     first started. Batch n writes the version n + 1 after that one from the version before it, so a batch repeated
     after a crash replaces its own output and counts once. A version that somebody else has written meanwhile is
@@ -54,18 +57,39 @@ def stream_ingest(
                 raise RuntimeError(f"version {version} of {table} was written by somebody else")
             make_folder(spark, mark)
         # Rows of one file block are read by one task in file order.
-        lines = batch.withColumn("row", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-        rows = parse(lines, mode)
+        rows_in = batch.withColumn("row", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+        rows = parse(rows_in, mode)
         if rejected is not None:
-            refused = rejects(lines, rows, ORDER, mode)
+            refused = rejects(rows_in, rows, ORDER, mode)
             refused.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
         target = read_snapshot(spark, table, schema, before=version)
         write_snapshot(merge_feed(target, rows, values, ORDER), table, version)
 
     return (
-        read_line_stream(spark, folder, max_files)
+        (read_line_stream(spark, folder, max_files) if lines is None else lines)
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def ingest_frames(
+    spark: SparkSession, folder: str, table: str, schema: str, checkpoint: str, parse: Callable[..., DataFrame],
+    values: list[str], mode: str = "quarantine", max_frames: int | None = None, rejected: str | None = None,
+) -> int:
+    """`stream_ingest` of seekable zstd files, in batches of `max_frames` frames until all are in; the number of batches.
+
+    A stopped or failed run is taken up by the next call where its last finished batch ended, inside a file if need be.
+    """
+    batches = 0
+    while True:
+        query = stream_ingest(
+            spark, folder, table, schema, checkpoint, parse, values, mode, rejected=rejected,
+            lines=read_frame_stream(spark, folder, max_frames))
+        query.awaitTermination()
+        done = sum(p["numInputRows"] > 0 or p["sources"][0]["startOffset"] != p["sources"][0]["endOffset"]
+                   for p in query.recentProgress)
+        if not done:
+            return batches
+        batches += done

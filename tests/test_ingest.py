@@ -12,7 +12,7 @@ from shelfspark.schemas import ITEM_FIELDS, ITEM_VALUES, ITEMS, VECTORS
 from shelfspark.sources.meta import meta_current, meta_read
 from checks.feeds import pack_seekable
 from shelfspark.sources.storage import read_snapshot
-from shelfspark.streaming.ingest import stream_ingest
+from shelfspark.streaming.ingest import ingest_frames, stream_ingest
 
 
 def item_line(n, title=None):
@@ -148,3 +148,37 @@ def test_stream_into_a_table_that_has_versions(spark, tmp_path):
     with pytest.raises(Exception, match="written by somebody else"):
         run()
     assert read_snapshot(spark, table, ITEMS).count() == 2
+
+
+def test_frames_restart_inside_a_file(spark, tmp_path):
+    folder, table, check = tmp_path / "in", f"{tmp_path}/items", f"{tmp_path}/check"
+    folder.mkdir()
+
+    def add(name, lines, at):
+        text = ("\n".join(lines) + "\n").encode()
+        # Frames end anywhere inside lines.
+        (folder / name).write_bytes(pack_seekable([text[i:i + 70] for i in range(0, len(text), 70)]))
+        os.utime(folder / name, (at, at))
+        return -(-len(text) // 70)
+
+    def titles():
+        return {r.source_id: r.title for r in read_snapshot(spark, table, ITEMS).collect()}
+
+    def failing(lines, mode):
+        if lines.filter(F.col("value").contains('"stop"')).limit(1).count():
+            raise RuntimeError("stopped")
+        return parse_items(lines, mode)
+
+    n = add("b.zst", [item_line(1, "first"), item_line(2), item_line(1, "second")], 1000)
+    n += add("a.zst", [item_line(2, "later"), "broken", item_line(3), item_line(4, "stop"), item_line(5)], 2000)
+    with pytest.raises(Exception, match="stopped"):
+        ingest_frames(spark, str(folder), table, ITEMS, check, failing, ITEM_VALUES, max_frames=2)
+    before = titles()
+    assert before["1"] == "second" and "5" not in before
+    args = (spark, str(folder), table, ITEMS, check, parse_items, ITEM_VALUES, "quarantine", 2, f"{tmp_path}/no")
+    again = ingest_frames(*args)
+    assert 0 < again < -(-n // 2)
+    assert titles() == {"1": "second", "2": "later", "3": "Title 3", "4": "stop", "5": "Title 5"}
+    assert ingest_frames(*args) == 0
+    add("0.zst", [item_line(6)], 3000)
+    assert ingest_frames(*args) > 0 and titles()["6"] == "Title 6"
