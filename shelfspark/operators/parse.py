@@ -40,8 +40,15 @@ def _read_json(lines: DataFrame, schema: StructType) -> DataFrame:
 
 def _is_bad() -> Column:
     """Whether `value` is not JSON at all; valid JSON of another shape merely lacks the fields that are read."""
+    # Spark's parsers leave what follows a first value unread. Inside brackets only `]` could hide a rest, inside braces
+    # only `,` or `}`, so a line that is one value in both holds nothing else.
+    whole = """json_array_length(concat('[', value, ']')) = 1
+        AND get_json_object(concat('{"v":', value, '}'), '$') IS NOT NULL"""
     # The first test refuses objects that name a key twice, which are valid; the second one reads them.
-    return F.expr("try_parse_json(value) IS NULL AND get_json_object(value, '$') IS NULL")
+    strict = """try_parse_json(value) IS NOT NULL
+        OR from_json(concat('{"v":', value, ',"read":1}'), 'v STRING, read INT',
+                     map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')).read = 1"""
+    return F.expr(f"NOT coalesce({whole} AND ({strict}), false)")
 
 
 def _good(read: DataFrame, mode: str) -> DataFrame:

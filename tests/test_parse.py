@@ -46,6 +46,14 @@ def test_bad_json(spark, bad):
     assert [r.value for r in quarantine(frame).collect()] == [bad]
 
 
+@pytest.mark.parametrize("bad", [
+    '4355 words', '{"title": "x"} y', '{"title": "x"}{"title": "y"}', '"a"],[2', '1,2', '{"a": 1, "a": 2} x', "{'a': 1}"])
+def test_a_value_with_a_rest_is_no_json(spark, bad):
+    frame = lines(spark, bad, {"title": "ok"})
+    assert [r.title for r in parse_items(frame, "quarantine").collect()] == ["ok"]
+    assert [r.value for r in quarantine(frame).collect()] == [bad]
+
+
 def xml(body, wrap=True):
     book = f"<book>{body}</book>"
     return f'<?xml version="1.0"?><GoodreadsResponse>{book}</GoodreadsResponse>' if wrap else book
