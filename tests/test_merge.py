@@ -107,3 +107,16 @@ def test_set_outline(spark):
     schema = "doc_id STRING, seq INT"
     got = set_outline(spark.createDataFrame([("a", 1), ("b", 1)], schema), spark.createDataFrame([("b", 7)], schema))
     assert sorted(map(tuple, got.collect())) == [("a", 1), ("b", 7)]
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_a_mean_just_at_the_bound_does_not_depend_on_the_order_of_rows(spark, tmp_path, step):
+    from checks.merge_checks import OLD_ROWS
+    from checks.registry import view
+
+    # Their mean is 45; added as doubles in one order it comes out as 45.00000000000001.
+    values = [73.44, 18.54, 31.94, 57.02, 75.79, 41.09, 17.18][::step]
+    rows = [(7, i, "view", v) for i, v in enumerate(values)] + [(8, 9, "view", 45.01)]
+    events = spark.createDataFrame(rows, "user_id LONG, event_id LONG, event_type STRING, value DOUBLE")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.user_id for r in view(spark, str(tmp_path), OLD_ROWS).collect()] == [8]
