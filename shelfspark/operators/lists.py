@@ -6,7 +6,7 @@ between a list's centre and its vectors, `most` the largest of each mark. An upd
 ids it replaces, and writes new figures last; a reader takes the newest figures and the vectors of no later version.
 
 Centres come from two levels of k-means: coarse cells over a bounded sample, then a small k-means inside each cell's part
-of it. Every vector is put in a list: that of the nearest centre in its nearest cell.
+of it. Every vector is put in the list of its nearest centre.
 """
 
 from functools import reduce
@@ -18,13 +18,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shelfspark.functions.vectors import norm
-from shelfspark.operators.nearest import list_count, topk_exact, topk_grouped
+from shelfspark.operators.nearest import list_count, topk_exact, topk_listed
 from shelfspark.operators.paging import top_rows
 from shelfspark.sources.storage import snapshot_versions, stage
 
 #: Vectors looked at for each list when centres are fitted.
 SAMPLE_PER_LIST = 64
 FIRST_PROBES = 8
+#: Beyond so many further visits of queries to lists, the queries left are sent past all vectors.
+ROUTED_VISITS = 1 << 22
 NO_LIST = -1
 #: Angles are compared with this much room for rounding.
 SLACK = 1e-4
@@ -77,17 +79,11 @@ def fit_centroids(vectors: DataFrame, lists: int | None = None, iterations: int
 def assign_lists(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """`vectors` with list_id and angle to the centre; a zero vector has the list NO_LIST and the angle 0.
 
-    A vector goes to the cell whose nearest centre is nearest among one centre of each cell, its mean, and in it to the
-    nearest centre, so it meets about the square root of the number of centres twice.
+    A vector goes to the list of the nearest of all centres.
     """
     vectors = vectors.filter(F.col("embedding").isNotNull())
     queries = vectors.select(F.col("id").alias("query_id"), "embedding").filter(norm(F.col("embedding")) > 0)
-    each = centroids.select("cell", F.posexplode("embedding").alias("i", "x")).groupBy("cell", "i").agg(F.avg("x").alias("x"))
-    means = each.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs")).select(
-        F.col("cell").cast("long").alias("id"), F.col("xs.x").cast("array<float>").alias("embedding"))
-    cells = topk_exact(means, queries, 1).select("query_id", F.col("id").cast("int").alias("cell"))
-    inside = centroids.select("cell", F.col("list_id").cast("long").alias("id"), "embedding")
-    nearest = topk_grouped(inside, queries.join(cells, "query_id"), 1, group="cell", few_groups=True)
+    nearest = topk_exact(centroids.select(F.col("list_id").cast("long").alias("id"), "embedding"), queries, 1)
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("distance"))))
     found = nearest.select(F.col("query_id").alias("id"), F.col("id").cast("int").alias("list_id"), angle.alias("angle"))
     return vectors.join(found, "id", "left").withColumn("list_id", F.coalesce("list_id", F.lit(NO_LIST))).withColumn(
@@ -197,9 +193,9 @@ def search_lists(
     """k nearest stored vectors of each query (query_id, embedding, columns `floors`): (query_id, id, distance, rank_no).
 
     A vector counts where its marks reach the query's floors; a null floor asks nothing. With `probes` that many lists
-    are visited, whose recall is to be measured. Without, lists are visited until the k-th vector found is nearer than any
-    vector of a list not visited can be, four times as many each round, which gives the exact answer. A query without a
-    direction finds nothing.
+    are visited, whose recall is to be measured. Without, the answer is exact: after the first lists a query visits those
+    that may still hold a vector nearer than its k-th, or, where all these visits are many, it is sent past all vectors in
+    blocks. A query without a direction finds nothing.
     """
     floors = floors or []
     array = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) for c in floors]).cast("array<double>")
@@ -207,39 +203,41 @@ def search_lists(
         F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)))
     figures = read_figures(spark, path)
     sizes = figures.select("list_id", "size")
-    total, done = figures.filter("size > 0 AND embedding IS NOT NULL").count(), 0
-    depth, found, open_ids = probes or FIRST_PROBES, None, None
-    while True:
-        waiting = asked if open_ids is None else asked.join(open_ids, "query_id", "left_semi")
-        ranked = stage(_ranked_lists(figures, waiting, len(floors), min(depth, total) + 1, None if probes else _bound)) if total else None
-        last = probes is not None or depth >= total
-        if ranked is not None:
-            visits = ranked.filter((F.col("rank_no") > done) & (F.col("rank_no") <= depth)).select("query_id", "list_id")
-            found = _merged(found, _visited(spark, path, waiting, visits, sizes, k), k)
-        if last:
-            break
+    total = figures.filter("size > 0 AND embedding IS NOT NULL").count()
+    depth, found, swept = min(probes or FIRST_PROBES, total), None, None
+    if total:
+        ranked = stage(_ranked_lists(figures, asked, len(floors), depth + (probes is None), None if probes else _bound))
+        visits = ranked.filter(F.col("rank_no") <= depth).select("query_id", "list_id")
+        found = _merged(None, _visited(spark, path, asked, visits, sizes, k), k)
+    if probes is not None:
+        return found
+    if total > depth:
         # The bound of the first list not visited; a query without one is finished.
-        ahead = ranked.filter(F.col("rank_no") == depth + 1).select("query_id", "bound")
         angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("distance"))))
         reached = found.filter(F.col("rank_no") == k).select("query_id", angle.alias("reach"))
-        left = ahead.join(reached, "query_id", "left").filter(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + SLACK))
-        open_ids = stage(left.select("query_id"))
-        if open_ids.isEmpty():
-            break
-        done, depth = depth, depth * 4
-    if probes is None:
-        # Vectors without a direction are in no list's cone; they come last, where fewer than k others qualify.
-        short = asked.join(found.filter(F.col("rank_no") == k), "query_id", "left_anti") if found is not None else asked
-        visits = short.select("query_id", F.lit(NO_LIST).alias("list_id")).filter("list_id < 0")
-        found = _merged(found, _visited(spark, path, asked, visits, sizes, k), k)
-    return found
+        near = F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + SLACK)
+        ahead = ranked.filter(F.col("rank_no") == depth + 1).select("query_id", "bound")
+        still = stage(ahead.join(reached, "query_id", "left").filter(near).select("query_id", "reach"))
+        waiting = asked.join(still, "query_id", "left_semi")
+        left = still.count()
+        if left * total > ROUTED_VISITS:
+            marked = read_lists(spark, path)
+            swept = stage(topk_exact(marked if floors else marked.drop("marks"), waiting, k))
+            asked, found = asked.join(still, "query_id", "left_anti"), found.join(still, "query_id", "left_anti")
+        elif left:
+            ranked = _ranked_lists(figures, waiting, len(floors), total, _bound).filter(F.col("rank_no") > depth)
+            visits = ranked.join(still, "query_id").filter(near).select("query_id", "list_id")
+            found = _merged(found, _visited(spark, path, waiting, stage(visits), sizes, k), k)
+    # Vectors without a direction are in no list's cone; they come last, where fewer than k others qualify.
+    short = asked.join(found.filter(F.col("rank_no") == k), "query_id", "left_anti") if found is not None else asked
+    visits = short.select("query_id", F.lit(NO_LIST).alias("list_id")).filter("list_id < 0")
+    found = _merged(found, _visited(spark, path, asked, visits, sizes, k), k)
+    return found if swept is None else found.unionByName(swept)
 
 
 def _visited(spark, path: str, asked: DataFrame, visits: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    wanted = visits.select("list_id").distinct()
-    vectors = read_lists(spark, path, wanted)
-    routed = asked.join(visits, "query_id")
-    return topk_grouped(vectors, routed, k, group="list_id", few_groups=True, sizes=sizes)
+    vectors = read_lists(spark, path, visits.select("list_id").distinct())
+    return topk_listed(vectors, asked, visits, sizes, k)
 
 
 def _merged(found: DataFrame | None, more: DataFrame, k: int) -> DataFrame:

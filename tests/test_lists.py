@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.operators import lists
 from shelfspark.operators.lists import assign_lists, fit_centroids, read_figures, read_lists, search_lists, update_lists, write_lists
 from shelfspark.operators.nearest import topk_exact
 
@@ -54,6 +55,23 @@ def test_search_without_probes_is_exact(spark, stored):
     assert answers(search_lists(spark, path, asked, 890)) == answers(topk_exact(vectors, asked, 890))
 
 
+@pytest.mark.parametrize("most", [0, 1 << 22])
+def test_further_lists_and_a_sweep_of_all_vectors_give_the_same(spark, stored, monkeypatch, most):
+    path, vectors = stored
+    monkeypatch.setattr(lists, "FIRST_PROBES", 1)
+    monkeypatch.setattr(lists, "ROUTED_VISITS", most)
+    asked = queries(spark)
+    assert answers(search_lists(spark, path, asked, 200)) == answers(topk_exact(vectors, asked, 200))
+
+
+def test_every_vector_is_in_the_list_of_the_nearest_of_all_centres(spark):
+    centroids = spark.createDataFrame(
+        [(0, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 1, [0.6, 0.8])], "list_id INT, cell INT, embedding ARRAY<FLOAT>")
+    # Its nearest centre is in the cell whose mean is farther away.
+    vectors = spark.createDataFrame([(1, [1.0, 0.1])], "id LONG, embedding ARRAY<FLOAT>")
+    assert [r["list_id"] for r in assign_lists(vectors, centroids).collect()] == [0]
+
+
 def test_floors_of_each_query_are_met_exactly(spark, stored):
     path, vectors = stored
     asked = queries(spark)

@@ -142,3 +142,26 @@ def test_export_and_restore(spark, tmp_path):
     empty = spark.createDataFrame([], schema)
     assert [tuple(r) for r in restore_vectors(rows, empty, cache, "m").collect()] == [(1, [0.5, 1.0], "m")]
     assert restore_vectors(rows, have, cache, "m").count() == 3
+
+
+@pytest.mark.parametrize("dim", [3, 64])
+def test_the_best_of_a_block_are_those_of_brute_force(dim):
+    from shelfspark.operators.nearest import _BestK
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(700, dim))
+    vectors[100:400] = vectors[0] + 1e-6 * rng.normal(size=(300, dim))
+    vectors[[7, 8]] = 0.0
+    queries = np.concatenate([vectors[:20], rng.normal(size=(10, dim))])
+    best = _BestK(list(range(30)), queries, 6)
+    places = np.arange(0, 30, 2)
+    for start in range(0, 700, 50):
+        best.offer(np.arange(start, start + 50), vectors[start:start + 50], None, places)
+    best._trim()
+    with np.errstate(invalid="ignore"):
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        asked = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    for q in range(30):
+        distances = np.nan_to_num(np.round(1 - unit @ asked[q], 9), nan=np.inf)
+        wanted = np.lexsort((np.arange(700), distances))[:6].tolist() if q % 2 == 0 else []
+        assert best.ids[best.rows == q].tolist() == wanted
