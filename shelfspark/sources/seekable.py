@@ -18,7 +18,7 @@ CHECKSUM_FLAG = 0x80
 SPLIT_BYTES = 64 * 1024 * 1024
 BATCH_LINES = 4_096
 #: Frames that one task of a stream reads.
-TASK_FRAMES = 64
+TASK_FRAMES = 8
 
 
 @dataclass(frozen=True)

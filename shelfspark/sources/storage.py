@@ -68,6 +68,12 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(folder)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a folder; 0 where it does not exist."""
+    fs, folder = _folder(spark, path)
+    return fs.getContentSummary(folder).getLength() if fs.exists(folder) else 0
+
+
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """Names inside a folder; none where it does not exist."""
     fs, folder = _folder(spark, path)

@@ -182,3 +182,36 @@ def test_frames_restart_inside_a_file(spark, tmp_path):
     assert ingest_frames(*args) == 0
     add("0.zst", [item_line(6)], 3000)
     assert ingest_frames(*args) > 0 and titles()["6"] == "Title 6"
+
+
+def test_frames_are_merged_as_they_fill(spark, tmp_path, monkeypatch):
+    from shelfspark.sources.storage import snapshot_versions, write_snapshot
+    from shelfspark.streaming import ingest
+
+    folder, table, check = tmp_path / "in", f"{tmp_path}/items", f"{tmp_path}/check"
+    folder.mkdir()
+    text = "".join(item_line(i % 3, f"{i}-of-it") + "\n" for i in range(24)).encode()
+    size = -(-len(text) // 12)
+    (folder / "a.zst").write_bytes(pack_seekable([text[i:i + size] for i in range(0, len(text), size)]))
+    args = (spark, str(folder), table, ITEMS, check, parse_items, ITEM_VALUES, "quarantine", 1)
+
+    def rows():
+        return sorted((r.source_id, r.id, r.title) for r in read_snapshot(spark, table, ITEMS).collect())
+
+    # A run that is killed leaves its batches pending; the next one takes them up and reads none again.
+    with monkeypatch.context() as killed:
+        killed.setattr(ingest, "_fold", lambda *_: None)
+        killed.setattr(ingest, "folder_bytes", lambda *_: 0)
+        assert ingest_frames(*args) == 12
+    assert not snapshot_versions(spark, table) and len(snapshot_versions(spark, f"{check}-pending")) == 12
+    assert ingest_frames(*args) == 0
+    last = [("0", 1, "21-of-it"), ("1", 2, "22-of-it"), ("2", 3, "23-of-it")]
+    assert rows() == last and snapshot_versions(spark, f"{check}-pending") == []
+    # Batches are merged once they take as much room as the table, not one by one.
+    table, check = f"{tmp_path}/more", f"{tmp_path}/check-more"
+    assert ingest_frames(spark, str(folder), table, ITEMS, check, parse_items, ITEM_VALUES, max_frames=1) == 12
+    assert rows() == last and len(snapshot_versions(spark, table)) < 12
+    write_snapshot(spark.createDataFrame([], ITEMS), table)
+    (folder / "b.zst").write_bytes(pack_seekable([(item_line(9) + "\n").encode()]))
+    with pytest.raises(Exception, match="written by somebody else"):
+        ingest_frames(spark, str(folder), table, ITEMS, check, parse_items, ITEM_VALUES, max_frames=1)
