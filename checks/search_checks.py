@@ -13,6 +13,7 @@ from shelfspark.operators.fulltext import (
     build_index, compact_index, doc_freq, match_terms, plain_query, read_doc_freq, search_fts, search_index, tokenize, update_index,
     vocabulary, write_index,
 )
+from shelfspark.operators.layout import spread
 from shelfspark.operators.lookups import with_availability
 from shelfspark.operators.merge import mark_collected, unmark_collected
 from shelfspark.plans.lookup import lookup_isbn, lookup_md5, suggest_filename
@@ -30,7 +31,7 @@ FORMAT = "CASE extension WHEN 'pdf' THEN 0 WHEN 'epub' THEN 1 ELSE 2 END"
 
 
 def doc_index(spark, sf, config="simple"):
-    return stage(build_index(view(spark, sf, DOC_ITEMS), DOC_FIELDS, config))
+    return stage(build_index(spread(view(spark, sf, DOC_ITEMS), "id"), DOC_FIELDS, config))
 
 
 @check(f"""WITH {ctes(items=DOC_ITEMS)}, w AS (
@@ -46,13 +47,13 @@ def tokenize_simple(spark, sf):
 
 @check(f"WITH {DOC_OCC} SELECT term, count(DISTINCT id) AS doc_freq FROM occ GROUP BY term")
 def postings_doc_freq(spark, sf):
-    return doc_freq(build_index(view(spark, sf, DOC_ITEMS), DOC_FIELDS, "simple"))
+    return doc_freq(build_index(spread(view(spark, sf, DOC_ITEMS), "id"), DOC_FIELDS, "simple"))
 
 
 @check(f"""WITH {DOC_OCC} SELECT term, id, count(*) AS n, sum(pos)::bigint AS sum_pos, round(sum(w), 4) AS sum_weight
     FROM occ GROUP BY term, id""")
 def postings_positions(spark, sf):
-    index = build_index(view(spark, sf, DOC_ITEMS), DOC_FIELDS, "simple")
+    index = build_index(spread(view(spark, sf, DOC_ITEMS), "id"), DOC_FIELDS, "simple")
     return index.groupBy("term", "id").agg(
         F.count("*").alias("n"), F.sum("pos").alias("sum_pos"), F.round(F.sum("weight"), 4).alias("sum_weight"))
 
@@ -95,7 +96,7 @@ def fts_top_k(spark, sf):
     SELECT request_id, id, rank, rank_no FROM placed WHERE rank_no <= 10""")
 def fts_stored_and_updated(spark, sf):
     """Search over a stored index whose odd documents were first stored with another text and then updated."""
-    items, path = view(spark, sf, DOC_ITEMS), f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    items, path = spread(view(spark, sf, DOC_ITEMS), "id"), f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
     first = items.withColumn("description", F.when(F.col("id") % 2 == 1, F.reverse("description")).otherwise(F.col("description")))
     write_index(build_index(first, DOC_FIELDS, "simple"), path)
     update_index(path, items.filter("id % 2 = 1"), DOC_FIELDS, "simple")
@@ -107,7 +108,7 @@ def fts_stored_and_updated(spark, sf):
     SELECT request_id, id, rank, rank_no FROM placed WHERE rank_no <= 10""")
 def fts_stored_rebuilt_compacted(spark, sf):
     """Search after write, update, rebuild over other texts, two more updates and compaction."""
-    items, path = view(spark, sf, DOC_ITEMS), f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    items, path = spread(view(spark, sf, DOC_ITEMS), "id"), f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
     reversed_texts = items.withColumn("description", F.reverse("description"))
     write_index(build_index(reversed_texts, DOC_FIELDS, "simple"), path)
     update_index(path, items.filter("id % 2 = 1"), DOC_FIELDS, "simple")
@@ -122,7 +123,7 @@ def fts_stored_rebuilt_compacted(spark, sf):
 def stored_doc_freq(spark, sf):
     """Document frequencies kept beside a stored index."""
     path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
-    write_index(build_index(view(spark, sf, DOC_ITEMS), DOC_FIELDS, "simple"), path)
+    write_index(build_index(spread(view(spark, sf, DOC_ITEMS), "id"), DOC_FIELDS, "simple"), path)
     return read_doc_freq(spark, path)
 
 
@@ -133,7 +134,7 @@ def fts_rank_english(spark, sf):
 
 def products_and_index(spark, sf):
     items = view(spark, sf, PRODUCTS)
-    return items, stage(build_index(items, ITEM_FIELDS, "simple"))
+    return items, stage(build_index(spread(items, "id"), ITEM_FIELDS, "simple"))
 
 
 SHOWN = "request_id, id, title, author, extension, rank, rank_no"
@@ -201,7 +202,7 @@ def search_items_filters(spark, sf):
 def search_items_stored(spark, sf):
     """The public search over a stored index given by its path."""
     items, path = view(spark, sf, PRODUCTS), f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
-    write_index(build_index(items, ITEM_FIELDS, "simple"), path)
+    write_index(build_index(spread(items, "id"), ITEM_FIELDS, "simple"), path)
     return search_items(items, path, view(spark, sf, NAME_BRAND_REQUESTS), "simple", dedupe=False).select(*SHOWN.split(", "))
 
 
@@ -280,7 +281,7 @@ def library_search_text(spark, sf):
     SELECT request_id, id, title, rating, rank, rank_no FROM placed WHERE rank_no <= 20""")
 def search_ratings_text(spark, sf):
     ratings = view(spark, sf, RATINGS)
-    index = stage(build_index(ratings, RATING_FIELDS, "simple"))
+    index = stage(build_index(spread(ratings, "id"), RATING_FIELDS, "simple"))
     found = search_ratings_fts(ratings, index, view(spark, sf, NAME_BRAND_REQUESTS), "simple")
     return found.select("request_id", "id", "title", "rating", "rank", "rank_no")
 
@@ -298,7 +299,7 @@ GENRE_REQUESTS = """
     SELECT request_id, id, title, rating, rank_no FROM placed WHERE rank_no <= 20""")
 def search_ratings_best(spark, sf):
     ratings = view(spark, sf, RATINGS)
-    index = build_index(ratings, RATING_FIELDS, "simple")
+    index = build_index(spread(ratings, "id"), RATING_FIELDS, "simple")
     found = search_ratings_fts(ratings, index, view(spark, sf, GENRE_REQUESTS), "simple")
     return found.select("request_id", "id", "title", "rating", "rank_no")
 
@@ -387,5 +388,5 @@ TITLE_REQUESTS = """
     SELECT request_id, id FROM by_isbn UNION ALL SELECT request_id, arg_min(id, rn) FROM named GROUP BY request_id""")
 def title_resolution(spark, sf):
     ratings = view(spark, sf, RATINGS)
-    index = stage(build_index(ratings, RATING_FIELDS, "simple"))
+    index = stage(build_index(spread(ratings, "id"), RATING_FIELDS, "simple"))
     return resolve_source(view(spark, sf, TITLE_REQUESTS), ratings, index, "simple")

@@ -14,13 +14,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from shelfspark.functions.analysis import WEIGHTS, positioned, to_term, to_terms
+from shelfspark.functions.analysis import WEIGHTS, positioned, to_term, to_terms, tokens
 from shelfspark.operators.layout import spread
 from shelfspark.operators.paging import top_rows
 from shelfspark.schemas import POSTINGS
 from shelfspark.sources.storage import delete_versions, snapshot_versions, stage
 
 BUCKETS = 64
+#: Parts by id that a bucket is written in.
+SLICES = 8
 
 # Fixed values of the rank formula.
 MAX_DISTANCE = 100
@@ -33,20 +35,21 @@ def document_words(df: DataFrame, fields: list[tuple[str, str]], config: str, id
 
     Positions of a field continue after the last indexed word of the fields before it.
     """
-    names = [f"_f{i}" for i in range(len(fields))]
+    names, plain = [f"_f{i}" for i in range(len(fields))], config == "simple"
     arrays = df.select(
         F.col(id_col).alias("id"),
-        *[positioned(F.col(c), config).alias(n) for (c, _), n in zip(fields, names)],
+        *[(tokens(F.col(c)) if plain else positioned(F.col(c), config)).alias(n) for (c, _), n in zip(fields, names)],
     )
 
     def placed(name: str, weight: float, base: Column) -> Column:
-        return F.transform(name, lambda w: F.struct(
-            w["surface"].alias("surface"), (base + w["pos"]).alias("pos"), F.lit(weight).alias("weight")))
+        return F.transform(name, lambda w, i: F.struct(
+            (w if plain else w["surface"]).alias("surface"), (base + (i + 1 if plain else w["pos"])).alias("pos"),
+            F.lit(weight).alias("weight")))
 
     base, parts = F.lit(0), []
     for (_, label), name in zip(fields, names):
         parts.append(placed(name, WEIGHTS[label], base))
-        base = base + F.coalesce(F.try_element_at(F.col(name), F.lit(-1))["pos"], F.lit(0))
+        base = base + (F.size(name) if plain else F.coalesce(F.try_element_at(F.col(name), F.lit(-1))["pos"], F.lit(0)))
     return arrays.select("id", F.concat(*parts).alias("words"))
 
 
@@ -59,17 +62,17 @@ def build_index(df: DataFrame, fields: list[tuple[str, str]], config: str, id_co
     """Postings: one row (term, id, pos, weight, first) per word occurrence.
 
     `first` marks the first occurrence of the term in its document. It is found in the sorted words of the row itself,
-    so a text stays in the task that read it.
+    so a text stays in the task that read it; deal a table of few row groups out by `spread` before.
     """
     words = document_words(df, fields, config, id_col)
-    terms = to_terms(F.transform("words", lambda w: w["surface"]), config)
-    words = words.withColumn("terms", terms)
-    sorted_words = F.array_sort(F.zip_with("words", "terms", lambda w, term: F.struct(
-        term.alias("term"), w["pos"].alias("pos"), w["weight"].alias("weight"))))
-    placed = words.select("id", sorted_words.alias("words"))
+    if config != "simple":
+        terms = to_terms(F.transform("words", lambda w: w["surface"]), config)
+        words = words.withColumn("terms", terms).select("id", F.zip_with("words", "terms", lambda w, term: F.struct(
+            term.alias("surface"), w["pos"].alias("pos"), w["weight"].alias("weight"))).alias("words"))
+    placed = words.select("id", F.sort_array("words").alias("words"))
     marked = F.transform("words", lambda w, i: F.struct(
-        w["term"].alias("term"), w["pos"].alias("pos"), w["weight"].alias("weight"),
-        ((i == 0) | (F.get("words", i - 1)["term"] != w["term"])).alias("first")))
+        w["surface"].alias("term"), w["pos"].alias("pos"), w["weight"].alias("weight"),
+        ((i == 0) | (F.get("words", i - 1)["surface"] != w["surface"])).alias("first")))
     return placed.select("id", F.inline(marked)).select("term", "id", "pos", "weight", "first")
 
 
@@ -80,7 +83,8 @@ def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
 def _write_version(postings: DataFrame, path: str, version: int, base: int) -> None:
     """Postings and document frequencies of one version; the version counts once `state`, written last, names its base."""
     bucketed = postings.withColumn("bucket", term_bucket(F.col("term")))
-    ordered = bucketed.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+    # By hash, as cutting ranges would build the postings twice; a frequent word is in all slices of its bucket.
+    ordered = bucketed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SLICES))).sortWithinPartitions("bucket", "term", "id")
     ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/version={version}")
     spark = postings.sparkSession
     stored = spark.read.schema(f"{POSTINGS}, bucket INT").parquet(f"{path}/postings/version={version}")

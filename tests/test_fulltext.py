@@ -173,3 +173,23 @@ def test_index_is_built_where_the_text_is_read(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id LONG, title STRING, body STRING")
     for config in ("simple", "english"):
         assert "Exchange" not in build_index(df, FIELDS, config)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_stored_by_one_pass(spark, tmp_path):
+    from shelfspark.sources.storage import snapshot_versions
+
+    cuts = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            cuts.add(batch.num_rows)
+            yield batch
+
+    docs = spark.range(50).selectExpr("id", "'oar' AS title", "concat_ws(' ', 'tide', array_repeat(concat('w', id), 3)) AS body")
+    read = docs.mapInArrow(counted, docs.schema)
+    write_index(build_index(read, FIELDS, "simple"), f"{tmp_path}/index")
+    # Cutting the order into ranges would need a second pass over the texts.
+    assert cuts.value == 50 and snapshot_versions(spark, f"{tmp_path}/index/state") == [0]
+    assert sorted(read_index(spark, f"{tmp_path}/index").collect()) == sorted(build_index(docs, FIELDS, "simple").collect())
+    files = spark.read.parquet(f"{tmp_path}/index/postings/version=0").inputFiles()
+    assert len(files) <= 64 * 8
