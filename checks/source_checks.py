@@ -143,10 +143,10 @@ def stream_upsert(spark, sf):
     UNION ALL SELECT 'vectors', row_number() OVER (ORDER BY doc_id::varchar), NULL, 'hashing-16' FROM documents
     UNION ALL SELECT 'indexed', row_number() OVER (ORDER BY doc_id::varchar), NULL, NULL FROM documents""")
 def ingest_run(spark, sf):
-    """A whole run from two compressed feeds: discovery, merge, ids, postings and vectors; a second run finds nothing new."""
+    """A whole run from two compressed feeds in parts: discovery, merge, ids, postings and vectors; a second run finds nothing new."""
     folder = new_folder(spark, "run")
     for lines, name in ((item_lines(spark, sf), ITEM_FEED), (rating_lines(spark, sf), RATING_FEED)):
-        write_seekable(lines.coalesce(1), f"{folder}/in", name)
+        write_seekable(lines, f"{folder}/in/{name}")
     for _ in range(2):
         status = run_ingest(spark, f"{folder}/in", f"{folder}/tables", HashingEmbedder(16), text_config="simple").first()
     assert (status["items_count"], status["embedded"]) == (None, 0)

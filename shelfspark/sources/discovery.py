@@ -2,12 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfspark.sources.storage import folder_names, path_exists, subfolders
+
 PARTIAL_SUFFIX = ".aria2"
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, modified, length) of the files in a folder; their content is not read."""
-    found = spark.read.format("binaryFile").load(folder)
+def list_files(spark: SparkSession, *folders: str) -> DataFrame:
+    """(path, name, modified, length) of the files in folders; their content is not read."""
+    found = spark.read.format("binaryFile").load(list(folders))
     return found.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"),
         F.col("modificationTime").alias("modified"), "length",
@@ -16,24 +18,33 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def complete_inputs(files: DataFrame) -> DataFrame:
     """Compressed files without the marker of an unfinished download beside them."""
-    partial = files.select(F.col("name").alias("_partial"))
+    partial = files.select(F.col("path").alias("_partial"))
     return files.filter(F.col("name").endswith(".zst")).join(
-        partial, F.concat("name", F.lit(PARTIAL_SUFFIX)) == F.col("_partial"), "left_anti"
+        partial, F.concat("path", F.lit(PARTIAL_SUFFIX)) == F.col("_partial"), "left_anti"
     )
 
 
 def discover_input(spark: SparkSession, folder: str, pattern: str) -> str:
-    """Path of the one complete file whose name contains `pattern`."""
+    """Path of the one complete file whose name contains `pattern`, or of the folder that holds such a feed in parts.
+
+    A folder with an unfinished part, or the marker of an unfinished download beside it, is not complete.
+    """
     matching = complete_inputs(list_files(spark, folder)).filter(F.col("name").contains(pattern))
     paths = [r["path"] for r in matching.select("path").limit(2).collect()]
+    for name in subfolders(spark, folder):
+        if pattern in name and not path_exists(spark, f"{folder}/{name}{PARTIAL_SUFFIX}"):
+            parts = folder_names(spark, f"{folder}/{name}")
+            if any(p.endswith(".zst") for p in parts) and not any(p.endswith(PARTIAL_SUFFIX) for p in parts):
+                paths.append(f"{folder}/{name}")
     if len(paths) != 1:
         raise FileNotFoundError(f"expected 1 {pattern} file, found {'none' if not paths else 'several'}")
     return paths[0]
 
 
 def newest_input(spark: SparkSession, folder: str):
-    """Modification time of the newest complete file, None when there is none."""
-    return complete_inputs(list_files(spark, folder)).agg(F.max("modified")).first()[0]
+    """Modification time of the newest complete file, also inside a feed's folder, None when there is none."""
+    inside = [f"{folder}/{name}" for name in subfolders(spark, folder)]
+    return complete_inputs(list_files(spark, folder, *inside)).agg(F.max("modified")).first()[0]
 
 
 def latest_release(manifest: DataFrame, sources: list[str]) -> DataFrame:

@@ -80,6 +80,13 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders inside a folder, but for those that Spark does not read either."""
+    fs, folder = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+    return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
 def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions of a table, oldest first; a version counts once its success marker is there."""
     fs, folder = _folder(spark, root)

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -137,3 +139,19 @@ def test_snapshots(spark, tmp_path):
     assert read_snapshot(spark, root, before=1).count() == 3
     write_snapshot(spark.range(7), root, 1)
     assert read_snapshot(spark, root).agg(F.max("id")).first()[0] == 6
+
+
+def test_discover_a_feed_in_parts(spark, tmp_path):
+    parts = tmp_path / "a__x_records__1"
+    parts.mkdir()
+    for n in (0, 1):
+        (parts / f"part-{n}.jsonl.zst").write_bytes(pack_seekable([f"line {n}\n".encode()]))
+        os.utime(parts / f"part-{n}.jsonl.zst", (1000 + n, 1000 + n))
+    (tmp_path / "y_records.zst").write_bytes(b"")
+    os.utime(tmp_path / "y_records.zst", (10, 10))
+    found = discover_input(spark, str(tmp_path), "x_records")
+    assert sorted(r.value for r in read_seekable_jsonl(spark, found).collect()) == ["line 0", "line 1"]
+    assert newest_input(spark, str(tmp_path)).timestamp() == 1001
+    (parts / "part-1.jsonl.zst.aria2").write_bytes(b"")
+    with pytest.raises(FileNotFoundError, match="none"):
+        discover_input(spark, str(tmp_path), "x_records")
