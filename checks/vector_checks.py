@@ -13,6 +13,7 @@ from shelfspark.operators.embedding import (
     HashingEmbedder, embed, embed_missing, export_vectors, rating_text, read_exported, restore_vectors,
 )
 from shelfspark.operators.fulltext import build_index
+from shelfspark.operators.layout import spread
 from shelfspark.operators.lists import read_figures, search_lists, update_lists, write_lists
 from shelfspark.operators.nearest import build_ivf, knn_join, topk_exact, topk_grouped
 from shelfspark.operators.paging import top_rows
@@ -291,7 +292,7 @@ ROUTED_REQUESTS = """
     FROM routed WHERE kind = 'vector' AND request_id NOT IN (SELECT request_id FROM placed)""")
 def search_ratings_routed(spark, sf):
     ratings = view(spark, sf, RATINGS)
-    index = stage(build_index(ratings, RATING_FIELDS, "simple"))
+    index = stage(build_index(spread(ratings, "id"), RATING_FIELDS, "simple"))
     vectors = stage(embed(rating_text(ratings), "text", EMBEDDER))
     results, errors = search_ratings(ratings, index, vectors, view(spark, sf, ROUTED_REQUESTS), EMBEDDER, "simple", limit=5)
     found = results.select("request_id", "search_type", "id", "rank_no", F.lit(None).cast("string").alias("error"))
@@ -311,8 +312,8 @@ def search_ratings_routed(spark, sf):
            isbn <> '' AND isbn IN (SELECT isbn FROM shelf) AS available FROM r JOIN items USING (id)""")
 def similar_by_name(spark, sf):
     ratings, items = view(spark, sf, RATINGS), view(spark, sf, PRODUCTS)
-    index = stage(build_index(ratings, RATING_FIELDS, "simple"))
-    item_index = stage(build_index(items, ITEM_FIELDS, "simple"))
+    index = stage(build_index(spread(ratings, "id"), RATING_FIELDS, "simple"))
+    item_index = stage(build_index(spread(items, "id"), ITEM_FIELDS, "simple"))
     vectors = stage(embed(rating_text(ratings), "text", EMBEDDER))
     found = similar(view(spark, sf, NAME_REQUESTS), ratings, index, items, item_index, vectors, EMBEDDER, "simple")
     return found.results.select("request_id", "id", "title", "author", "similarity", "available")

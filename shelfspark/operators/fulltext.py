@@ -214,7 +214,8 @@ def match_terms(
     doc_freq), where kept, spare the count.
     """
     # Where the requests' words are few, Spark broadcasts them and map tasks keep only their postings.
-    used = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    # They are kept, as counting, choosing and fetching would each read all postings.
+    used = stage(postings.join(terms.select("term").distinct(), "term", "left_semi"))
     counted = terms.join(doc_freq(used) if frequencies is None else frequencies, "term")
     whole = Window.partitionBy(key)
     rarest = (

@@ -193,3 +193,19 @@ def test_postings_are_stored_by_one_pass(spark, tmp_path):
     assert sorted(read_index(spark, f"{tmp_path}/index").collect()) == sorted(build_index(docs, FIELDS, "simple").collect())
     files = spark.read.parquet(f"{tmp_path}/index/postings/version=0").inputFiles()
     assert len(files) <= 64 * 8
+
+
+def test_a_search_reads_the_postings_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.range(20).selectExpr("id", "'oar' AS title", "concat('tide w', id) AS body")
+    index = stage(build_index(docs, FIELDS, "simple"))
+    requests = spark.createDataFrame([(1, "oar tide"), (2, "w7")], "request_id LONG, q STRING")
+    found = search_fts(index.mapInArrow(counted, index.schema), requests, "simple")
+    assert sorted((r.request_id, r.id) for r in found.collect()) == [(1, i) for i in range(20)] + [(2, 7)]
+    assert read.value == index.count() == 60
