@@ -10,15 +10,14 @@ from functools import reduce, wraps
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfspark.functions.text import present
-from shelfspark.functions.vectors import cosine_distance, similarity
 from shelfspark.operators.embedding import embed
 from shelfspark.operators.filters import (
     and_all, any_given, check_requests, contains_ci, equals_folded, is_collected, when_given,
 )
 from shelfspark.operators.fulltext import search_fts
 from shelfspark.operators.lookups import contains_pairs
-from shelfspark.operators.nearest import DISTANCE_DIGITS, search_vectors
-from shelfspark.operators.paging import dedupe_formats, fetch_ranked, format_order, page, page_as_asked
+from shelfspark.operators.nearest import ranked_rows, search_vectors, topk_grouped
+from shelfspark.operators.paging import dedupe_formats, fetch_ranked, format_order, page_as_asked
 from shelfspark.schemas import COLLECTED_COLUMNS, ITEM_COLUMNS, RATING_COLUMNS
 from shelfspark.sources.storage import stage
 
@@ -67,15 +66,25 @@ def _matches(column: str, way: str, param: Column) -> Column:
     return F.col(column) == param
 
 
-def _filtered(candidates: DataFrame, requests: DataFrame, params: dict, given: list[str]) -> DataFrame:
-    """Candidates (request_id, id, …row columns) that meet every parameter of their request."""
-    if not given:
+def _filtered(candidates: DataFrame, requests: DataFrame, params: dict, given: list[str], by: str = KEY) -> DataFrame:
+    """Candidates (`by`, id, …row columns) that meet every parameter of their request; of all requests that share `by`."""
+    if not given and by == KEY:
         return candidates
-    wanted = requests.select(KEY, *[F.col(p).alias(f"_p_{p}") for p in given])
+    wanted = requests.select(*dict.fromkeys([by, KEY]), *[F.col(p).alias(f"_p_{p}") for p in given])
     keep = and_all([
         when_given(F.col(f"_p_{p}"), _matches(*params[p], F.col(f"_p_{p}"))) for p in given
     ])
-    return candidates.join(wanted, KEY).filter(keep).drop(*wanted.columns[1:])
+    return candidates.join(wanted, by).filter(keep).drop(*[f"_p_{p}" for p in given], *([by] if by != KEY else []))
+
+
+def _texts(requests: DataFrame, params: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Requests with `_text`, the smallest id that asks for their q, and these texts, each once.
+
+    A text keeps the parameters of its request where no other request asks for it, and has NULL in their place otherwise.
+    """
+    own = [F.when(F.count("*") == 1, F.first(p)).alias(p) for p in params]
+    texts = stage(requests.groupBy("q").agg(F.min(KEY).alias(KEY), *own))
+    return requests.join(texts.select("q", F.col(KEY).alias("_text")), "q"), texts
 
 
 def _browse(rows: DataFrame, requests: DataFrame, params: dict, sufficient: list[str]) -> DataFrame | None:
@@ -103,19 +112,22 @@ def _candidates(
 ) -> DataFrame:
     """(request_id, id, rank, …row columns) that satisfy each request; rank is NULL without a text.
 
-    Filters apply before ranking, and so does the choice of rows where the index covers more than
-    `rows` (`part_of_index`): only documents that can be shown are ranked.
+    A text that several requests ask for, with different filters, is searched and ranked once, and its matches are
+    filtered for each of them. Otherwise filters apply before ranking, and so does the choice of rows where the index
+    covers more than `rows` (`part_of_index`): only documents that can be shown are ranked.
     """
     given = [p for p in params if p in requests.columns]
     has_q = "q" in requests.columns
     parts = []
     if has_q:
+        asked, texts = _texts(requests.filter(present(F.col("q"))), given)
+
         def allowed(pairs: DataFrame) -> DataFrame:
-            return _filtered(pairs.join(rows, "id"), requests_q, params, given)
+            return _filtered(pairs.join(rows, "id"), texts, params, given)
 
-        requests_q = requests.filter(present(F.col("q")))
-        ranked = search_fts(postings, requests_q, config, allowed=allowed if given or part_of_index else None)
-        parts.append(ranked.join(rows, "id"))
+        first = part_of_index or given and not texts.filter(any_given([F.col(p) for p in given])).isEmpty()
+        ranked = search_fts(postings, texts.select(KEY, "q"), config, allowed=allowed if first else None)
+        parts.append(_filtered(ranked.withColumnRenamed(KEY, "_text").join(rows, "id"), asked, params, given, "_text"))
         requests = requests.filter(~present(F.col("q")))
     browsed = _browse(rows, requests, params, sufficient)
     if browsed is not None:
@@ -231,15 +243,18 @@ def search_ratings_vector(
     plain = queries.join(filtered.select(F.col(KEY).alias("query_id")), "query_id", "left_anti")
     nearest = search_vectors(rows, vectors, plain, limit, offset, centroids, probes)
     narrow = ratings.select("id", *sorted({RATING_PARAMS[p][0] for p in given}))
-    met = _filtered(_browse(narrow, filtered, RATING_PARAMS, RATING_SUFFICIENT), filtered, RATING_PARAMS, given)
-    asked = queries.select(F.col("query_id").alias(KEY), F.col("embedding").alias("_asked"))
-    compared = (
-        met.select(KEY, "id").join(vectors.filter("embedding IS NOT NULL").select("id", "embedding"), "id").join(asked, KEY)
-        .select(KEY, "id", F.round(cosine_distance(F.col("_asked"), F.col("embedding")), DISTANCE_DIGITS).alias("distance"))
-    )
-    order = [F.isnan("distance"), F.col("distance"), F.col("id")]
-    shown = fetch_ranked(rows, page(compared, [KEY], order, limit, offset)).withColumn("similarity", similarity(F.col("distance")))
-    return nearest.withColumnRenamed("query_id", KEY).unionByName(shown)
+    # The rows that meet a combination of filters are found once, and make the group that its requests are compared with.
+    combinations = stage(filtered.select(given).distinct().withColumn(KEY, F.monotonically_increasing_id()))
+    met = _filtered(_browse(narrow, combinations, RATING_PARAMS, RATING_SUFFICIENT), combinations, RATING_PARAMS, given)
+    met = stage(met.select(F.col(KEY).alias("_group"), "id"))
+    own = combinations.select(F.col(KEY).alias("_group"), *[F.col(p).alias(f"_p_{p}") for p in given])
+    grouped = filtered.join(own, and_all([F.col(p).eqNullSafe(F.col(f"_p_{p}")) for p in given]))
+    asked = queries.join(grouped.select(F.col(KEY).alias("query_id"), "_group"), "query_id")
+    found = topk_grouped(
+        vectors.select("id", "embedding").join(met, "id"), asked, limit + offset, "_group",
+        sizes=met.groupBy("_group").agg(F.count("*").alias("size")))
+    shown = ranked_rows(rows, found, offset)
+    return nearest.unionByName(shown).withColumnRenamed("query_id", KEY)
 
 
 def search_ratings(
