@@ -1,32 +1,28 @@
 """URL filter: rules stated by host and path, and association rules mined from the URLs those rules judge.
 
-Words of host and path are the tokens. FP-growth finds, for each label on its own, combinations of tokens that are
-frequent among the URLs of that label; how sure each is, is counted over all labelled URLs. Rules that are sure enough
-stay unless a part of their tokens says the same at least as surely. Rules on words of the host alone go after that:
-labels known of a part of a site are not stretched over all of it. A URL meets the mined rules through an inverted
-index from each rule's rarest token, and the surest rule whose tokens it all has decides.
-
-Bounds: tokens that are infrequent under every label are left out by a count before anything is combined, which
-changes no rule. FP-growth combines the MINED most telling tokens of a URL, so that there are at most 2 ** MINED /
-support combinations of a label, whatever the number of URLs; counting and matching use all tokens.
+Words of host and path are the tokens. For each label, combinations of tokens that are frequent among its URLs are grown
+by a token at a time; how sure each is, is counted over all labelled URLs. Rules that are sure enough stay unless a part
+of their tokens says the same at least as surely. Rules on words of the host alone go after that: labels known of a part
+of a site are not stretched over all of it. A URL meets the mined rules through an inverted index from each rule's rarest
+token, and the surest rule whose tokens it all has decides.
+
+Bounds: tokens that are infrequent under every label are left out by a count before anything is combined, which changes
+no rule. A combination is grown only while each of its tokens keeps out some URL of another label that the others let in.
+One that does not is never a rule, nor is any that holds it: without the token it is as sure, or surer, and as frequent.
+So tokens that stand together, however many, are not combined with each other, and a rule has at most one token more than
+some URL of another label. All tokens of a URL take part.
 """
 
-from collections import defaultdict
-
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.joins import by_key
 from shelfspark.sources.storage import stage
 
-MINED = 10
 SUPPORT = 0.01
 CONFIDENCE = 0.95
 ALLOW, BLOCK = "allow", "block"
 HOST, PATH = "host=", "path="
-#: Equal rows reach FP-growth in arrays of at most so many.
-REPEAT = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,6 +81,47 @@ def _meet(sets: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def _extended(rows: DataFrame) -> DataFrame:
+    """`rows` (needed, rest, label, n) with each token of `rest` moved to `needed`, and those after it left as `rest`."""
+    return rows.select("needed", "label", "n", "rest", F.posexplode("rest").alias("at", "token")).select(
+        F.concat("needed", F.array("token")).alias("needed"), "label", "n",
+        F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+
+
+def _grown(rows: DataFrame, totals: dict[str, int], support: float, confidence: float, parts: DataFrame | None) -> DataFrame:
+    """Combinations (needed, label, others, sure, best, kept) that are one token longer than those of `rows`.
+
+    Only those that are frequent in their label and of which each token keeps out URLs of other labels, `others` of which
+    have them all. `sure` is their confidence, `best` that of the surest rule made of some or all of their tokens, `kept`
+    whether they are a rule surer than those made of some. `parts` are the same of a token less.
+    """
+    total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])[F.col("label")]
+    counted = (
+        _extended(rows).groupBy("needed", "label").agg(F.sum("n").alias("n"))
+        .groupBy("needed").agg(F.sum("n").alias("held"), F.collect_list(F.struct("label", "n")).alias("labels"))
+        .select("needed", "held", F.inline("labels"))
+        .filter(F.col("n") / total >= support)
+        .select("needed", "label", (F.col("held") - F.col("n")).alias("others"), (F.col("n") / F.col("held")).alias("sure"))
+    )
+    if parts is None:
+        counted = counted.withColumn("known", F.lit(0.0))
+    else:
+        less = F.transform("needed", lambda _, i: F.concat(
+            F.slice("needed", 1, i), F.slice("needed", i + 2, F.size("needed"))))
+        each = stage(counted).withColumn("part", F.explode(less))
+        counted = (
+            each.join(parts.select(F.col("needed").alias("part"), "label", F.col("others").alias("let_in"), "best"), ["part", "label"])
+            .filter(F.col("let_in") > F.col("others"))
+            .groupBy("needed", "label").agg(
+                F.first("others").alias("others"), F.first("sure").alias("sure"), F.max("best").alias("known"),
+                F.count("*").alias("open"))
+            .filter(F.col("open") == F.size("needed"))
+        )
+    rule = F.when(F.col("sure") >= confidence, F.col("sure")).otherwise(F.lit(0.0))
+    return stage(counted.select(
+        "needed", "label", "others", "sure", F.greatest("known", rule).alias("best"), (rule > F.col("known")).alias("kept")))
+
+
 def mine_rules(
     labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE
 ) -> list[tuple[tuple[str, ...], str, float]]:
@@ -101,49 +138,32 @@ def mine_rules(
     if not totals:
         return []
     total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])[F.col("label")]
-    telling = (
+    # At most the mean number of tokens of a URL, divided by the support, of them for each label. Numbered from the rarest,
+    # so that what is left to combine with a token is frequent, and often the same.
+    frequent = stage(
         sets.select("label", "n", F.explode("tokens").alias("token"))
-        .groupBy("token", "label").agg((F.sum("n") / F.first(total)).alias("share"))
-        .groupBy("token").agg(F.max("share").alias("top"), F.sum("share").alias("all"))
+        .groupBy("token", "label").agg(F.sum("n").alias("n"), (F.sum("n") / F.first(total)).alias("share"))
+        .groupBy("token").agg(F.max("share").alias("top"), F.sum("n").alias("held"))
         .filter(F.col("top") >= support)
-        .select("token", (F.col("top") / F.col("all")).alias("pull"))
-    )
-    # At most the mean number of tokens of a URL, divided by the support, of them for each label.
-    useful = stage(
-        sets.withColumn("token", F.explode("tokens")).join(F.broadcast(telling), "token")
-        .groupBy("tokens", "label", "n")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("pull")).alias("pull"), "token")))["token"].alias("useful"))
-        .groupBy(F.col("useful").alias("tokens"), "label").agg(F.sum("n").alias("n")))
-    combined = None
-    for label in sorted(totals):
-        rows = (
-            useful.filter(F.col("label") == label).select(F.slice("tokens", 1, MINED).alias("items"), "n")
-            .select("items", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(REPEAT))).alias("at"))
-            .select("items", F.explode(F.array_repeat(
-                F.lit(0), F.least(F.col("n") - F.col("at"), F.lit(REPEAT)).cast("int"))))
-            .select("items"))
-        found = FPGrowth(itemsCol="items", minSupport=support).fit(rows).freqItemsets
-        found = found.select(F.sort_array("items").alias("needed"))
-        combined = found if combined is None else combined.union(found)
-    counted = (
-        _meet(useful, stage(combined.distinct())).groupBy("needed", "label").agg(F.sum("n").alias("n"))
-        .groupBy("needed").agg(F.sum("n").alias("held"), F.collect_list(F.struct("label", "n")).alias("labels"))
-        .select("needed", "held", F.inline("labels"))
-        .filter((F.col("n") >= support * total) & (F.col("n") >= confidence * F.col("held")))
-        .select("needed", "label", (F.col("n") / F.col("held")).alias("confidence"))
-        .collect()
-    )
-    kept: list[tuple[tuple[str, ...], str, float]] = []
-    index: dict[str, list[int]] = defaultdict(list)
-    for row in sorted(counted, key=lambda r: (len(r.needed), r.needed, r.label)):
-        tokens = set(row.needed)
-        near = {i for t in tokens for i in index[t]}
-        if any(kept[i][1] == row.label and kept[i][2] >= row.confidence and tokens.issuperset(kept[i][0]) for i in near):
-            continue
-        for t in row.needed:
-            index[t].append(len(kept))
-        kept.append((tuple(row.needed), row.label, float(row.confidence)))
-    return [rule for rule in kept if any(t.startswith(PATH) for t in rule[0])]
+        .select("token", F.row_number().over(Window.orderBy("held", "token")).alias("number")))
+    tokens = {r["number"]: r["token"] for r in frequent.collect()}
+    rows = stage(
+        sets.withColumn("token", F.explode("tokens")).join(F.broadcast(frequent), "token")
+        .groupBy("tokens", "label", "n").agg(F.sort_array(F.collect_list("number")).alias("rest"))
+        .groupBy("rest", "label").agg(F.sum("n").alias("n"))
+        .select(F.array().cast("array<int>").alias("needed"), "rest", "label", "n"))
+    found, parts = [], None
+    while True:
+        parts = _grown(rows, totals, support, confidence, parts)
+        found += parts.filter("kept").select("needed", "label", "sure").collect()
+        # Where no URL of another label has them all, a further token keeps out none.
+        parts = parts.filter("others > 0")
+        if parts.isEmpty():
+            break
+        longer = _extended(rows).filter(F.size("rest") > 0).join(parts.select("needed").distinct(), "needed", "left_semi")
+        rows = stage(longer.groupBy("needed", "rest", "label").agg(F.sum("n").alias("n")))
+    rules = [(tuple(sorted(tokens[i] for i in r["needed"])), r["label"], r["sure"]) for r in found]
+    return [rule for rule in sorted(rules) if any(t.startswith(PATH) for t in rule[0])]
 
 
 def match_rules(rows: DataFrame, rules: list[tuple[tuple[str, ...], str, float]]) -> DataFrame:
