@@ -12,6 +12,9 @@ slices of texts, all in Arrow:
    sides have close a group.
 3. Table.group_by adds up links by id pair, weighted by the chunk's occurrences, and chunk figures by document.
 
+A slice's chunks and links are stored as one compressed value, of which a task of the second pass holds a few: batches,
+pages and row groups are kept small, as a slice is a row of some hundred kilobytes.
+
 Spark merges the partial pair counts. Counts of the pairs that are most frequent, HEAD at most, are broadcast; rarer
 ones are met by a shuffle, in which no pair has more than its share of all links, 1 in HEAD.
 """
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from shelfspark.llm.words import claim, sha256, slices
-from shelfspark.sources.storage import stage
+from shelfspark.sources.storage import few_rows_at_once, stage, unstage
 
 HEAD = 1 << 19
 MEMO_CHUNKS = 1 << 17
@@ -46,6 +49,7 @@ _CHUNK = re.compile("(?:^| )(?:[^ ]|(?<=[\\s\u180e]) |^ )*")
 _SIDES = ("a", "b")
 NO_LISTS = pa.array([], pa.large_list(pa.int32()))
 _FACTS = ("n_a", "n_b", "n_groups", "n_links")
+_PLACES = ("n_chunks", "chunks", "chunk_links", "links")
 
 
 def load_byte_bpe(path: str) -> dict[bytes, int]:
@@ -224,6 +228,20 @@ def align_slice(texts: pa.Array, tokens: Tokenizers) -> dict:
     }
 
 
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of 32-bit numbers as one compressed value, after their sizes."""
+    sizes = np.array([len(x) for x in arrays], np.int64)
+    plain = b"".join(np.asarray(x, np.int32).tobytes() for x in arrays)
+    return sizes.tobytes() + pa.Codec("zstd", 1).compress(plain, asbytes=True)
+
+
+def unpack(packed: pa.Buffer, count: int) -> list[np.ndarray]:
+    """The `count` arrays that `pack` was given."""
+    sizes = np.frombuffer(packed, np.int64, count)
+    plain = pa.Codec("zstd").decompress(packed.slice(sizes.nbytes), int(sizes.sum()) * 4)
+    return np.split(np.frombuffer(plain, np.int32), np.cumsum(sizes)[:-1])
+
+
 _TOKENIZERS: dict[str, Tokenizers] = {}
 
 
@@ -231,12 +249,11 @@ def _slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, model: bytes
     """A row per slice of texts, holding what `align_slice` says of them."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, model))
     digest = sha256(base64.b64encode(model) + pattern.encode() + b"".join(b"%d=%b;" % (i, w) for w, i in sorted(ranks.items())))
-    kinds = {c: "LONG" for c in ("n_a", "n_b", "n_groups", "n_links", "pairs", "pair_counts")} | {
-        c: "INT" for c in ("n_chunks", "chunks", "chunk_links", "links")} | {"groups_sha256": "STRING"}
-    arrow = {"LONG": pa.int64(), "INT": pa.int32(), "STRING": pa.string()}
+    kinds = {c: "LONG" for c in ("n_a", "n_b", "n_groups", "n_links", "pairs", "pair_counts")} | {"groups_sha256": "STRING"}
+    arrow = {"LONG": pa.int64(), "STRING": pa.string()}
     identity = docs.schema["id"].dataType
     schema = StructType([StructField("slice", StructType.fromDDL("s STRING")["s"].dataType), StructField("ids", ArrayType(identity))]
-                        + StructType.fromDDL(", ".join(f"{c} ARRAY<{k}>" for c, k in kinds.items())).fields)
+                        + StructType.fromDDL(", ".join(f"{c} ARRAY<{k}>" for c, k in kinds.items()) + ", places BINARY").fields)
 
     def run(batches):
         if digest not in _TOKENIZERS:
@@ -250,7 +267,8 @@ def _slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, model: bytes
                 columns = [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
                 columns += [
                     pa.ListArray.from_arrays(pa.array([0, len(made[c])], pa.int32()), pa.array(made[c], arrow[k])) for c, k in kinds.items()]
-                yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", *kinds])
+                columns.append(pa.array([pack([made[c] for c in _PLACES])], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", *kinds, "places"])
             pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
@@ -278,17 +296,18 @@ def _scored(parts: DataFrame, head: pa.Table) -> DataFrame:
         known, n, best = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].values for c in batch.schema.names if c != "slice"}
+                row = {c: batch.column(c)[i].values for c in batch.schema.names if c not in ("slice", "places")}
+                n_chunks, chunks, chunk_links, links = unpack(batch.column("places")[i].as_buffer(), len(_PLACES))
                 # Pairs are looked up once for the slice; links name them by place.
-                links, pairs = row["links"].to_numpy(), row["pairs"].to_numpy()
+                pairs = row["pairs"].to_numpy()
                 at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
                 if len(known):
                     hit = known[at] == pairs
                     met, value, top = hit[links], np.where(hit, n[at], 0)[links], (hit & best[at])[links]
                 else:
                     met, value, top = np.zeros(len(links), bool), np.zeros(len(links), np.int64), np.zeros(len(links), bool)
-                first = np.concatenate(([0], np.cumsum(row["chunk_links"].to_numpy()))).astype(np.int64)
-                chunks, edge = row["chunks"].to_numpy(), np.concatenate(([0], np.cumsum(row["n_chunks"].to_numpy())))
+                first = np.concatenate(([0], np.cumsum(chunk_links, dtype=np.int64))).astype(np.int64)
+                edge = np.concatenate(([0], np.cumsum(n_chunks, dtype=np.int64))).astype(np.int64)
 
                 def by_text(x):
                     of_chunk = np.diff(np.concatenate(([0], np.cumsum(x.astype(np.int64))))[first])
@@ -310,7 +329,7 @@ def _scored(parts: DataFrame, head: pa.Table) -> DataFrame:
     identity = parts.schema["ids"].dataType.elementType
     schema = StructType([*StructType.fromDDL("slice STRING, place INT").fields, StructField("id", identity), *StructType.fromDDL(
         "n_a LONG, n_b LONG, n_groups LONG, n_links LONG, groups_sha256 STRING, n_best LONG, count_sum LONG, rare ARRAY<LONG>").fields])
-    return parts.select("slice", "ids", *figures, "n_chunks", "chunks", "chunk_links", "links", "pairs").mapInArrow(run, schema)
+    return parts.select("slice", "ids", *figures, "pairs", "places").mapInArrow(run, schema)
 
 
 def align_tokens(
@@ -328,15 +347,19 @@ def align_tokens(
     no rows; other columns are not read. This runs jobs at once and writes its steps to the shared folder.
     """
     rows = docs.select(F.col(identity).alias("id"), F.col(text).alias("text"))
-    parts = stage(_slices(rows, ranks, pattern, model))
-    counts = stage(pair_counts(parts))
+    spark = docs.sparkSession
+    with few_rows_at_once(spark):
+        parts = stage(_slices(rows, ranks, pattern, model), wide=True)
+        counts = stage(pair_counts(parts))
     most = counts.orderBy(F.desc("n")).limit(head + 1).agg(F.count("*").alias("rows"), F.min("n").alias("least")).first()
     floor = most["least"] if most["rows"] > head else 0
-    scored = _scored(parts, counts.filter(F.col("n") > floor).toArrow())
+    head_rows = counts.filter(F.col("n") > floor).toArrow()
+    with few_rows_at_once(spark):
+        scored = stage(_scored(parts, head_rows))
+    unstage(parts)
     figures = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     if not floor:
         return scored.select(F.col("id").alias(identity), *figures)
-    scored = stage(scored)
     rare = (
         scored.select("slice", "place", F.explode("rare").alias("pair"))
         .join(counts.filter(F.col("n") <= floor), "pair")

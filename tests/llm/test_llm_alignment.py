@@ -102,3 +102,18 @@ def test_ids_out_of_order_are_refused(tmp_path):
     path.write_text('{"model": {"vocab": {"a": 0, "b": 1, "ab": 3, "aba": 2}, "merges": ["a b", "ab a"]}}')
     with pytest.raises(ValueError, match="order of merges"):
         load_byte_bpe(str(path))
+
+
+def test_slices_pass_few_at_once(spark, vocabularies, monkeypatch):
+    key, seen, scored = "spark.sql.execution.arrow.maxBytesPerBatch", [], token_alignment._scored
+    before = spark.conf.get(key)
+
+    def watched(parts, head):
+        seen.append((int(spark.conf.get(key)), dict(parts.dtypes)["places"]))
+        return scored(parts, head)
+
+    monkeypatch.setattr(token_alignment, "_scored", watched)
+    rows = [(1, "salt roads and ferries"), (2, None), (3, "ferries and salt")]
+    found = align_tokens(spark.createDataFrame(rows, "doc_id LONG, text STRING"), *vocabularies)
+    assert rows_of(found, *COLUMNS) == brute(rows, vocabularies[2])
+    assert seen == [(1 << 22, "binary")] and spark.conf.get(key) == before
