@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfspark.functions.analysis import WEIGHTS, positioned, to_term, to_terms, tokens
 from shelfspark.operators.layout import spread
+from shelfspark.operators.packing import LISTS, pack, pack_words, unpack
 from shelfspark.operators.paging import top_rows
-from shelfspark.schemas import POSTINGS
 from shelfspark.sources.storage import delete_versions, snapshot_versions, stage
 
 BUCKETS = 64
@@ -61,19 +61,18 @@ def tokenize(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col:
 def build_index(df: DataFrame, fields: list[tuple[str, str]], config: str, id_col: str = "id") -> DataFrame:
     """Postings: one row (term, id, pos, weight, first) per word occurrence.
 
-    `first` marks the first occurrence of the term in its document. It is found in the sorted words of the row itself,
-    so a text stays in the task that read it; deal a table of few row groups out by `spread` before.
+    `first` marks the first occurrence of the term in its document. It is found where the words of the text are gathered
+    by term, so a text stays in the task that read it; deal a table of few row groups out by `spread` before.
     """
+    if config == "simple":
+        names = [f"_f{i}" for i in range(len(fields))]
+        words = df.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(n) for (c, _), n in zip(fields, names)])
+        return unpack(pack_words(words, [WEIGHTS[label] for _, label in fields]))
     words = document_words(df, fields, config, id_col)
-    if config != "simple":
-        terms = to_terms(F.transform("words", lambda w: w["surface"]), config)
-        words = words.withColumn("terms", terms).select("id", F.zip_with("words", "terms", lambda w, term: F.struct(
-            term.alias("surface"), w["pos"].alias("pos"), w["weight"].alias("weight"))).alias("words"))
-    placed = words.select("id", F.sort_array("words").alias("words"))
-    marked = F.transform("words", lambda w, i: F.struct(
-        w["surface"].alias("term"), w["pos"].alias("pos"), w["weight"].alias("weight"),
-        ((i == 0) | (F.get("words", i - 1)["surface"] != w["surface"])).alias("first")))
-    return placed.select("id", F.inline(marked)).select("term", "id", "pos", "weight", "first")
+    terms = to_terms(F.transform("words", lambda w: w["surface"]), config)
+    words = words.withColumn("terms", terms).select("id", F.zip_with("words", "terms", lambda w, term: F.struct(
+        term.alias("surface"), w["pos"].alias("pos"), w["weight"].alias("weight"))).alias("words"))
+    return unpack(pack_words(words, None))
 
 
 def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
@@ -81,15 +80,19 @@ def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
 
 
 def _write_version(postings: DataFrame, path: str, version: int, base: int) -> None:
-    """Postings and document frequencies of one version; the version counts once `state`, written last, names its base."""
-    bucketed = postings.withColumn("bucket", term_bucket(F.col("term")))
+    """Postings and document frequencies of one version; the version counts once `state`, written last, names its base.
+
+    Postings are packed to lists by term before they are dealt out, so that lists and not occurrences are sorted.
+    """
+    bucketed = pack(postings).withColumn("bucket", term_bucket(F.col("term")))
     # By hash, as cutting ranges would build the postings twice; a frequent word is in all slices of its bucket.
-    ordered = bucketed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SLICES))).sortWithinPartitions("bucket", "term", "id")
+    start = F.get("id", F.lit(0))
+    ordered = bucketed.repartition("bucket", F.pmod(F.xxhash64(start), F.lit(SLICES))).sortWithinPartitions("bucket", "term", start)
     ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/version={version}")
     spark = postings.sparkSession
-    stored = spark.read.schema(f"{POSTINGS}, bucket INT").parquet(f"{path}/postings/version={version}")
-    frequencies = stored.filter("first").groupBy("bucket", "term").agg(F.count("*").alias("doc_freq"))
-    frequencies.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
+    stored = spark.read.schema(f"{LISTS}, bucket INT").parquet(f"{path}/postings/version={version}")
+    frequencies = stored.select("bucket", "term", "docs").repartition("bucket").groupBy("bucket", "term").agg(F.sum("docs").alias("doc_freq"))
+    frequencies.filter("doc_freq > 0").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
         "bucket").parquet(f"{path}/doc_freq/version={version}")
     spark.createDataFrame([(base,)], "base INT").coalesce(1).write.mode("overwrite").parquet(f"{path}/state/version={version}")
 
@@ -103,7 +106,7 @@ def _state(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def write_index(postings: DataFrame, path: str) -> None:
-    """Store postings by term bucket and in (term, id) order: a search reads the buckets of its words only.
+    """Store postings by term bucket and in the order of terms: a search reads the buckets of its words only.
 
     Of an index that is there already, this is a new base: readers leave all versions before it aside.
     """
@@ -149,10 +152,12 @@ def _stored(spark: SparkSession, path: str, kind: str, schema: str, terms: DataF
 
 def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
     """Postings of a stored index as its updates left them, only those of `terms` where these are given."""
-    rows = _stored(spark, path, "postings", POSTINGS, terms)
+    lists = _stored(spark, path, "postings", LISTS, terms)
     base, newest = _state(spark, path)
-    if newest > base:
-        rows = rows.join(_replaced(spark, path, base, newest), "id", "left").filter(F.col("since").isNull() | (F.col("version") >= F.col("since")))
+    if newest == base:
+        return unpack(lists.drop("version", "bucket"))
+    rows = unpack(lists, "version")
+    rows = rows.join(_replaced(spark, path, base, newest), "id", "left").filter(F.col("since").isNull() | (F.col("version") >= F.col("since")))
     return rows.select("term", "id", "pos", "weight", "first")
 
 
