@@ -88,7 +88,7 @@ def _write_version(postings: DataFrame, path: str, version: int, base: int) -> N
     # By hash, as cutting ranges would build the postings twice; a frequent word is in all slices of its bucket.
     start = F.get("id", F.lit(0))
     ordered = bucketed.repartition("bucket", F.pmod(F.xxhash64(start), F.lit(SLICES))).sortWithinPartitions("bucket", "term", start)
-    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/version={version}")
+    ordered.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings/version={version}")
     spark = postings.sparkSession
     stored = spark.read.schema(f"{LISTS}, bucket INT").parquet(f"{path}/postings/version={version}")
     frequencies = stored.select("bucket", "term", "docs").repartition("bucket").groupBy("bucket", "term").agg(F.sum("docs").alias("doc_freq"))

@@ -19,7 +19,7 @@ from shelfspark.sources.discovery import discover_input, newest_input
 from shelfspark.sources.lines import limit_accepted, window_lines
 from shelfspark.sources.meta import meta_delete, meta_get, meta_put, meta_read
 from shelfspark.sources.seekable import read_seekable_jsonl
-from shelfspark.sources.storage import read_snapshot, snapshot_versions, stage, write_snapshot
+from shelfspark.sources.storage import read_snapshot, snapshot_versions, stage, step, write_snapshot
 
 # Name parts of the two feeds.
 ITEM_FEED = "zlib3_records"
@@ -78,17 +78,19 @@ def _import(
     rows = limit_accepted(parse(lines, mode), limit)
     table, refused = f"{root}/{name}", f"{root}/rejected/{name}"
     before = read_snapshot(spark, table, schema)
-    rejects(lines, rows, ORDER, mode, keep_blank_key).write.mode("overwrite").parquet(refused)
-    write_snapshot(merge_feed(before, rows, values, ORDER, keep_blank_key, now), table)
+    with step(spark):
+        rejects(lines, rows, ORDER, mode, keep_blank_key).write.mode("overwrite").parquet(refused)
+        write_snapshot(merge_feed(before, rows, values, ORDER, keep_blank_key, now), table)
     after = read_snapshot(spark, table, schema)
     changed = after.filter(F.col("updated_at") == now)
     if config is not None:
         # Rows dated after the last update of the index, so that a run that failed in between leaves none out.
         index, indexed = f"{root}/index/{name}", meta_get(meta_read(spark, f"{root}/notes"), f"{name}_indexed")
-        if indexed is None:
-            write_index(build_index(after, fields, config), index)
-        else:
-            update_index(index, after.filter(F.col("updated_at") > F.lit(indexed).cast("timestamp")), fields, config)
+        with step(spark):
+            if indexed is None:
+                write_index(build_index(after, fields, config), index)
+            else:
+                update_index(index, after.filter(F.col("updated_at") > F.lit(indexed).cast("timestamp")), fields, config)
         meta_put(spark, f"{root}/notes", {f"{name}_indexed": moment.isoformat()})
     return before, after, changed, spark.read.parquet(refused).count()
 
@@ -141,7 +143,8 @@ def run_ingest(
             status["rejected"] = (status["rejected"] or 0) + refused
             if snapshot_versions(spark, f"{root}/vectors"):
                 vectors = read_snapshot(spark, f"{root}/vectors", VECTORS)
-                write_snapshot(invalidate_vectors(vectors, before, changed_rows), f"{root}/vectors")
+                with step(spark):
+                    write_snapshot(invalidate_vectors(vectors, before, changed_rows), f"{root}/vectors")
             status["ratings_count"] = after.count()
             meta_put(spark, notes, {"ratings_count": str(status["ratings_count"])})
             if limit is None:
@@ -169,15 +172,16 @@ def embed_table(
 
     Returns the numbers of embedded and of restored rows.
     """
-    ratings = read_snapshot(spark, f"{root}/ratings", RATINGS)
-    vectors = read_snapshot(spark, f"{root}/vectors", VECTORS)
-    check_model(vectors, embedder.name)
-    restored = 0
-    if cache is not None and has_vector(vectors).isEmpty():
-        vectors = stage(restore_vectors(ratings, vectors, read_exported(spark, cache), embedder.name))
-        restored = vectors.count()
-    made = stage(embed_missing(rating_text(ratings, getattr(embedder, "max_chars", None)), vectors, embedder, limit))
-    embedded = made.count()
-    if embedded or restored:
-        write_snapshot(has_vector(vectors).unionByName(made), f"{root}/vectors")
+    with step(spark):
+        ratings = read_snapshot(spark, f"{root}/ratings", RATINGS)
+        vectors = read_snapshot(spark, f"{root}/vectors", VECTORS)
+        check_model(vectors, embedder.name)
+        restored = 0
+        if cache is not None and has_vector(vectors).isEmpty():
+            vectors = stage(restore_vectors(ratings, vectors, read_exported(spark, cache), embedder.name))
+            restored = vectors.count()
+        made = stage(embed_missing(rating_text(ratings, getattr(embedder, "max_chars", None)), vectors, embedder, limit))
+        embedded = made.count()
+        if embedded or restored:
+            write_snapshot(has_vector(vectors).unionByName(made), f"{root}/vectors")
     return embedded, restored

@@ -2,6 +2,7 @@
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -30,6 +31,8 @@ def as_uri(path: str) -> str:
     return path if "://" in path else f"file://{path}"
 
 
+_STEPS = threading.local()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: For rows of up to megabytes: bytes of a page, a row group and an Arrow batch, rows of a batch read.
 WIDE = {"parquet.page.size.row.check.min": "1", "parquet.page.size": str(1 << 18), "parquet.block.size": str(1 << 22)}
 FEW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22), "spark.sql.parquet.columnarReaderBatchSize": "16"}
@@ -42,7 +45,9 @@ def stage(df: DataFrame, wide: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.options(**WIDE if wide else {}).parquet(path)
+    for made in getattr(_STEPS, "open", [])[-1:]:
+        made.append(path)
+    df.write.options(**WIDE if wide else {}, compression="zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +64,25 @@ def few_rows_at_once(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stages in here are deleted at the end, so what is read later must not come from them.
+
+    Shuffle files of a job begun in here go when it ends, not when the driver happens to collect its garbage.
+    """
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    _STEPS.open = [*getattr(_STEPS, "open", []), made := []]
+    try:
+        yield
+    finally:
+        _STEPS.open = _STEPS.open[:-1]
+        spark.conf.set(CLEANUP, before)
+        for path in made:
+            fs, folder = _folder(spark, path)
+            fs.delete(folder, True)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a table made by `stage` that nothing will read again."""
     spark = df.sparkSession
@@ -142,7 +166,7 @@ def write_snapshot(
     spark = df.sparkSession
     if version is None:
         version = max(snapshot_versions(spark, root), default=-1) + 1
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/version={version:012d}")

@@ -215,3 +215,39 @@ def test_frames_are_merged_as_they_fill(spark, tmp_path, monkeypatch):
     (folder / "b.zst").write_bytes(pack_seekable([(item_line(9) + "\n").encode()]))
     with pytest.raises(Exception, match="written by somebody else"):
         ingest_frames(spark, str(folder), table, ITEMS, check, parse_items, ITEM_VALUES, max_frames=1)
+
+
+def test_a_step_leaves_no_staged_tables(spark, tmp_path):
+    from shelfspark.sources.storage import CLEANUP, folder_names, read_snapshot, stage, step, work_dir, write_snapshot
+
+    def staged():
+        return {n for n in folder_names(spark, work_dir(spark)) if n.startswith("stage-")}
+
+    kept, before = stage(spark.range(5)), spark.conf.get(CLEANUP)
+    there = staged()
+    with step(spark):
+        inside = stage(spark.range(7))
+        with step(spark):
+            assert stage(spark.range(3)).count() == 3 and len(staged()) == len(there) + 2
+        assert inside.count() == 7 and spark.conf.get(CLEANUP) == "true"
+        write_snapshot(inside.union(kept), f"{tmp_path}/table")
+    assert staged() == there and kept.count() == 5 and spark.conf.get(CLEANUP) == before
+    assert read_snapshot(spark, f"{tmp_path}/table").count() == 12
+    with pytest.raises(ValueError), step(spark):
+        stage(spark.range(1))
+        raise ValueError
+    assert staged() == there
+
+
+def test_an_ingest_run_leaves_no_staged_tables(spark, tmp_path):
+    from shelfspark.sources.storage import folder_names, work_dir
+
+    lines = [json.dumps({"metadata": {"zlibrary_id": f"n{i}", "title": f"Salt {i}"}}) for i in range(4)]
+    records = [json.dumps({"metadata": {"id": f"r{i}", "record": f"<book><title>Oar {i}</title></book>"}}) for i in range(3)]
+    (tmp_path / "in").mkdir()
+    for name, feed in (("a__zlib3_records__1", lines), ("a__goodreads_records__1", records)):
+        (tmp_path / "in" / f"{name}.jsonl.seekable.zst").write_bytes(pack_seekable([("\n".join(feed) + "\n").encode()]))
+    there = set(folder_names(spark, work_dir(spark)))
+    status = run_ingest(spark, f"{tmp_path}/in", f"{tmp_path}/tables", HashingEmbedder(4), text_config="simple").first()
+    assert (status.items_count, status.ratings_count, status.embedded) == (4, 3, 3)
+    assert set(folder_names(spark, work_dir(spark))) == there
