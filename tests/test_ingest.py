@@ -217,7 +217,15 @@ def test_frames_are_merged_as_they_fill(spark, tmp_path, monkeypatch):
         ingest_frames(spark, str(folder), table, ITEMS, check, parse_items, ITEM_VALUES, max_frames=1)
 
 
-def test_a_step_leaves_no_staged_tables(spark, tmp_path):
+@pytest.fixture
+def own_work_folder(tmp_path, monkeypatch):
+    from shelfspark.sources import storage
+
+    (tmp_path / "work").mkdir()
+    monkeypatch.setattr(storage, "work_dir", lambda spark: f"{tmp_path}/work")
+
+
+def test_a_step_leaves_no_staged_tables(spark, tmp_path, own_work_folder):
     from shelfspark.sources.storage import CLEANUP, folder_names, read_snapshot, stage, step, work_dir, write_snapshot
 
     def staged():
@@ -239,7 +247,7 @@ def test_a_step_leaves_no_staged_tables(spark, tmp_path):
     assert staged() == there
 
 
-def test_an_ingest_run_leaves_no_staged_tables(spark, tmp_path):
+def test_an_ingest_run_leaves_no_staged_tables(spark, tmp_path, own_work_folder):
     from shelfspark.sources.storage import folder_names, work_dir
 
     lines = [json.dumps({"metadata": {"zlibrary_id": f"n{i}", "title": f"Salt {i}"}}) for i in range(4)]
